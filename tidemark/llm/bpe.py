@@ -21,8 +21,10 @@ import json
 import unicodedata
 from array import array
 from functools import lru_cache
+from hashlib import sha256
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -233,10 +235,11 @@ def decode(df: DataFrame, keep: list[str], ids: str = "ids", path: str | None =
     return map_rows(df, [ids], "decoded string", make, keep=keep)
 
 
-def digests(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
-    """``keep``, ``n_tokens`` and SHA-256 of the packed ids and decoded text."""
-    from hashlib import sha256
+def digests(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``keep``, ``n_tokens``, SHA-256 of the packed ids and of the decoded text.
 
+    ``with_ids`` adds the ids themselves.
+    """
     path = path or default_vocabulary()
 
     def make():
@@ -246,8 +249,10 @@ def digests(df: DataFrame, keep: list[str], text: str = "text", path: str | None
             for t in texts:
                 pieces = bpe.pieces((t or b"").decode())
                 ids = b"".join([p[0] for p in pieces])
-                yield len(ids) // 4, sha256(ids).hexdigest(), sha256(b" ".join([p[1] for p in pieces])).hexdigest()
+                row = len(ids) // 4, sha256(ids).hexdigest(), sha256(b" ".join([p[1] for p in pieces])).hexdigest()
+                yield (*row, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else row
 
         return work
 
-    return map_rows(df, [text], "n_tokens long, ids_sha256 string, decoded_sha256 string", make, keep=keep)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_rows(df, [text], schema, make, keep=keep)

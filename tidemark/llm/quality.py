@@ -159,4 +159,7 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules:
     """The rows of ``docs`` that are kept, with all their columns untouched."""
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{host}`").alias("source"), F.col(f"`{text}`").alias("text"))
     hosts = host_rates(with_counts(rows.select("source", "text")).drop("text"), rules=rules)
-    return judge(with_counts(rows), hosts, rules=rules).filter("kept").select("row.*")
+    # The generator keeps the filter from being pushed into the counts' own
+    # projections, where every condition would compute them all over again.
+    counted = with_counts(rows).select("row", "source", F.inline(F.array(F.struct(*COUNTS))))
+    return judge(counted, hosts, rules=rules).filter("kept").select("row.*")
