@@ -141,7 +141,7 @@ def flush_queue(notifications: DataFrame, results: DataFrame, now: Column, p: Al
 def merge_tags(defaults: Column, more: Column) -> Column:
     """Comma-separated tags: defaults first, each once."""
     both = F.concat(F.split(F.coalesce(defaults, F.lit("")), ","), F.split(F.coalesce(more, F.lit("")), ","))
-    return F.array_join(F.array_distinct(F.array_remove(F.transform(both, F.trim), "")), ",")
+    return F.array_join(F.array_distinct(F.array_remove(F.transform(both, lambda t: F.trim(t)), "")), ",")
 
 
 def pattern_of(breakdown: Column) -> Column:

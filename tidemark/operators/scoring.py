@@ -36,25 +36,31 @@ def tier_first(value: Column, tiers: Tiers) -> Column:
     return F.when(value.isNull() | (value < 0), 0).otherwise(out)
 
 
-def drop_points(drops: dict[str, Column], atr: Column, price: Column, p: Scoring) -> Column:
-    """(points, horizon, drop_pct, by_horizon, atr_normalized, atr_pct).
+def with_drop(df: DataFrame, atr: str, price: str, p: Scoring) -> DataFrame:
+    """Add ``drop``: (points, horizon, drop_pct, by_horizon, atr_normalized, atr_pct).
 
-    Drops count in units of ATR where that is known; the drop reported is raw.
+    The drops are the columns ``drop_<h>_pct``.  They count in units of ATR
+    where that is known; the drop reported is raw.
     """
-    unit = F.when((atr > 0) & (price > 0), F.try_divide(atr, price) * 100)
-    unit = F.when(unit > 0, unit)
-    points = {h: tier_up(drops[h] / F.coalesce(unit, F.lit(1.0)), p.drops[h]) for h in HORIZONS}
-    best = F.greatest(*points.values())
-    horizon = F.coalesce(*[F.when((points[h] == best) & (best > 0), h) for h in HORIZONS])
-    raw = F.coalesce(*[F.when(horizon == h, drops[h]) for h in HORIZONS])
-    return F.struct(
-        F.least(best, F.lit(p.weights.drop)).alias("points"),
-        horizon.alias("horizon"),
+    unit = F.when((F.col(atr) > 0) & (F.col(price) > 0), F.try_divide(F.col(atr), F.col(price)) * 100)
+    df = settled(df.withColumn("_unit", unit))
+    known = F.col("_unit") > 0
+    scaled = {h: F.when(known, F.col(f"drop_{h}_pct") / F.col("_unit")).otherwise(F.col(f"drop_{h}_pct")) for h in HORIZONS}
+    df = settled(df.withColumns({f"_s{h}": c for h, c in scaled.items()}))
+    df = settled(df.withColumns({f"_p{h}": tier_up(F.col(f"_s{h}"), p.drops[h]) for h in HORIZONS}))
+    points = {h: F.col(f"_p{h}") for h in HORIZONS}
+    df = settled(df.withColumn("_best", F.greatest(*points.values())))
+    df = settled(df.withColumn("_horizon", F.coalesce(*[F.when((points[h] == F.col("_best")) & (F.col("_best") > 0), h) for h in HORIZONS])))
+    raw = F.coalesce(*[F.when(F.col("_horizon") == h, F.col(f"drop_{h}_pct")) for h in HORIZONS])
+    drop = F.struct(
+        F.least("_best", F.lit(p.weights.drop)).alias("points"),
+        F.col("_horizon").alias("horizon"),
         raw.alias("drop_pct"),
         F.struct(*[points[h].alias(f"h{h}") for h in HORIZONS]).alias("by_horizon"),
-        unit.isNotNull().alias("atr_normalized"),
-        unit.alias("atr_pct"),
+        F.coalesce(known, F.lit(False)).alias("atr_normalized"),
+        F.when(known, F.col("_unit")).alias("atr_pct"),
     )
+    return settled(df.withColumn("drop", drop).drop("_unit", "_best", "_horizon", *[f"_{k}{h}" for k in "sp" for h in HORIZONS]))
 
 
 def rsi_points(rsi_1h: Column, rsi_4h: Column, p: Scoring) -> Column:
@@ -174,8 +180,7 @@ def score_symbols(arrays: DataFrame, detected_at: Column, p: Scoring = Scoring()
         }
     )
     s = settled(s.drop("b1h", "b4h", "b1d", "c4h"))
-    s = s.withColumn("drop", drop_points({h: F.col(f"drop_{h}_pct") for h in HORIZONS}, F.col("atr_1h"), F.col("price"), p))
-    s = settled(s)
+    s = with_drop(s, "atr_1h", "price", p)
     s = s.withColumns(
         {
             "p_rsi": rsi_points(F.col("rsi_1h"), F.col("rsi_4h"), p),

@@ -67,9 +67,9 @@ def watch_pass(watchlist: DataFrame, candidates: DataFrame, now: Column, p: Watc
     ``candidates`` has symbol, score, severity, and ``signal_id`` with
     ``inserted`` for those that a promotion has inserted.
     """
-    active = watchlist.filter("status = 'watching'").select("symbol", F.col("id").alias("watch_id"))
+    active = watchlist.filter("status = 'watching'").select("symbol", F.col("id").alias("watch_id"), F.lit(True).alias("has_watch"))
     c = candidates.filter("severity is null").join(active, "symbol", "left")
-    c = c.withColumn("action", watch_action(F.col("score"), F.col("watch_id").isNotNull(), s.min_score, p.floor))
+    c = c.withColumn("action", watch_action(F.col("score"), F.col("has_watch").isNotNull(), s.min_score, p.floor))
     a = c.select("symbol", F.col("score").alias("_score"), "action", F.col("signal_id").alias("_signal"), F.col("inserted").alias("_inserted"))
     m = watchlist.join(a, "symbol", "left")
     live = F.col("status") == "watching"
@@ -88,7 +88,7 @@ def watch_pass(watchlist: DataFrame, candidates: DataFrame, now: Column, p: Watc
             "resolution_reason": F.when(promote, "promoted").when(expire, "below_floor").otherwise(F.col("resolution_reason")),
         }
     ).select(watchlist.columns)
-    fresh = c.filter("action = 'WATCH' and watch_id is null").select(
+    fresh = c.filter("action = 'WATCH' and has_watch is null").select(
         F.lit(None).cast("bigint").alias("id"),
         "symbol",
         F.lit("watching").alias("status"),
