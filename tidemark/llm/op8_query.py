@@ -28,9 +28,9 @@ WITH w AS (
          len(ls) - len(list_distinct(ls)) AS n_dup_lines
   FROM w
 ), g AS (
-  SELECT doc_id, unnest(range(1, n_words - 3)) AS i, ws FROM c WHERE n_words >= 5
+  SELECT doc_id, unnest(list_transform(range(1, n_words - 3), lambda i: struct_pack(i := i, h := array_to_string(ws[i:i+4], ' ')))) AS x FROM c WHERE n_words >= 5
 ), k AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i+4], ' ')) AS n FROM g
+  SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.h) AS n FROM g
 ), p AS (
   SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n_repeat_words
   FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM k WHERE n > 1) GROUP BY doc_id
