@@ -78,7 +78,7 @@ class Memo:
 class WordBpe:
     """A tokenizer with word ends, read from a ``tokenizers`` JSON file."""
 
-    def __init__(self, path: str, max_words: int = 250_000):
+    def __init__(self, path: str, max_words: int = 80_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -112,7 +112,7 @@ class WordBpe:
         self.chunks: Memo = Memo(max_words)
         library = Tokenizer.from_file(path)
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.compatible = lru_cache(maxsize=1 << 18)(self._compatible)
+        self.compatible = lru_cache(maxsize=1 << 16)(self._compatible)
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens' joint text as these two tokens.

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
+#: Rows that a Python function holds as objects at a time.
+SLICE = 256
+#: Rows of an Arrow batch.
+BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +52,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; Arrow batches of its session hold ``BATCH`` rows at most.
+
+    Texts are long, so the default of ten times as many rows keeps tens of
+    megabytes in several copies on both sides of each Python worker.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, or a variant of it that no column of ``df`` has yet."""
     taken = {c.lower() for c in df.columns}
@@ -90,16 +104,18 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            table = dict(zip(used, batch.columns, strict=True))
-            lists = []
-            for c in inputs:
-                col = table[c]
-                if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
-                    col = col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary())
-                lists.append(col.to_pylist())
-            rows = list(work(*lists))
-            arrays = [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([table[c] for c in keep] + arrays, names=[*keep, *names])
-
-    return df.select(*[F.col(f"`{c}`") for c in used]).mapInArrow(run, StructType(kept.fields + added.fields))
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                table = dict(zip(used, batch.columns, strict=True))
+                lists = []
+                for c in inputs:
+                    col = table[c]
+                    if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
+                        col = col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary())
+                    lists.append(col.to_pylist())
+                rows = list(work(*lists))
+                arrays = [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([table[c] for c in keep] + arrays, names=[*keep, *names])
+
+    return small_batches(df).select(*[F.col(f"`{c}`") for c in used]).mapInArrow(run, StructType(kept.fields + added.fields))

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .common import small_batches
+
 #: Bytes to the lower-cased word character, or to a space: 0-9, a-z and all above 0x7F are words.
 _FOLD = bytes(
     (b + 32 if 65 <= b <= 90 else b) if b >= 0x80 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32
@@ -38,7 +40,7 @@ _FOLD = bytes(
 )
 WINDOW = 10
 #: Words in a shard; a longer document is a shard of its own.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: Test items in a block, and their words at most (an item is never cut).
 BLOCK_WORDS = 2_000_000
 
@@ -296,7 +298,7 @@ def find(
     numbers [start, end); ``items``, the ids of the items that occur.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct("*").alias("row"), F.lit(None).cast(_FOUND).alias("found"))
+    rows = small_batches(docs).select(F.struct("*").alias("row"), F.lit(None).cast(_FOUND).alias("found"))
     schema = rows.schema
     at = docs.columns.index(text)
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 from hashlib import sha256
 
 import tiktoken
@@ -36,8 +35,8 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
 _PLAIN = re.compile(r"(?:[0-9+/_=-]+|(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_=+-]*)\Z")
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str | None) -> tiktoken.Encoding:
+    """The vocabulary of a file; each task reads it anew, so that workers keep none."""
     import public_tokenizers
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
