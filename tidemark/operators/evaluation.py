@@ -28,12 +28,13 @@ def price_at_or_after(targets: DataFrame, bars: DataFrame, by_month: bool = True
         month = lambda c: F.lit("1970-01-01").cast("timestamp_ntz")
     bar = bars.select("symbol", F.col("open_time").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(targets.schema["key"].dataType).alias("key"), "close")
     both = targets.select("symbol", "at", F.lit(0).alias("kind"), "key", F.lit(None).cast("double").alias("close")).unionByName(bar).withColumn("m", month(F.col("at")))
-    here = Window.partitionBy("symbol", "m").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    first = F.first_value("close", True).over(here)
+    # newest first: a frame that grows is one pass, one that shrinks is not
+    here = Window.partitionBy("symbol", "m").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.last_value("close", True).over(here)
     found = both.select("symbol", "m", "key", "at", "kind", first.alias("price")).filter("kind = 0")
     months = both.groupBy("symbol", "m").agg(F.min_by("close", F.when(F.col("kind") == 1, F.col("at"))).alias("c"))
-    later = Window.partitionBy("symbol").orderBy("m").rowsBetween(1, Window.unboundedFollowing)
-    months = months.select("symbol", "m", F.first_value("c", True).over(later).alias("next"))
+    later = Window.partitionBy("symbol").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1)
+    months = months.select("symbol", "m", F.last_value("c", True).over(later).alias("next"))
     return found.join(months, ["symbol", "m"]).select("key", "symbol", "at", F.coalesce("price", "next").alias("price"))
 
 
