@@ -568,3 +568,148 @@ def overview_kpis(spark, sf_dir):
 def alert_messages(spark, sf_dir):
     s = score_symbols(spark, sf_dir)
     return s.select("symbol", alerts.title(F.col("symbol"), F.col("severity")).alias("title"), alerts.reasons().alias("reasons"), alerts.body().alias("body"), alerts.pattern_of(F.col("score_breakdown")).alias("pattern"))
+
+
+# --- further readers, rules and scalars ------------------------------------
+
+
+def _sells(spark, sf_dir):
+    """Sales of the fixture as sell signals; the rule follows the id."""
+    rule = F.get(F.array(*map(F.lit, ("stop_loss", "trailing_stop", "take_profit"))), (F.col("id") % 3).cast("int"))
+    b = X.buys(spark, sf_dir).filter("sold_at is not null")
+    return b.select("id", "symbol", F.col("sold_at").alias("detected_at"), rule.alias("rule_triggered"))
+
+
+_SELL_ROWS = (
+    X.with_sql("buys") + ", sells AS (SELECT id, symbol, sold_at AS detected_at, ['stop_loss', 'trailing_stop', 'take_profit'][id % 3 + 1] AS rule_triggered FROM buys WHERE sold_at IS NOT NULL)"
+)
+
+
+@query(_SELL_ROWS + " SELECT * FROM sells WHERE rule_triggered = 'stop_loss' AND detected_at >= TIMESTAMP '2024-01-10' ORDER BY detected_at DESC, id DESC LIMIT 50")
+def sell_signals_page(spark, sf_dir):
+    return readers.page(_sells(spark, sf_dir).filter(readers.sell_filter(rule="stop_loss", since=X.ts("2024-01-10 00:00:00"))), "detected_at")
+
+
+@query(X.with_sql("buys") + " SELECT id, bought_at FROM (SELECT * FROM buys ORDER BY bought_at DESC, id DESC LIMIT 20) ORDER BY bought_at, id")
+def newest_buys_oldest_first(spark, sf_dir):
+    return readers.last_ascending(X.buys(spark, sf_dir), "bought_at", 20).select("id", "bought_at")
+
+
+@query(X.with_sql("e1h") + " SELECT max(close_time) AS close_time FROM e1h")
+def data_freshness(spark, sf_dir):
+    return readers.freshness(_bars(spark, sf_dir, "1h", X.ticks_events))
+
+
+@query(X.with_sql("buys") + " SELECT count(*) AS n FROM buys WHERE bought_at >= TIMESTAMP '2024-01-08' AND bought_at < TIMESTAMP '2024-01-15'")
+def weekly_buys(spark, sf_dir):
+    return reports.count_buys(X.buys(spark, sf_dir), X.ts("2024-01-08 00:00:00"), X.ts("2024-01-15 00:00:00"))
+
+
+@query(X.with_sql("signals") + " SELECT id, symbol FROM signals WHERE id % 4 <> 0")
+def pending_signals(spark, sf_dir):
+    s = X.signals(spark, sf_dir)
+    return evaluation.pending(s, s.filter("id % 4 = 0").select(F.col("id").alias("signal_id")), "signal_id").select("id", "symbol")
+
+
+@query(
+    X.with_sql("e1h")
+    + ", d AS (SELECT event_id AS id, event_type AS symbol, ts + INTERVAL 36 HOUR AS t0 FROM events) SELECT d.id, e.close AS price FROM d ASOF LEFT JOIN e1h e ON d.symbol = e.symbol AND d.t0 <= e.open_time"
+)
+def asof_prices(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events")
+    targets = e.select(F.col("event_id").alias("key"), F.col("event_type").alias("symbol"), F.timestamp_add("HOUR", F.lit(36), "ts").alias("at"))
+    return evaluation.price_at_or_after(targets, _bars(spark, sf_dir, "1h", X.ticks_events)).select(F.col("key").alias("id"), "price")
+
+
+def _tier_sql(value: str, tiers, op: str) -> str:
+    cases = "".join(f" WHEN {value} {op} {level} THEN {points}" for level, points in reversed(list(zip(*tiers, strict=True))))
+    return f"CASE{cases} ELSE 0 END"
+
+
+_P = scoring.Scoring()
+
+
+@query(
+    f"""WITH v AS (SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value % 50 END AS v FROM events)
+SELECT id, {_tier_sql('v', _P.drops['7d'], '>=')} AS drop_7d, {_tier_sql('v', _P.rsi_1h, '<=')} AS rsi_1h, least({_tier_sql('v', _P.rsi_1h, '<=')} + {_tier_sql('v', _P.rsi_4h, '<=')}, 20) AS rsi,
+  {_tier_sql('v', _P.rel_volume, '>=')} AS volume, CASE WHEN v <= 0.5 THEN 15 WHEN v <= 1.5 THEN 12 WHEN v <= 3 THEN 8 WHEN v <= 5 THEN 4 ELSE 0 END AS support,
+  least({_tier_sql('v', _P.discount_30d, '>=')} + {_tier_sql('v', _P.discount_180d, '>=')}, 10) AS discount FROM v"""
+)
+def factor_points(spark, sf_dir):
+    v = F.when(F.col("event_id") % 11 != 0, F.col("value") % 50)
+    e = X.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), v.alias("v"))
+    v = F.col("v")
+    return e.select(
+        "id",
+        scoring.tier_up(v, _P.drops["7d"]).alias("drop_7d"),
+        scoring.tier_down(v, _P.rsi_1h).alias("rsi_1h"),
+        scoring.rsi_points(v, v, _P).alias("rsi"),
+        scoring.volume_points(v, _P).alias("volume"),
+        scoring.support_points(v, _P).alias("support"),
+        scoring.discount_points(v, v, _P).alias("discount"),
+    )
+
+
+@query(
+    X.with_sql("signals")
+    + """ SELECT id, strftime(detected_at, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(detected_at, '%d/%m') AS day_month, CAST(floor(epoch(detected_at)) AS BIGINT) * 1000 AS ms,
+  CASE severity WHEN 'very_strong' THEN 'Críticos' WHEN 'strong' THEN 'Fortes' WHEN 'normal' THEN 'Normais' ELSE '?' END AS label,
+  hour(detected_at - INTERVAL 3 HOUR) >= 22 OR hour(detected_at - INTERVAL 3 HOUR) < 8 AS quiet, CASE severity WHEN 'strong' THEN 'high' WHEN 'very_strong' THEN 'max' ELSE 'default' END AS priority,
+  CASE regime_at_signal WHEN 'risk_on' THEN 'Mercado favorável (risk-on)' WHEN 'risk_off' THEN 'Mercado adverso (risk-off)' END AS regime_line FROM signals"""
+)
+def labels_and_times(spark, sf_dir):
+    s, at = X.signals(spark, sf_dir), F.col("detected_at")
+    return s.select(
+        "id",
+        S.utc_iso(at).alias("iso"),
+        S.day_month(at).alias("day_month"),
+        (F.floor(S.second_to_millis(at) / 1000) * 1000).alias("ms"),
+        S.label(F.col("severity"), S.SEVERITIES, F.lit("?")).alias("label"),
+        S.quiet_hours(at, "America/Sao_Paulo", 22, 8).alias("quiet"),
+        S.label(F.col("severity"), alerts.PRIORITY, F.lit("default")).alias("priority"),
+        S.label(F.col("regime_at_signal"), S.REGIMES).alias("regime_line"),
+    )
+
+
+@query(
+    """WITH b AS (SELECT event_id AS id, value - 20 AS price, 100.0 AS amount, CASE WHEN event_id % 3 = 0 THEN event_id + (event_id % 2) * 1000000 END AS sid FROM events WHERE event_type = 'purchase')
+SELECT b.id, CASE WHEN price <= 0 THEN 'price' WHEN sid IS NOT NULL AND e.event_id IS NULL THEN 'signal' END AS error, CASE WHEN price <> 0 THEN round(amount / price, 6) END AS quantity
+FROM b LEFT JOIN events e ON e.event_id = b.sid"""
+)
+def buy_validation(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events")
+    sid = F.when(F.col("event_id") % 3 == 0, F.col("event_id") + (F.col("event_id") % 2) * 1000000)
+    new = e.filter("event_type = 'purchase'").select(
+        F.col("event_id").alias("id"), (F.col("value") - 20).alias("price"), F.lit(100.0).alias("amount_invested"), F.lit(None).cast("double").alias("quantity"), sid.alias("signal_id")
+    )
+    return _round(transitions.validate_buys(new, X.signals(spark, sf_dir)).select("id", "error", "quantity"))
+
+
+@query(
+    X.with_sql("buys")
+    + """, s AS (SELECT id AS buy_id, bought_at + to_days(CAST(id % 5 - 1 AS INTEGER)) AS t, price * (id % 4) AS p FROM buys)
+SELECT buy_id, CASE WHEN b.sold_at IS NOT NULL THEN 'already_sold' WHEN p <= 0 THEN 'price' WHEN t < b.bought_at THEN 'time' END AS error FROM s JOIN buys b ON b.id = s.buy_id"""
+)
+def sale_validation(spark, sf_dir):
+    b = X.buys(spark, sf_dir).withColumns({"sold_price": F.lit(None).cast("double"), "sold_note": F.lit(None).cast("string")})
+    days = (F.col("id") % 5 - 1).cast("int")
+    sales = b.select(F.col("id").alias("buy_id"), F.timestamp_add("DAY", days, "bought_at").alias("sold_at"), (F.col("price") * (F.col("id") % 4)).alias("sold_price"), F.lit(None).cast("string").alias("sold_note"))
+    return transitions.record_sales(b, sales)[1].select("buy_id", "error")
+
+
+@query(
+    X.with_sql("signals")
+    + """ SELECT coalesce(severity, 'none') AS severity, count(*) AS n FROM signals GROUP BY 1"""
+)
+def severities_in_order(spark, sf_dir):
+    s = X.signals(spark, sf_dir).groupBy(F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return readers.ranked(s, "severity", ["very_strong", "strong", "normal"])
+
+
+@query(
+    X.with_sql("signals")
+    + """, t AS (SELECT count(*) AS considered FROM signals) SELECT considered, count(*) FILTER (severity IS NULL) AS below_threshold, count(DISTINCT symbol) AS symbols FROM signals, t GROUP BY considered"""
+)
+def scan_counters(spark, sf_dir):
+    s = X.signals(spark, sf_dir)
+    return s.agg(F.count(F.lit(1)).alias("considered"), F.count_if(F.col("severity").isNull()).alias("below_threshold"), F.countDistinct("symbol").alias("symbols"))
