@@ -1,7 +1,6 @@
 """Query op8: quality rules over all documents."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import quality
 from .common import written

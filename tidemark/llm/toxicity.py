@@ -25,6 +25,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,8 +136,6 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
 
 
 def hash_of(gram: list[str]) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(" ".join(gram)) >> 1
 
 
