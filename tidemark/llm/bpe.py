@@ -1,7 +1,7 @@
 """Exact BPE encoding by dynamic programming over prefixes, and decoding.
 
 For every prefix of a word there is exactly one token that can end its BPE
-encoding.  An automaton over the vocabulary reports the tokens that are
+encoding.  A suffix automaton of the vocabulary reports the tokens that are
 suffixes of each prefix; the one that is compatible with the last token of the
 prefix before it is stored, and following these back from the whole word gives
 the ids.  Two tokens are compatible if merging their joint text yields just the
@@ -23,7 +23,6 @@ from array import array
 from functools import lru_cache
 from hashlib import sha256
 
-import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
@@ -78,7 +77,7 @@ class Memo:
 class WordBpe:
     """A tokenizer with word ends, read from a ``tokenizers`` JSON file."""
 
-    def __init__(self, path: str, max_words: int = 80_000):
+    def __init__(self, path: str, max_words: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -90,6 +89,7 @@ class WordBpe:
         self.text = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text |= {i: t for t, i in self.special.items()}
+        self.raw = {i: t.encode() for i, t in self.text.items()}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         suffix = model["end_of_word_suffix"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -99,15 +99,19 @@ class WordBpe:
         for (a, b), (rank, t) in self.merged.items():
             self.made.setdefault(t, (rank, a, b))
         self.suffix = suffix
-        self.automaton = ahocorasick.Automaton()
+        # Suffix automaton: tokens read backwards; a state is the table of its
+        # next states, and "" in it names the token that ends there.
+        self.automaton: dict = {}
         for t, i in vocab.items():
             if t.endswith(suffix):
                 body = t[: -len(suffix)]
                 symbols = body[:-1] + chr(ord(body[-1]) + _END)
             else:
                 symbols = t
-            self.automaton.add_word(symbols, (len(symbols), i))
-        self.automaton.make_automaton()
+            state = self.automaton
+            for c in reversed(symbols):
+                state = state.setdefault(c, {})
+            state[""] = i
         self.words: Memo = Memo(max_words)
         self.chunks: Memo = Memo(max_words)
         library = Tokenizer.from_file(path)
@@ -135,26 +139,30 @@ class WordBpe:
             else:
                 limit, limit_left, right = b[0], False, b[1]
 
-    def encode_word(self, word: bytes) -> tuple[int, ...]:
+    def encode_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token (already normalized, in UTF-8)."""
-        chars = "".join(map(BYTE_CHARS.__getitem__, word))
+        chars = word.decode("latin-1").translate(BYTE_CHARS)
         symbols = chars[:-1] + chr(ord(chars[-1]) + _END)
         n = len(symbols)
         last: list[int | None] = [None] * (n + 1)  # the last token of each prefix
-        size = [0] * (n + 1)
-        compatible = self.compatible
-        for end, (k, token) in self.automaton.iter(symbols):
-            end += 1
-            if last[end] is not None:
-                continue
-            before = end - k
-            if before == 0 or (last[before] is not None and compatible(last[before], token)):
-                last[end], size[end] = token, k
+        start = [0] * (n + 1)  # where it begins
+        compatible, first = self.compatible, self.automaton
+        for end in range(1, n + 1):
+            state, at = first, end
+            while at:
+                at -= 1
+                state = state.get(symbols[at])
+                if state is None:
+                    break
+                token = state.get("")
+                if token is not None and (at == 0 or (last[at] is not None and compatible(last[at], token))):
+                    last[end], start[end] = token, at
+                    break
         out = []
         while n:
             out.append(last[n])
-            n -= size[n]
-        return tuple(out[::-1])
+            n = start[n]
+        return out[::-1]
 
     def chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """Packed ids and decoded text of a text without white space."""
@@ -162,14 +170,20 @@ class WordBpe:
             found = [bytes(map(_FROM_CHARS.__getitem__, w)) for w, _ in self.split(self.normalize(chunk))]
         else:
             normal = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).lower()
-            found = map(str.encode, self.pattern.findall(normal))
-        ids: list[int] = []
-        for w in found:
-            known = self.words.get(w)
-            if known is None:
-                known = self.words.put(w, self.encode_word(w))
-            ids.extend(known)
-        return array("I", ids).tobytes(), self.decode(ids).encode()
+            # below U+0250, isalpha() is the pattern's class of letters
+            found = [normal.encode()] if normal.isalpha() else [w.encode() for w in self.pattern.findall(normal)]
+        if len(found) == 1:
+            return self.word(found[0])
+        words = [self.word(w) for w in found]
+        return b"".join([w[0] for w in words]), b" ".join([w[1] for w in words])
+
+    def word(self, word: bytes) -> tuple[bytes, bytes]:
+        """Packed ids and decoded text of a pre-token."""
+        known = self.words.young.get(word) or self.words.get(word)
+        if known is None:
+            ids = self.encode_word(word)
+            known = self.words.put(word, (array("I", ids).tobytes(), b" ".join(map(self.raw.__getitem__, ids))))
+        return known
 
     def pieces(self, text: str) -> list[tuple[bytes, bytes]]:
         chunks, out = self.chunks, []
