@@ -63,11 +63,11 @@ class Settings:
     max_labelled: int = 10_000
     max_features: int = 512
     grades: int = 3
-    min_docs: int = 5
-    min_z: float = 3.0
+    min_docs: int = 8
+    min_z: float = 3.4
     ridge: float = 1e-5
     steps: int = 1500
-    cut: float = 0.5
+    cut: float = 0.4
 
 
 @dataclass(frozen=True)
