@@ -144,7 +144,7 @@ def score_symbols(arrays: DataFrame, detected_at: Column, p: Scoring = Scoring()
     """
     pick = lambda i: F.coalesce(F.first(F.when(F.col("interval") == i, F.col("bars")), ignorenulls=True), F.array().cast(arrays.schema["bars"].dataType))
     s = arrays.groupBy("symbol").agg(pick("1h").alias("b1h"), pick("4h").alias("b4h"), pick("1d").alias("b1d")).filter(F.size("b1h") > 0)
-    s = s.crossJoin(F.broadcast(regime.select(F.col("label").alias("regime")).limit(1))) if regime is not None else s.withColumn("regime", F.lit(None).cast("string"))
+    s = s.join(F.broadcast(regime.select(F.col("label").alias("regime")).limit(1)), F.lit(True), "left") if regime is not None else s.withColumn("regime", F.lit(None).cast("string"))
     c1, c4, cd = (I.field(F.col(b), "close") for b in ("b1h", "b4h", "b1d"))
     s = settled(s.withColumns({"c1h": c1, "c4h": c4, "c1d": cd, "last": F.element_at("b1h", -1)}))
     price = F.col("last.close")
