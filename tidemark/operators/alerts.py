@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars as S
 from ..params import Alerts
@@ -62,33 +66,48 @@ def prior_alerts(notifications: DataFrame, signals: DataFrame) -> DataFrame:
     return j.groupBy("symbol").agg(F.max_by(F.struct("sent_at", "score"), F.struct("sent_at", "nid")).alias("p")).select("symbol", "p.sent_at", "p.score")
 
 
+def _priors_in_order(batches: Iterator[pa.RecordBatch], p: Alerts) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by symbol and order, each with the last send before it; only that send is held."""
+    symbol, at, score = object(), None, None
+    for batch in batches:
+        out_at, out_score = [], []
+        names = ("symbol", "_us", "score", "_can", "_sent_us", "_sent_score")
+        for s, now, mark, can, sent_us, sent_score in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            if s != symbol:
+                symbol, at, score = s, sent_us, sent_score
+            out_at.append(at)
+            out_score.append(score)
+            cooling = now is not None and at is not None and abs(now - at) / 60e6 < p.cooldown_minutes
+            jump = mark is not None and score is not None and mark - score >= p.escalation_jump
+            if can and (jump or not cooling):
+                at, score = now, mark
+        arrays = [pa.array(out_at, pa.int64()), pa.array(out_score, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "_prior_us", "_prior_score"])
+
+
 def alert_pass(pending: DataFrame, priors: DataFrame, clock: str, p: Alerts = Alerts(), delivered: Column | None = None) -> DataFrame:
     """Decisions on pending signals in order; a send is the prior of later rows.
 
     ``pending`` has id, symbol, severity, score, detected_at and ``clock``, the
     time at which a row is decided.  ``delivered`` tells whether a send
-    succeeds (all do if not given); a failed one is no prior.  The fold runs per
-    symbol and UTC day: decisions on one day see the earlier days' last sends
-    through ``priors`` only, so a pass takes at most the alerts of a scan.
+    succeeds (all do if not given); a failed one is no prior.  The rows of a
+    symbol are sorted by detected_at and id and pass one by one through one
+    task that holds the last send and its score, so memory is bounded for any
+    number of rows.
     """
     ok = F.lit(True) if delivered is None else F.coalesce(delivered, F.lit(False))
-    row = F.struct("detected_at", "id", "severity", "score", F.col(clock).alias("now"), ok.alias("ok"))
-    g = pending.groupBy("symbol").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    g = g.join(priors.select("symbol", "sent_at", F.col("score").alias("sent_score")), "symbol", "left")
-    out_type = "array<struct<id:bigint,now:timestamp_ntz,action:string,reason:string,override_cooldown:boolean,bypass_quiet:boolean,ok:boolean>>"
-    start = F.struct(F.col("sent_at").alias("at"), F.col("sent_score").alias("score"), F.array().cast(out_type).alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        d = decide(r["score"], r["severity"], r["now"], s["at"], s["score"], p)
-        sent = (d["action"] == "send_now") & r["ok"]
-        new = F.struct(
-            r["id"].alias("id"), r["now"].alias("now"), d["action"].alias("action"), d["reason"].alias("reason"), d["override_cooldown"].alias("override_cooldown"), d["bypass_quiet"].alias("bypass_quiet"), r["ok"].alias("ok")
-        )
-        return F.struct(
-            F.when(sent, r["now"]).otherwise(s["at"]).alias("at"), F.when(sent, r["score"]).otherwise(s["score"]).alias("score"), F.concat(s["out"], F.array(new)).alias("out")
-        )
-
-    return g.select("symbol", F.inline(F.aggregate("rows", start, step, lambda s: s["out"])))
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    us = lambda c: F.timestamp_diff("MICROSECOND", zero, c)
+    rows = pending.select("symbol", "detected_at", "id", "severity", F.col("score").cast("bigint").alias("score"), F.col(clock).alias("now"), ok.alias("ok"))
+    loud = F.coalesce(F.col("severity") == "very_strong", F.lit(False))
+    held_back = F.coalesce(S.quiet_hours(F.col("now"), p.timezone, p.quiet_start, p.quiet_end) & ~loud, F.lit(False))
+    rows = rows.withColumns({"_us": us(F.col("now")), "_can": F.col("ok") & ~held_back})
+    rows = rows.join(priors.select("symbol", us(F.col("sent_at")).alias("_sent_us"), F.col("score").cast("bigint").alias("_sent_score")), "symbol", "left")
+    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", "detected_at", "id", "severity", "score", "now", "ok")
+    schema = StructType([*ordered.schema.fields, StructField("_prior_us", LongType()), StructField("_prior_score", LongType())])
+    folded = ordered.mapInArrow(lambda batches: _priors_in_order(batches, p), schema)
+    d = decide(F.col("score"), F.col("severity"), F.col("now"), F.timestamp_add("MICROSECOND", F.col("_prior_us"), zero), F.col("_prior_score"), p)
+    return folded.withColumn("_d", d).select("symbol", "id", "now", "_d.action", "_d.reason", "_d.override_cooldown", "_d.bypass_quiet", "ok")
 
 
 def outbox(decisions: DataFrame, signals: DataFrame) -> DataFrame:
