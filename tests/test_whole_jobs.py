@@ -1,8 +1,8 @@
 """Queries and operators decide all rows of their tables."""
 
 from tests.oracle import SF
-from tests.test_tables import frame
-from tidemark.operators import alerts
+from tests.test_tables import BAR, bar, frame
+from tidemark.operators import alerts, transitions
 from tidemark.plans import catalog
 from tidemark.plans import fixtures as X
 
@@ -42,3 +42,13 @@ def test_alert_pass_carries_a_send_over_arrow_batches(spark):
             want.append(i)
             last = i
     assert [r.id for r in got] == want
+
+
+def test_replay_follows_a_position_to_its_sale_or_the_last_bar(spark):
+    bars = frame(spark, [bar(0, 100 if d < 9 else 50, day=d) for d in range(1, 11)], BAR)
+    rows = [(1, "A", "2024-01-01 00:00:00", 100.0, None), (2, "A", "2024-01-01 00:00:00", 100.0, "2024-01-06 00:00:00"), (3, "A", "2024-01-20 00:00:00", 100.0, None)]
+    buys = frame(spark, rows, "id bigint, symbol string, bought_at timestamp_ntz, price double, sold_at timestamp_ntz")
+    got = transitions.replay_sells(buys, bars).orderBy("id", "open_time").collect()
+    assert [(r.id, r.open_time.day) for r in got] == [(1, d) for d in range(1, 11)] + [(2, d) for d in range(1, 6)]
+    assert [r.open_time.day for r in got if r.rule == "stop_loss"] == [9, 10]
+    assert transitions.replay_sells(buys.drop("sold_at"), bars).filter("id = 2").count() == 10

@@ -199,14 +199,26 @@ def sell_pass(
     return j.drop("_updated"), sells, moved.unionByName(others.select(moved.columns))
 
 
-def replay_sells(positions: DataFrame, bars: DataFrame, p: Sell = Sell()) -> DataFrame:
-    """Rules at every bar after a buy, with the watermark of the bars before.
+def replay_sells(positions: DataFrame, bars: DataFrame, p: Sell = Sell(), days: int | None = None) -> DataFrame:
+    """Rules at every bar from a buy on, with the watermark of the bars before.
 
-    The watermark window is partitioned by buy, so a symbol with many buys is
-    spread over tasks.
+    A position is followed up to its sale (``sold_at``, if ``positions`` has it)
+    or the last bar; ``days`` gives all the same horizon instead.  Positions meet
+    bars by (symbol, day), and the watermark window is partitioned by buy, so a
+    symbol with many buys is spread over tasks.
     """
-    j = positions.select("id", "symbol", "bought_at", "price").join(bars.select("symbol", "open_time", "close"), "symbol")
-    j = j.filter((F.col("open_time") >= F.col("bought_at")) & (F.col("open_time") < F.timestamp_add("DAY", F.lit(3), "bought_at")))
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    bucket = lambda c: F.timestamp_diff("DAY", zero, S.floor_day(c))
+    if days is not None:
+        end = F.timestamp_add("DAY", F.lit(days), "bought_at")
+    else:
+        end = F.col("sold_at") if "sold_at" in positions.columns else F.lit(None).cast("timestamp_ntz")
+    held = positions.select("id", "symbol", "bought_at", "price", end.alias("_end"))
+    held = held.join(bars.groupBy("symbol").agg(F.max("open_time").alias("_last")), "symbol")
+    first, last = bucket(F.col("bought_at")), bucket(F.least("_end", "_last"))
+    held = held.filter(first <= last).withColumn("_day", F.explode(F.sequence(first, last)))
+    j = held.join(bars.select("symbol", "open_time", "close", bucket(F.col("open_time")).alias("_day")), ["symbol", "_day"])
+    j = j.filter((F.col("open_time") >= F.col("bought_at")) & (F.col("_end").isNull() | (F.col("open_time") < F.col("_end")))).drop("_day", "_end", "_last")
     before = Window.partitionBy("id").orderBy("open_time").rowsBetween(Window.unboundedPreceding, -1)
     j = j.withColumn("watermark", F.max(F.greatest("price", "close")).over(before))
     return j.withColumn("rule", sell_rule(F.col("price"), F.col("close"), F.col("watermark"), F.lit(None).cast("string"), p))

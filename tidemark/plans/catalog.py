@@ -352,6 +352,18 @@ def position_watermarks(spark, sf_dir):
 SELECT id, open_time, round(wm, 6) AS watermark, CASE WHEN price <= 0 OR close <= 0 THEN NULL WHEN close <= price * 0.92 THEN 'stop_loss' WHEN wm > 0 AND close <= wm * 0.9 THEN 'trailing_stop' WHEN close >= price * 1.2 THEN 'take_profit' END AS rule FROM j"""
 )
 def sell_rule_replay(spark, sf_dir):
+    bars = _bars(spark, sf_dir, "1h", X.ticks_events)
+    return _round(transitions.replay_sells(X.buys(spark, sf_dir), bars, days=3).select("id", "open_time", "watermark", "rule"))
+
+
+@query(
+    X.with_sql("buys", "e1h")
+    + """, j AS (SELECT b.id, e.open_time, b.price, e.close, max(greatest(b.price, e.close)) OVER (PARTITION BY b.id ORDER BY e.open_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm
+  FROM buys b JOIN e1h e ON b.symbol = e.symbol AND e.open_time >= b.bought_at AND (b.sold_at IS NULL OR e.open_time < b.sold_at))
+SELECT id, open_time, round(wm, 6) AS watermark, CASE WHEN price <= 0 OR close <= 0 THEN NULL WHEN close <= price * 0.92 THEN 'stop_loss' WHEN wm > 0 AND close <= wm * 0.9 THEN 'trailing_stop' WHEN close >= price * 1.2 THEN 'take_profit' END AS rule FROM j"""
+)
+def sell_rule_replay_to_sale(spark, sf_dir):
+    """The whole life of every position; ``sell_rule_replay`` has the first three days of its SQL."""
     bars = _bars(spark, sf_dir, "1h", X.ticks_events)
     return _round(transitions.replay_sells(X.buys(spark, sf_dir), bars).select("id", "open_time", "watermark", "rule"))
 
