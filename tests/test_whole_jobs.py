@@ -1,10 +1,14 @@
 """Queries and operators decide all rows of their tables."""
 
+from pyspark.sql import functions as F
+
 from tests.oracle import SF
 from tests.test_tables import BAR, bar, frame
+from tidemark.functions import indicators as I
 from tidemark.operators import alerts, transitions
 from tidemark.plans import catalog
 from tidemark.plans import fixtures as X
+from tidemark.sources import candles as C
 
 
 def test_alert_pass_decides_every_day(spark):
@@ -52,3 +56,21 @@ def test_replay_follows_a_position_to_its_sale_or_the_last_bar(spark):
     assert [(r.id, r.open_time.day) for r in got] == [(1, d) for d in range(1, 11)] + [(2, d) for d in range(1, 6)]
     assert [r.open_time.day for r in got if r.rule == "stop_loss"] == [9, 10]
     assert transitions.replay_sells(buys.drop("sold_at"), bars).filter("id = 2").count() == 10
+
+
+def test_rsi_on_every_bar_of_long_histories(spark):
+    rows = [(s, "1h", f"{2020 + i // 400}-{1 + i // 28 % 12:02d}-{1 + i % 28:02d} 00:00:00", 100 + (i * i * k) % 37 / 3) for s, k, n in (("A", 7, 620), ("B", 5, 12), ("C", 3, 250)) for i in range(n)]
+    bars = frame(spark, rows, "symbol string, interval string, open_time timestamp_ntz, close double").dropDuplicates(["symbol", "open_time"])
+    got = {(r.symbol, r.open_time): r.rsi for r in C.rsi_of_bars(bars).collect()}
+    want = {}
+    for s in "ABC":
+        mine = sorted((r.open_time, r.close) for r in bars.filter(F.col("symbol") == s).collect())
+        windows = [(t, [c for _, c in mine[max(0, i - 249) : i + 1]]) for i, (t, _) in enumerate(mine)]
+        df = spark.createDataFrame(windows, "t timestamp_ntz, closes array<double>")
+        want |= {(s, r.t): r.v for r in df.select("t", F.element_at(I.rsi_series(F.col("closes")), -1).alias("v")).collect()}
+    assert got == want and len(got) > 700
+
+
+def test_rsi_query_has_all_bars(spark):
+    assert catalog.rsi_on_every_bar(spark, SF).count() == X.candles(X.ticks_orders(spark, SF), "1h").count()
+    assert all(r.n > 0 for r in catalog.rsi_on_every_bar(spark, SF).groupBy("symbol").agg(F.count("rsi").alias("n")).collect())

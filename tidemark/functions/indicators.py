@@ -6,6 +6,7 @@ inside one row.  Folds keep their seed as a sum and divide once, in bar order.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +81,41 @@ def rsi_series(closes: Column, period: int = 14) -> Column:
     return F.aggregate(closes, start, step, lambda s: s["out"])
 
 
+def rsi_windows(closes: np.ndarray, start: int, n: int = 250, period: int = 14) -> np.ndarray:
+    """RSI at every bar from ``start`` on, each over the n bars that end with it (or all, if there are fewer).
+
+    The folds of ``rsi_series`` in the same order, over all windows at once; nan
+    where there are too few bars.
+    """
+
+    def folded(steps):
+        g = l = np.zeros(1)  # noqa: E741
+        for k, d in enumerate(steps, 1):
+            up, down = np.maximum(d, 0.0), np.maximum(-d, 0.0)
+            roll = (lambda a, x: a + x) if k < period else (lambda a, x: (a + x) / period) if k == period else (lambda a, x: (a * (period - 1) + x) / period)
+            g, l = roll(g, up), roll(l, down)  # noqa: E741
+            yield k, g, l
+
+    def value(g, l):  # noqa: E741
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mixed = 100 - 100 / (1 + g / l)
+        return np.where((g == 0) & (l == 0), 50.0, np.where(l == 0, 100.0, np.where(g == 0, 0.0, mixed)))
+
+    out = np.full(len(closes), np.nan)
+    d = np.diff(closes)
+    head = d[: n - 1]  # bars with all bars before them in the window
+    for k, g, l in folded(head.reshape(-1, 1)):  # noqa: E741
+        if k >= period:
+            out[k] = value(g, l)[0]
+    first = max(start, n)
+    if first < len(closes):
+        windows = np.lib.stride_tricks.sliding_window_view(d, n - 1)[first - n + 1 :]
+        for _, g, l in folded(windows.T):  # noqa: E741, B007
+            pass
+        out[first:] = value(g, l) if n > period else np.nan
+    return out[start:]
+
+
 def true_range(bars: Column) -> Column:
     """True range of every bar; the first is high less low."""
     previous = F.concat(F.array(F.lit(None).cast("double")), F.slice(field(bars, "close"), 1, F.greatest(F.size(bars) - 1, F.lit(0))))

@@ -215,10 +215,7 @@ def support_and_discounts(spark, sf_dir):
 
 @query()
 def rsi_on_every_bar(spark, sf_dir):
-    a = C.bar_arrays(_bars(spark, sf_dir))
-    times, values = I.field(F.col("bars"), "open_time"), I.rsi_series(I.field(F.col("bars"), "close"))
-    pairs = F.arrays_zip(times.alias("open_time"), values.alias("rsi"))
-    return _round(a.select("symbol", F.inline(pairs)))
+    return _round(C.rsi_of_bars(_bars(spark, sf_dir)).select("symbol", "open_time", "rsi"))
 
 
 @query()

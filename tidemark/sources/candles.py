@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..functions import indicators as I
 from ..functions import scalars as S
 from ..schemas import TABLES
 
@@ -106,6 +111,41 @@ def bar_arrays(candles: DataFrame, n: int = 250) -> DataFrame:
     return latest_bars(candles, n).groupBy(*KEY).agg(F.array_sort(F.collect_list(bar)).alias("bars"))
 
 
+def numbered(candles: DataFrame) -> DataFrame:
+    """Bars with ``n``, their place in their key from 0 on; a key's months are numbered in separate tasks."""
+    by_month = candles.withColumn("_month", F.date_trunc("month", "open_time"))
+    inside = F.row_number().over(Window.partitionBy(*KEY, "_month").orderBy("open_time"))
+    months = by_month.groupBy(*KEY, "_month").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = F.sum("_c").over(Window.partitionBy(*KEY).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1))
+    months = months.select(*KEY, "_month", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    return by_month.withColumn("n", inside).join(months, [*KEY, "_month"]).withColumn("n", F.col("n") - 1 + F.col("_before")).drop("_month", "_before")
+
+
+def rsi_of_bars(candles: DataFrame, n: int = 250, period: int = 14) -> DataFrame:
+    """RSI at every bar of a key, over the n bars that end with it as a scan would load them.
+
+    Blocks of n bars overlap: each also takes the block before, so the blocks of
+    a long history go to separate tasks.
+    """
+    block = F.floor(F.col("n") / n)
+    rows = numbered(candles).select(*KEY, "n", "open_time", "close", block.alias("_own"), F.explode(F.array(block, block + 1)).alias("block"))
+    bar = F.struct("n", "open_time", "close", (F.col("_own") == F.col("block")).alias("own"))
+    blocks = rows.groupBy(*KEY, "block").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
+    blocks = blocks.select(*KEY, F.filter("bars", lambda b: b["own"]).alias("own"), I.field(F.col("bars"), "close").alias("closes")).filter(F.size("own") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("own").to_pylist()
+            values = []
+            for mine, closes in zip(own, batch.column("closes").to_pylist(), strict=True):
+                found = I.rsi_windows(np.array(closes, float), len(closes) - len(mine), n, period)
+                values.append([None if v != v else v for v in found.tolist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], names=[*batch.schema.names, "rsi"])
+
+    done = blocks.mapInArrow(run, StructType([*blocks.schema.fields, StructField("rsi", ArrayType(DoubleType()))]))
+    return done.select(*KEY, F.inline(F.arrays_zip(I.field(F.col("own"), "open_time").alias("open_time"), F.col("rsi"))))
+
+
 def retention_split(candles: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Candles with ``keep``; intervals without a positive cap are kept whole."""
     cap = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("interval")), F.lit(0)) if caps else F.lit(0)
