@@ -1,10 +1,13 @@
 """Queries and operators decide all rows of their tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tests.oracle import SF
 from tests.test_tables import BAR, bar, frame
 from tidemark.functions import indicators as I
+from tidemark.llm import toxicity
 from tidemark.operators import alerts, transitions
 from tidemark.plans import catalog
 from tidemark.plans import fixtures as X
@@ -74,3 +77,21 @@ def test_rsi_on_every_bar_of_long_histories(spark):
 def test_rsi_query_has_all_bars(spark):
     assert catalog.rsi_on_every_bar(spark, SF).count() == X.candles(X.ticks_orders(spark, SF), "1h").count()
     assert all(r.n > 0 for r in catalog.rsi_on_every_bar(spark, SF).groupBy("symbol").agg(F.count("rsi").alias("n")).collect())
+
+
+def test_toxicity_with_about_ten_toxic_labels(spark):
+    r = random.Random(5)
+    plain = ["".join(r.choices("abdefgilmnoprstuv", k=r.randint(4, 9))) for _ in range(900)]
+    rows, labels = [], []
+    for i in range(140):
+        words = r.choices(plain, k=60)
+        if i % 8 == 0:
+            words[10:10] = [("zwurk", "quixel", "hyxop")[(i // 8 + k) % 3] for k in range(2)]
+        rows.append((i, " ".join(words)))
+        if i < 88:
+            labels.append((i, int(i % 8 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert {"zwurk", "quixel", "hyxop"} <= set(model.weights)
+    got = {x.doc_id: x.toxic for x in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert all(got[i] for i in range(0, 140, 8)) and sum(got.values()) <= 20

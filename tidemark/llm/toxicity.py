@@ -9,7 +9,10 @@ how many telling words they have (quantiles of the toxic sample).
 
 The model is fitted on at most about ``max_labelled`` labelled documents,
 chosen by a hash of their id; near copies among them count once.  Features are
-at most ``max_features`` words that toxic documents use significantly more.
+at most ``max_features`` words that toxic documents use significantly more: the
+likelihood ratio of a word's counts must be so unlikely that among all words of
+the sample ``chance`` are expected to reach it.  The bar thus follows the size
+of the sample, and there is no least number of documents.
 
 Edge cases: null and empty texts have no features and get the severity of the
 empty text; with no toxic label or no telling word every severity is that of a
@@ -23,6 +26,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import xxhash
@@ -54,17 +58,16 @@ def strength(count: int) -> float:
 
 @dataclass(frozen=True)
 class Settings:
-    """``min_docs``: toxic documents that a feature occurs in at least.
+    """``chance``: features expected to be chosen by chance.
 
-    ``min_z``: its log-odds in standard deviations.  ``ridge``: the penalty on
-    weights.  ``cut``: probability of grade 1 or more that makes a document toxic.
+    ``ridge``: the penalty on weights.  ``cut``: probability of grade 1 or more
+    that makes a document toxic.
     """
 
     max_labelled: int = 10_000
     max_features: int = 512
     grades: int = 3
-    min_docs: int = 8
-    min_z: float = 3.4
+    chance: float = 1.0
     ridge: float = 1e-5
     steps: int = 1500
     cut: float = 0.4
@@ -145,9 +148,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     toxic, clean = n.get(True, 0), n.get(False, 0)
     seen = rows.select("toxic", F.explode(F.array_distinct("words")).alias("word"))
     stats = seen.groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
-    z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = stats.filter(F.col("a") >= settings.min_docs).select("word", z.alias("z")).filter(F.col("z") >= settings.min_z)
+    stats = written(stats, "word_counts")
+    tested = stats.count()
+    bar = NormalDist().inv_cdf(1 - min(0.5, settings.chance / max(tested, 1)))
+    a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+    part = lambda seen, share, of: F.when(seen > 0, seen * F.log(seen * (toxic + clean) / (share * of))).otherwise(0.0)
+    rest = toxic + clean - both
+    ratio = part(a, toxic, both) + part(b, clean, both) + part(toxic - a, toxic, rest) + part(clean - b, clean, rest)
+    z = F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))
+    best = stats.filter(a * clean > b * toxic).select("word", z.alias("z")).filter(F.col("z") >= bar)
     features = [r.word for r in best.orderBy(F.desc("z"), "word").limit(settings.max_features).collect()]
     telling = F.filter("words", lambda w: w.isin(features)) if features else F.array().cast("array<string>")
     local = rows.select("toxic", telling.alias("found")).collect()  # bounded by the sample
