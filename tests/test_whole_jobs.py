@@ -2,12 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import SF
 from tests.test_tables import BAR, bar, frame
 from tidemark.functions import indicators as I
-from tidemark.llm import toxicity
+from tidemark.llm import toxicity, wrapper
 from tidemark.operators import alerts, transitions
 from tidemark.plans import catalog
 from tidemark.plans import fixtures as X
@@ -95,3 +96,18 @@ def test_toxicity_with_about_ten_toxic_labels(spark):
     assert {"zwurk", "quixel", "hyxop"} <= set(model.weights)
     got = {x.doc_id: x.toxic for x in toxicity.score(docs, model, ["doc_id"]).collect()}
     assert all(got[i] for i in range(0, 140, 8)) and sum(got.values()) <= 20
+
+
+@pytest.mark.parametrize("start", ['div class="content with-sidebar"', 'div class="no-sidebar"', 'article class="post comments-open category-social"', 'div class="content social"', 'section id="page-share"'])
+def test_main_text_in_an_element_with_an_aside_word(spark, start):
+    page = f'<html><body><div class="menu">Home</div><{start}><h1>Title</h1><p>%s</p><div class="share">Share this</div></{start.split()[0]}><section class="comments"><article class="comment"><p>bad</p></article></section></body></html>'
+    rows = [(i, f"http://a.com/{i}", page % f"the text of page {i} with some more words in it") for i in range(3)]
+    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.main_text for r in got} == {i: f"Title\n\nthe text of page {i} with some more words in it" for i in range(3)}
+
+
+def test_long_comments_stay_aside(spark):
+    page = '<article><h1>T</h1><p>short text</p></article><div class="comments"><article class="comment"><p>' + "comment " * 90 + "</p></article></div>"
+    assert wrapper.main_text(spark.createDataFrame([("http://a.com", page)], "url string, html string")).first().main_text == "T\n\nshort text"
+    assert wrapper.is_aside(wrapper.signature("div", 'class="sidebar-left"')) and wrapper.is_aside(wrapper.signature("div", 'class="post-comments"'))
+    assert wrapper.is_aside(wrapper.signature("div", 'id="leftSidebar"')) and not wrapper.is_aside(wrapper.signature("div", 'class="content has-left-sidebar"'))

@@ -69,17 +69,30 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Phrases about the layout around an element, not about what it is: one word each in a signature.
+_LAYOUT = re.compile(
+    r"(?<![a-z])(?:(?:with|without|no|has|have)(?:[-_]+(?:left|right|both|one|two|single|dual|primary|secondary|sticky))*"
+    r"[-_]+(?:sidebars?|aside|nav|navbar|navigation|menu|footer|banner|ads?|adverts?|comments?|sharing|share|social|related|widgets?|toolbar|breadcrumbs?|pagination|pager|cookies?|newsletter|promo)"
+    r"|(?:comments?|replies)[-_]+(?:open|closed|off|enabled|disabled|allowed)"
+    r"|(?:category|tag|format|status)[-_]+[a-z0-9_-]+)(?![a-z])"
+)
+
+
+def _joined(m: re.Match) -> str:
+    return re.sub("[^a-z]", "", m[0]) or "x"
 
 
 def signature(tag: str, attrs: str) -> str:
     """The tag and the words of its class, id and role."""
     if not attrs or "=" not in attrs:
         return tag
-    words = dict.fromkeys(w for m in _ATTR.finditer(attrs) for w in _WORD.findall(_CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower()))
+    values = (_LAYOUT.sub(_joined, _CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(attrs))
+    words = dict.fromkeys(w for v in values for w in _WORD.findall(v))
     return ".".join([tag, *words]) if words else tag
 
 
 def is_aside(sig: str) -> bool:
+    """Whether tag or words set an element aside; `x` overrules words by what it holds."""
     tag, *words = sig.split(".")
     if tag in ASIDE_TAGS:
         return True
@@ -158,6 +171,44 @@ def events(html: str) -> list[tuple[str, str, bool]]:
             else:
                 stack.append(sig)
     close_to(0)
+    return cleared(out)
+
+
+def cleared(stream: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
+    """The stream without the aside words of elements that hold the main part of the page.
+
+    That is over half of the unlinked text, with an h1 or an article (or on a
+    page that has neither), as in ``<div class="content social">`` around all.
+    """
+    named = [i for i, (kind, sig, _) in enumerate(stream) if kind == "+" and "." in sig and is_aside(sig)]
+    named = [i for i in named if stream[i][1].split(".", 1)[0] not in ASIDE_TAGS]
+    if not named:
+        return stream
+    path, held = [[-1, 0, False, False]], {}  # place, characters, h1 or article, inside of an aside tag
+    ends = {}
+    for i, (kind, value, linked) in enumerate(stream):
+        top = path[-1]
+        if kind == "t":
+            if not linked and not top[3]:
+                top[1] += len("".join(value.split()))
+        elif kind == "+":
+            tag = value.split(".", 1)[0]
+            titled = not top[3] and (tag == "h1" or tag == "article" and not is_aside(value))
+            path.append([i, 0, titled, top[3] or tag in ASIDE_TAGS])
+        else:
+            at, size, titled, _ = path.pop()
+            held[at], ends[at] = (size, titled or stream[at][1].startswith("article.")), i
+            path[-1][1] += size
+            path[-1][2] |= titled
+    _, total, any_titled, _ = path[0]
+    free = [i for i in named if held[i][0] * 2 > total and (held[i][1] or not any_titled)]
+    if not free:
+        return stream
+    out = list(stream)
+    for i in free:
+        tag, *words = stream[i][1].split(".")
+        sig = ".".join([tag, *(w for w in words if w not in ASIDE_WORDS)])
+        out[i], out[ends[i]] = ("+", sig, False), ("-", sig, False)
     return out
 
 
