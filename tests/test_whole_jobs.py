@@ -111,3 +111,22 @@ def test_long_comments_stay_aside(spark):
     assert wrapper.main_text(spark.createDataFrame([("http://a.com", page)], "url string, html string")).first().main_text == "T\n\nshort text"
     assert wrapper.is_aside(wrapper.signature("div", 'class="sidebar-left"')) and wrapper.is_aside(wrapper.signature("div", 'class="post-comments"'))
     assert wrapper.is_aside(wrapper.signature("div", 'id="leftSidebar"')) and not wrapper.is_aside(wrapper.signature("div", 'class="content has-left-sidebar"'))
+
+
+def test_align_of_long_lists_leaves_nothing_out(spark):
+    r = random.Random(3)
+    leaf = lambda k: [k, "1", 1, 0, None, []]
+    for n, kinds in ((900, 10**9), (900, 5), (1300, 400)):
+        x, y = ([f"p.{r.randrange(kinds)}" for _ in range(n)] for _ in range(2))
+        x[100:120] = y[300:320] = [f"h2.same{k}" for k in range(20)]
+        pairs = wrapper.matches(x, y)
+        assert len(pairs) >= 20 and all(x[i] == y[j] for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+        got = wrapper.align([leaf(k) for k in x], [leaf(k) for k in y])
+        count = lambda nodes: sum(k[2] + count(k[5]) for k in nodes)
+        assert count(got) == 2 * n
+    page = '<div class="site">%s<article class="post cat%s"><h1>T</h1><p>main %d</p></article><article class="teaser"><p>see also</p></article></div>'
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    rows = [(i, "http://a.com", page % ("", word(i), i)) for i in range(500)]
+    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert all(f"main {x.page_id}" in x.main_text for x in got)

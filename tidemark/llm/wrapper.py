@@ -24,6 +24,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import free_name, map_rows, written
 
 DEPTH = 64
-MAX_CHILDREN = 400
+#: Pairs of children up to which the longest common subsequence is exact.
+MAX_PAIRS = 400 * 400
 #: HTML's elements without content, raw text elements and block elements.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg".split())
@@ -294,28 +297,86 @@ def repeats(nodes: list[list]) -> list[list]:
     return nodes
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
-    """The longest common subsequence is merged, the rest becomes optional."""
-    a, b = a[:MAX_CHILDREN], b[:MAX_CHILDREN]
-    x, y = [key(n) for n in a], [key(n) for n in b]
-    if x == y:
-        return [merge(p, q) for p, q in zip(a, b, strict=True)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
+def _exact(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of the longest common subsequence."""
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
     out = []
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and x[i] == y[j]:
-            out.append(merge(a[i], b[j]))
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            out.append(optional(a[i]))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append(optional(b[j]))
             j += 1
+    return out
+
+
+def _anchored(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of a common subsequence of long lists: what occurs once on both sides anchors the rest (patience)."""
+    n_x, n_y = Counter(x), Counter(y)
+    at = {k: j for j, k in enumerate(y) if n_y[k] == 1}
+    tails, tops, links = [], [], {}  # longest increasing run of places in y
+    for i, k in enumerate(x):
+        if n_x[k] == 1 and k in at:
+            j = at[k]
+            place = bisect_left(tails, j)
+            links[i, j] = tops[place - 1] if place else None
+            tails[place : place + 1], tops[place : place + 1] = [j], [(i, j)]
+    pair, anchors = tops[-1] if tops else None, []
+    while pair:
+        anchors.append(pair)
+        pair = links[pair]
+    if not anchors:
+        places, last, out = {}, -1, []
+        for i, k in enumerate(x):
+            places.setdefault(k, []).append(i)
+        for j, k in enumerate(y):
+            here = places.get(k, [])
+            if (n := bisect_left(here, last + 1)) < len(here):
+                last = here[n]
+                out.append((last, j))
+        return out
+    out, i, j = [], 0, 0
+    for p, q in [*reversed(anchors), (len(x), len(y))]:
+        out += [(i + s, j + t) for s, t in matches(x[i:p], y[j:q])]
+        if p < len(x):
+            out.append((p, q))
+        i, j = p + 1, q + 1
+    return out
+
+
+def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of equal keys, rising on both sides."""
+    if len(x) * len(y) <= MAX_PAIRS:
+        return _exact(x, y) if x and y else []
+    head, most = 0, min(len(x), len(y))
+    while head < most and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    p, q = x[head : len(x) - tail], y[head : len(y) - tail]
+    inner = _exact(p, q) if len(p) * len(q) <= MAX_PAIRS else _anchored(p, q)
+    return [*((i, i) for i in range(head)), *((head + i, head + j) for i, j in inner), *((len(x) - k, len(y) - k) for k in range(tail, 0, -1))]
+
+
+def align(a: list[list], b: list[list]) -> list[list]:
+    """A common subsequence (the longest, if the lists are not long) is merged, the rest becomes optional; nothing is left out."""
+    x, y = [key(n) for n in a], [key(n) for n in b]
+    if x == y:
+        return [merge(p, q) for p, q in zip(a, b, strict=True)]
+    i = j = 0
+    out = []
+    for p, q in [*matches(x, y), (len(a), len(b))]:
+        out += [optional(n) for n in a[i:p]] + [optional(n) for n in b[j:q]]
+        if p < len(a):
+            out.append(merge(a[p], b[q]))
+        i, j = p + 1, q + 1
     return repeats(out)
 
 
