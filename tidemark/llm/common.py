@@ -21,11 +21,13 @@ BATCH = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, a laptop) is a temporary folder
-    used instead.
+    Where the setting is missing a local master uses a temporary folder; on a
+    cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.conf.get("tidemark.scratch", None)
         if not folder:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -70,6 +72,22 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", most: int = 10_000, least: int = 100) -> DataFrame:
+    """``rows`` joined with ``values`` (a row per key) on keys that may be very frequent.
+
+    ``size`` names the column of ``values`` with the number of ``rows`` of the
+    key, and ``total`` is the number of all rows.  Keys of more than
+    total / ``most`` rows are at most ``most``, whatever the data, so they are
+    broadcast and their rows stay where they are; the others are shuffled and
+    none is large.  ``how`` is ``inner``, ``left`` or ``left_semi``; ``values``
+    is read three times.
+    """
+    hot = F.col(size) > max(least, total // most)
+    few = F.broadcast(values.filter(hot).drop(size))
+    rest = rows.join(few.select(*keys), keys, "left_anti")
+    return rows.join(few, keys, "inner" if how == "left" else how).unionByName(rest.join(values.filter(~hot).drop(size), keys, how))
+
+
 def words_of(text: Column) -> Column:
     """Array of the space-separated words of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
@@ -85,17 +103,24 @@ def map_rows(
     schema: str,
     make: Callable[[], Callable[..., Iterable[tuple]]],
     keep: list[str] | None = None,
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Apply a per-row Python function in Arrow batches.
 
     ``make()`` runs once in each task and returns a function of lists (one for
     each name in ``inputs``) that yields one tuple of new columns per row.  The
-    columns in ``keep`` pass through untouched; text arrives as bytes.
+    columns in ``keep`` pass through untouched; text arrives as bytes.  A new
+    column whose name is among them gets trailing underscores.  ``finish()``
+    runs at the end of each task, also if it fails.
     """
     keep = df.columns if keep is None else keep
     added = df.sparkSession.createDataFrame([], schema).schema
     kept = df.select(*[F.col(f"`{c}`") for c in keep]).schema
     used = list(dict.fromkeys([*keep, *inputs]))
+    taken = {c.lower() for c in keep}
+    for f in added.fields:
+        while f.name.lower() in taken:
+            f.name += "_"
     names = [f.name for f in added.fields]
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
@@ -104,18 +129,22 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for whole in batches:
-            for start in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(start, SLICE)
-                table = dict(zip(used, batch.columns, strict=True))
-                lists = []
-                for c in inputs:
-                    col = table[c]
-                    if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
-                        col = col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary())
-                    lists.append(col.to_pylist())
-                rows = list(work(*lists))
-                arrays = [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([table[c] for c in keep] + arrays, names=[*keep, *names])
+        try:
+            for whole in batches:
+                for start in range(0, whole.num_rows, SLICE):
+                    batch = whole.slice(start, SLICE)
+                    table = dict(zip(used, batch.columns, strict=True))
+                    lists = []
+                    for c in inputs:
+                        col = table[c]
+                        if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
+                            col = col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary())
+                        lists.append(col.to_pylist())
+                    rows = list(work(*lists))
+                    arrays = [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([table[c] for c in keep] + arrays, names=[*keep, *names])
+        finally:
+            if finish:
+                finish()
 
     return small_batches(df).select(*[F.col(f"`{c}`") for c in used]).mapInArrow(run, StructType(kept.fields + added.fields))

@@ -12,7 +12,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counted = written(quality.with_counts(docs.select("doc_id", "source", "text")).drop("text"), "counts")
     judged = quality.judge(counted, quality.host_rates(counted))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *[f"counts.{c}" for c in quality.COUNTS], "verdict.base_failed", "verdict.kept")
 
 
 SQL = r"""

@@ -76,51 +76,58 @@ def repeated_words(df: DataFrame, words: str, out: str, window: int = 5) -> Data
     return df.select(*keep, F.coalesce(covered, F.lit(0).cast("bigint")).alias(out))
 
 
-def with_counts(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """Add the columns ``COUNTS`` to every row."""
-    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in COUNTS]
-    df = df.select(*keep)
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    w, lines = free_name(df, "_words"), free_name(df, "_lines")
+def with_counts(df: DataFrame, text: str | Column = "text", rules: Rules = Rules(), out: str = "counts") -> DataFrame:
+    """Add the struct ``out`` of the fields ``COUNTS`` to every row.
+
+    A column that is called ``out`` already is replaced; all others stay.
+    """
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    t = F.coalesce(F.col(f"`{text}`") if isinstance(text, str) else text, F.lit(""))
+    w, lines, part, repeated = (free_name(df, x) for x in ("_words", "_lines", "_part", "_repeated"))
     df = df.select(
         *keep,
         words_of(t).alias(w),
         F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines),
-        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("bigint").alias(part),
     )
     df = df.select(
         *keep,
         F.col(w),
-        "n_symbols",
-        F.size(w).cast("bigint").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
+        F.struct(
+            F.size(w).cast("bigint").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+            F.col(part).alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
+        ).alias(part),
     )
-    return repeated_words(df, w, "n_repeat_words", rules.window).select(*keep, *COUNTS)
+    counted = repeated_words(df, w, repeated, rules.window)
+    return counted.select(*keep, F.col(part).withField("n_repeat_words", F.col(repeated)).alias(out))
 
 
-def failures(rules: Rules = Rules()) -> dict[str, Column]:
-    """Rule name to a condition on the columns ``COUNTS``; true is a failure."""
-    words, chars = F.col("n_words"), F.col("word_chars")
+def failures(rules: Rules = Rules(), counts: str = "counts") -> dict[str, Column]:
+    """Rule name to a condition on the struct of counts; true is a failure."""
+    c = lambda name: F.col(f"`{counts}`.{name}")
+    words, chars = c("n_words"), c("word_chars")
     return {
-        "base": (words < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * words),
-        "symbols": F.col("n_symbols") > rules.symbol_share * words,
-        "dup_lines": 100 * F.col("n_dup_lines") > rules.dup_line_percent * words,
+        "base": (words < rules.min_words) | (100 * c("n_repeat_words") > rules.repeat_percent * words),
+        "symbols": c("n_symbols") > rules.symbol_share * words,
+        "dup_lines": 100 * c("n_dup_lines") > rules.dup_line_percent * words,
         "word_length": (chars < rules.min_word_length * words) | (chars > rules.max_word_length * words),
     }
 
 
-def host_rates(counted: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
+def host_rates(counted: DataFrame, host: str | Column = "source", rules: Rules = Rules(), counts: str = "counts") -> DataFrame:
     """Per host: documents, failing documents per rule, shrunk rate, verdict.
 
     ``rate`` is the posterior mean of the share of documents that fail any
     rule, under a beta prior fitted to all hosts by moments; ``host_rejected``
     compares its lower end with the limit.
     """
-    flags = failures(rules)
+    flags = failures(rules, counts)
+    host = F.col(f"`{host}`") if isinstance(host, str) else host
     any_rule = F.greatest(*[f.cast("int") for f in flags.values()])
     hosts = written(
-        counted.groupBy(F.col(f"`{host}`").alias("host")).agg(
+        counted.groupBy(host.alias("host")).agg(
             F.count(F.lit(1)).alias("n_docs"),
             F.sum(any_rule).alias("n_failed"),
             *[F.sum(f.cast("int")).alias(f"failed_{k}") for k, f in flags.items()],
@@ -136,30 +143,35 @@ def host_rates(counted: DataFrame, host: str = "source", rules: Rules = Rules())
     return hosts.select("*", (a / (a + b)).alias("rate"), (low > rules.host_rate).alias("host_rejected"))
 
 
-def judge(counted: DataFrame, hosts: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """Add ``base_failed``, ``host_rejected`` and ``kept`` to counted rows.
+def judge(counted: DataFrame, hosts: DataFrame, host: str | Column = "source", rules: Rules = Rules(), counts: str = "counts", out: str = "verdict") -> DataFrame:
+    """Add the struct ``out`` of ``base_failed``, ``host_rejected`` and ``kept`` to counted rows.
 
     A document goes if it fails the base rule or the symbol rule itself, or if
     its host is rejected.  The host table is joined as Spark sees fit: it is
     broadcast only below the session's size limit.
     """
-    flags = failures(rules)
-    verdicts = hosts.select(F.col("host").alias("_host"), F.col("host_rejected").alias("_rejected"))
-    joined = counted.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
-    rejected = F.coalesce(F.col("_rejected"), F.lit(False))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in counted.columns],
+    flags = failures(rules, counts)
+    own, flag = free_name(counted, "_host"), free_name(counted, "_rejected")
+    verdicts = hosts.select(F.col("host").alias(own), F.col("host_rejected").alias(flag))
+    host = F.col(f"`{host}`") if isinstance(host, str) else host
+    joined = counted.join(verdicts, host.eqNullSafe(F.col(own)), "left")
+    rejected = F.coalesce(F.col(flag), F.lit(False))
+    verdict = F.struct(
         flags["base"].alias("base_failed"),
         rejected.alias("host_rejected"),
         (~flags["base"] & ~flags["symbols"] & ~rejected).alias("kept"),
     )
+    return joined.select(*[F.col(f"`{c}`") for c in counted.columns if c.lower() != out.lower()], verdict.alias(out))
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns untouched."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{host}`").alias("source"), F.col(f"`{text}`").alias("text"))
-    hosts = host_rates(with_counts(rows.select("source", "text")).drop("text"), rules=rules)
-    # The generator keeps the filter from being pushed into the counts' own
-    # projections, where every condition would compute them all over again.
-    counted = with_counts(rows).select("row", "source", F.inline(F.array(F.struct(*COUNTS))))
-    return judge(counted, hosts, rules=rules).filter("kept").select("row.*")
+    """The rows of ``docs`` that are kept, with all their columns untouched.
+
+    Rows are counted once: they are written with their counts, and both the
+    host rates and the verdicts are read from there.
+    """
+    rows = docs.select(F.struct("*").alias("row"))
+    counted = written(with_counts(rows, F.col(f"row.`{text}`"), rules), "counted")
+    source = F.col(f"row.`{host}`")
+    judged = judge(counted, host_rates(counted, source, rules), source, rules)
+    return judged.filter("verdict.kept").select("row.*")
