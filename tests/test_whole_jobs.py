@@ -1,14 +1,10 @@
 """Queries and operators decide all rows of their tables."""
 
-import random
-
-import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import SF
 from tests.test_tables import BAR, bar, frame
 from tidemark.functions import indicators as I
-from tidemark.llm import toxicity, wrapper
 from tidemark.operators import alerts, transitions
 from tidemark.plans import catalog
 from tidemark.plans import fixtures as X
@@ -78,55 +74,3 @@ def test_rsi_on_every_bar_of_long_histories(spark):
 def test_rsi_query_has_all_bars(spark):
     assert catalog.rsi_on_every_bar(spark, SF).count() == X.candles(X.ticks_orders(spark, SF), "1h").count()
     assert all(r.n > 0 for r in catalog.rsi_on_every_bar(spark, SF).groupBy("symbol").agg(F.count("rsi").alias("n")).collect())
-
-
-def test_toxicity_with_about_ten_toxic_labels(spark):
-    r = random.Random(5)
-    plain = ["".join(r.choices("abdefgilmnoprstuv", k=r.randint(4, 9))) for _ in range(900)]
-    rows, labels = [], []
-    for i in range(140):
-        words = r.choices(plain, k=60)
-        if i % 8 == 0:
-            words[10:10] = [("zwurk", "quixel", "hyxop")[(i // 8 + k) % 3] for k in range(2)]
-        rows.append((i, " ".join(words)))
-        if i < 88:
-            labels.append((i, int(i % 8 == 0)))
-    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.fit(docs, marks)
-    assert {"zwurk", "quixel", "hyxop"} <= set(model.weights)
-    got = {x.doc_id: x.toxic for x in toxicity.score(docs, model, ["doc_id"]).collect()}
-    assert all(got[i] for i in range(0, 140, 8)) and sum(got.values()) <= 20
-
-
-@pytest.mark.parametrize("start", ['div class="content with-sidebar"', 'div class="no-sidebar"', 'article class="post comments-open category-social"', 'div class="content social"', 'section id="page-share"'])
-def test_main_text_in_an_element_with_an_aside_word(spark, start):
-    page = f'<html><body><div class="menu">Home</div><{start}><h1>Title</h1><p>%s</p><div class="share">Share this</div></{start.split()[0]}><section class="comments"><article class="comment"><p>bad</p></article></section></body></html>'
-    rows = [(i, f"http://a.com/{i}", page % f"the text of page {i} with some more words in it") for i in range(3)]
-    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.page_id: r.main_text for r in got} == {i: f"Title\n\nthe text of page {i} with some more words in it" for i in range(3)}
-
-
-def test_long_comments_stay_aside(spark):
-    page = '<article><h1>T</h1><p>short text</p></article><div class="comments"><article class="comment"><p>' + "comment " * 90 + "</p></article></div>"
-    assert wrapper.main_text(spark.createDataFrame([("http://a.com", page)], "url string, html string")).first().main_text == "T\n\nshort text"
-    assert wrapper.is_aside(wrapper.signature("div", 'class="sidebar-left"')) and wrapper.is_aside(wrapper.signature("div", 'class="post-comments"'))
-    assert wrapper.is_aside(wrapper.signature("div", 'id="leftSidebar"')) and not wrapper.is_aside(wrapper.signature("div", 'class="content has-left-sidebar"'))
-
-
-def test_align_of_long_lists_leaves_nothing_out(spark):
-    r = random.Random(3)
-    leaf = lambda k: [k, "1", 1, 0, None, []]
-    for n, kinds in ((900, 10**9), (900, 5), (1300, 400)):
-        x, y = ([f"p.{r.randrange(kinds)}" for _ in range(n)] for _ in range(2))
-        x[100:120] = y[300:320] = [f"h2.same{k}" for k in range(20)]
-        pairs = wrapper.matches(x, y)
-        assert len(pairs) >= 20 and all(x[i] == y[j] for i, j in pairs)
-        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
-        got = wrapper.align([leaf(k) for k in x], [leaf(k) for k in y])
-        count = lambda nodes: sum(k[2] + count(k[5]) for k in nodes)
-        assert count(got) == 2 * n
-    page = '<div class="site">%s<article class="post cat%s"><h1>T</h1><p>main %d</p></article><article class="teaser"><p>see also</p></article></div>'
-    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
-    rows = [(i, "http://a.com", page % ("", word(i), i)) for i in range(500)]
-    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
-    assert all(f"main {x.page_id}" in x.main_text for x in got)
