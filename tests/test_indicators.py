@@ -119,7 +119,20 @@ def test_scalars(spark):
     p = one(spark, S.split_symbol(F.lit("ETHBTC")))
     assert (p.base, p.quote) == ("ETH", "BTC")
     assert one(spark, S.pct_change(F.lit(0.0), F.lit(1.0))) is None and one(spark, S.positive_drop(F.lit(10.0), F.lit(12.0))) == 0
-    assert one(spark, S.signed_pct(F.lit(1.24))) == "+1.2%"
+    assert [one(spark, S.signed_pct(F.lit(v))) for v in (1.245, -0.5, 0.0, None)] == ["+1.25%", "-0.50%", "0.00%", None]
+
+
+def test_number_texts_equal_python(spark):
+    r = random.Random(4)
+    values = [0.0, 1.0, 50.0, 0.5, 12.25, 12.35, 0.15, 2.675, -0.04, 1234.565, 1000.005, 999999.6, 999999.5, 1234567.0, 1234565.0, 1e6, 123456.5, 0.0001, 0.00009999995, 1e-7, 1e15, 1.5e16, 3e-5, 100.4565, 0.1 + 0.2, 99999.95]
+    values += [round(r.uniform(0, 2000), r.randint(0, 4)) * r.choice((1, -1)) for _ in range(3000)] + [r.uniform(0, 1) * 10 ** r.randint(-9, 14) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    v = F.col("v")
+    rows = df.select("v", S.fixed(v, 0).alias("f0"), S.fixed(v, 1).alias("f1"), S.fixed(v, 2).alias("f2"), S.general(v).alias("g"), S.plain(v).alias("p")).collect()
+    for x in rows:
+        if abs(x.v) < 1e12:
+            assert (x.f0, x.f1, x.f2) == (f"{x.v:.0f}", f"{x.v:.1f}", f"{x.v:.2f}"), x.v
+        assert (x.g, x.p) == (f"{x.v:g}", repr(x.v)), x.v
 
 
 def test_crash_series_scores_70(spark):

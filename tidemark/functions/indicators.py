@@ -170,6 +170,19 @@ def ema(values: Column, period: int) -> Column:
     return F.when(F.size(values) >= period, F.aggregate(values, start, step)["a"])
 
 
+def ema_series(values: Column, period: int) -> Column:
+    """EMA of every value from the ``period``-th on; empty if there are fewer."""
+    k = 2.0 / (period + 1)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        a = F.when(s["n"] < period - 1, s["a"] + x).when(s["n"] == period - 1, (s["a"] + x) / period).otherwise((x - s["a"]) * k + s["a"])
+        out = F.when(s["n"] >= period - 1, F.concat(s["out"], F.array(a))).otherwise(s["out"])
+        return F.struct((s["n"] + 1).alias("n"), a.alias("a"), out.alias("out"))
+
+    return F.aggregate(values, start, step, lambda s: s["out"])
+
+
 def trend_label(closes: Column, fast: int = 20, slow: int = 50) -> Column:
     """uptrend or downtrend beyond one percent between the averages, else sideways."""
     gap = F.try_divide(ema(closes, fast) - ema(closes, slow), ema(closes, slow)) * 100

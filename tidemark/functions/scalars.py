@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Display names of pairs and translations of labels.
-NAMES = {
-    f"{base}USDT": base
-    for base in "BTC ETH SOL BNB XRP ADA DOGE DOT AVAX LINK MATIC LTC UNI ATOM NEAR APT ARB OP SUI SEI".split()
-}
+#: Translations of labels.
 PATTERNS = {
     "hammer": "martelo",
     "bullish_engulfing": "engolfo de alta",
@@ -34,8 +31,8 @@ def label(key: Column, labels: dict[str, str], default: Column | None = None) ->
 
 
 def friendly_name(symbol: Column) -> Column:
-    stripped = F.when(symbol.endswith("USDT") & (F.length(symbol) > 4), F.regexp_replace(symbol, "USDT$", "")).otherwise(symbol)
-    return label(symbol, NAMES, stripped)
+    """The pair without a USDT at its end, if something is left."""
+    return F.when(symbol.endswith("USDT") & (F.length(symbol) > 4), F.regexp_replace(symbol, "USDT$", "")).otherwise(symbol)
 
 
 def split_symbol(symbol: Column) -> Column:
@@ -93,9 +90,61 @@ def day_month(ts: Column) -> Column:
     return F.date_format(ts, "dd/MM")
 
 
-def signed_pct(value: Column, digits: int = 1) -> Column:
-    """+1.2% or -1.2%; null gives a dash."""
-    return F.when(value.isNull(), "—").otherwise(F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string(f"%.{digits}f%%", value)))
+def _rounded(size: Column, scale: Column) -> Column:
+    """size * scale (a power of ten up to 1e9) to the nearest whole number, by the exact value of the double; ties to even.
+
+    The product is split into a double and its exact error, which decides what
+    looks like a tie.
+    """
+    big = size * 134217729.0
+    high = big - (big - size)
+    p = size * scale
+    error = (high * scale - p) + (size - high) * scale
+    whole = F.floor(p).cast("double")
+    part = p - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    return F.when(up, whole + 1).otherwise(whole)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Text with so many decimals, rounded by the exact binary value; null stays null."""
+    n = _rounded(F.abs(value), F.lit(10.0**digits)).cast("decimal(28,0)")
+    text = (n * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(38,{digits})").cast("string")
+    return F.concat(F.when(value < 0, "-").otherwise(""), text)
+
+
+def general(value: Column) -> Column:
+    """Text with six significant digits: no trailing zeros, an exponent under 1e-4 and from 1e6 on."""
+    size = F.abs(value)
+    exponent = F.regexp_extract(F.format_string("%.16e", size), r"e([+-]\d+)$", 1).cast("int")
+    place = F.when(exponent.between(-4, 5), 5 - exponent).otherwise(0)
+    powers = F.array(*[F.lit(10.0**k) for k in range(10)])
+    units = F.array(*[F.lit(Decimal(1).scaleb(-k)).cast("decimal(10,9)") for k in range(10)])
+    n = _rounded(size, F.get(powers, place)).cast("decimal(20,0)")
+    plain = F.regexp_replace((n * F.get(units, place)).cast("decimal(38,9)").cast("string"), r"\.?0+$", "")
+    long, short = F.format_string("%.16e", size), F.format_string("%.5e", size)
+    even = long.rlike(r"^\d\.\d{4}[02468]50+e")  # a tie, which goes to the even digit
+    short = F.when(even, F.concat(F.regexp_extract(long, r"^(\d\.\d{5})", 1), F.regexp_extract(long, "(e.*)$", 1))).otherwise(short)
+    short = F.when((exponent == 5) & (n >= 1000000), "1e+06").otherwise(F.regexp_replace(short, r"\.?0*e", "e"))
+    short = F.when(short == "1e-04", "0.0001").otherwise(short)  # rounded up from below
+    text = F.when(value == 0, "0").when(exponent.between(-4, 5) & ~((exponent == 5) & (n >= 1000000)), plain).otherwise(short)
+    return F.when(F.isnan(value), "nan").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), text))
+
+
+def plain(value: Column) -> Column:
+    """Text of a double with all its digits, or of any other value; a missing one is None."""
+    text = value.cast("string")
+    mantissa, exponent = F.regexp_extract(text, r"^(-?[\d.]+)E", 1), F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
+    small = F.regexp_replace(value.try_cast("decimal(38,20)").cast("string"), r"(\.\d*?)0+$", "$1")
+    small = F.when(small.endswith("."), F.concat(small, F.lit("0"))).otherwise(small)
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    far = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    return F.coalesce(F.when(~text.contains("E"), text).when(exponent.between(-4, 15), small).otherwise(far), F.lit("None"))
+
+
+def signed_pct(value: Column, digits: int = 2) -> Column:
+    """+1.24%, -0.50% or 0.00%; null stays null."""
+    return F.concat(F.when(value > 0, "+").otherwise(""), fixed(value, digits), F.lit("%"))
 
 
 def matured(anchor: Column, now: Column, days: int = 30) -> Column:
