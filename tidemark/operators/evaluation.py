@@ -1,8 +1,8 @@
 """Outcomes of matured signals and buys: as-of prices, excursions, verdicts.
 
 The as-of lookup is a union of targets and bars with one window per symbol, and
-the excursion window is an equi join on day buckets, so that neither visits all
-later bars of a symbol for each event.
+the excursion window is an equi join on day buckets, in which whole days are
+one row, so that neither visits all later bars of a symbol for each event.
 """
 
 from __future__ import annotations
@@ -38,30 +38,48 @@ def price_at_or_after(targets: DataFrame, bars: DataFrame, by_month: bool = True
     return found.join(months, ["symbol", "m"]).select("key", "symbol", "at", F.coalesce("price", "next").alias("price"))
 
 
-def excursions(events: DataFrame, bars: DataFrame, days: int = 7) -> DataFrame:
-    """Best gain and worst loss over the bars that open in [t0, t0 + days].
+def extremes(points: DataFrame, bars: DataFrame, days: int = 7) -> DataFrame:
+    """(symbol, t0) with the highest high and lowest low of the bars that open in [t0, t0 + days], and their earliest times.
 
-    ``events`` has key, symbol, t0 and base.  Gains and losses are percents;
-    hours run to the earliest bar with the extreme.  Both ends count.
+    Points meet bars by (symbol, day), so no point visits all later bars.
     """
     zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     bucket = lambda c: F.timestamp_diff("DAY", zero, S.floor_day(c))
     first = bucket(F.col("t0"))
-    e = events.select("key", "symbol", "t0", "base", F.explode(F.sequence(first, first + days)).alias("bucket"))
+    e = points.select("symbol", "t0", F.explode(F.sequence(first, first + days)).alias("bucket"))
     b = bars.select("symbol", "open_time", "high", "low", bucket(F.col("open_time")).alias("bucket"))
+    high = F.struct(F.col("high").alias("v"), (-_us(F.col("open_time"))).alias("t"))
+    low = F.struct(F.col("low").alias("v"), _us(F.col("open_time")).alias("t"))
+    # a day that a point holds whole is one row
+    days_of = b.groupBy("symbol", "bucket").agg(F.max(high).alias("h"), F.min(low).alias("l"))
     end = F.timestamp_add("DAY", F.lit(days), "t0")
-    j = e.join(b, ["symbol", "bucket"]).filter((F.col("open_time") >= F.col("t0")) & (F.col("open_time") <= end))
-    hours = F.timestamp_diff("MICROSECOND", "t0", "open_time") / 3.6e9
-    return (
-        j.groupBy("key", "base")
-        .agg(F.max("high").alias("top"), F.min("low").alias("bottom"), F.max_by(hours, F.struct("high", -hours)).alias("time_to_mfe_hours"), F.min_by(hours, F.struct("low", hours)).alias("time_to_mae_hours"))
-        .select(
-            "key",
-            S.pct_change(F.col("base"), F.col("top")).alias("max_gain_pct"),
-            S.pct_change(F.col("base"), F.col("bottom")).alias("max_loss_pct"),
-            "time_to_mfe_hours",
-            "time_to_mae_hours",
-        )
+    at_edge = F.col("bucket").isin(bucket(F.col("t0")), bucket(end))
+    inner = e.filter(~at_edge).join(days_of, ["symbol", "bucket"]).select("symbol", "t0", "h", "l")
+    edge = e.filter(at_edge).join(b, ["symbol", "bucket"]).filter((F.col("open_time") >= F.col("t0")) & (F.col("open_time") <= end))
+    both = inner.unionByName(edge.select("symbol", "t0", high.alias("h"), low.alias("l")))
+    out = both.groupBy("symbol", "t0").agg(F.max("h").alias("h"), F.min("l").alias("l"))
+    return out.select("symbol", "t0", F.col("h.v").alias("top"), (-F.col("h.t")).alias("top_us"), F.col("l.v").alias("bottom"), F.col("l.t").alias("bottom_us"))
+
+
+def _us(ts: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
+def excursions(events: DataFrame, bars: DataFrame, days: int = 7) -> DataFrame:
+    """Best gain and worst loss over the bars that open in [t0, t0 + days].
+
+    ``events`` has key, symbol, t0 and base.  Gains and losses are percents;
+    hours run to the earliest bar with the extreme.  Both ends count.  Extremes
+    are found once for all events of a symbol and time.
+    """
+    points = extremes(events.select("symbol", "t0").distinct(), bars, days)
+    hours = lambda us: (F.col(us) - _us(F.col("t0"))) / 3.6e9
+    return events.join(points, ["symbol", "t0"]).select(
+        "key",
+        S.pct_change(F.col("base"), F.col("top")).alias("max_gain_pct"),
+        S.pct_change(F.col("base"), F.col("bottom")).alias("max_loss_pct"),
+        hours("top_us").alias("time_to_mfe_hours"),
+        hours("bottom_us").alias("time_to_mae_hours"),
     )
 
 
@@ -70,14 +88,33 @@ def pending(rows: DataFrame, evaluations: DataFrame, key: str) -> DataFrame:
     return rows.join(evaluations.select(F.col(key).alias("id")), "id", "left_anti")
 
 
-def _prices_later(due: DataFrame, bars: DataFrame, horizons: dict[str, int]) -> DataFrame:
-    """One row per key with ``price_<h>_later`` for each horizon (in hours)."""
+def _prices_later(points: DataFrame, bars: DataFrame, horizons: dict[str, int]) -> DataFrame:
+    """(symbol, t0) with ``price_<h>_later`` for each horizon (in hours)."""
     names = list(horizons)
-    targets = due.select(
-        "key", "symbol", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.timestamp_add("HOUR", F.lit(n), "t0").alias("at")) for h, n in horizons.items()])).alias("t")
-    ).select(F.struct("key", "t.h").alias("key"), "symbol", F.col("t.at").alias("at"))
+    at = [F.struct(F.lit(h).alias("h"), F.timestamp_add("HOUR", F.lit(n), "t0").alias("at")) for h, n in horizons.items()]
+    targets = points.select("symbol", "t0", F.explode(F.array(*at)).alias("t")).select(F.struct("t0", "t.h").alias("key"), "symbol", F.col("t.at").alias("at"))
     found = price_at_or_after(targets, bars)
-    return found.groupBy(F.col("key.key").alias("key")).agg(*[F.max(F.when(F.col("key.h") == h, F.col("price"))).alias(f"price_{h}_later") for h in names])
+    later = [F.max(F.when(F.col("key.h") == h, F.col("price"))).alias(f"price_{h}_later") for h in names]
+    return found.groupBy("symbol", F.col("key.t0").alias("t0")).agg(*later)
+
+
+def _outcomes(due: DataFrame, bars: DataFrame, horizons: dict[str, int], days: int = 7) -> DataFrame:
+    """``due`` (key, symbol, t0, base, ...) with later prices, gains, losses and their hours.
+
+    What depends on symbol and time only is found once for each such point, and
+    joined back; a symbol's many events of an hour share it.
+    """
+    points = due.select("symbol", "t0").distinct()
+    found = _prices_later(points, bars, horizons).join(extremes(points, bars, days), ["symbol", "t0"], "left")
+    hours = lambda us: (F.col(us) - _us(F.col("t0"))) / 3.6e9
+    return due.join(found, ["symbol", "t0"], "left").withColumns(
+        {
+            "max_gain_pct": S.pct_change(F.col("base"), F.col("top")),
+            "max_loss_pct": S.pct_change(F.col("base"), F.col("bottom")),
+            "time_to_mfe_hours": hours("top_us"),
+            "time_to_mae_hours": hours("bottom_us"),
+        }
+    )
 
 
 def evaluate_signals(signals: DataFrame, evaluations: DataFrame, bars_1h: DataFrame, now: Column, p: Verdicts = Verdicts(), only: int | None = None) -> DataFrame:
@@ -85,8 +122,7 @@ def evaluate_signals(signals: DataFrame, evaluations: DataFrame, bars_1h: DataFr
     due = pending(signals, evaluations, "signal_id").filter(S.matured(F.col("candle_hour"), now))
     due = due if only is None else due.filter(F.col("id") == only)
     due = due.select(F.col("id").alias("key"), "symbol", F.col("candle_hour").alias("t0"), F.col("price_at_signal").alias("base"))
-    later = _prices_later(due, bars_1h, {"24h": 24, "7d": 7 * 24, "30d": 30 * 24})
-    out = due.join(later, "key", "left").join(excursions(due, bars_1h), "key", "left")
+    out = _outcomes(due, bars_1h, {"24h": 24, "7d": 7 * 24, "30d": 30 * 24})
     returns = {h: S.pct_change(F.col("base"), F.col(f"price_{h}_later")) for h in ("24h", "7d", "30d")}
     return out.select(
         F.col("key").alias("signal_id"),
@@ -120,8 +156,7 @@ def evaluate_buys(buys: DataFrame, evaluations: DataFrame, bars_1h: DataFrame, n
     due = pending(buys, evaluations, "buy_id").filter(S.matured(F.col("bought_at"), now))
     due = due if only is None else due.filter(F.col("id") == only)
     due = due.select(F.col("id").alias("key"), "symbol", F.col("bought_at").alias("t0"), F.col("price").alias("base"))
-    later = _prices_later(due, bars_1h, {"7d": 7 * 24, "30d": 30 * 24})
-    out = day_lows(due, bars_1h).join(later, "key", "left").join(excursions(due, bars_1h), "key", "left")
+    out = _outcomes(day_lows(due, bars_1h), bars_1h, {"7d": 7 * 24, "30d": 30 * 24})
     r7, r30 = (S.pct_change(F.col("base"), F.col(f"price_{h}_later")) for h in ("7d", "30d"))
     return out.select(
         F.col("key").alias("buy_id"),

@@ -45,10 +45,18 @@ def report(rows: DataFrame, min_signals: int = 5) -> DataFrame:
     """Long form: dimension, bucket and the metrics.
 
     The overall row is always there; other buckets need ``min_signals`` rows,
-    null keys make none.  One hash aggregate covers all dimensions.
+    null keys make none.  One aggregate covers all dimensions, so the rows are
+    read once.
     """
-    keys = {"severity": F.col("severity"), "regime": F.col("regime_at_signal"), "trigger": F.col("dominant_trigger_timeframe"), "score": score_band(F.col("score"))}
+    keys = {
+        "overall": F.lit("all"),
+        "severity": F.col("severity"),
+        "regime": F.col("regime_at_signal"),
+        "trigger": F.col("dominant_trigger_timeframe"),
+        "score": score_band(F.col("score")),
+    }
     slices = F.array(*[F.struct(F.lit(d).alias("dimension"), k.alias("bucket")) for d, k in keys.items()])
-    cut = rows.select("*", F.inline(slices)).filter("bucket is not null").groupBy("dimension", "bucket").agg(*bucket_metrics()).filter(F.col("count") >= min_signals)
-    overall = rows.agg(*bucket_metrics()).select(F.lit("overall").alias("dimension"), F.lit("all").alias("bucket"), *METRICS)
-    return overall.unionByName(cut)
+    cut = rows.select("*", F.inline(slices)).filter("bucket is not null").groupBy("dimension", "bucket").agg(*bucket_metrics())
+    cut = cut.filter((F.col("count") >= min_signals) | (F.col("dimension") == "overall"))
+    always = rows.sparkSession.createDataFrame([("overall", "all")], "dimension string, bucket string")
+    return cut.join(always, ["dimension", "bucket"], "full").withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
