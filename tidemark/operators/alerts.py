@@ -110,30 +110,45 @@ def alert_pass(pending: DataFrame, priors: DataFrame, clock: str, p: Alerts = Al
     return folded.withColumn("_d", d).select("symbol", "id", "now", "_d.action", "_d.reason", "_d.override_cooldown", "_d.bypass_quiet", "ok")
 
 
-def outbox(decisions: DataFrame, signals: DataFrame) -> DataFrame:
-    """Notification rows: queued, delivered or failed; skipped signals have none."""
-    j = decisions.filter("action <> 'skip_cooldown'").join(signals.drop("symbol"), "id")
+def _with_results(decisions: DataFrame, results: DataFrame | None) -> DataFrame:
+    """Decisions with ``_why`` and ``_error`` of a failed send; ``results`` has signal_id, reason and error."""
+    if results is None:
+        return decisions.withColumns({"_why": F.lit("error"), "_error": F.lit(None).cast("string")})
+    r = results.select(F.col("signal_id").alias("_sid"), F.col("reason").alias("_why"), F.col("error").alias("_error"))
+    return decisions.join(r, F.col("id") == F.col("_sid"), "left").drop("_sid")
+
+
+def outbox(decisions: DataFrame, signals: DataFrame, results: DataFrame | None = None, tags: str = "", debug: bool = False) -> DataFrame:
+    """Notification rows: queued, delivered or failed; skipped signals have none.
+
+    ``results`` tells why sends failed; ``tags`` are the default tags.
+    """
+    d = _with_results(decisions, results).filter("action <> 'skip_cooldown'")
+    j = d.select("id", "now", "action", "bypass_quiet", "ok", "_why", "_error").join(signals, "id")
     send = F.col("action") == "send_now"
     good = send & F.col("ok")
     return j.select(
-        F.col("id").alias("signal_id"),
-        "symbol",
         F.col("now").alias("created_at"),
         F.when(good, F.col("now")).alias("sent_at"),
-        title(F.col("symbol"), F.col("severity")).alias("title"),
+        "symbol",
+        F.col("id").alias("signal_id"),
+        title(F.col("symbol"), F.col("severity"), debug).alias("title"),
+        body(debug).alias("body"),
         S.label(F.col("severity"), PRIORITY, F.lit("default")).alias("priority"),
+        F.lit(tags).alias("tags"),
         (~send).alias("queued"),
         "bypass_quiet",
         good.alias("delivered"),
         F.when(send, 1).otherwise(0).alias("delivery_attempts"),
-        F.when(send & ~F.col("ok"), "send_failed").alias("last_error"),
+        F.when(send & ~F.col("ok"), F.concat(F.col("_why"), F.lit(":"), F.coalesce("_error", F.lit("")))).alias("last_error"),
     )
 
 
-def marked(decisions: DataFrame) -> DataFrame:
+def marked(decisions: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """id, alerted and alert_skipped_reason of decided signals."""
-    reason = F.when(F.col("action") == "skip_cooldown", F.col("reason")).when(F.col("action") == "queue", "quiet_hours").when(~F.col("ok"), "send_failed")
-    return decisions.select("id", F.lit(True).alias("alerted"), reason.alias("alert_skipped_reason"))
+    failed = F.concat(F.lit("send_failed:"), F.col("_why"))
+    reason = F.when(F.col("action") == "skip_cooldown", F.col("reason")).when(F.col("action") == "queue", "quiet_hours").when(~F.col("ok"), failed)
+    return _with_results(decisions, results).select("id", F.lit(True).alias("alerted"), reason.alias("alert_skipped_reason"))
 
 
 def flush_queue(notifications: DataFrame, results: DataFrame, now: Column, p: Alerts = Alerts()) -> DataFrame:
@@ -171,55 +186,87 @@ def pattern_of(breakdown: Column) -> Column:
 def reasons(limit: int = 3) -> Column:
     """The most telling reasons of a signal row, most relevant first."""
     c = F.col
-    frame = S.label(c("dominant_trigger_timeframe"), S.TIMEFRAMES, c("dominant_trigger_timeframe"))
-    deep = F.when(c("rsi_1h") <= 20, F.format_string("RSI em sobrevenda extrema (%.0f)", c("rsi_1h")))
+    given = lambda text: F.when(text != "", text)
+    frame = S.label(given(c("dominant_trigger_timeframe")), S.TIMEFRAMES, given(c("dominant_trigger_timeframe")))
+    oversold = F.when(c("rsi_1h") <= 20, "RSI em sobrevenda extrema (").otherwise("RSI em sobrevenda (")
+    pattern = given(c("reversal_pattern"))
     lines = F.array(
-        F.when((c("drop_trigger_pct") > 0) & frame.isNotNull(), F.concat(F.format_string("Queda de %.1f%% em ", c("drop_trigger_pct")), frame)),
-        F.when(c("rsi_1h") <= 30, F.coalesce(deep, F.format_string("RSI em sobrevenda (%.0f)", c("rsi_1h")))),
-        F.when(c("rel_volume") >= 1.5, F.format_string("Volume %.1fx acima do normal", c("rel_volume"))),
-        F.concat(F.lit("Padrão de reversão: "), S.label(c("reversal_pattern"), S.PATTERNS, c("reversal_pattern"))),
-        F.when((c("dist_support_pct") < 5) & c("support_level_price").isNotNull(), F.concat(F.lit("Próximo do suporte em $"), c("support_level_price").cast("string"))),
+        F.when((c("drop_trigger_pct") > 0) & frame.isNotNull(), F.concat(F.lit("Queda de "), S.fixed(c("drop_trigger_pct"), 1), F.lit("% em "), frame)),
+        F.when(c("rsi_1h") <= 30, F.concat(oversold, S.fixed(c("rsi_1h"), 0), F.lit(")"))),
+        F.when(c("rel_volume") >= 1.5, F.concat(F.lit("Volume "), S.fixed(c("rel_volume"), 1), F.lit("x acima do normal"))),
+        F.concat(F.lit("Padrão de reversão: "), S.label(pattern, S.PATTERNS, pattern)),
+        F.when((c("dist_support_pct") < 5) & c("support_level_price").isNotNull(), F.concat(F.lit("Próximo do suporte em $"), S.general(c("support_level_price")))),
         F.coalesce(
-            F.when(c("distance_from_180d_high_pct") > 20, F.format_string("%.0f%% abaixo da máxima de 6 meses", c("distance_from_180d_high_pct"))),
-            F.when(c("distance_from_30d_high_pct") > 20, F.format_string("%.0f%% abaixo da máxima de 30 dias", c("distance_from_30d_high_pct"))),
+            F.when(c("distance_from_180d_high_pct") > 20, F.concat(S.fixed(c("distance_from_180d_high_pct"), 0), F.lit("% abaixo da máxima de 6 meses"))),
+            F.when(c("distance_from_30d_high_pct") > 20, F.concat(S.fixed(c("distance_from_30d_high_pct"), 0), F.lit("% abaixo da máxima de 30 dias"))),
         ),
     )
     return F.slice(F.filter(lines, lambda x: x.isNotNull()), 1, limit)
 
 
-def title(symbol: Column, severity: Column) -> Column:
-    return F.concat(S.label(severity, DECISION, F.lit(DECISION_DEFAULT)), F.lit(" — "), S.friendly_name(symbol))
+def title(symbol: Column, severity: Column, debug: bool = False) -> Column:
+    tail = [F.lit(" ("), symbol, F.lit(")")] if debug else []
+    return F.concat(S.label(severity, DECISION, F.lit(DECISION_DEFAULT)), F.lit(" — "), S.friendly_name(symbol), *tail)
+
+
+#: Fixed layout of the raw block: lines of (name, column).
+DEBUG = [
+    [("pair", "symbol"), ("score", "score"), ("severity", "severity")],
+    [("trigger", "trigger_reason")],
+    [("dom_tf", "dominant_trigger_timeframe"), ("drop_trigger", "drop_trigger_pct")],
+    [("rsi_1h", "rsi_1h"), ("rsi_4h", "rsi_4h")],
+    [("rel_vol", "rel_volume")],
+    [("drop_24h", "drop_24h_pct"), ("drop_7d", "drop_7d_pct"), ("drop_30d", "drop_30d_pct")],
+    [("disc_30d", "distance_from_30d_high_pct"), ("disc_180d", "distance_from_180d_high_pct")],
+    [("regime", "regime_at_signal")],
+]
+SELL_DEBUG = [
+    [("pair", "symbol"), ("rule", "rule_triggered"), ("severity", "severity")],
+    [("buy_id", "buy_id"), ("price", "price_at_signal"), ("pnl", "pnl_pct")],
+    [("regime", "regime_at_signal")],
+    [("detected_at", "detected_at")],
+]
+
+
+def raw_block(layout: list[list[tuple[str, str]]]) -> Column:
+    """The columns of a layout as name=value, under a separator; times in ISO form."""
+    value = lambda c: F.coalesce(S.utc_iso(F.col(c)), F.lit("None")) if c == "detected_at" else S.plain(F.col(c))
+    lines = [F.concat_ws(" ", *[F.concat(F.lit(f"{name}="), value(c)) for name, c in line]) for line in layout]
+    return F.concat_ws("\n", F.lit("\n--- debug ---"), *lines)
 
 
-def body() -> Column:
+def body(debug: bool = False) -> Column:
     """Message body of a signal row."""
     drop = F.col("drop_24h_pct")
     return F.concat_ws(
         "\n",
-        F.concat(S.friendly_name(F.col("symbol")), F.lit(" @ $"), F.col("price_at_signal").cast("string")),
-        F.when(drop > 0, F.format_string("Variação 24h: -%.1f%%", drop)).when(drop.isNotNull(), "Variação 24h: estável"),
+        F.concat(S.friendly_name(F.col("symbol")), F.lit(" @ $"), S.general(F.col("price_at_signal"))),
+        F.when(drop > 0, F.concat(F.lit("Variação 24h: -"), S.fixed(drop, 1), F.lit("%"))).when(drop.isNotNull(), "Variação 24h: estável"),
         F.transform(reasons(), lambda r: F.concat(F.lit("• "), r)),
         S.label(F.col("regime_at_signal"), S.REGIMES),
         F.lit(""),
         S.label(F.col("severity"), MEANING, F.lit(MEANING_DEFAULT)),
+        *([raw_block(DEBUG)] if debug else []),
     )
 
 
-def sell_title(symbol: Column, rule: Column) -> Column:
-    return F.concat(S.label(rule, SELL_PHRASE, F.lit(SELL_PHRASE_DEFAULT)), F.lit(" — "), S.friendly_name(symbol))
+def sell_title(symbol: Column, rule: Column, debug: bool = False) -> Column:
+    tail = [F.lit(" ("), symbol, F.lit(" / "), rule, F.lit(")")] if debug else []
+    return F.concat(S.label(rule, SELL_PHRASE, F.lit(SELL_PHRASE_DEFAULT)), F.lit(" — "), S.friendly_name(symbol), *tail)
 
 
-def sell_body() -> Column:
+def sell_body(debug: bool = False) -> Column:
     """Message body of a sell signal row."""
     pnl = F.col("pnl_pct")
     return F.concat_ws(
         "\n",
-        F.concat(S.friendly_name(F.col("symbol")), F.lit(" @ $"), F.col("price_at_signal").cast("string")),
-        F.when(pnl.isNotNull(), F.concat(F.lit("Resultado: "), F.when(pnl >= 0, "+").otherwise(""), F.format_string("%.2f%%", pnl))),
+        F.concat(S.friendly_name(F.col("symbol")), F.lit(" @ $"), S.general(F.col("price_at_signal"))),
+        F.concat(F.lit("Resultado: "), F.when(pnl >= 0, "+").otherwise(""), S.fixed(pnl, 2), F.lit("%")),
         F.when(F.length("reason") > 0, F.concat(F.lit("• "), F.col("reason"))),
         S.label(F.col("regime_at_signal"), S.REGIMES),
         F.lit(""),
         S.label(F.col("rule_triggered"), SELL_MEANING, F.lit(SELL_MEANING_DEFAULT)),
+        *([raw_block(SELL_DEBUG)] if debug else []),
     )
 
 

@@ -22,14 +22,14 @@ def signal_filter(symbol=None, severity=None, regime=None, since: Column | None
 
 
 def page(rows: DataFrame, time: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Newest first, of equal times the highest id first."""
-    if limit < 1 or offset < 0:
-        raise ValueError("limit must be 1 or more, offset 0 or more")
+    """Newest first, of equal times the highest id first; a limit under 1 is 1, an offset under 0 is 0."""
+    limit, offset = max(limit, 1), max(offset, 0)
     return rows.orderBy(F.desc(time), F.desc("id")).offset(offset).limit(limit)
 
 
 def page_meta(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """total, limit, offset and the next offset (null on the last page)."""
+    """total, limit, offset and the next offset (null on the last page); limit and offset as in ``page``."""
+    limit, offset = max(limit, 1), max(offset, 0)
     after = F.lit(offset + limit).cast("bigint")
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     return total.select("total", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), F.when(after < F.col("total"), after).alias("next_offset"))
@@ -40,7 +40,7 @@ def recent(rows: DataFrame, time: str, limit: int = 10) -> DataFrame:
 
 
 def count_since(rows: DataFrame, time: str, since: Column) -> DataFrame:
-    return rows.agg(F.count_if(F.col(time) >= since).alias("n"))
+    return rows.filter(F.col(time) >= since).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sell_filter(symbol=None, rule=None, since: Column | None = None, until: Column | None = None) -> Column:
@@ -60,6 +60,14 @@ def buys(rows: DataFrame, status: str = "all", symbol: str | None = None, limit:
     return out if limit is None else out.limit(limit)
 
 
+def count_buys(rows: DataFrame, status: str = "all", symbol: str | None = None) -> DataFrame:
+    """How many buys there are of a status."""
+    if status not in ("all", "open", "sold"):
+        raise ValueError(f"unknown status: {status}")
+    out = rows if status == "all" else rows.filter(F.col("sold_at").isNull() if status == "open" else F.col("sold_at").isNotNull())
+    return (out if symbol is None else out.filter(F.col("symbol") == symbol)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def last_ascending(rows: DataFrame, time: str, n: int) -> DataFrame:
     """The newest n rows, oldest first."""
     return rows.orderBy(F.desc(time), F.desc("id")).limit(n).orderBy(time, "id")

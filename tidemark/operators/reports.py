@@ -24,7 +24,7 @@ def top_drop(signals: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def count_buys(buys: DataFrame, start: Column, end: Column) -> DataFrame:
-    return buys.agg(F.count_if((F.col("bought_at") >= start) & (F.col("bought_at") < end)).alias("n"))
+    return buys.filter((F.col("bought_at") >= start) & (F.col("bought_at") < end)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def verdict_histogram(signal_evaluations: DataFrame, buy_evaluations: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -40,11 +40,19 @@ def _cross(frames: list[DataFrame]) -> DataFrame:
 
 def digest(report: DataFrame, min_rows: int = 5) -> DataFrame:
     """One line on the overall bucket."""
-    pf = F.when(F.col("profit_factor").isNull(), "—").otherwise(F.format_string("%.2f", "profit_factor"))
     line = F.concat(
-        F.format_string("WR %.0f%% | exp ", F.coalesce("win_rate", F.lit(0.0))), S.signed_pct(F.col("expectancy")), F.lit(" | PF "), pf, F.format_string(" (n=%d)", "count")
+        F.concat_ws(
+            " · ",
+            F.concat(F.lit("WR "), S.fixed(F.col("win_rate"), 1), F.lit("%")),
+            F.concat(F.lit("exp "), S.signed_pct(F.col("expectancy"))),
+            F.concat(F.lit("PF "), S.fixed(F.col("profit_factor"), 2)),
+        ),
+        F.lit(" — "),
+        F.col("count").cast("string"),
+        F.lit(" sinais"),
     )
-    return report.filter("dimension = 'overall'").select(F.when(F.col("count") < min_rows, "dados insuficientes").otherwise(line).alias("analytics_line"))
+    short = (F.col("count") < min_rows) | F.col("win_rate").isNull()
+    return report.filter("dimension = 'overall'").select(F.when(short, "Análise: dados insuficientes").otherwise(line).alias("analytics_line"))
 
 
 def conclusion(n: Column, very_strong: Column, strong: Column) -> Column:
@@ -57,26 +65,41 @@ def conclusion(n: Column, very_strong: Column, strong: Column) -> Column:
 
 
 def weekly_summary(
-    signals: DataFrame, buys: DataFrame, signal_evaluations: DataFrame, buy_evaluations: DataFrame, report: DataFrame, now: Column, days: int = 7
+    signals: DataFrame, buys: DataFrame, signal_evaluations: DataFrame, buy_evaluations: DataFrame, report: DataFrame, now: Column, days: int = 7, debug: bool = False
 ) -> DataFrame:
-    """One row over [now - days, now) with counts, the top drop and the message."""
+    """One row over [now - days, now) with counts, the top drop and the message.
+
+    One conditional aggregate per source table; the window is a filter, so it
+    reaches the scans.
+    """
     if days <= 0:
         raise ValueError("the window must have days")
     start = F.timestamp_add("DAY", F.lit(-days), now)
-    inside = (F.col("detected_at") >= start) & (F.col("detected_at") < now)
-    tell = lambda s: F.count_if(inside & (F.col("severity") == s)).alias(f"n_{s}")
-    counts = signals.agg(F.count_if(inside).alias("signal_count"), *[tell(s) for s in ("very_strong", "strong", "normal")])
-    drops = inside & F.col("drop_trigger_pct").isNotNull()
-    best = F.min_by(F.struct("symbol", "drop_trigger_pct"), F.when(drops, F.struct(-F.col("drop_trigger_pct"), F.col("detected_at"), F.col("id"))))
-    drop = signals.agg(best.alias("b")).select(F.col("b.symbol").alias("top_drop_symbol"), F.col("b.drop_trigger_pct").alias("top_drop_pct"))
+    tell = lambda s: F.count_if(F.col("severity") == s).alias(f"n_{s}")
+    drop = F.col("drop_trigger_pct")
+    best = F.min_by(F.struct("symbol", "drop_trigger_pct"), F.when(drop.isNotNull(), F.struct(-drop, F.col("detected_at"), F.col("id"))))
+    found = signals.filter((F.col("detected_at") >= start) & (F.col("detected_at") < now))
+    found = found.agg(F.count(F.lit(1)).alias("signal_count"), *[tell(s) for s in ("very_strong", "strong", "normal")], best.alias("b"))
+    found = found.select("*", F.col("b.symbol").alias("top_drop_symbol"), F.col("b.drop_trigger_pct").alias("top_drop_pct")).drop("b")
     hist = verdict_histogram(signal_evaluations, buy_evaluations, start, now)
     of = lambda *v: F.coalesce(F.sum(F.when(F.col("verdict").isin(*v), F.col("n"))), F.lit(0))
     verdicts = hist.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("matured_count"), of("great", "good").alias("n_good"), of("neutral").alias("n_neutral"), of("poor", "bad").alias("n_bad")
     )
-    row = _cross([counts, drop, count_buys(buys, start, now).withColumnRenamed("n", "buy_count"), verdicts, digest(report)])
+    row = _cross([found, count_buys(buys, start, now).withColumnRenamed("n", "buy_count"), verdicts, digest(report)])
+    row = row.withColumn("week_start", start).withColumn("week_end", now)
     c = F.col
     some = lambda n, text: F.when(c(n) > 0, F.concat(F.lit(text), c(n).cast("string")))
+    matured = lambda n, text: F.when(c("matured_count") > 0, some(n, text))
+    day = lambda n: F.date_format(c(n), "yyyy-MM-dd")
+    raw = [
+        F.lit("\n--- debug ---"),
+        F.concat(F.lit("window="), day("week_start"), F.lit(" → "), day("week_end")),
+        F.concat(F.lit("signal_count="), c("signal_count").cast("string")),
+        F.concat(F.lit("top_drop="), c("top_drop_symbol"), F.lit(" "), S.plain(c("top_drop_pct"))),
+        F.concat(F.lit("buy_count="), c("buy_count").cast("string")),
+        F.concat(F.lit("matured="), c("matured_count").cast("string")),
+    ]
     body = F.concat_ws(
         "\n",
         F.lit("📊 Resumo da semana"),
@@ -85,19 +108,21 @@ def weekly_summary(
         some("n_very_strong", "  🟢 Críticos: "),
         some("n_strong", "  🟡 Fortes: "),
         some("n_normal", "  🟠 Normais: "),
-        F.concat(F.lit("Maior queda: "), S.friendly_name(c("top_drop_symbol")), F.format_string(" (-%.1f%%)", "top_drop_pct")),
+        F.concat(F.lit("Maior queda: "), S.friendly_name(c("top_drop_symbol")), F.lit(" (-"), S.fixed(c("top_drop_pct"), 1), F.lit("%)")),
         some("buy_count", "\nCompras registradas: "),
         some("matured_count", "\nAvaliações vencidas: "),
-        some("n_good", "  ✅ Boas: "),
-        some("n_neutral", "  ⚠️ Neutras: "),
-        some("n_bad", "  ❌ Ruins: "),
+        matured("n_good", "  ✅ Boas: "),
+        matured("n_neutral", "  ⚠️ Neutras: "),
+        matured("n_bad", "  ❌ Ruins: "),
         F.lit(""),
         conclusion(c("signal_count"), c("n_very_strong"), c("n_strong")),
         F.lit("\n📈 Análise (90d)"),
         c("analytics_line"),
+        *(raw if debug else []),
     )
-    title = F.concat(F.lit("Resumo semanal — "), S.day_month(c("week_start")), F.lit(" a "), S.day_month(c("week_end")))
-    return row.withColumn("week_start", start).withColumn("week_end", now).withColumn("title", title).withColumn("body", body).withColumn("sent", F.lit(False))
+    dates = [F.lit(" ("), day("week_start"), F.lit(" → "), day("week_end"), F.lit(")")] if debug else []
+    title = F.concat(F.lit("Resumo semanal — "), S.day_month(c("week_start")), F.lit(" a "), S.day_month(c("week_end")), *dates)
+    return row.withColumn("title", title).withColumn("body", body).withColumn("sent", F.lit(False))
 
 
 def mark_sent(summaries: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -107,19 +132,71 @@ def mark_sent(summaries: DataFrame, delivered: DataFrame) -> DataFrame:
 
 
 def activity(signals: DataFrame, sells: DataFrame, n: int = 10) -> DataFrame:
-    """Newest n of both tables by time; of equal times signals come first."""
-    a = recent(signals, "detected_at", n).select(F.lit("signal").alias("kind"), "id", "symbol", F.col("detected_at").alias("at"), F.lit(0).alias("rank"))
-    b = recent(sells, "detected_at", n).select(F.lit("sell").alias("kind"), "id", "symbol", F.col("detected_at").alias("at"), F.lit(1).alias("rank"))
+    """Newest n of both tables by time; of equal times signals come first.
+
+    The headline tells severity and score, or rule and result, where the
+    tables have them.
+    """
+    has = lambda t, c, kind: F.col(c) if c in t.columns else F.lit(None).cast(kind)
+    said = F.concat(F.coalesce(has(signals, "severity", "string"), F.lit("below_threshold")), F.lit(" score="), has(signals, "score", "int").cast("string"))
+    sold = F.concat(has(sells, "rule_triggered", "string"), F.coalesce(F.concat(F.lit(" "), S.signed_pct(has(sells, "pnl_pct", "double"))), F.lit("")))
+    a = recent(signals, "detected_at", n).select(F.lit("signal").alias("kind"), "id", "symbol", F.col("detected_at").alias("at"), F.lit(0).alias("rank"), said.alias("headline"))
+    b = recent(sells, "detected_at", n).select(F.lit("sell").alias("kind"), "id", "symbol", F.col("detected_at").alias("at"), F.lit(1).alias("rank"), sold.alias("headline"))
     return a.unionAll(b).orderBy(F.desc("at"), "rank", F.desc("id")).limit(n).drop("rank")
 
 
-def overview(signals: DataFrame, sells: DataFrame, watchlist: DataFrame, buys: DataFrame, regimes: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
-    """One row of headline figures."""
+def overview(signals: DataFrame, sells: DataFrame, watchlist: DataFrame, buys: DataFrame, regimes: DataFrame, evaluations: DataFrame, now: Column, scope_days: int = 90) -> DataFrame:
+    """One row of headline figures; the metrics are over signals of the last ``scope_days``."""
     ago = lambda d: F.timestamp_add("DAY", F.lit(-d), now)
-    s = signals.agg(F.count_if(F.col("detected_at") >= ago(1)).alias("signals_24h"), F.count_if(F.col("detected_at") >= ago(7)).alias("signals_7d"))
-    e = sells.agg(F.count_if(F.col("detected_at") >= ago(7)).alias("sells_7d"))
-    w = watchlist.agg(F.count_if(F.col("status") == "watching").alias("active_watches"))
-    b = buys.agg(F.count_if(F.col("sold_at").isNull()).alias("open_buys"))
-    r = regimes.agg(F.max_by("label", "id").alias("regime"))
+    at, n = F.col("detected_at"), F.count(F.lit(1))
+    s = signals.filter(at >= ago(7)).agg(F.count_if(at >= ago(1)).alias("signals_24h"), n.alias("signals_7d"))
+    e = sells.filter(at >= ago(7)).agg(n.alias("sells_7d"))
+    w = watchlist.filter("status = 'watching'").agg(n.alias("active_watches"))
+    b = buys.filter("sold_at is null").agg(n.alias("open_buys"))
+    r = regimes.agg(F.max_by(F.struct("label", "determined_at", "atr_percentile"), "id").alias("r"))
+    r = r.select(F.col("r.label").alias("regime"), F.col("r.determined_at").alias("regime_at"), F.col("r.atr_percentile").alias("atr_percentile"))
+    rows = expectancy.evaluation_rows(signals, evaluations, now, scope_days)
     x = rows.agg(*expectancy.bucket_metrics()).select(F.col("count").alias("evaluated"), "win_rate", "expectancy", "profit_factor")
     return _cross([s, e, w, b, r, x])
+
+
+def scan_counters(scored: DataFrame) -> DataFrame:
+    """Candidates of a scan: all, those under the threshold, and symbols."""
+    return scored.agg(F.count(F.lit(1)).alias("considered"), F.count_if(F.col("severity").isNull()).alias("below_threshold"), F.countDistinct("symbol").alias("symbols"))
+
+
+def scan_report(ingested: DataFrame, outcomes: DataFrame, decisions: DataFrame, judged: DataFrame, sells: DataFrame, watches: DataFrame) -> DataFrame:
+    """One row of counters of a scan.
+
+    New bars; outcomes of candidates (``inserted``); alert decisions (``action``,
+    ``ok``); judged positions (``rule``, ``suppressed``, ``no_price``) with the
+    sell signals; watch actions (``action``, ``inserted``).
+    """
+    act = lambda a: F.col("action") == a
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    return _cross(
+        [
+            ingested.agg(F.count(F.lit(1)).alias("ingested")),
+            outcomes.agg(F.count(F.lit(1)).alias("scored"), F.count_if("inserted").alias("inserted")),
+            decisions.agg(
+                F.count_if(act("send_now") & ok).alias("sent"),
+                F.count_if(act("queue")).alias("queued"),
+                F.count_if(act("skip_cooldown")).alias("cooldown"),
+                F.count_if(act("send_now") & ~ok).alias("failed"),
+            ),
+            judged.agg(F.count(F.lit(1)).alias("positions"), F.count_if("suppressed").alias("sell_cooldown"), F.count_if("no_price").alias("no_price")),
+            sells.agg(F.count(F.lit(1)).alias("sell_emitted")),
+            watches.agg(
+                F.count_if(act("WATCH")).alias("watched"),
+                F.count_if(act("PROMOTE") & F.coalesce(F.col("inserted"), F.lit(False))).alias("promoted"),
+                F.count_if(act("EXPIRE")).alias("expired"),
+                F.count_if(act("IGNORE")).alias("ignored"),
+            ),
+        ]
+    )
+
+
+def maintenance_report(signal_report: DataFrame, buy_report: DataFrame, retention: DataFrame) -> DataFrame:
+    """One row: evaluated and skipped signals and buys, and candles beyond their caps."""
+    name = lambda df, kind: df.select(F.col("evaluated").alias(f"{kind}_evaluated"), F.col("skipped").alias(f"{kind}_pending"))
+    return _cross([name(signal_report, "signals"), name(buy_report, "buys"), retention.agg(F.coalesce(F.sum("n_deleted"), F.lit(0)).alias("pruned"))])

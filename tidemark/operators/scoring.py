@@ -119,9 +119,9 @@ def verdict(return_pct: Column, p: Verdicts = Verdicts()) -> Column:
 def trigger_reason(horizon: Column, drop: Column, rsi_1h: Column, rel_volume: Column, pattern: Column) -> Column:
     text = F.concat_ws(
         " | ",
-        F.when(drop > 0, F.concat(F.lit("drop_"), horizon, F.format_string("=-%.1f%%", drop))),
-        F.when(rsi_1h <= 30, F.format_string("rsi_1h=%.0f", rsi_1h)),
-        F.when(rel_volume >= 1.5, F.format_string("rel_vol=%.1fx", rel_volume)),
+        F.when(drop > 0, F.concat(F.lit("drop_"), horizon, F.lit("=-"), S.fixed(drop, 1), F.lit("%"))),
+        F.when(rsi_1h <= 30, F.concat(F.lit("rsi_1h="), S.fixed(rsi_1h, 0))),
+        F.when(rel_volume >= 1.5, F.concat(F.lit("rel_vol="), S.fixed(rel_volume, 1), F.lit("x"))),
         F.when(pattern.isNotNull(), F.concat(F.lit("pattern="), pattern)),
     )
     return F.when(text == "", "low-score evaluation").otherwise(text)
@@ -248,3 +248,11 @@ def classify_regime(arrays: DataFrame, symbol: str, determined_at: Column, p: Re
     calm = F.col("atr_percentile") <= p.high_percentile
     label = F.when((F.col("ema_short") > F.col("ema_long")) & calm, "risk_on").when((F.col("ema_short") < F.col("ema_long")) & ~calm, "risk_off").otherwise("neutral")
     return s.select(label.alias("label"), "ema_short", "ema_long", "atr", "atr_percentile", determined_at.alias("determined_at"))
+
+
+def regime_snapshot(regime: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Rows to append to ``regime_snapshots``: a classified regime with the next id."""
+    next_id = earlier.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast("bigint").alias("id"))
+    return regime.crossJoin(F.broadcast(next_id)).select(
+        "id", "label", F.col("ema_short").alias("btc_ema_short"), F.col("ema_long").alias("btc_ema_long"), F.col("atr").alias("btc_atr_14d"), "atr_percentile", "determined_at"
+    )

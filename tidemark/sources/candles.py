@@ -111,14 +111,32 @@ def bar_arrays(candles: DataFrame, n: int = 250) -> DataFrame:
     return latest_bars(candles, n).groupBy(*KEY).agg(F.array_sort(F.collect_list(bar)).alias("bars"))
 
 
-def numbered(candles: DataFrame) -> DataFrame:
-    """Bars with ``n``, their place in their key from 0 on; a key's months are numbered in separate tasks."""
-    by_month = candles.withColumn("_month", F.date_trunc("month", "open_time"))
-    inside = F.row_number().over(Window.partitionBy(*KEY, "_month").orderBy("open_time"))
-    months = by_month.groupBy(*KEY, "_month").agg(F.count(F.lit(1)).alias("_c"))
-    earlier = F.sum("_c").over(Window.partitionBy(*KEY).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1))
-    months = months.select(*KEY, "_month", F.coalesce(earlier, F.lit(0)).alias("_before"))
-    return by_month.withColumn("n", inside).join(months, [*KEY, "_month"]).withColumn("n", F.col("n") - 1 + F.col("_before")).drop("_month", "_before")
+def tracked_pairs(candles: DataFrame) -> DataFrame:
+    """The symbols and intervals that have candles."""
+    return candles.select(*KEY).distinct()
+
+
+def numbered(rows: DataFrame, keys: list[str] = KEY, order: list[str] = ["open_time"]) -> DataFrame:
+    """Rows with ``n``, their place in their key from 0 on, by a time and further columns; a key's months are numbered in separate tasks."""
+    by_month = rows.withColumn("_month", F.date_trunc("month", order[0]))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_month").orderBy(*order))
+    months = by_month.groupBy(*keys, "_month").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1))
+    months = months.select(*keys, "_month", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    return by_month.withColumn("n", inside).join(months, [*keys, "_month"]).withColumn("n", F.col("n") - 1 + F.col("_before")).drop("_month", "_before")
+
+
+def in_blocks(rows: DataFrame, back: int, keys: list[str] = KEY, order: list[str] = ["open_time"], size: int = 10_000) -> DataFrame:
+    """Rows with ``block`` and ``own``, for frames of up to ``back`` rows before a row.
+
+    A block is ``size`` rows of a key and, not ``own``, the ``back`` rows before
+    them.  Windows by key and block see all that frames reach, and a key's long
+    history goes to many tasks.
+    """
+    n = F.col("n")
+    more = F.when(n % size >= size - back, F.array(F.floor(n / size), F.floor(n / size) + 1)).otherwise(F.array(F.floor(n / size)))
+    out = numbered(rows, keys, order).withColumn("block", F.explode(more))
+    return out.withColumn("own", F.floor(n / size) == F.col("block")).drop("n")
 
 
 def rsi_of_bars(candles: DataFrame, n: int = 250, period: int = 14) -> DataFrame:
@@ -147,10 +165,21 @@ def rsi_of_bars(candles: DataFrame, n: int = 250, period: int = 14) -> DataFrame
 
 
 def retention_split(candles: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """Candles with ``keep``; intervals without a positive cap are kept whole."""
-    cap = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("interval")), F.lit(0)) if caps else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("open_time")))
-    return candles.withColumn("keep", (cap <= 0) | (rank <= cap))
+    """Candles with ``keep``; intervals without a positive cap are kept whole.
+
+    The oldest bar that a key keeps is found by a top-n per key, which Spark
+    cuts down before the shuffle; candles then meet that one row.
+    """
+    newest = Window.partitionBy(*KEY).orderBy(F.desc("open_time"))
+    oldest = [
+        candles.filter(F.col("interval") == i).select(*KEY, "open_time").withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= cap)
+        for i, cap in caps.items()
+        if cap > 0
+    ]
+    if not oldest:
+        return candles.withColumn("keep", F.lit(True))
+    from_time = reduce(DataFrame.unionByName, oldest).groupBy(*KEY).agg(F.min("open_time").alias("_from"))
+    return candles.join(from_time, KEY, "left").withColumn("keep", F.col("_from").isNull() | (F.col("open_time") >= F.col("_from"))).drop("_from")
 
 
 def retention_report(candles: DataFrame, caps: dict[str, int]) -> DataFrame:
