@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.test_tables import BAR, bar, frame, ts
+from tidemark import schemas
 from tidemark.operators import alerts, transitions
 from tidemark.streaming import jobs
 
@@ -68,3 +69,38 @@ def test_deduplicated_stream(spark, tmp_path):
     q = jobs.deduplicated(stream).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c"))
     q.trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+
+
+def test_sell_rows_stream_equals_scans(spark, tmp_path):
+    pos = frame(spark, [(i, "AB"[i % 2], "2024-01-01 00:00:00", 100.0, None) for i in range(1, 5)], "id bigint, symbol string, bought_at timestamp_ntz, price double, sold_at timestamp_ntz")
+    schema = "symbol string, close double, close_time timestamp_ntz"
+    scans = [[("A", 130.0, h), ("B", b, h)] for h, b in enumerate((99.0, 91.0, 90.0, None, 140.0, 120.0, 95.0, 89.0, 88.0))]
+    scans = [[(s, c, f"2024-01-01 {h:02d}:59:59") for s, c, h in scan] for scan in scans]
+    regime = spark.createDataFrame([("risk_off",)], "label string")
+    stream = feed(spark, str(tmp_path / "in"), [frame(spark, s, schema) for s in scans])
+    jobs.sells(stream, pos, str(tmp_path / "s"), str(tmp_path / "c"), regime).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "s" / "sells" / "v=*"))
+    tracking, fired = schemas.empty(spark, "sell_tracking"), spark.createDataFrame([], "buy_id bigint, rule_triggered string, detected_at timestamp_ntz")
+    want = []
+    for scan in scans:
+        _, found, tracking = transitions.sell_pass(pos, frame(spark, scan, schema), tracking, fired, ts(scan[0][2]), F.lit("risk_off"))
+        rows = found.select("buy_id", "rule_triggered", "detected_at").collect()
+        want += map(tuple, rows)
+        fired = spark.createDataFrame([*fired.collect(), *rows], fired.schema)
+        tracking = spark.createDataFrame(tracking.collect(), tracking.schema)
+    assert sorted(map(tuple, got.select("buy_id", "rule_triggered", "detected_at").collect())) == sorted(want)
+    assert {r[1] for r in want} >= {"take_profit", "trailing_stop", "stop_loss", "context_deterioration"}
+    last = jobs.Versions(spark, str(tmp_path / "s" / "tracking"), schemas.TABLES["sell_tracking"]).before(len(scans))
+    assert sorted((r.buy_id, r.high_watermark) for r in last.collect()) == sorted((r.buy_id, r.high_watermark) for r in tracking.collect())
+    assert len(list((tmp_path / "s" / "tracking").glob("v=*"))) == 2
+
+
+def test_sell_stream_with_missing_prices(spark, tmp_path):
+    bars = frame(spark, [bar(h, p) for h, p in enumerate([100.0, 1.0, 150.0, 120.0])], BAR)
+    bars = bars.withColumn("close", F.when(F.col("close") > 1, F.col("close")))
+    pos = frame(spark, [(1, "A", "2024-01-01 00:00:00", 100.0)], "id bigint, symbol string, bought_at timestamp_ntz, price double")
+    ticks = bars.select(F.lit(1).cast("bigint").alias("id"), F.lit(100.0).alias("entry"), "open_time", "close")
+    q = jobs.sell_watermarks(feed(spark, str(tmp_path / "in"), [ticks])).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    key = lambda df: sorted((r.open_time, r.watermark, r.rule) for r in df.collect())
+    assert key(spark.read.parquet(str(tmp_path / "o"))) == key(transitions.replay_sells(pos, bars))

@@ -2,22 +2,27 @@
 
 Tables that a batch merges into are kept as versions, one for each batch id: a
 batch reads the newest version below its own and writes its own, so a batch
-that is run again after a failure gives the same table.  A bar at or before its
-key's mark is late and is dropped, as in the batch ingest.
+that is run again after a failure gives the same table.  Such tables have a row
+per symbol or position; of their versions the last two stay.  Tables that only
+grow are written as additions by batch and day, and a batch reads the days it
+needs.  A bar at or before its key's mark is late and is dropped, as in the
+batch ingest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import alerts, transitions
+from ..operators import alerts, readers, transitions
 from ..params import Alerts, Scoring, Sell, Watch
+from ..schemas import TABLES
 from ..sources import candles as C
 
 
@@ -37,9 +42,28 @@ class Versions:
                     raise
         return self.spark.createDataFrame([], self.schema)
 
-    def write(self, batch: int, df: DataFrame) -> None:
+    def write(self, batch: int, df: DataFrame, prune: bool = False) -> None:
+        """Write a version; ``prune`` removes what is older than the one before it."""
         names = [f.strip().split(" ")[0] for f in self.schema.split(",")]
         df.select(*names).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        if prune and batch >= 2:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={batch - 2}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    def add(self, batch: int, df: DataFrame, time: str) -> None:
+        """Write additions of a batch, laid out by the day of ``time``."""
+        names = [f.strip().split(" ")[0] for f in self.schema.split(",")]
+        df.select(*names, F.to_date(time).alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/v={batch}")
+
+    def added(self, batch: int, days: list) -> DataFrame:
+        """Additions of the batches below one on some days; other folders are not read."""
+        try:
+            rows = self.spark.read.schema(f"{self.schema}, v int, day date").parquet(self.path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.schema)
+        return rows.filter((F.col("v") < batch) & F.col("day").isin(days)).drop("v", "day")
 
     def parts(self) -> DataFrame:
         """All versions together, for tables whose versions are additions."""
@@ -64,7 +88,7 @@ def ingest(bars: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
         old = marks.before(n)
         fresh = batch.join(old, C.KEY, "left").filter(F.col("last_open_time").isNull() | (F.col("open_time") > F.col("last_open_time"))).drop("last_open_time")
         added.write(n, C.new_bars(fresh, fresh.limit(0)))
-        marks.write(n, C.advance_state(old, batch))
+        marks.write(n, C.advance_state(old, batch), prune=True)
 
     return _each_batch(bars, work, checkpoint)
 
@@ -85,12 +109,10 @@ def insert_signals(candidates: DataFrame, path: str, checkpoint: str) -> DataStr
     ranks = Versions(spark, f"{path}/ranks", "symbol string, candle_hour timestamp_ntz, severity string")
 
     def work(batch: DataFrame, n: int) -> None:
-        old = ranks.before(n)
-        done = transitions.insert_outcomes(batch, old).persist()
+        days = [r[0] for r in batch.select(F.to_date("candle_hour")).distinct().collect()]  # the days of one batch
+        done = transitions.insert_outcomes(batch, ranks.added(n, days)).persist()
         outcomes.write(n, done)
-        kept = done.filter("inserted").select("symbol", "candle_hour", "severity").unionByName(old)
-        best = kept.groupBy("symbol", "candle_hour").agg(F.max_by("severity", transitions.severity_rank(F.col("severity"))).alias("severity"))
-        ranks.write(n, best)
+        ranks.add(n, done.filter("inserted"), "candle_hour")
         done.unpersist()
 
     return _each_batch(candidates, work, checkpoint)
@@ -110,7 +132,7 @@ def alert(signals: DataFrame, path: str, checkpoint: str, p: Alerts = Alerts())
         decisions.write(n, done)
         sent = done.filter("action = 'send_now' and ok").join(batch.select("id", "score"), "id").select("symbol", F.col("now").alias("sent_at"), "score")
         newest = old.unionByName(sent).groupBy("symbol").agg(F.max_by(F.struct("sent_at", "score"), "sent_at").alias("s")).select("symbol", "s.sent_at", "s.score")
-        priors.write(n, newest)
+        priors.write(n, newest, prune=True)
         done.unpersist()
 
     return _each_batch(signals, work, checkpoint)
@@ -134,35 +156,57 @@ def watch(candidates: DataFrame, path: str, checkpoint: str, p: Watch = Watch(),
         at = batch.agg(F.max("scanned_at")).first()[0]
         now = F.lit(at).cast("timestamp_ntz")
         old = table.before(n)
-        table.write(n, old if at is None else transitions.watch_pass(transitions.expire_stale(old, now), batch.drop("scanned_at"), now, p, s)[1])
+        table.write(n, old if at is None else transitions.watch_pass(transitions.expire_stale(old, now), batch.drop("scanned_at"), now, p, s)[1], prune=True)
 
     return _each_batch(candidates, work, checkpoint)
 
 
+def sells(closes: DataFrame, positions: DataFrame, path: str, checkpoint: str, regime: DataFrame | None = None, p: Sell = Sell()) -> DataStreamWriter:
+    """Sell rows, with every rule and its cooldown, as closes come; a batch is one scan.
+
+    ``closes`` has symbol, close and close_time; ``regime`` (one row, label) is
+    read anew by each scan.  State are the watermarks, a row per position, and
+    the last time of each position and rule.
+    """
+    spark = closes.sparkSession
+    out = Versions(spark, f"{path}/sells", TABLES["sell_signals"])
+    tracking = Versions(spark, f"{path}/tracking", TABLES["sell_tracking"])
+    fired = Versions(spark, f"{path}/fired", "buy_id bigint, rule_triggered string, detected_at timestamp_ntz")
+
+    def work(batch: DataFrame, n: int) -> None:
+        at = batch.agg(F.max("close_time")).first()[0]
+        label = None if regime is None else regime.select("label").first()
+        now, context = F.lit(at).cast("timestamp_ntz"), F.lit(label[0] if label else None).cast("string")
+        newest = batch.groupBy("symbol").agg(F.max_by("close", "close_time").alias("close"))
+        before, last = tracking.before(n), fired.before(n)
+        _, found, moved = transitions.sell_pass(readers.open_positions(positions), newest, before, last, now, context, p)
+        found = found.persist()
+        out.write(n, found)
+        tracking.write(n, moved, prune=True)
+        both = last.unionByName(found.select("buy_id", "rule_triggered", "detected_at"))
+        fired.write(n, both.groupBy("buy_id", "rule_triggered").agg(F.max("detected_at").alias("detected_at")), prune=True)
+        found.unpersist()
+
+    return _each_batch(closes, work, checkpoint)
+
+
 def sell_watermarks(ticks: DataFrame, p: Sell = Sell()) -> DataFrame:
     """Sell rules on each bar of a position, with its watermark as keyed state.
 
     ``ticks`` has id, entry, open_time and close; bars of a position come in
-    order of time over batches, within a batch they are sorted.
+    order of time over batches, within a batch they are sorted.  The state is
+    a running maximum; the rule itself is the column rule of the batch job.
     """
-    schema = "id bigint, open_time timestamp_ntz, watermark double, rule string"
+    schema = "id bigint, open_time timestamp_ntz, entry double, close double, watermark double"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         top = state.get[0] if state.exists else None
-        out = []
-        rows = pd.concat(list(frames)).sort_values("open_time")
-        for at, entry, price in zip(rows["open_time"], rows["entry"], rows["close"], strict=True):
-            rule = None
-            if entry > 0 and price > 0:
-                if price <= entry * (1 - p.stop_loss / 100):
-                    rule = "stop_loss"
-                elif top is not None and top > 0 and price <= top * (1 - p.trailing / 100):
-                    rule = "trailing_stop"
-                elif price >= entry * (1 + p.take_profit / 100):
-                    rule = "take_profit"
-            out.append((key[0], at, top, rule))
-            top = max(x for x in (top, entry, price) if x is not None)
-        state.update((top,))
-        yield pd.DataFrame(out, columns=["id", "open_time", "watermark", "rule"])
-
-    return ticks.groupBy("id").applyInPandasWithState(step, schema, "top double", "append", "NoTimeout")
+        rows = pd.concat(list(frames)).sort_values("open_time", kind="stable")
+        tops = np.fmax.accumulate(np.concatenate([[np.nan if top is None else top], np.fmax(rows["entry"].astype(float), rows["close"].astype(float))]))
+        state.update((None if np.isnan(tops[-1]) else float(tops[-1]),))
+        marks = pd.Series(tops[:-1], index=rows.index, dtype="object").where(~np.isnan(tops[:-1]), None)
+        yield pd.DataFrame({"id": key[0], "open_time": rows["open_time"], "entry": rows["entry"], "close": rows["close"], "watermark": marks})
+
+    kept = ticks.groupBy("id").applyInPandasWithState(step, schema, "top double", "append", "NoTimeout")
+    rule = transitions.sell_rule(F.col("entry"), F.col("close"), F.col("watermark"), F.lit(None).cast("string"), p)
+    return kept.select("id", "open_time", "watermark", rule.alias("rule"))
