@@ -11,8 +11,10 @@ from ..functions import indicators as I
 from ..functions import scalars as S
 from ..operators import alerts, evaluation, expectancy, readers, reports, scoring, transitions
 from ..params import RETENTION, Regime, Sell
+from .. import schemas
 from ..sources import candles as C
 from . import fixtures as X
+from . import rules_sql as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,22 +131,22 @@ _W = "(PARTITION BY symbol ORDER BY open_time"
 FROM o1h"""
 )
 def rolling_indicators(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy("open_time")
+    w = Window.partitionBy("symbol", "interval", "block").orderBy("open_time")
     before = lambda n: w.rowsBetween(-n, -1)
     c = F.col
     volume = F.avg("volume").over(before(20))
     tr = F.greatest(c("high") - c("low"), F.abs(c("high") - F.lag("close").over(w)), F.abs(c("low") - F.lag("close").over(w)))
-    return _round(
-        _bars(spark, sf_dir).select(
-            "symbol",
-            "open_time",
-            F.when((F.count("*").over(before(20)) == 20) & (volume > 0), c("volume") / volume).alias("rel_volume"),
-            F.max("high").over(w.rowsBetween(-29, 0)).alias("high_30"),
-            F.coalesce((F.count("*").over(before(10)) == 10) & (c("close") > F.max("high").over(before(10))), F.lit(False)).alias("reclaim"),
-            S.positive_drop(F.lag("close", 24).over(w), c("close")).alias("drop_24h"),
-            tr.alias("true_range"),
-        )
+    rows = C.in_blocks(_bars(spark, sf_dir), 30).select(
+        "own",
+        "symbol",
+        "open_time",
+        F.when((F.count("*").over(before(20)) == 20) & (volume > 0), c("volume") / volume).alias("rel_volume"),
+        F.max("high").over(w.rowsBetween(-29, 0)).alias("high_30"),
+        F.coalesce((F.count("*").over(before(10)) == 10) & (c("close") > F.max("high").over(before(10))), F.lit(False)).alias("reclaim"),
+        S.positive_drop(F.lag("close", 24).over(w), c("close")).alias("drop_24h"),
+        tr.alias("true_range"),
     )
+    return _round(rows.filter("own").drop("own"))
 
 
 @query(
@@ -156,9 +158,9 @@ SELECT symbol, open_time, CASE
   WHEN high > low AND abs(close - open) / (high - low) <= 0.10 THEN 'doji' END AS pattern FROM p"""
 )
 def reversal_patterns(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy("open_time").rowsBetween(-1, 0)
+    w = Window.partitionBy("symbol", "interval", "block").orderBy("open_time").rowsBetween(-1, 0)
     bars = F.collect_list(F.struct("open", "high", "low", "close")).over(w)
-    return _bars(spark, sf_dir).withColumn("bars", bars).select("symbol", "open_time", I.reversal(F.col("bars")).alias("pattern"))
+    return C.in_blocks(_bars(spark, sf_dir), 1).withColumn("bars", bars).filter("own").select("symbol", "open_time", I.reversal(F.col("bars")).alias("pattern"))
 
 
 _LAST = """, l AS (SELECT symbol, list(struct_pack(open, high, low, close, volume) ORDER BY open_time) AS b FROM
@@ -213,24 +215,53 @@ def support_and_discounts(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    X.with_sql("o1h")
+    + ", "
+    + R.rsi("r", "SELECT symbol, open_time AS k, list(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 249 PRECEDING AND CURRENT ROW) AS c FROM o1h")
+    + " SELECT symbol, k AS open_time, round(v, 6) AS rsi FROM r"
+)
 def rsi_on_every_bar(spark, sf_dir):
     return _round(C.rsi_of_bars(_bars(spark, sf_dir)).select("symbol", "open_time", "rsi"))
 
 
-@query()
+@query(
+    X.with_sql("o1h", "o4h", "o1d")
+    + R.REGIME
+    + " SELECT label, round(ema_short, 6) AS ema_short, round(ema_long, 6) AS ema_long, round(atr, 6) AS atr, round(atr_percentile, 6) AS atr_percentile, TIMESTAMP '2024-03-01' AS determined_at FROM regime"
+)
 def market_regime(spark, sf_dir):
     a = C.bar_arrays(_bars(spark, sf_dir, "1d"))
     return _round(scoring.classify_regime(a, "1-URGENT", X.ts(NOW)))
 
 
-@query()
-def score_symbols(spark, sf_dir):
+def _scored(spark, sf_dir):
     a = C.bar_arrays(X.all_candles(X.ticks_orders(spark, sf_dir)))
     regime = scoring.classify_regime(a, "1-URGENT", X.ts(NOW))
     return scoring.score_symbols(a, X.ts(NOW), regime=regime, regime_params=Regime(enabled=True))
 
 
+#: Places in the score's JSON and their names.
+_BREAKDOWN = {
+    "drop": "drop_magnitude",
+    "rsi": "rsi_oversold",
+    "volume": "relative_volume",
+    "support": "support_distance",
+    "discount": "discount_from_high",
+    "reversal": "reversal_pattern",
+    "trend": "trend_context",
+}
+
+
+@query(X.with_sql("o1h", "o4h", "o1d") + R.SCORED + f" SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in R.SCORED_DOUBLES)}) FROM scored")
+def score_symbols(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    get = lambda path, kind: F.get_json_object("score_breakdown", f"$.{path}").cast(kind)
+    parts = {f"p_{k}": get(f"{v}.points", "int") for k, v in _BREAKDOWN.items()}
+    parts |= {"atr_normalized": get("drop_magnitude.atr_normalized", "boolean"), "atr_pct": get("drop_magnitude.atr_pct", "double")}
+    return _round(s.withColumns(parts).drop("score_breakdown"))
+
+
 # --- signals ---------------------------------------------------------------
 
 _RANK = "CASE severity WHEN 'very_strong' THEN 3 WHEN 'strong' THEN 2 WHEN 'normal' THEN 1 END"
@@ -512,9 +543,9 @@ SELECT id, CASE WHEN cooling AND NOT jump THEN 'skip_cooldown' WHEN quiet AND se
  CASE WHEN cooling AND NOT jump THEN 'cooldown:' || CAST(floor(el) AS BIGINT) || 'm<120m' WHEN quiet AND severity = 'very_strong' THEN 'very_strong_bypass_quiet' WHEN quiet THEN 'quiet_hours' WHEN cooling THEN 'escalation_override' ELSE 'fresh' END AS reason FROM q"""
 )
 def alert_decisions(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy("detected_at", "id")
-    s = X.signals(spark, sf_dir).filter("severity is not null")
-    s = s.select("id", "score", "severity", "detected_at", F.lag("detected_at").over(w).alias("prior_at"), F.lag("score").over(w).alias("prior_score"))
+    w = Window.partitionBy("symbol", "block").orderBy("detected_at", "id")
+    s = C.in_blocks(X.signals(spark, sf_dir).filter("severity is not null"), 1, ["symbol"], ["detected_at", "id"])
+    s = s.select("own", "id", "score", "severity", "detected_at", F.lag("detected_at").over(w).alias("prior_at"), F.lag("score").over(w).alias("prior_score")).filter("own")
     d = alerts.decide(F.col("score"), F.col("severity"), F.col("detected_at"), F.col("prior_at"), F.col("prior_score"))
     return s.select("id", d.alias("d")).select("id", "d.action", "d.reason")
 
@@ -525,36 +556,124 @@ def _pass(spark, sf_dir):
     return s, alerts.alert_pass(s, spark.createDataFrame([], "symbol string, sent_at timestamp_ntz, score int"), "detected_at", delivered=F.col("id") % 7 != 0)
 
 
-@query()
+@query(R.PASSED + " SELECT * FROM passed")
 def alert_pass(spark, sf_dir):
     return _pass(spark, sf_dir)[1]
 
 
-@query()
+def _failures(decisions):
+    """Why sends failed: every second one with an error text."""
+    return decisions.filter("action = 'send_now' and not ok").select(
+        F.col("id").alias("signal_id"), F.lit("http_error").alias("reason"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("status "), F.col("id").cast("string"))).alias("error")
+    )
+
+
+@query(
+    R.PASSED
+    + ", "
+    + X.SQL["rich"]
+    + f""" SELECT now AS created_at, CASE WHEN action = 'send_now' AND ok THEN now END AS sent_at, symbol, id AS signal_id, {R.TITLE} AS title, {R.BODY} AS body,
+  CASE severity WHEN 'strong' THEN 'high' WHEN 'very_strong' THEN 'max' ELSE 'default' END AS priority, 'chart,money' AS tags, action = 'queue' AS queued, bypass_quiet, action = 'send_now' AND ok AS delivered,
+  CASE WHEN action = 'send_now' THEN 1 ELSE 0 END AS delivery_attempts, CASE WHEN action = 'send_now' AND NOT ok THEN 'http_error:' || CASE WHEN id % 2 = 0 THEN 'status ' || id ELSE '' END END AS last_error
+FROM (SELECT p.now, p.action, p.bypass_quiet, p.ok, s.* FROM passed p JOIN rich s USING (id) WHERE p.action <> 'skip_cooldown')"""
+)
 def alert_outbox(spark, sf_dir):
-    s, d = _pass(spark, sf_dir)
-    return alerts.outbox(d, s)
+    d = _pass(spark, sf_dir)[1]
+    return alerts.outbox(d, X.rich_signals(spark, sf_dir), _failures(d), "chart,money")
+
+
+@query(
+    R.PASSED
+    + " SELECT id, true AS alerted, CASE WHEN action = 'skip_cooldown' THEN reason WHEN action = 'queue' THEN 'quiet_hours' WHEN NOT ok THEN 'send_failed:http_error' END AS alert_skipped_reason FROM passed"
+)
+def alerted_signals(spark, sf_dir):
+    d = _pass(spark, sf_dir)[1]
+    return alerts.marked(d, _failures(d))
 
 
 @query(
     X.with_sql("signals", "buys")
-    + """, a AS (SELECT 'signal' AS kind, id, symbol, detected_at AS "at", 0 AS k FROM signals ORDER BY detected_at DESC, id DESC LIMIT 10),
-b AS (SELECT 'sell' AS kind, id, symbol, sold_at AS "at", 1 AS k FROM buys WHERE sold_at IS NOT NULL ORDER BY sold_at DESC, id DESC LIMIT 10)
-SELECT kind, id, symbol, "at" FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY "at" DESC, k, id DESC LIMIT 10"""
+    + """, a AS (SELECT 'signal' AS kind, id, symbol, detected_at AS "at", 0 AS k, coalesce(severity, 'below_threshold') || ' score=' || score AS headline FROM signals ORDER BY detected_at DESC, id DESC LIMIT 10),
+b AS (SELECT 'sell' AS kind, id, symbol, sold_at AS "at", 1 AS k, 'take_profit ' || CASE WHEN price > 50 THEN '+' ELSE '' END || printf('%.2f', price - 50) || '%' AS headline FROM buys WHERE sold_at IS NOT NULL ORDER BY sold_at DESC, id DESC LIMIT 10)
+SELECT kind, id, symbol, "at", headline FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY "at" DESC, k, id DESC LIMIT 10"""
 )
 def recent_activity(spark, sf_dir):
-    sells = X.buys(spark, sf_dir).filter("sold_at is not null").select("id", "symbol", F.col("sold_at").alias("detected_at"))
+    sells = X.buys(spark, sf_dir).filter("sold_at is not null")
+    sells = sells.select("id", "symbol", F.col("sold_at").alias("detected_at"), F.lit("take_profit").alias("rule_triggered"), (F.col("price") - 50).alias("pnl_pct"))
     return reports.activity(X.signals(spark, sf_dir), sells)
 
 
-@query()
+_WEEK = "detected_at >= TIMESTAMP '2024-01-15' AND detected_at < TIMESTAMP '2024-01-22'"
+_WEEKLY = (
+    _SIGNAL_EVAL
+    + ", "
+    + X.SQL["buys"]
+    + f""", rows AS (SELECT e.*, e.return_7d_pct AS r FROM evaluations e), m AS (SELECT {_METRICS} FROM rows),
+b7 AS (SELECT b.id, CASE WHEN b.price <> 0 THEN (e.close - b.price) / b.price * 100 END AS r7 FROM buys b ASOF LEFT JOIN e1h e ON b.symbol = e.symbol AND b.bought_at + INTERVAL 168 HOUR <= e.open_time WHERE TIMESTAMP '2024-03-01' >= b.bought_at + INTERVAL 30 DAY),
+v AS (SELECT verdict FROM evaluations UNION ALL SELECT {_VERDICT} AS verdict FROM b7),
+n AS (SELECT count(*) AS signal_count, count(*) FILTER (severity = 'very_strong') AS n_very_strong, count(*) FILTER (severity = 'strong') AS n_strong, count(*) FILTER (severity = 'normal') AS n_normal FROM signals WHERE {_WEEK}),
+t AS (SELECT symbol, drop_trigger_pct AS pct FROM signals WHERE {_WEEK} AND drop_trigger_pct IS NOT NULL ORDER BY drop_trigger_pct DESC, detected_at, id LIMIT 1),
+w AS (SELECT n.*, (SELECT symbol FROM t) AS top_drop_symbol, (SELECT pct FROM t) AS top_drop_pct, (SELECT count(*) FROM buys WHERE bought_at >= TIMESTAMP '2024-01-15' AND bought_at < TIMESTAMP '2024-01-22') AS buy_count,
+  (SELECT count(*) FROM v) AS matured_count, (SELECT count(*) FROM v WHERE verdict IN ('great', 'good')) AS n_good, (SELECT count(*) FROM v WHERE verdict = 'neutral') AS n_neutral, (SELECT count(*) FROM v WHERE verdict IN ('poor', 'bad')) AS n_bad,
+  (SELECT CASE WHEN "count" < 5 OR win_rate IS NULL THEN 'Análise: dados insuficientes' ELSE array_to_string(list_filter(['WR ' || printf('%.1f', win_rate) || '%', 'exp ' || CASE WHEN expectancy > 0 THEN '+' ELSE '' END || printf('%.2f', expectancy) || '%',
+    'PF ' || printf('%.2f', profit_factor)], lambda x: x IS NOT NULL), ' · ') || ' — ' || "count" || ' sinais' END FROM m) AS analytics_line FROM n)"""
+)
+
+
+def _some(column: str, text: str) -> str:
+    return f"CASE WHEN {column} > 0 THEN '{text}' || {column} END"
+
+
+_WEEKLY_BODY = R.lines(
+    "'📊 Resumo da semana'",
+    "''",
+    "CASE WHEN signal_count = 0 THEN 'Sinais emitidos: 0 (semana tranquila)' ELSE 'Sinais emitidos: ' || signal_count END",
+    _some("n_very_strong", "  🟢 Críticos: "),
+    _some("n_strong", "  🟡 Fortes: "),
+    _some("n_normal", "  🟠 Normais: "),
+    "'Maior queda: ' || top_drop_symbol || ' (-' || printf('%.1f', top_drop_pct) || '%)'",
+    "CASE WHEN buy_count > 0 THEN chr(10) || 'Compras registradas: ' || buy_count END",
+    "CASE WHEN matured_count > 0 THEN chr(10) || 'Avaliações vencidas: ' || matured_count END",
+    _some("n_good", "  ✅ Boas: "),
+    _some("n_neutral", "  ⚠️ Neutras: "),
+    _some("n_bad", "  ❌ Ruins: "),
+    "''",
+    "CASE WHEN signal_count = 0 THEN 'Leitura rápida: sem oportunidades nesta semana.' WHEN n_very_strong > 0 THEN 'Leitura rápida: houve sinal forte de compra nesta semana.' "
+    "WHEN n_strong > 0 THEN 'Leitura rápida: sinais moderados — vale acompanhar.' ELSE 'Leitura rápida: apenas sinais fracos, sem urgência.' END",
+    "chr(10) || '📈 Análise (90d)'",
+    "analytics_line",
+)
+
+
+@query(
+    _WEEKLY
+    + f""" SELECT * REPLACE (round(top_drop_pct, 6) AS top_drop_pct), TIMESTAMP '2024-01-15' AS week_start, TIMESTAMP '2024-01-22' AS week_end, 'Resumo semanal — 15/01 a 22/01' AS title, {_WEEKLY_BODY} AS body, false AS sent FROM w"""
+)
 def weekly_summary(spark, sf_dir):
     s, b, now = X.signals(spark, sf_dir), X.buys(spark, sf_dir), X.ts("2024-01-22 00:00:00")
     bars = _bars(spark, sf_dir, "1h", X.ticks_events)
     e = evaluation.evaluate_signals(s, _no_evaluations(spark, "signal_id"), bars, X.ts(NOW)).withColumn("evaluated_at", X.ts("2024-01-20 00:00:00"))
     be = evaluation.evaluate_buys(b, _no_evaluations(spark, "buy_id"), bars, X.ts(NOW)).withColumn("evaluated_at", X.ts("2024-01-20 00:00:00"))
     rows = expectancy.evaluation_rows(s, e, now, 90)
-    return reports.weekly_summary(s, b, e, be, expectancy.report(rows), now)
+    return _round(reports.weekly_summary(s, b, e, be, expectancy.report(rows), now))
+
+
+@query(
+    _SIGNAL_EVAL
+    + f""", {X.SQL['buys']}, rows AS (SELECT e.*, e.return_7d_pct AS r FROM evaluations e JOIN signals s ON s.id = e.signal_id WHERE s.detected_at >= TIMESTAMP '2024-01-10'), m AS (SELECT {_METRICS} FROM rows)
+SELECT (SELECT count(*) FROM signals WHERE detected_at >= TIMESTAMP '2024-04-08') AS signals_24h, (SELECT count(*) FROM signals WHERE detected_at >= TIMESTAMP '2024-04-02') AS signals_7d,
+ (SELECT count(*) FROM buys WHERE sold_at >= TIMESTAMP '2024-04-02') AS sells_7d, (SELECT count(*) FROM buys WHERE sold_at IS NULL) AS open_buys, (SELECT count(DISTINCT event_type) FROM events WHERE length(event_type) % 2 = 0) AS active_watches,
+ (SELECT arg_max(CASE user_id % 3 WHEN 0 THEN 'risk_on' WHEN 1 THEN 'risk_off' ELSE 'neutral' END, event_id) FROM events) AS regime, (SELECT arg_max(ts, event_id) FROM events) AS regime_at, (SELECT round(arg_max(value, event_id), 6) FROM events) AS atr_percentile,
+ "count" AS evaluated, {_rounded('win_rate expectancy profit_factor')} FROM m"""
+)
+def overview_page(spark, sf_dir):
+    """All headline figures at a time when the 90 days leave out the first signals."""
+    s, b, e = X.signals(spark, sf_dir), X.buys(spark, sf_dir), X.table(spark, sf_dir, "events")
+    sells = b.filter("sold_at is not null").select("id", F.col("sold_at").alias("detected_at"))
+    watch = e.select("event_type").distinct().select(F.when(F.length("event_type") % 2 == 0, "watching").otherwise("expired").alias("status"))
+    label = F.when(F.col("user_id") % 3 == 0, "risk_on").when(F.col("user_id") % 3 == 1, "risk_off").otherwise("neutral")
+    regimes = e.select(F.col("event_id").alias("id"), label.alias("label"), F.col("ts").alias("determined_at"), F.col("value").alias("atr_percentile"))
+    return _round(reports.overview(s, sells, watch, b, regimes, _signal_evaluations(spark, sf_dir), X.ts("2024-04-09 00:00:00")))
 
 
 @query(
@@ -567,16 +686,27 @@ SELECT (SELECT count(*) FROM signals WHERE detected_at >= TIMESTAMP '2024-01-30'
 def overview_kpis(spark, sf_dir):
     s, b = X.signals(spark, sf_dir), X.buys(spark, sf_dir)
     sells = b.filter("sold_at is not null").select("id", F.col("sold_at").alias("detected_at"))
-    rows = expectancy.evaluation_rows(s, _signal_evaluations(spark, sf_dir), X.ts(NOW))
-    watch, regimes = spark.createDataFrame([], "status string"), spark.createDataFrame([], "id bigint, label string")
-    o = reports.overview(s, sells, watch, b, regimes, rows, X.ts("2024-01-31 00:00:00"))
+    o = reports.overview(s, sells, schemas.empty(spark, "watchlist"), b, schemas.empty(spark, "regime_snapshots"), _signal_evaluations(spark, sf_dir), X.ts("2024-01-31 00:00:00"))
     return _round(o.select("signals_24h", "signals_7d", "sells_7d", "open_buys", "evaluated", "win_rate"))
 
 
-@query()
+@query(
+    X.with_sql("o1h", "o4h", "o1d")
+    + R.SCORED
+    + f" SELECT symbol, {R.TITLE} AS title, array_to_string({R.REASONS}, ' | ') AS reasons, {R.BODY} AS body, reversal_pattern AS pattern FROM scored"
+)
 def alert_messages(spark, sf_dir):
-    s = score_symbols(spark, sf_dir)
-    return s.select("symbol", alerts.title(F.col("symbol"), F.col("severity")).alias("title"), alerts.reasons().alias("reasons"), alerts.body().alias("body"), alerts.pattern_of(F.col("score_breakdown")).alias("pattern"))
+    s = _scored(spark, sf_dir)
+    return s.select("symbol", alerts.title(F.col("symbol"), F.col("severity")).alias("title"), F.array_join(alerts.reasons(), " | ").alias("reasons"), alerts.body().alias("body"), alerts.pattern_of(F.col("score_breakdown")).alias("pattern"))
+
+
+@query(
+    X.with_sql("signals", "rich")
+    + f" SELECT id, {R.TITLE} AS title, array_to_string({R.REASONS}, ' | ') AS reasons, {R.BODY} AS body FROM rich"
+)
+def signal_messages(spark, sf_dir):
+    s = X.rich_signals(spark, sf_dir)
+    return s.select("id", alerts.title(F.col("symbol"), F.col("severity")).alias("title"), F.array_join(alerts.reasons(), " | ").alias("reasons"), alerts.body().alias("body"))
 
 
 # --- further readers, rules and scalars ------------------------------------
@@ -630,19 +760,14 @@ def asof_prices(spark, sf_dir):
     return evaluation.price_at_or_after(targets, _bars(spark, sf_dir, "1h", X.ticks_events)).select(F.col("key").alias("id"), "price")
 
 
-def _tier_sql(value: str, tiers, op: str) -> str:
-    cases = "".join(f" WHEN {value} {op} {level} THEN {points}" for level, points in reversed(list(zip(*tiers, strict=True))))
-    return f"CASE{cases} ELSE 0 END"
-
-
 _P = scoring.Scoring()
 
 
 @query(
     f"""WITH v AS (SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value % 50 END AS v FROM events)
-SELECT id, {_tier_sql('v', _P.drops['7d'], '>=')} AS drop_7d, {_tier_sql('v', _P.rsi_1h, '<=')} AS rsi_1h, least({_tier_sql('v', _P.rsi_1h, '<=')} + {_tier_sql('v', _P.rsi_4h, '<=')}, 20) AS rsi,
-  {_tier_sql('v', _P.rel_volume, '>=')} AS volume, CASE WHEN v <= 0.5 THEN 15 WHEN v <= 1.5 THEN 12 WHEN v <= 3 THEN 8 WHEN v <= 5 THEN 4 ELSE 0 END AS support,
-  least({_tier_sql('v', _P.discount_30d, '>=')} + {_tier_sql('v', _P.discount_180d, '>=')}, 10) AS discount FROM v"""
+SELECT id, {R.tier('v', _P.drops['7d'], '>=')} AS drop_7d, {R.tier('v', _P.rsi_1h, '<=')} AS rsi_1h, least({R.tier('v', _P.rsi_1h, '<=')} + {R.tier('v', _P.rsi_4h, '<=')}, 20) AS rsi,
+  {R.tier('v', _P.rel_volume, '>=')} AS volume, CASE WHEN v <= 0.5 THEN 15 WHEN v <= 1.5 THEN 12 WHEN v <= 3 THEN 8 WHEN v <= 5 THEN 4 ELSE 0 END AS support,
+  least({R.tier('v', _P.discount_30d, '>=')} + {R.tier('v', _P.discount_180d, '>=')}, 10) AS discount FROM v"""
 )
 def factor_points(spark, sf_dir):
     v = F.when(F.col("event_id") % 11 != 0, F.col("value") % 50)
@@ -720,5 +845,4 @@ def severities_in_order(spark, sf_dir):
     + """, t AS (SELECT count(*) AS considered FROM signals) SELECT considered, count(*) FILTER (severity IS NULL) AS below_threshold, count(DISTINCT symbol) AS symbols FROM signals, t GROUP BY considered"""
 )
 def scan_counters(spark, sf_dir):
-    s = X.signals(spark, sf_dir)
-    return s.agg(F.count(F.lit(1)).alias("considered"), F.count_if(F.col("severity").isNull()).alias("below_threshold"), F.countDistinct("symbol").alias("symbols"))
+    return reports.scan_counters(X.signals(spark, sf_dir))

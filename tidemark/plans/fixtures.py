@@ -89,6 +89,31 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Factors that spread the prices of ``rich_signals`` over magnitudes.
+FACTORS = (0.000001, 0.001, 1.0, 100.0, 10000.0, 1000000.0)
+PATTERNS = ("hammer", "doji", None, "")
+
+
+def rich_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``signals`` with the columns that messages are made of, derived from id and price."""
+    c, v = F.col, F.col("price_at_signal")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (c("id") % len(values)).cast("int"))
+    return signals(spark, sf_dir).withColumns(
+        {
+            "trigger_reason": F.lit("scan"),
+            "drop_24h_pct": F.when(c("id") % 9 != 0, v % 7 - 1),
+            "rsi_1h": v % 60,
+            "rel_volume": v % 3,
+            "reversal_pattern": pick(PATTERNS),
+            "dist_support_pct": v % 9,
+            "support_level_price": v * pick(FACTORS),
+            "distance_from_30d_high_pct": v % 50,
+            "distance_from_180d_high_pct": v % 45,
+            "price_at_signal": v * pick(FACTORS),
+        }
+    )
+
+
 def buys(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
     sold = F.col("event_id") % 3 == 0
@@ -122,6 +147,11 @@ SQL: dict[str, str] = {
     ['1h', '24h', '7d', '30d', '180d'][u5 + 1] AS dominant_trigger_timeframe, price_at_signal % 40 AS drop_trigger_pct
   FROM (SELECT event_id AS id, event_type AS symbol, ts AS detected_at, date_trunc('hour', ts) AS candle_hour, value AS price_at_signal,
     CAST(40 + (CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) * 7) % 61 AS INTEGER) AS score, user_id % 4 AS u4, user_id % 5 AS u5 FROM events)
+)""",
+    "rich": f"""rich AS (
+  SELECT * REPLACE (price_at_signal * f AS price_at_signal), 'scan' AS trigger_reason, CASE WHEN id % 9 <> 0 THEN price_at_signal % 7 - 1 END AS drop_24h_pct, price_at_signal % 60 AS rsi_1h, price_at_signal % 3 AS rel_volume,
+    ['hammer', 'doji', NULL, ''][id % 4 + 1] AS reversal_pattern, price_at_signal % 9 AS dist_support_pct, price_at_signal * f AS support_level_price, price_at_signal % 50 AS distance_from_30d_high_pct, price_at_signal % 45 AS distance_from_180d_high_pct
+  FROM (SELECT *, [{', '.join(f'{f}::DOUBLE' for f in FACTORS)}][id % 6 + 1] AS f FROM signals)
 )""",
     "buys": """buys AS (
   SELECT event_id AS id, event_type AS symbol, ts AS bought_at, value AS price, 100.0::DOUBLE AS amount_invested,
