@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,27 +36,42 @@ def ticks_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("qty"))
 
 
+def _start(ts: Column, n: int) -> Column:
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", zero, ts) / n) * n, zero)
+
+
+def _bar(bars: DataFrame, interval: str) -> DataFrame:
+    end = F.timestamp_add("SECOND", F.lit(SECONDS[interval] - 1), "open_time")
+    return bars.select("symbol", F.lit(interval).alias("interval"), "open_time", "open", "high", "low", "close", "volume", end.alias("close_time"))
+
+
 def candles(ticks: DataFrame, interval: str) -> DataFrame:
-    """OHLCV bars of an interval; one hash aggregate with map-side combine."""
-    n = SECONDS[interval]
+    """OHLCV bars of an interval; one hash aggregate with map-side combine.
+
+    Ticks are in order of time and sequence number, as one number: a pair of
+    them would be kept in a sorting aggregate.
+    """
     zero = ts("1970-01-01 00:00:00")
-    start = F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", zero, "ts") / n) * n, zero)
-    at = F.struct("ts", "seq")
-    return (
-        ticks.groupBy("symbol", start.alias("open_time"))
-        .agg(
-            F.min_by("price", at).alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", at).alias("close"),
-            F.sum("qty").alias("volume"),
-        )
-        .select("symbol", F.lit(interval).alias("interval"), "open_time", "open", "high", "low", "close", "volume", F.timestamp_add("SECOND", F.lit(n - 1), "open_time").alias("close_time"))
+    at = F.timestamp_diff("MICROSECOND", zero, "ts").cast("decimal(18,0)") * F.lit(Decimal(10**19)) + F.col("seq").cast("decimal(19,0)")
+    bars = ticks.groupBy("symbol", _start(F.col("ts"), SECONDS[interval]).alias("open_time")).agg(
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("qty").alias("volume")
+    )
+    return _bar(bars, interval)
+
+
+def coarser(bars: DataFrame, interval: str) -> DataFrame:
+    """Bars of a longer interval from those of a shorter one that divides it."""
+    up = bars.groupBy("symbol", _start(F.col("open_time"), SECONDS[interval]).alias("open_time")).agg(
+        F.min_by("open", "open_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "open_time").alias("close"), F.sum("volume").alias("volume")
     )
+    return _bar(up, interval)
 
 
 def all_candles(ticks: DataFrame) -> DataFrame:
-    return candles(ticks, "1h").unionByName(candles(ticks, "4h")).unionByName(candles(ticks, "1d"))
+    """Bars of all intervals; ticks are aggregated to the hour once."""
+    hours = candles(ticks, "1h")
+    return hours.unionByName(coarser(hours, "4h")).unionByName(coarser(hours, "1d"))
 
 
 def _digits(props: Column) -> Column:
