@@ -12,10 +12,14 @@ Buckets return a spanning forest of their links, never all pairs.  A bucket
 over ``split_over`` members is divided again, without loss: members agree on
 the masked bits, and of r+1 blocks of the free bits one must agree as well.
 
+Joins on fingerprints, components and hubs of the graph go through
+``join_hot``, so that a group with a third of all rows stays spread.
+
 Edge cases: null, empty and blank texts have fingerprint zero and are linked
 like any other; fewer than four words form one shingle; repeated rows share
-their fingerprint; repeated ids are one node; an empty table gives no rows;
-other columns of the input are not read.
+their fingerprint; rows of one id with different texts are linked by their
+texts only; rows without an id don't count for the least id; an empty table
+gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import join_hot, map_rows, written
 
 SEED = 42
 BITS = 64
@@ -224,14 +228,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     for _ in range(max_rounds):
+        total = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_hot(both, least, ["a"], "n", total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.filter("a <> b").distinct(), "edges")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        root = down.groupBy("a").agg(F.min("b").alias("m"))
+        root = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            down.join(root, "a")
+            join_hot(down, root, ["a"], "n", total)
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.*")
             .filter("a <> b")
@@ -250,27 +255,39 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return children.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id, the least id reachable."""
-    prints = written(fingerprints(df, [doc_id], text), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min(doc_id).alias("_first"))
-    roots = components(links(least, radius))
+def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: doc_id, ``keep``, fp, root, component_id.
+
+    ``root`` is the component's least fingerprint, ``component_id`` the least
+    id of its rows (null if none has an id).
+    """
+    prints = written(fingerprints(df, [doc_id, *(keep or [])], text), "fingerprints")
+    least = prints.groupBy("fp").agg(F.min(f"`{doc_id}`").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    least = written(least, "distinct-fingerprints")
+    roots = components(links(least.select("fp"), radius))
     # fingerprints alone in their component keep their own
     tagged = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    tagged = tagged.select("fp", "_first", F.coalesce("root", "fp").alias("_root"))
-    ids = tagged.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = tagged.join(ids, "_root").select("fp", "component_id")
-    return prints.join(named, "fp").select(doc_id, "fp", "component_id")
+    tagged = written(tagged.select("fp", "_first", "_n", F.coalesce("root", "fp").alias("root")), "tagged-fingerprints")
+    ids = tagged.groupBy("root").agg(F.min("_first").alias("component_id"), F.count(F.lit(1)).alias("_prints"))
+    named = join_hot(tagged.select("fp", "_n", "root"), ids, ["root"], "_prints", tagged.count())
+    named = written(named, "named-fingerprints")
+    return join_hot(prints, named, ["fp"], "_n", prints.count()).select(*[f"`{c}`" for c in (doc_id, *(keep or []))], "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
     """One row of ``docs`` for each group, all its columns untouched.
 
-    The row with the least id stays; of rows with the same id and text one
-    stays.  Rows with a null id are kept apart from the groups and all stay.
+    The row with the least id stays; of different texts with that id in one
+    group the one with the least fingerprint and digest stays, and of rows
+    that are equal in id and text one.  Two texts of one id that are in no
+    common group both stay.  Rows with a null id are kept apart and all stay.
     """
-    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id is not null")
-    first = groups(ids, radius=radius).select(F.col("component_id").alias("_keep")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("_id"))
-    stay = rows.join(first, F.col("_id") == F.col("_keep"), "left_semi").dropDuplicates(["_id"])
-    return stay.select("row.*").unionByName(rows.filter("_id is null").select("row.*"))
+    digest = F.coalesce(F.sha2(F.col(f"`{text}`").cast("binary"), 256), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("_id"), digest.alias("_digest"))
+    ids = rows.filter("_id is not null").select("_id", "_digest", F.col(f"row.`{text}`").alias("text"))
+    grouped = groups(ids, "_id", radius=radius, keep=["_digest"])
+    same = grouped.groupBy("root", "_id", "fp", "_digest").agg(F.count(F.lit(1)).alias("_n"))
+    first = same.groupBy("root").agg(F.min(F.struct("_id", "fp", "_digest", "_n")).alias("k"))
+    first = written(first.select("k._id", "k._digest", "k._n"), "first-of-groups")
+    stay = join_hot(rows, first, ["_id", "_digest"], "_n", ids.count(), "left_semi")
+    return stay.dropDuplicates(["_id", "_digest"]).select("row.*").unionByName(rows.filter("_id is null").select("row.*"))
