@@ -1,44 +1,59 @@
 """HTML main text by wrappers: union-free expressions inferred for each host.
 
 A page's block-level tags form a nested token stream.  Streams of one host are
-aligned one after another: equal texts stay constants, differing ones become
-text slots, tags that some pages lack become optional, and adjacent repeats
-become repeated groups.  The wrapper also sums how much text its slots hold and
-how much of that is links.  The main region is chosen in the wrapper (article
-or main elements, else the deepest element that holds most of the unlinked
-text), and every page is read along it.
-
-Each task folds the pages of a host as they come, so a host with a third of all
-pages sends one small wrapper per task; these are merged in two steps.  The
-joined wrapper table has a row per host.
+aligned one after another: texts that all pages share stay constants, differing
+ones become slots, tags that some pages lack become optional, and adjacent
+repeats become repeated groups.  The wrapper also sums how much text its slots
+hold and how much of that is links.  It decides two things for every page of
+the host: the main region (article or main elements, else the deepest element
+that holds most of the unlinked text), and which texts inside the region are
+the template's and not the page's: constants that every page of a host with at
+least ``MIN_PAGES`` different pages has, as long as they are at most
+``MAX_CONSTANT`` of the region's text.
+
+Pages of one shape (the expression of a single page) are summed up in each
+task, which is exact in any order.  The distinct shapes of a host are aligned in
+their sorted order, first in buckets by a hash of the shape, then bucket by
+bucket, so the wrapper does not depend on how the pages are partitioned, a host
+with a third of all pages is spread over buckets, and a task holds one wrapper
+at a time.  The joined wrapper table has a row per host; frequent hosts are
+joined by broadcast (``join_hot``), so their pages are not shuffled.
 
 Edge cases: null and empty pages have the empty text; a page without a host is
-a host of its own (""); pages that have no text in their host's main region are
-read by a wrapper of their own; broken markup is closed as it must be; nesting
-beyond ``DEPTH`` counts as content of the element at that depth; repeated rows
-and further columns pass through.
+of the host ""; pages that have no text in their host's main region are read by
+a wrapper of their own; broken markup is closed as it must be; elements nested
+deeper than ``DEPTH`` count as content of the element at that depth; repeated
+rows and further columns pass through, also those with the names of helpers.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import zlib
+import sys
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_rows, written
+from .common import free_name, join_hot, map_rows, small_batches, written
 
-DEPTH = 64
+#: Elements inside each other that are told apart; far beyond what browsers take.
+DEPTH = 10_000
 #: Pairs of children up to which the longest common subsequence is exact.
 MAX_PAIRS = 400 * 400
+#: Buckets of a host's shapes.
+BUCKETS = 64
+#: Nodes that a task holds before it hands its sums on.
+HELD_NODES = 400_000
+#: Different pages that a host must have for its constants to count, and the largest share of the region's text that they may be.
+MIN_PAGES = 5
+MAX_CONSTANT = 0.2
 #: HTML's elements without content, raw text elements and block elements.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg".split())
@@ -116,11 +131,14 @@ def events(html: str) -> list[tuple[str, str, bool]]:
     """
     out: list[tuple[str, str, bool]] = []
     stack: list[str] = []
+    names: list[str] = []
+    opened: Counter[str] = Counter()
     links, at, n = 0, 0, len(html)
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
             out.append(("-", stack.pop(), False))
+            opened[names.pop()] -= 1
 
     def text(s: str) -> None:
         if s:
@@ -149,21 +167,22 @@ def events(html: str) -> list[tuple[str, str, bool]]:
         elif tag in BLOCK:
             links = 0
             if end:
-                names = [s.split(".", 1)[0] for s in stack]
-                if tag in names:
-                    close_to(len(names) - 1 - names[::-1].index(tag))
+                if opened[tag] > 0:
+                    k = len(names) - 1
+                    while names[k] != tag:
+                        k -= 1
+                    close_to(k)
                 continue
-            names = [s.split(".", 1)[0] for s in stack[-12:]]
-            if "p" in names and tag not in ("option", "button", "label", "output", "select"):
-                close_to(len(stack) - len(names) + names.index("p"))
+            near = names[-12:]
+            if "p" in near and tag not in ("option", "button", "label", "output", "select"):
+                close_to(len(stack) - len(near) + near.index("p"))
             shut, stop = CLOSES.get(tag, (None, None))
             if shut:
                 cut = None
                 for k in range(len(stack) - 1, -1, -1):
-                    name = stack[k].split(".", 1)[0]
-                    if name in stop:
+                    if names[k] in stop:
                         break
-                    if name in shut:
+                    if names[k] in shut:
                         cut = k
                 if cut is not None:
                     close_to(cut)
@@ -173,6 +192,8 @@ def events(html: str) -> list[tuple[str, str, bool]]:
                 out.append(("-", sig, False))
             else:
                 stack.append(sig)
+                names.append(tag)
+                opened[tag] += 1
     close_to(0)
     return cleared(out)
 
@@ -216,55 +237,88 @@ def cleared(stream: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
 
 
 # A wrapper node is a list: signature, occurrence (1 ? + *), unlinked and linked
-# characters, the constant text of a text node (None: a slot), child nodes.
-SIG, OCC, CHARS, LINKED, CONST, KIDS = range(6)
+# characters, the texts that every page with the node has (of a text node; none:
+# a slot), child nodes.
+SIG, OCC, CHARS, LINKED, SEEN, KIDS = range(6)
 GROUP, TEXT = "()", "#text"
+NONE: frozenset[int] = frozenset()
+
+
+def line_of(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
+def mark(line: str) -> int:
+    """A text as a number: 32 bits of a hash and its length (up to 20 bits)."""
+    return xxhash.xxh32_intdigest(line.encode("utf-8", "surrogatepass")) << 20 | min(len(line), (1 << 20) - 1)
+
+
+def child(path: int, sig: str) -> int:
+    """The path of an element inside an element."""
+    return xxhash.xxh64_intdigest(sig, path) >> 1
 
 
 def skeleton(stream: list[tuple[str, str, bool]]) -> list:
     """One page as a wrapper."""
-    root = ["", "1", 0, 0, None, []]
-    path = [root]
+    root = ["", "1", 0, 0, NONE, []]
+    path, held = [root], []
     deep = 0
+
+    def flush() -> None:
+        """The texts since the last tag are one text node."""
+        if held:
+            size = [0, 0]
+            for value, linked in held:
+                size[linked] += len(" ".join(value.split()))
+            if sum(size):
+                path[-1][KIDS].append([TEXT, "1", *size, frozenset((mark(line_of([v for v, _ in held])),)), []])
+            held.clear()
+
     for kind, value, linked in stream:
-        top = path[-1]
         if kind == "t":
-            size = len(value.split()) and len(" ".join(value.split()))
-            if not size:
-                continue
-            kids = top[KIDS]
-            if not kids or kids[-1][SIG] != TEXT:
-                kids.append([TEXT, "1", 0, 0, 0, []])
-            leaf = kids[-1]
-            leaf[LINKED if linked else CHARS] += size
-            leaf[CONST] = zlib.crc32(value.strip().encode("utf-8", "surrogatepass"), leaf[CONST])
-        elif kind == "+":
+            held.append((value, linked))
+            continue
+        flush()
+        if kind == "+":
             if len(path) > DEPTH:
                 deep += 1
                 continue
-            node = [value, "1", 0, 0, None, []]
-            top[KIDS].append(node)
+            node = [value, "1", 0, 0, NONE, []]
+            path[-1][KIDS].append(node)
             path.append(node)
         elif deep:
             deep -= 1
         else:
             node = path.pop()
             node[KIDS] = repeats(node[KIDS])
+    flush()
     root[KIDS] = repeats(root[KIDS])
     return root
 
 
 def key(node: list) -> str:
-    return node[SIG] if node[SIG] != GROUP else GROUP + " ".join(map(key, node[KIDS]))
+    return node[SIG] if node[SIG] != GROUP else GROUP + " ".join([key(k) for k in node[KIDS]])
 
 
-def merge(a: list, b: list) -> list:
-    """Two nodes of one key as one."""
+def merge(a: list, b: list, across: bool = True) -> list:
+    """Two nodes of one key as one: of different pages, or (not ``across``) of one.
+
+    Texts that both pages have stay, or those that either has in its page.
+    """
     many = a[OCC] in "+*" or b[OCC] in "+*"
     maybe = a[OCC] in "?*" or b[OCC] in "?*"
     occ = ("*" if maybe else "+") if many else ("?" if maybe else "1")
-    const = a[CONST] if a[CONST] == b[CONST] else None
-    return [a[SIG], occ, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], const, align(a[KIDS], b[KIDS])]
+    if across:
+        seen = a[SEEN] & b[SEEN]
+    else:
+        a, b = (x if x[OCC] in "1+" else unsure(x) for x in (a, b))
+        seen = a[SEEN] | b[SEEN]
+    return [a[SIG], occ, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], seen, align(a[KIDS], b[KIDS], across)]
+
+
+def unsure(node: list) -> list:
+    """A node that a page may lack promises no text."""
+    return [*node[:SEEN], NONE, [unsure(k) for k in node[KIDS]]]
 
 
 def optional(node: list) -> list:
@@ -280,15 +334,16 @@ def repeats(nodes: list[list]) -> list[list]:
             unit = keys[i : i + size]
             j = i + size
             if len(unit) == size and keys[j : j + size] == unit and TEXT not in unit[: 1 if size == 1 else 0]:
-                joined = nodes[i:j]
+                joined, sure = nodes[i:j], nodes[i][OCC] in "1+"
                 while keys[j : j + size] == unit:
-                    joined = [merge(x, y) for x, y in zip(joined, nodes[j : j + size], strict=True)]
+                    sure = sure or nodes[j][OCC] in "1+"
+                    joined = [merge(x, y, False) for x, y in zip(joined, nodes[j : j + size], strict=True)]
                     j += size
                 if size == 1:
                     x = joined[0]
-                    out.append([x[SIG], "*" if x[OCC] in "?*" else "+", *x[CHARS:]])
+                    out.append([x[SIG], "+" if sure else "*", *x[CHARS:]])
                 else:
-                    out.append([GROUP, "+", 0, 0, None, joined])
+                    out.append([GROUP, "+", 0, 0, NONE, joined])
                 i = j
             else:
                 out.append(nodes[i])
@@ -365,88 +420,179 @@ def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     return [*((i, i) for i in range(head)), *((head + i, head + j) for i, j in inner), *((len(x) - k, len(y) - k) for k in range(tail, 0, -1))]
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
+def align(a: list[list], b: list[list], across: bool = True) -> list[list]:
     """A common subsequence (the longest, if the lists are not long) is merged, the rest becomes optional; nothing is left out."""
     x, y = [key(n) for n in a], [key(n) for n in b]
     if x == y:
-        return [merge(p, q) for p, q in zip(a, b, strict=True)]
+        return [merge(p, q, across) for p, q in zip(a, b, strict=True)]
     i = j = 0
     out = []
     for p, q in [*matches(x, y), (len(a), len(b))]:
         out += [optional(n) for n in a[i:p]] + [optional(n) for n in b[j:q]]
         if p < len(a):
-            out.append(merge(a[p], b[q]))
+            out.append(merge(a[p], b[q], across))
         i, j = p + 1, q + 1
     return repeats(out)
 
 
-def expression(node: list) -> str:
+def preorder(root: list) -> Iterator[tuple[list, int]]:
+    """Nodes with the place of their parent; after a node (-1: its end)."""
+    todo = [(root, -1)]
+    n = 0
+    while todo:
+        node, parent = todo.pop()
+        yield node, parent
+        if node is not END:
+            todo.append((END, -1))
+            todo += [(k, n) for k in reversed(node[KIDS])]
+            n += 1
+
+
+#: Stands for the end of an element in ``preorder``.
+END: list = []
+
+
+def flat(root: list) -> tuple[str, list[int], list[int], list[list[int]]]:
+    """A wrapper as its shape and, node by node, its characters and texts."""
+    shape, chars, linked, seen = [], [], [], []
+    for node, _ in preorder(root):
+        if node is END:
+            shape.append(")")
+        else:
+            shape.append(node[OCC] + node[SIG])
+            chars.append(node[CHARS])
+            linked.append(node[LINKED])
+            seen.append(sorted(node[SEEN]))
+    return " ".join(shape), chars, linked, seen
+
+
+def tree(shape: str, chars: list[int], linked: list[int], seen: list[list[int]]) -> list:
+    """The wrapper of ``flat``."""
+    path, n, root = [], 0, None
+    for token in shape.split(" "):
+        if token == ")":
+            root = path.pop()
+        else:
+            node = [token[1:], token[0], int(chars[n]), int(linked[n]), frozenset(map(int, seen[n])), []]
+            n += 1
+            if path:
+                path[-1][KIDS].append(node)
+            path.append(node)
+    return root
+
+
+def expression(root: list) -> str:
     """The wrapper as a union-free regular expression."""
-    if node[SIG] == TEXT:
-        inner = "#slot" if node[CONST] is None else "#const"
-    elif node[SIG] == GROUP:
-        inner = "(" + " ".join(map(expression, node[KIDS])) + ")"
-    else:
-        inner = f"<{node[SIG]}>" + "".join(map(expression, node[KIDS])) + f"</{node[SIG].split('.')[0]}>"
-    return inner + (node[OCC] if node[OCC] != "1" else "")
+    out, path = [], []
+    for node, _ in preorder(root):
+        if node is END:
+            node = path.pop()
+            if node[SIG] == GROUP:
+                out[-1] = out[-1].rstrip(" ")
+                out.append(")")
+            elif node[SIG] != TEXT:
+                out.append(f"</{node[SIG].split('.')[0]}>")
+            out.append((node[OCC] if node[OCC] != "1" else "") + (" " if path and path[-1][SIG] == GROUP else ""))
+        else:
+            path.append(node)
+            out.append({TEXT: "#const" if node[SEEN] else "#slot", GROUP: "("}.get(node[SIG], f"<{node[SIG]}>"))
+    return "".join(out)
+
+
+def weights(root: list) -> dict[int, int]:
+    """Of every node, by id(): unlinked characters that are not set aside, less the linked ones."""
+    nodes = [(n, p) for n, p in preorder(root) if n is not END]
+    sums = [n[CHARS] - n[LINKED] for n, _ in nodes]
+    for i in range(len(nodes) - 1, -1, -1):
+        node, parent = nodes[i]
+        if node[SIG] not in ("", TEXT, GROUP) and is_aside(node[SIG]):
+            sums[i] = 0
+        if parent >= 0:
+            sums[parent] += sums[i]
+    return {id(n): s for (n, _), s in zip(nodes, sums, strict=True)}
 
 
-def _text(node: list) -> int:
-    """Unlinked characters that are not set aside, less the linked ones."""
-    if node[SIG] not in ("", TEXT, GROUP) and is_aside(node[SIG]):
-        return 0
-    return node[CHARS] - node[LINKED] + sum(map(_text, node[KIDS]))
+#: Elements that may wrap the main text without being it.
+_AROUND = set("html body div section table tbody tr td center dl dd".split())
 
 
-def main_region(root: list) -> list[str]:
-    """Paths (signatures joined by /) of the elements that hold the main text."""
-    found: dict[str, list[tuple[str, int]]] = {"article": [], "main": []}
-    todo = [(root, "")]
+def main_region(root: list) -> list[int]:
+    """Paths of the elements that hold the main text."""
+    weight = weights(root)
+    articles, mains, sizes = set(), set(), {"article": 0, "main": 0}
+    todo = [(root, 0, False)]
     while todo:
-        node, path = todo.pop()
+        node, path, in_main = todo.pop()
         for kid in node[KIDS]:
             if kid[SIG] == TEXT:
                 continue
             if kid[SIG] == GROUP:
-                todo.append((kid, path))
+                todo.append((kid, path, in_main))
                 continue
             if is_aside(kid[SIG]):
                 continue
-            at = f"{path}/{kid[SIG]}"
+            at, size = child(path, kid[SIG]), weight[id(kid)]
             tag = kid[SIG].split(".", 1)[0]
-            kind = "main" if tag == "main" or ".main" in kid[SIG] and tag in ("div", "section") else tag
-            if kind in found and (size := _text(kid)) > 0:
-                found[kind].append((at, size))
-                if kind == "article":
-                    continue
-            todo.append((kid, at))
-    articles, mains = (sum(s for _, s in found[k]) for k in ("article", "main"))
-    if articles and articles >= 0.5 * mains:
-        return sorted({p for p, _ in found["article"]})
+            if tag == "article" and size > 0:
+                articles.add(at)
+                sizes["article"] += size
+                continue
+            main = tag == "main" or (".main" in kid[SIG] and tag in ("div", "section"))
+            if main and not in_main and size > 0:
+                mains.add(at)
+                sizes["main"] += size
+            todo.append((kid, at, in_main or (main and size > 0)))
+    if articles and sizes["article"] >= 0.5 * sizes["main"]:
+        return sorted(articles)
     if mains:
-        outer = {p for p, _ in found["main"]}
-        return sorted(p for p in outer if not any(p != q and p.startswith(q + "/") for q in outer))
-    node, path = root, ""
+        return sorted(mains)
+    kids, path, size = root[KIDS], 0, weight[id(root)]
     while True:
         by: dict[str, list[list]] = {}
-        todo = list(node[KIDS])
+        todo = list(kids)
         while todo:
             kid = todo.pop()
             if kid[SIG] == GROUP:
                 todo += kid[KIDS]
             elif kid[SIG] != TEXT and not is_aside(kid[SIG]):
                 by.setdefault(kid[SIG], []).append(kid)
-        sizes = {s: sum(map(_text, ks)) for s, ks in by.items()}
-        top = max(sizes, key=lambda s: (sizes[s], s), default=None)
-        if top is None or top.split(".", 1)[0] not in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center", "dl", "dd") or sizes[top] < 0.7 * _text(node):
+        sums = {s: sum([weight[id(k)] for k in ks]) for s, ks in by.items()}
+        top = max(sums, key=lambda s: (sums[s], s), default=None)
+        if top is None or top.split(".", 1)[0] not in _AROUND or sums[top] < 0.7 * size:
             return [path]
-        path = f"{path}/{top}"
-        node = [top, "1", 0, 0, None, [k for n in by[top] for k in n[KIDS]]]
+        path, size = child(path, top), sums[top]
+        kids = [k for n in by[top] for k in n[KIDS]]
 
 
-def extract(stream: list[tuple[str, str, bool]], region: list[str]) -> str:
-    """The blocks of text inside the region, joined by blank lines."""
-    keep = set(region)
+def constants(root: list, region: list[int], pages: int) -> list[tuple[int, int]]:
+    """(path, mark) of the template's own texts in the region: those that every page has.
+
+    Headings of the first level are the page's.
+    """
+    keep, found = set(region), []
+    total = 0
+    path: list[tuple[int, bool, bool, str]] = [(0, 0 in keep, True, "")]
+    for node, _ in preorder(root):
+        if node is END:
+            path.pop()
+            continue
+        at, inside, always, tag = path[-1]
+        if node[SIG] == TEXT:
+            if inside:
+                total += node[CHARS]
+                if always and node[OCC] in "1+" and tag != "h1":
+                    found += [(at, m) for m in node[SEEN]]
+        elif node[SIG] not in ("", GROUP):
+            at, tag = child(at, node[SIG]), node[SIG].split(".", 1)[0]
+            inside = inside or at in keep
+        path.append((at, inside and not is_aside(node[SIG]), always and node[OCC] in "1+", tag))
+    size = sum([m & (1 << 20) - 1 for _, m in found]) * pages
+    return sorted(found) if 0 < size <= MAX_CONSTANT * total else []
+
+
+def extract(stream: list[tuple[str, str, bool]], region: list[int], drop: list[tuple[int, int]] = ()) -> str:
+    """The blocks of text inside the region but the template's own, joined by blank lines."""
+    keep, own = set(region), {tuple(d) for d in drop}
     titled, open_at = set(), []
     for i, (kind, value, _) in enumerate(stream):
         if kind == "+":
@@ -456,10 +602,10 @@ def extract(stream: list[tuple[str, str, bool]], region: list[str]) -> str:
         elif kind == "-":
             open_at.pop()
     blocks, block = [], []
-    path = [("", "" in keep, False)]
+    path = [(0, 0 in keep, False)]
 
     def flush() -> None:
-        if block and (line := " ".join("".join(block).split())):
+        if block and (line := line_of(block)) and not (own and (path[-1][0], mark(line)) in own):
             blocks.append(line)
         block.clear()
 
@@ -471,7 +617,7 @@ def extract(stream: list[tuple[str, str, bool]], region: list[str]) -> str:
             continue
         flush()
         if kind == "+":
-            here = f"{at}/{value}" if len(path) <= DEPTH else at
+            here = child(at, value) if len(path) <= DEPTH else at
             aside = aside or is_aside(value) or (is_head(value) and not (inside and i in titled))
             path.append((here, inside or here in keep, aside))
         else:
@@ -484,63 +630,137 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-def infer(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """One row per host: host, wrapper (expression), region (JSON list of paths)."""
+_WRAPPER = "host string, bucket int, shape string, chars array<long>, linked array<long>, seen array<array<long>>, pages long, sample array<long>"
+_NAMES = [f.split(" ")[0] for f in _WRAPPER.split(", ")]
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
-        part = TaskContext.get().partitionId()
 
-        def rows() -> pd.DataFrame:
-            out = [(h, part, json.dumps(w)) for h, w in sorted(held.items())]
-            held.clear()
-            return pd.DataFrame(out, columns=["host", "part", "wrapper"])
+class Sum:
+    """What pages of one shape, or wrappers of one shape, add up to."""
+
+    def __init__(self, chars, linked, seen, pages: int, sample):
+        self.chars, self.linked = list(chars), list(linked)
+        self.seen = [frozenset(s) for s in seen]
+        self.pages, self.sample = pages, set(sample)
+
+    def add(self, chars, linked, seen, pages: int, sample) -> None:
+        self.chars = [a + b for a, b in zip(self.chars, chars, strict=True)]
+        self.linked = [a + b for a, b in zip(self.linked, linked, strict=True)]
+        self.seen = [a.intersection(b) if a else a for a, b in zip(self.seen, seen, strict=True)]
+        self.pages += pages
+        self.sample = set(sorted(self.sample.union(sample))[:MIN_PAGES])
+
+    def row(self, host: str, bucket: int, shape: str) -> tuple:
+        return host, bucket, shape, self.chars, self.linked, [sorted(s) for s in self.seen], self.pages, sorted(self.sample)
+
+
+def _shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages (host, html) summed up by shape."""
+    sys.setrecursionlimit(10 * DEPTH)
+    held: dict[tuple[str, str], Sum] = {}
+    size = 0
+
+    def rows() -> pd.DataFrame:
+        out = [s.row(h, xxhash.xxh32_intdigest(shape) % BUCKETS, shape) for (h, shape), s in held.items()]
+        held.clear()
+        return pd.DataFrame(out, columns=_NAMES)
+
+    for f in frames:
+        for h, t in zip(f["host"], f["html"], strict=True):
+            shape, chars, linked, seen = flat(skeleton(events(t or "")))
+            sample = [xxhash.xxh64_intdigest(json.dumps(seen)) >> 1]
+            if (h, shape) in held:
+                held[h, shape].add(chars, linked, seen, 1, sample)
+            else:
+                held[h, shape] = Sum(chars, linked, seen, 1, sample)
+                size += len(chars)
+            if size > HELD_NODES:
+                yield rows()
+                size = 0
+    yield rows()
+
+
+def _aligned(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows sorted by ``keys`` and shape to one row for each value of ``keys``, holding one wrapper."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.setrecursionlimit(10 * DEPTH)
+        now, shape, same, root, pages, sample, done = None, None, None, None, 0, set(), []
+
+        def close_shape() -> None:
+            nonlocal root, pages, sample
+            node = tree(shape, same.chars, same.linked, same.seen)
+            root = node if root is None else merge(root, node)
+            pages, sample = pages + same.pages, set(sorted(sample | same.sample)[:MIN_PAGES])
+
+        def close_key() -> None:
+            nonlocal root, pages, sample
+            close_shape()
+            text, chars, linked, seen = flat(root)
+            done.append(Sum(chars, linked, seen, pages, sample).row(now[0], now[1] if len(now) > 1 else 0, text))
+            root, pages, sample = None, 0, set()
 
         for f in frames:
-            for h, t in zip(f["host"], f["html"], strict=True):
-                page = skeleton(events(t or ""))
-                held[h] = merge(held[h], page) if h in held else page
-                if len(held) > 5_000:
-                    yield rows()
-        yield rows()
-
-    def joined(frame: pd.DataFrame) -> pd.DataFrame:
-        root = None
-        for w in sorted(frame["wrapper"]):
-            w = json.loads(w)
-            root = w if root is None else merge(root, w)
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "part": [0], "wrapper": [json.dumps(root)]})
-
-    schema = "host string, part int, wrapper string"
-    partial = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(fold, schema)
-    step = partial.withColumn("part", F.col("part") % 64).groupBy("host", "part").applyInPandas(joined, schema)
-    whole = step.groupBy("host").applyInPandas(joined, schema)
+            for row in f.itertuples(index=False):
+                k, values = tuple(getattr(row, c) for c in keys), (row.chars, row.linked, row.seen, row.pages, row.sample)
+                if now == k and shape == row.shape:
+                    same.add(*values)
+                    continue
+                if now == k:
+                    close_shape()
+                elif now is not None:
+                    close_key()
+                now, shape, same = k, row.shape, Sum(*values)
+            if done:
+                yield pd.DataFrame(done, columns=_NAMES)
+                done.clear()
+        if now is not None:
+            close_key()
+            yield pd.DataFrame(done, columns=_NAMES)
+
+    return run
+
+
+def infer(pages: DataFrame, host: str, html: str) -> DataFrame:
+    """One row per host: host, pages, expression, region (JSON list of paths), constants (JSON list of path and mark)."""
+    shapes = small_batches(pages).select(F.col(f"`{host}`").alias("host"), F.col(f"`{html}`").alias("html")).mapInPandas(_shapes, _WRAPPER)
+    for keys in (["host", "bucket"], ["host"]):
+        shapes = shapes.repartition(*keys).sortWithinPartitions(*keys, "shape", "bucket").mapInPandas(_aligned(keys), _WRAPPER)
 
     def make():
-        def work(texts):
-            for t in texts:
-                root = json.loads(t)
-                yield expression(root), json.dumps(main_region(root))
+        sys.setrecursionlimit(10 * DEPTH)
+
+        def work(shape, chars, linked, seen, n, sample):
+            for s, c, k, t, pages, some in zip(shape, chars, linked, seen, n, sample, strict=True):
+                root = tree(s.decode(), c, k, t)
+                region = main_region(root)
+                yield expression(root), json.dumps(region), json.dumps(constants(root, region, pages) if len(some) >= MIN_PAGES else [])
 
         return work
 
-    return map_rows(whole, ["wrapper"], "expression string, region string", make, keep=["host"])
+    inputs = ["shape", "chars", "linked", "seen", "pages", "sample"]
+    return map_rows(shapes, inputs, "expression string, region string, constants string", make, keep=["host", "pages"])
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "main_text", keep: list[str] | None = None) -> DataFrame:
     """``pages`` (or its columns ``keep``) with the main text of every page in ``out``."""
-    name = free_name(pages, "_host")
-    tagged = pages.withColumn(name, host_of(F.col(f"`{url}`")))
-    wrappers = written(infer(tagged, name, html), "wrappers").select(F.col("host").alias("_wrapper_host"), F.col("region").alias("_region"))
-    joined = tagged.join(wrappers, F.col(name) == F.col("_wrapper_host"), "left")
+    host, region, drop, size = (free_name(pages, c) for c in ("_host", "_region", "_constants", "_pages"))
+    tagged = pages.withColumn(host, host_of(F.col(f"`{url}`")))
+    wrappers = written(infer(tagged, host, html), "wrappers")
+    total = wrappers.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    wrappers = wrappers.select(F.col("host").alias(host), F.col("region").alias(region), F.col("constants").alias(drop), F.col("pages").alias(size))
+    joined = join_hot(tagged, wrappers, [host], size, total)
 
     def make():
-        def work(texts, regions):
-            for t, r in zip(texts, regions, strict=True):
+        def work(texts, regions, drops):
+            for t, r, d in zip(texts, regions, drops, strict=True):
                 stream = events((t or b"").decode())
-                text = extract(stream, json.loads(r)) if r else ""
+                text = extract(stream, json.loads(r), json.loads(d)) if stream else ""
                 yield (text or (extract(stream, main_region(skeleton(stream))) if stream else ""),)
 
-        return work
+        def deep(*lists):
+            sys.setrecursionlimit(10 * DEPTH)
+            return work(*lists)
+
+        return deep
 
-    return map_rows(joined, [html, "_region"], f"`{out}` string", make, keep=pages.columns if keep is None else keep)
+    return map_rows(joined, [html, region, drop], f"`{out}` string", make, keep=pages.columns if keep is None else keep)
