@@ -8,22 +8,24 @@ phrases run the backward search at once, word by word through its ranks, and
 the occurrences are located by walking to the next sampled suffix position.
 Occurrences are merged into removal spans of whole words.
 
-The test set is the stated query set: it is read in blocks of bounded size and
-each block is a pass over the same documents inside the same Spark stage, so no
-row is shuffled.  Everything a shard needs is rebuilt from its documents if an
-executor is lost.
+The test set is the stated query set: it is read in blocks of bounded size.
+Each block is one pass over the documents without a shuffle; passes run one
+after another and hand the documents on as a written table, so that the driver
+and a task hold one block at a time however many there are.  Everything a shard
+needs is rebuilt from its documents if an executor is lost.
 
 Edge cases: null and empty texts have no words and no hits; an item without
 words never occurs; items of fewer words than the window are one phrase;
-repeated items and repeated rows count each for themselves (items by item_id);
-an empty test set leaves every document clean; further columns pass through.
+every row of the test set is an item of its own, also if its item_id is repeated
+or null; repeated documents are searched one by one; an empty test set leaves
+every document clean; further columns pass through.  Results do not depend on
+the sizes of shards and blocks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import small_batches
+from .common import small_batches, written
 
 #: Bytes to the lower-cased word character, or to a space: 0-9, a-z and all above 0x7F are words.
 _FOLD = bytes(
@@ -42,7 +44,7 @@ WINDOW = 10
 #: Words in a shard; a longer document is a shard of its own.
 SHARD_WORDS = 1_000_000
 #: Test items in a block, and their words at most (an item is never cut).
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -52,10 +54,10 @@ def words(text: bytes | None) -> list[bytes]:
 class Phrases:
     """The distinct windows of a block of test items, as symbol rows by length."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.symbol: dict[bytes, int] = {}
         where: dict[tuple[int, ...], list[int]] = {}
-        self.items: list[str] = []
+        self.items: list[str | None] = []
         for item, text in items:
             ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words(text)]
             if not ids:
@@ -73,7 +75,7 @@ class Phrases:
             owners = [where[p] for p in rows]
             self.by_length.append(
                 (
-                    np.array(rows, np.int64),
+                    np.array(rows, np.int32),
                     np.cumsum([0, *map(len, owners)]),
                     np.array([k for o in owners for k in o], np.int64),
                 )
@@ -170,7 +172,7 @@ class FmIndex:
         for k in range(phrases.shape[1] - 2, -1, -1):
             if not len(live):
                 break
-            s = phrases[live, k]
+            s = phrases[live, k].astype(np.int64)
             lo[live] = self.first[s] + self.tree.rank(s, lo[live])
             hi[live] = self.first[s] + self.tree.rank(s, hi[live])
             live = live[lo[live] < hi[live]]
@@ -220,8 +222,8 @@ def occurrences(symbols: np.ndarray, phrases: Phrases) -> list[tuple[np.ndarray,
     return found
 
 
-def scan_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str]]]:
-    """For each document (as words): merged hit spans of words, and item ids."""
+def scan_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str | None]]]:
+    """For each document (as words): merged hit spans of words, and the ids of the items, one for each item."""
     get = phrases.symbol.get
     lengths = np.array([len(t) for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths + 1)])  # a break behind each document
@@ -229,7 +231,7 @@ def scan_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tu
     for t, o in zip(texts, offsets.tolist(), strict=False):
         symbols[o : o + len(t)] = [get(w, 0) for w in t]
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[list[str]] = [[] for _ in texts]
+    items: list[list[str | None]] = [[] for _ in texts]
     found = occurrences(symbols, phrases)
     if found:
         cover = np.zeros(len(symbols) + 1, np.int64)
@@ -251,7 +253,7 @@ def scan_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tu
     return list(zip(spans, items, strict=True))
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes | None]]]:
+def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, bytes | None]]]:
     """Test items in blocks of at most ``block_words`` words each."""
     block, held = [], 0
     rows = items.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{text}`"))
@@ -261,7 +263,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int = BL
         if block and held + n > block_words:
             yield block
             block, held = [], 0
-        block.append((str(item), t))
+        block.append((item, t))
         held += n
     if block:
         yield block
@@ -282,40 +284,48 @@ _FOUND = StructType(
 )
 
 
-def find(
-    docs: DataFrame,
-    items: DataFrame,
-    text: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    window: int = WINDOW,
-    shard_words: int = SHARD_WORDS,
-    block_words: int = BLOCK_WORDS,
-) -> DataFrame:
-    """Two structs for every document: ``row``, its columns, and ``found``.
+_FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
-    ``found`` has ``n_words``; ``spans``, the merged removal spans as word
-    numbers [start, end); ``items``, the ids of the items that occur.
-    """
+
+def _keep(batch: pa.RecordBatch, found: list[dict], at: int) -> pa.RecordBatch:
+    """The struct ``row`` of a batch with what was found."""
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=_FOUND_ARROW)], names=["row", "found"])
+
+
+def _cut(batch: pa.RecordBatch, found: list[dict], at: int) -> pa.RecordBatch:
+    """The rows of a batch without their spans in text column ``at``; what has no word left goes."""
+    row = batch.column(0)
+    columns = [row.field(i) for i in range(row.type.num_fields)]
+    hit = [sum(b - a for a, b in f["spans"]) for f in found]
+    if any(hit):
+        texts = columns[at].to_pylist()
+        for i, f in enumerate(found):
+            if 0 < hit[i] < f["n_words"]:
+                texts[i] = cut(texts[i], f["spans"])
+        columns[at] = pa.array(texts, type=columns[at].type)
+    out = pa.RecordBatch.from_arrays(columns, names=[f.name for f in row.type])
+    return out.filter(pa.array([n == 0 or n < f["n_words"] for n, f in zip(hit, found, strict=True)], pa.bool_()))
+
+
+def _search(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, shard_words: int, block_words: int, last: Callable, schema: StructType) -> DataFrame:
+    """Search ``docs`` for all blocks of items; ``last`` makes the result of the last pass."""
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.struct("*").alias("row"), F.lit(None).cast(_FOUND).alias("found"))
-    schema = rows.schema
+    between = rows.schema
     at = docs.columns.index(text)
 
-    def scanner(phrases):
+    def scanner(phrases, give):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def finish(held: list[tuple[pa.RecordBatch, list[list[bytes]]]]) -> Iterator[pa.RecordBatch]:
                 results = iter(scan_shard([t for _, texts in held for t in texts], phrases.value))
                 for batch, texts in held:
-                    before = batch.column(1).to_pylist()
                     now = []
-                    for t, old in zip(texts, before, strict=True):
+                    for t, old in zip(texts, batch.column(1).to_pylist(), strict=True):
                         spans, ids = next(results)
                         if old:
-                            spans, ids = merge_spans([*map(tuple, old["spans"]), *spans]), sorted({*old["items"], *ids})
+                            spans, ids = merge_spans([*map(tuple, old["spans"]), *spans]), [*old["items"], *ids]
                         now.append({"n_words": len(t), "spans": spans, "items": ids})
-                    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(now, type=kind)], names=["row", "found"])
+                    yield give(batch, now, at)
 
             held, size = [], 0
             for batch in batches:
@@ -333,9 +343,33 @@ def find(
         return run
 
     blocks = item_blocks(items, item_id, item_text, block_words)
-    for block in chain([next(blocks, [])], blocks):  # one pass at least, so that words are counted
-        rows = rows.mapInArrow(scanner(spark.sparkContext.broadcast(Phrases(block, window))), schema)
-    return rows
+    block = next(blocks, [])  # one pass at least, so that words are counted
+    while True:
+        phrases = spark.sparkContext.broadcast(Phrases(block, window))
+        block = next(blocks, None)
+        if block is None:
+            return rows.mapInArrow(scanner(phrases, last), schema)
+        rows = written(rows.mapInArrow(scanner(phrases, _keep), between), "scanned")
+
+
+def find(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    shard_words: int = SHARD_WORDS,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """Two structs for every document: ``row``, its columns, and ``found``.
+
+    ``found`` has ``n_words``; ``spans``, the merged removal spans as word
+    numbers [start, end); ``items``, the ids of the items that occur, one for
+    each item.
+    """
+    schema = docs.select(F.struct("*").alias("row"), F.lit(None).cast(_FOUND).alias("found")).schema
+    return _search(docs, items, text, item_id, item_text, window, shard_words, block_words, _keep, schema)
 
 
 def n_hit(found: str = "found"):
@@ -358,26 +392,18 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join(parts).decode()
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    shard_words: int = SHARD_WORDS,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """``docs`` without the removal spans; what has no word left goes.
 
     Documents without a hit are returned as they are, blank ones too.
     """
-    found = find(docs, items, text, **options).select("row", "found.spans", "found.n_words", n_hit().alias("n_hit"))
-    found = found.filter((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
-    schema = docs.schema
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, spans = batch.column(0), batch.column(1)
-            columns = [row.field(i) for i in range(row.type.num_fields)]
-            hit = np.flatnonzero(spans.value_lengths().to_numpy(zero_copy_only=False))
-            if len(hit):
-                texts = columns[at].to_pylist()
-                for i in hit.tolist():
-                    texts[i] = cut(texts[i], spans[i].as_py())
-                columns[at] = pa.array(texts, type=columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in row.type])
-
-    return found.select("row", "spans").mapInArrow(run, schema)
+    return _search(docs, items, text, item_id, item_text, window, shard_words, block_words, _cut, docs.schema)
