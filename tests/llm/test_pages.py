@@ -24,6 +24,11 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r.n_bytes, r.digest) == (len(raw), hashlib.sha256(raw).hexdigest())
         assert r.payload is None if r.type == "revisit" else bytes(r.payload) == raw
     assert sorted(r.page for r in got if r.type == "revisit") == ["20", "4", "4"]
+    ids = [r.origin for r in got]
+    assert len(set(ids)) == len(rows) and all(r.refers_to in ids for r in got if r.type == "revisit")
+    for r in warc.resolved(warc.read(spark, str(tmp_path / "a"))).withColumn("page", warc.page_of(chat.F.col("origin"))).collect():
+        raw = ([x for x in rows if str(x[0]) == r.page or (x[0] is None and r.page == "null")][0][2] or "").encode()
+        assert r.complete and (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
     warc.write(table.limit(0), str(tmp_path / "b"))
     assert warc.read(spark, str(tmp_path / "b")).count() == 0
 
@@ -38,6 +43,15 @@ def test_warc_missing_segment_is_incomplete(spark, tmp_path):
     assert row.complete and bytes(row.payload) == b"x" * 5000
 
 
+def test_warc_dangling_revisit_is_incomplete(spark, tmp_path):
+    raw = b"y" * 200
+    digest = hashlib.sha256(raw).hexdigest()
+    one, two, three = warc.records(1, "u", raw, digest, None), warc.records(2, "u", raw, digest, warc.record_id(1, 0)), warc.records(3, "u", raw, digest, warc.record_id(9, 0))
+    (tmp_path / "a.warc").write_bytes(b"".join(p + b"\r\n\r\n" for p in one + two + three))
+    got = {warc_page: (c, n) for warc_page, c, n in warc.resolved(warc.read(spark, str(tmp_path))).select(warc.page_of(chat.F.col("origin")), "complete", "payload_bytes").collect()}
+    assert got == {"1": (True, 200), "2": (True, 200), "3": (False, None)}
+
+
 def test_chunked_framing():
     for n in (0, 1, 16 << 10, 40_000):
         data = bytes(R.randrange(256) for _ in range(n))

@@ -13,17 +13,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = scratch_path(spark, "warc")
     warc.write(pages, path)
-    rows = warc.read(spark, path)
-    response = F.col("type") == "response"
-    number = lambda c: F.expr(f"try_cast({c} as bigint)")
-    rows = rows.withColumn("page", warc.page_of(F.col("origin"))).withColumn("target", warc.page_of(F.col("refers_to")))
+    rows = warc.resolved(warc.read(spark, path))
+    number = lambda c: warc.page_of(F.col(c)).try_cast("bigint")
     return rows.select(
-        number("page").alias("page_id"),
-        F.when(response, F.octet_length("payload").cast("bigint")).otherwise(F.col("n_bytes")).alias("payload_bytes"),
-        F.when(response, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        number("target").alias("refers_to"),
-        F.col("complete"),
+        number("origin").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"), "complete"
     )
 
 

@@ -7,13 +7,17 @@ least size are written once, the others refer to the record with the least id.
 Archives are written by Spark's text sink: a record is a row and the sink's
 line separator is the blank line that ends a record.
 
+Pages are numbered in a written table first: the numbers tell repeated pages
+apart in record ids, and a revisit names the id of a record that is written.
+
 Reading: archives are bounded in records, and records in size, so a file fits a
 task.  Continuation records are grouped by origin id, ordered by segment
 number, checked against the stated total length and for gaps, and the chunked
 framing is decoded.
 
 Edge cases: a null payload is empty; repeated rows with the same id and payload
-are records of their own, all of them responses or all revisits; and null addresses are kept; a record whose segments don't add up is
+are records of their own, all of them responses or all revisits; null ids are
+revisits where another page has their payload; null addresses are empty; a record whose segments don't add up is
 returned with ``complete`` false and what there is; an empty table writes an
 empty archive; further columns are not read.
 """
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import join_hot, map_rows, written
 
 END = "\r\n\r\n"
 SEGMENT_BYTES = 128 << 10
@@ -40,27 +44,26 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def record_rows(pages: DataFrame, page_id: str, payload: str, uri: str, least: int = 100, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """One row for each WARC record: ``record`` (binary, without its last blank line)."""
     raw = F.coalesce(F.col(f"`{payload}`"), F.lit("")).cast("binary")
-    rows = pages.select(
-        F.col(f"`{page_id}`").alias("id"), F.col(f"`{uri}`").alias("uri"), raw.alias("payload"), F.sha2(raw, 256).alias("digest")
-    )
-    large = rows.filter(F.octet_length("payload") >= least)
-    first = large.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = written(first.select(F.col("digest").alias("d"), "first"), "repeated-digests")
-    big = F.octet_length("payload") >= least
-    rows = rows.join(first, (F.col("digest") == F.col("d")) & big, "left").withColumn("row", F.monotonically_increasing_id())
+    rows = pages.select(F.col(f"`{page_id}`").alias("id"), F.col(f"`{uri}`").alias("uri"), raw.alias("payload"), F.sha2(raw, 256).alias("digest"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered-pages")
+    large = F.octet_length("payload") >= least
+    first = rows.filter(large).groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first.select("digest", F.col("f.id").alias("first"), F.col("f.row").alias("first_row"), "n"), "repeated-digests")
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("first", rows.schema["id"].dataType), ("first_row", "bigint"))]
+    rows = join_hot(rows.filter(large), first, ["digest"], "n", rows.count(), "left").unionByName(rows.filter(~large).select("*", *none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, u, p, d, f, n in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                out += records(i, u, p, d, f if f is not None and f != i else None, n, segment_bytes)
+            for i, u, p, d, f, f_row, n in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                out += records(i, u, p, d, None if f_row is None or f == i else record_id(f, f_row), n, segment_bytes)
                 if len(out) >= 256:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    return rows.select("id", "uri", "payload", "digest", "first", "row").mapInArrow(run, "record binary")
+    return rows.select("id", "uri", "payload", "digest", "first", "first_row", "row").mapInArrow(run, "record binary")
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -92,7 +95,7 @@ def unchunked(body: bytes) -> bytes | None:
 
 
 def record_id(page: int | None, *more: int) -> str:
-    """The page's name, or with the row's and the segment's number a record's."""
+    """A record's name: the page with the row's and the segment's number."""
     return f"<urn:page:{':'.join(map(str, ['null' if page is None else page, *more]))}>"
 
 
@@ -101,10 +104,11 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def records(page: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, row: int = 0, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
+def records(page: int | None, uri: str | None, payload: bytes, digest: str, refers_to: str | None, row: int = 0, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
     """The WARC records of one page, the first one first.
 
-    ``row`` tells repeated pages apart in record ids.
+    ``row`` tells repeated pages apart in record ids; ``refers_to`` is the id
+    of the record with the payload.
     """
     fields = [
         ("WARC-Record-ID", record_id(page, row)),
@@ -117,7 +121,7 @@ def records(page: int | None, uri: str | None, payload: bytes, digest: str, refe
     ]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
-        return [_record([*fields, ("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", _PROFILE)], http)]
+        return [_record([*fields, ("WARC-Refers-To", refers_to), ("WARC-Profile", _PROFILE)], http)]
     block = http + chunked(payload)
     if len(block) <= segment_bytes:
         return [_record(fields, block)]
@@ -257,5 +261,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """One row per record without payloads: origin, type, refers_to, payload_bytes, payload_digest, complete.
+
+    Size and digest are of the payload read, for a revisit that of the record
+    it refers to.  A revisit is complete if that record is there, complete and
+    has the digest which the revisit states.  Incomplete records have neither.
+    """
+    size, digest = F.octet_length("payload").cast("bigint"), F.sha2("payload", 256)
+    small = written(records.select("origin", "type", "refers_to", F.col("digest").alias("stated"), size.alias("payload_bytes"), digest.alias("payload_digest"), "complete"), "records")
+    revisits = small.filter("type = 'revisit'").drop("payload_bytes", "payload_digest", "complete")
+    wanted = revisits.groupBy("refers_to").agg(F.count(F.lit(1)).alias("n"))
+    there = small.filter("type <> 'revisit'").select(F.col("origin").alias("refers_to"), "payload_bytes", "payload_digest", "complete")
+    targets = written(there.dropDuplicates(["refers_to"]).join(wanted, "refers_to"), "referred-records")
+    followed = join_hot(revisits, targets, ["refers_to"], "n", small.count(), "left")
+    followed = followed.withColumn("complete", F.coalesce(F.col("complete") & (F.col("payload_digest") == F.col("stated")), F.lit(False)))
+    out = small.filter("type <> 'revisit' or type is null").unionByName(followed)
+    known = lambda c: F.when(F.col("complete"), F.col(c)).alias(c)
+    return out.select("origin", "type", "refers_to", known("payload_bytes"), known("payload_digest"), "complete")
+
+
 def page_of(record: Column) -> Column:
     return F.regexp_extract(record, r"^<urn:page:(-?\d+|null)(?::\d+)*>$", 1)
