@@ -47,7 +47,8 @@ def test_quality_counts(docs, texts):
             at.setdefault(tuple(w[k : k + 5]), []).append(k)
         hit = {k + d for ks in at.values() if len(ks) > 1 for k in ks for d in range(5)}
         want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit))
-        assert tuple(got[i][c] for c in quality.COUNTS) == want, i
+        assert tuple(got[i].counts[c] for c in quality.COUNTS) == want, i
+        assert got[i].n_words == 1 and got[i].row == "r"
 
 
 def test_quality_keeps_rows_and_columns(spark, docs):
@@ -105,6 +106,27 @@ def test_simhash_groups(docs, texts):
     assert simhash.groups(docs.limit(0)).count() == 0
 
 
+def test_keep_first_keeps_unlinked_texts_of_one_id(spark):
+    other = " ".join(f"w{i}" for i in range(40))
+    for parts in (1, 5):
+        rows = [(1, "same words here now and then", "b"), (1, "same words here now and then", "b"), (1, other, "c"), (2, other, "d"), (None, other, "e"), (None, None, "f"), (3, None, "g"), (4, "", "h")]
+        table = spark.createDataFrame(rows, "doc_id long, text string, _id string").repartition(parts)
+        kept = sorted(map(tuple, simhash.keep_first(table).collect()), key=str)
+        assert kept == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=str)
+
+
+def test_groups_with_a_hot_text_and_a_hot_component(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words)) for i in range(900)] + [(1000 + i, " ".join(words[:-1] + [f"x{i}"])) for i in range(400)] + [(5000 + i, sentence(30)) for i in range(200)]
+    got = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {i: slow_print(t) for i, t in rows}
+    distinct = {}
+    for i, f in sorted(prints.items()):
+        distinct.setdefault(f, i)
+    root = classes({i: f for f, i in distinct.items()})
+    assert got == {i: root[distinct[f]] for i, f in prints.items()}
+
+
 @pytest.mark.parametrize("split_over", [20_000, 8])
 def test_covering_finds_every_link(spark, split_over):
     """Chains and dense balls, with buckets split down to a few members."""
@@ -153,13 +175,14 @@ def doc_words(t):
 @pytest.mark.parametrize("shard,block", [(10**6, 10**6), (40, 25)])
 def test_decontamination(spark, shard, block):
     items = [(i, sentence(n)) for i, n in enumerate((14, 30, 12, 4, 1))] + [(9, None), (10, ""), (11, "--"), (12, "a a a a a a a a a a a a")]
+    items += [(1, sentence(12)), (None, sentence(11)), (0, items[0][1]), (None, items[3][1])]  # every row is an item
     docs = [None, "", "--", sentence(80), re.sub("[a-z]", lambda m: m[0].upper(), items[0][1]) + "!", "x1 " + items[1][1] + " y1 " + items[1][1], items[3][1], " ".join(items[0][1].split()[:9]), "q a" + " a" * 40]
-    docs += [sentence(20) + " " + items[2][1] + " " + sentence(20) for _ in range(5)] + [docs[5]]
+    docs += [sentence(20) + " " + items[2][1] + " " + sentence(20) for _ in range(5)] + [docs[5], items[9][1] + " " + items[1][1] + " x " + items[10][1]]
     windows = {}
-    for i, t in items:
+    for n, (_, t) in enumerate(items):
         w = doc_words(t)
         for k in range(max(1, len(w) - 9) if w else 0):
-            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(n)
     rows = spark.createDataFrame(list(enumerate(docs)), "n_words long, text string")
     table = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find(rows, table, shard_words=shard, block_words=block).select("row.n_words", "found.spans", "found.items", decontaminate.n_hit().alias("n")).collect()
@@ -172,7 +195,7 @@ def test_decontamination(spark, shard, block):
                     hit |= set(range(k, k + n))
                     names |= own
         assert {x for a, b in r.spans for x in range(a, b)} == hit and r.n == len(hit)
-        assert set(r["items"]) == names
+        assert sorted(r["items"], key=str) == sorted((None if items[n][0] is None else str(items[n][0]) for n in names), key=str)
     clean = decontaminate.clean(rows, table)
     assert clean.columns == rows.columns
     left = {r.n_words: r.text for r in clean.collect()}
@@ -209,6 +232,77 @@ def test_secrets(spark):
     assert secrets.mask(rows.limit(0)).columns == ["doc_id", "text"]
 
 
+def slow_base(text):
+    """The base kinds character by character."""
+    out, low = [], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    keys = ("password", "passwd", "secret", "token", "api_key", "apikey")
+
+    def run(at, allowed):
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    def value(at):
+        at += at < len(text) and text[at] in "\"'"
+        at = run(at, " ")
+        if at >= len(text) or text[at] not in ":=":
+            return None
+        at = run(at + 1, " ")
+        at += at < len(text) and text[at] in "\"'"
+        end = run(at, WIDE)
+        return (at, end) if end > at else None
+
+    WIDE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    at = 0
+    while at < len(text):
+        found = [value(at + len(k)) for k in keys if low.startswith(k, at)]
+        found = [f for f in found if f]
+        if found:
+            if found[0][1] - found[0][0] >= 6:
+                out.append((at, 0, found[0][1]))
+            at = found[0][1]
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at + 4, WIDE[:26] + WIDE[52:62]) if text.startswith("AKIA", at) else at
+        if end > at + 4:
+            out += [(at, 1, end)] * (end - at >= 20)
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at, "0123456789abcdef")
+        out += [(at, 2, end)] * (end - at >= 24)
+        at = max(end, at + 1)
+    return sorted(out)
+
+
+def test_secrets_against_brute_force(spark):
+    encoding = secrets.vocabulary(None)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random_run = lambda k: "".join(R.choice(alphabet) for _ in range(k))
+    parts = ["token", "TOKEN", "Api_Key", "apikey", "password", "=", ":", " ", "  ", '"', "'", "AKIA", "A" * 16, "0" * 24, "f" * 23, "é", "\n", ".", "-", "x", "some plain words"]
+    texts = ["", None] + ["".join(R.choice(parts) if R.random() < 0.9 else random_run(R.randint(5, 40)) for _ in range(R.randint(1, 25))) for _ in range(1500)]
+    for t in texts:
+        got = secrets.spans(t or "", encoding)
+        base = [s for s in got if s[1] != 3]
+        assert base == slow_base(t or ""), ascii(t)
+        runs = [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t or "")]
+        want = [(a, 3, b) for a, b in runs if not any(s <= a and b <= e for s, _, e in base) and secrets.is_random(t[a:b], encoding, 2.0, 1.6)]
+        assert [s for s in got if s[1] == 3] == want, ascii(t)
+
+
+def test_secrets_in_long_texts_and_without_digits(spark):
+    encoding = secrets.vocabulary(None)
+    text = " ".join(f"token=abc{i:06d} xK9fQ2vTz7LwPq4RmB8nYc3HdJ{i % 10}s" for i in range(50_000))
+    assert len(secrets.spans(text, encoding)) == 100_000
+    assert secrets.spans("key KqZbXwVtRmYpLdJhGfSnCz end", encoding) and not secrets.spans("use getUserNameFromDatabaseTable here", encoding)
+    table = spark.createDataFrame([(1, "token=abcdefgh", "x")], "doc_id long, text string, spans string")
+    assert secrets.scan(table, table.columns).columns == ["doc_id", "text", "spans", "spans_"]
+
+
 def test_bpe_is_exact(spark):
     from tokenizers import Tokenizer
 

@@ -19,7 +19,7 @@ from hashlib import sha256
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import free_name, map_rows
 
 KINDS = ["assign", "access", "hex", "random"]
 #: Fixed patterns of the base kinds; ASCII letters only, in either case for the keywords.
@@ -27,7 +27,7 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so short ones need not be matched first
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Runs that may be a key: at least so long, with a letter and a digit or both cases.
+#: Runs that may be a key: at least so long; shorter ones outside of an assignment are not tested.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
@@ -59,22 +59,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def is_random(run: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
-    """Whether a run has under ``ratio`` characters a token and is no known kind of name."""
+def is_random(run: str, encoding: tiktoken.Encoding, ratio: float, letters_ratio: float) -> bool:
+    """Whether a run has under ``ratio`` characters a token and is no known kind of name.
+
+    Runs of letters in both cases without a digit must be under ``letters_ratio``.
+    """
     if len(run) in _DIGEST_SIZES and _DIGEST.match(run) or _UUID.match(run) or _PLAIN.match(run):
         return False
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
-        return False
-    return len(run) < ratio * len(encoding.encode_ordinary(run))
+    lower, upper, digit = (re.search(c, run) for c in ("[a-z]", "[A-Z]", "[0-9]"))
+    if digit and (lower or upper):
+        return len(run) < ratio * len(encoding.encode_ordinary(run))
+    return bool(lower and upper) and len(run) < letters_ratio * len(encoding.encode_ordinary(run))
 
 
-def spans(text: str, encoding: tiktoken.Encoding, ratio: float = 2.0) -> list[tuple[int, int, int]]:
+def spans(text: str, encoding: tiktoken.Encoding, ratio: float = 2.0, letters_ratio: float = 1.6) -> list[tuple[int, int, int]]:
     """All spans (start, kind, end), sorted."""
-    found = base_spans(text)
-    base = list(found)
+    base = sorted(base_spans(text))
+    found, k, reach = list(base), 0, 0  # reach: the furthest end of the base spans that start at or before the run
     for m in _RUN.finditer(text):
         a, b = m.span()
-        if not any(s <= a and b <= e for s, _, e in base) and is_random(m[0], encoding, ratio):
+        while k < len(base) and base[k][0] <= a:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach < b and is_random(m[0], encoding, ratio, letters_ratio):
             found.append((a, 3, b))
     return sorted(found)
 
@@ -123,8 +130,6 @@ def mask(docs: DataFrame, text: str = "text", ratio: float = 2.0, path: str | No
 
         return work
 
-    from .common import free_name
-
     new = free_name(docs, "_masked")
     done = map_rows(docs, [text], f"`{new}` string", make)
     return done.select(*[done[f"`{new}`"].alias(c) if c == text else done[f"`{c}`"] for c in names])
