@@ -23,3 +23,36 @@ def test_stages_keep_columns_and_take_effect(spark):
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+
+
+def sentence(k, n=40):
+    return " ".join(f"w{k}x{i}" for i in range(n))
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    """Each stage keeps its rows and all columns; the columns have the names of the operators' helpers."""
+    texts = [sentence(k) for k in range(6)]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[0]), (None, texts[2]), (None, texts[2]), (3, None), (4, ""), (5, texts[3] + " token=abcdef123"), (6, texts[4] + "\n" + texts[5])]
+    extra = ["row", "found", "fp", "counts", "verdict", "_id", "_digest", "spans", "_masked", "words", "n_words", "root"]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(i, t, "en", None if k % 3 == 0 else "s", 0, *extra) for k, (i, t) in enumerate(rows)], schema)
+    items = tmp_path / "benchmark.parquet"
+    spark.createDataFrame([(1, texts[5])], "item_id long, text string").write.parquet(str(items))
+    seen, want = docs, rows
+    key = lambda rs: sorted(((r[0], r[1]) for r in rs), key=str)
+    want = [
+        [r for r in rows if r[1]],
+        [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), rows[8], rows[9]],
+        [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), rows[8], (6, texts[4] + "\n\n")],
+        [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (5, texts[3] + " [assign]"), (6, texts[4] + "\n\n")],
+    ]
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, want, strict=False):
+        seen = written(stage(spark, seen, str(tmp_path)), name)
+        assert seen.columns == docs.columns
+        got = seen.collect()
+        assert key(got) == key(expected), name
+        assert all(tuple(r)[5:] == tuple(extra) for r in got)
+    ids = corpus_pipeline.STAGES[4][1](spark, seen, str(tmp_path)).collect()
+    assert len(ids) == 6 and all(r.n_tokens == len(r.ids) > 0 for r in ids)
+    for _, stage in corpus_pipeline.STAGES:  # an empty table gives an empty table
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -2,6 +2,7 @@
 
 import random
 import re
+from html import unescape
 
 import pytest
 
@@ -133,3 +134,15 @@ def test_a_hot_host(spark):
     rows = [(i, "http://hot.com/" if i % 3 else f"http://h{i}.com/", f"<main><p>text {i}</p></main>") for i in range(900)]
     got = {r.page_id: r.main_text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"text {i}" for i in range(900)}
+
+
+def test_given_pages_against_brute_force(spark):
+    """The given pages have one layout: all of the article, its blocks cut at block tags."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.main_text for r in wrapper.main_text(pages.select("page_id", "url", "html")).collect()}
+    for r in pages.collect():
+        inner = re.search("<article>(.*?)</article>", r.html or "", re.S)
+        blocks = re.split("</?(?:h1|p|ul|li)>", inner[1] if inner else "")
+        lines = [" ".join(unescape(re.sub("<br>", " ", re.sub("</?b>", "", b))).split()) for b in blocks]
+        assert got[r.page_id] == "\n\n".join(x for x in lines if x), r.page_id
+    assert len(got) == pages.count()

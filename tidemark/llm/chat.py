@@ -52,9 +52,11 @@ def unescape(text: Column) -> Column:
 
 
 def events_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """An event log with the rows as final messages: a start and two deltas each.
+    """An event log that ends with the rows as messages.
 
-    Rows are messages in order of turn; equal turns follow role and text.
+    Messages in turn are streamed in two deltas, regenerated after a draft, or
+    edited after a delta.  Rows are messages in order of turn; equal turns
+    follow role and text.
     """
     by = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.select(
@@ -65,11 +67,14 @@ def events_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     )
     rows = rows.select("conv", "role", "text", F.row_number().over(by).cast("bigint").alias("message"))
     half = F.floor(F.length("text") / 2).cast("int")
-    event = lambda k, kind, t: F.struct((F.col("message") * 3 + k).alias("seq"), F.lit(kind).alias("event"), t.alias("text"))
-    log = F.array(
-        event(0, "start", F.lit("")),
-        event(1, "delta", F.substring("text", F.lit(1), half)),
-        event(2, "delta", F.substring("text", half + 1, F.length("text"))),
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    event = lambda k, kind, t: F.struct((F.col("message") * 5 + k).alias("seq"), F.lit(kind).alias("event"), t.alias("text"))
+    start = event(0, "start", F.lit(""))
+    kind = F.col("message") % 3
+    log = (
+        F.when(kind == 0, F.array(start, event(1, "delta", first), event(2, "delta", rest)))
+        .when(kind == 1, F.array(start, event(1, "delta", rest), event(2, "regenerate", F.lit("")), event(3, "delta", first), event(4, "delta", rest)))
+        .otherwise(F.array(start, event(1, "delta", first), event(2, "edit", F.col("text"))))
     )
     return rows.select("conv", "message", "role", F.inline(log))
 

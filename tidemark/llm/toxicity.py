@@ -4,8 +4,12 @@ One weight vector is shared by ordered thresholds: P(grade >= k) is the
 logistic of the weighted words less threshold k.  A document's expected
 severity is the sum of these probabilities.
 
-Labels say only toxic or not.  Toxic documents are graded 1 to ``grades`` by
-how many telling words they have (quantiles of the toxic sample).
+Labels are whole numbers from 0 (not toxic) up, with a threshold for each grade.
+Labels that say only toxic or not carry no severity; their toxic documents are
+graded 1 to ``grades`` by how much telling language they have (quantiles of the
+toxic sample).  Which words tell is then decided on the other half of the
+sample, so no document's grade rests on its own label or on the features that
+the model is given for it.
 
 The model is fitted on at most about ``max_labelled`` labelled documents,
 chosen by a hash of their id; near copies among them count once.  Features are
@@ -16,8 +20,9 @@ of the sample, and there is no least number of documents.
 
 Edge cases: null and empty texts have no features and get the severity of the
 empty text; with no toxic label or no telling word every severity is that of a
-model without features; repeated rows are scored one by one; labels of one
-document that disagree count as toxic; further columns pass through.
+model without features; repeated rows are scored one by one; of labels of one
+document that disagree the highest counts, null labels don't; further columns
+pass through.
 """
 
 from __future__ import annotations
@@ -66,9 +71,9 @@ class Settings:
 
     max_labelled: int = 10_000
     max_features: int = 512
-    grades: int = 3
     chance: float = 1.0
     ridge: float = 1e-5
+    grades: int = 3
     steps: int = 1500
     cut: float = 0.4
 
@@ -116,12 +121,12 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float, steps:
     return params[:d], params[d] + np.concatenate([[0], np.cumsum(np.exp(params[d + 1 :]))])
 
 
-def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """(toxic, words) of the labelled documents that the model is fitted on."""
+def sample(docs: DataFrame, labels: DataFrame, settings: Settings, label: str = "toxic") -> DataFrame:
+    """(grade, half, words) of the labelled documents that the model is fitted on."""
     total = labels.count()
     share = min(1.0, settings.max_labelled / max(total, 1))
-    chosen = labels.filter(F.col("toxic").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    chosen = labels.filter(F.col(label).isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("_grade"))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about max_labelled rows of two numbers
 
     def make():
@@ -133,48 +138,59 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
 
         return work
 
-    rows = map_rows(picked, ["text"], "words array<string>, least long", make, keep=["_toxic"])
+    rows = map_rows(picked, ["text"], "words array<string>, least long", make, keep=["_grade"])
     # near copies share the least hash of their five-word shingles more often than not
-    return rows.groupBy("least", "_toxic").agg(F.min("words").alias("words")).select(F.col("_toxic").alias("toxic"), "words")
+    return rows.groupBy("least", "_grade").agg(F.min("words").alias("words")).select(F.col("_grade").alias("grade"), F.pmod("least", F.lit(2)).cast("int").alias("half"), "words")
 
 
 def hash_of(gram: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(gram)) >> 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    rows = written(sample(docs, labels, settings), "labelled")
-    n = {bool(t): c for t, c in rows.groupBy((F.col("toxic") > 0).alias("t")).count().collect()}
-    toxic, clean = n.get(True, 0), n.get(False, 0)
-    seen = rows.select("toxic", F.explode(F.array_distinct("words")).alias("word"))
-    stats = seen.groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b"))
-    stats = written(stats, "word_counts")
-    tested = stats.count()
-    bar = NormalDist().inv_cdf(1 - min(0.5, settings.chance / max(tested, 1)))
+def telling(stats: DataFrame, a: str, b: str, toxic: int, clean: int, settings: Settings) -> list[str]:
+    """The words that toxic documents use more, best first; columns ``a`` and ``b`` count the toxic and the other documents with a word."""
+    stats = stats.select("word", F.expr(a).alias("a"), F.expr(b).alias("b")).filter("a + b > 0")
+    bar = NormalDist().inv_cdf(1 - min(0.5, settings.chance / max(stats.count(), 1)))
     a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     part = lambda seen, share, of: F.when(seen > 0, seen * F.log(seen * (toxic + clean) / (share * of))).otherwise(0.0)
     rest = toxic + clean - both
     ratio = part(a, toxic, both) + part(b, clean, both) + part(toxic - a, toxic, rest) + part(clean - b, clean, rest)
     z = F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))
     best = stats.filter(a * clean > b * toxic).select("word", z.alias("z")).filter(F.col("z") >= bar)
-    features = [r.word for r in best.orderBy(F.desc("z"), "word").limit(settings.max_features).collect()]
-    telling = F.filter("words", lambda w: w.isin(features)) if features else F.array().cast("array<string>")
-    local = rows.select("toxic", telling.alias("found")).collect()  # bounded by the sample
+    return [r.word for r in best.orderBy(F.desc("z"), "word").limit(settings.max_features).collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label: str = "toxic") -> Model:
+    """The model of the grades in column ``label`` of ``labels`` (doc_id, label)."""
+    rows = written(sample(docs, labels, settings, label), "labelled")
+    is_toxic = F.col("grade") > 0
+    n = {(r.half, r.t): r["count"] for r in rows.groupBy("half", is_toxic.alias("t")).count().collect()}
+    total = lambda t, halves=(0, 1): sum(n.get((h, t), 0) for h in halves)
+    seen = rows.select("grade", "half", F.explode(F.array_distinct("words")).alias("word"))
+    stats = seen.groupBy("word").agg(*[F.count_if((is_toxic if k == "a" else ~is_toxic) & (F.col("half") == h)).alias(f"{k}{h}") for k in "ab" for h in (0, 1)])
+    stats = written(stats, "word_counts")
+    features = telling(stats, "a0 + a1", "b0 + b1", total(True), total(False), settings)
+    others = [set(telling(stats, f"a{1 - h}", f"b{1 - h}", total(True, (1 - h,)), total(False, (1 - h,)), settings)) for h in (0, 1)]
+    known = sorted({*features, *others[0], *others[1]})
+    kept = F.filter("words", lambda w: w.isin(known)) if known else F.array().cast("array<string>")
+    local = rows.select("grade", "half", kept.alias("found")).collect()  # bounded by the sample
+    if not local:
+        return Model({}, (2.0,))
     place = {w: i for i, w in enumerate(features)}
     x = np.zeros((len(local), len(features)))
     for i, r in enumerate(local):
         for w, c in Counter(r.found).items():
-            x[i, place[w]] = strength(c)
-    telling_words = np.array([sum(not f.endswith("*") for f in r.found) + sum(f.endswith("*") for f in r.found) / len(STEMS) for r in local])
-    is_toxic = np.array([r.toxic > 0 for r in local], bool)
-    y = np.zeros(len(local), int)
-    if is_toxic.any():
-        marked = telling_words[is_toxic & (telling_words > 0)]
-        cuts = np.quantile(marked, np.arange(1, settings.grades) / settings.grades) if len(marked) else np.ones(settings.grades - 1)
-        y[is_toxic] = 1 + np.searchsorted(cuts, telling_words[is_toxic], side="left")
-    if not len(local):
-        return Model({}, tuple(2.0 + k for k in range(settings.grades)))
-    weights, thresholds = fit_ordinal(x, y, settings.grades, settings.ridge, settings.steps)
+            if w in place:
+                x[i, place[w]] = strength(c)
+    y = np.array([max(r.grade, 0) for r in local], int)
+    if y.max() == 1 and settings.grades > 1:
+        amount = np.array([sum(1 / len(STEMS) if w.endswith("*") else 1 for w in r.found if w in others[r.half]) for r in local])
+        toxic = y == 1
+        marked = amount[toxic & (amount > 0)]
+        if len(marked):
+            cuts = np.quantile(marked, np.arange(1, settings.grades) / settings.grades)
+            y[toxic] = 1 + np.searchsorted(cuts, amount[toxic], side="left")
+    weights, thresholds = fit_ordinal(x, y, max(int(y.max()), 1), settings.ridge, settings.steps)
     return Model(dict(zip(features, weights.tolist(), strict=True)), tuple(thresholds.tolist()))
 
 
