@@ -167,3 +167,19 @@ def test_activity_prefers_signals_on_ties(spark):
     s = frame(spark, [(1, "A", "2024-01-01 00:00:00"), (2, "A", "2024-01-02 00:00:00")], "id bigint, symbol string, detected_at timestamp_ntz")
     got = [(r.kind, r.id) for r in reports.activity(s, s, 3).collect()]
     assert got == [("signal", 2), ("sell", 2), ("signal", 1)]
+
+
+def test_raw_blocks_of_messages(spark):
+    row = ("BTCUSDT", 71, "strong", "drop_7d=-12.3% | rsi_1h=18", "7d", 12.25, 18.5, None, 2.0, 0.0, 1.5e-05, 12345678.0, 25.5, None, "risk_off", 50.0, "hammer", 1.0, 0.00001234)
+    names = "symbol score severity trigger_reason dominant_trigger_timeframe drop_trigger_pct rsi_1h rsi_4h rel_volume drop_24h_pct drop_7d_pct drop_30d_pct distance_from_30d_high_pct distance_from_180d_high_pct regime_at_signal price_at_signal reversal_pattern dist_support_pct support_level_price".split()
+    kinds = {"symbol": "string", "score": "int", "severity": "string", "trigger_reason": "string", "dominant_trigger_timeframe": "string", "regime_at_signal": "string", "reversal_pattern": "string"}
+    df = spark.createDataFrame([row], ", ".join(f"{n} {kinds.get(n, 'double')}" for n in names))
+    got = df.select(alerts.title(F.col("symbol"), F.col("severity"), True).alias("t"), alerts.body(True).alias("b")).first()
+    assert got.t == "🟡 Vale observar — BTC (BTCUSDT)"
+    lines = ["BTC @ $50", "Variação 24h: estável", "• Queda de 12.2% em 7 dias", "• RSI em sobrevenda extrema (18)", "• Volume 2.0x acima do normal", "Mercado adverso (risk-off)", "", "Sinais moderados — acompanhe antes de agir.", ""]
+    lines += ["--- debug ---", "pair=BTCUSDT score=71 severity=strong", "trigger=drop_7d=-12.3% | rsi_1h=18", "dom_tf=7d drop_trigger=12.25", "rsi_1h=18.5 rsi_4h=None", "rel_vol=2.0", "drop_24h=0.0 drop_7d=1.5e-05 drop_30d=12345678.0", "disc_30d=25.5 disc_180d=None", "regime=risk_off"]
+    assert got.b == "\n".join(lines)
+    sell = frame(spark, [("ETHUSDT", "stop_loss", "high", 7, 1234567.0, -8.125, None, None, "2024-01-01 10:00:00")], "symbol string, rule_triggered string, severity string, buy_id bigint, price_at_signal double, pnl_pct double, reason string, regime_at_signal string, detected_at timestamp_ntz")
+    got = sell.select(alerts.sell_title(F.col("symbol"), F.col("rule_triggered"), True).alias("t"), alerts.sell_body(True).alias("b")).first()
+    assert got.t == "🔴 Stop-loss acionado — ETH (ETHUSDT / stop_loss)"
+    assert got.b.split("\n") == ["ETH @ $1.23457e+06", "Resultado: -8.12%", "", "Decisão sugerida: proteger capital — considere sair.", "", "--- debug ---", "pair=ETHUSDT rule=stop_loss severity=high", "buy_id=7 price=1234567.0 pnl=-8.125", "regime=None", "detected_at=2024-01-01T10:00:00Z"]

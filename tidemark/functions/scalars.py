@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 from itertools import chain
 
@@ -90,6 +91,11 @@ def day_month(ts: Column) -> Column:
     return F.date_format(ts, "dd/MM")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _rounded(size: Column, scale: Column) -> Column:
     """size * scale (a power of ten up to 1e9) to the nearest whole number, by the exact value of the double; ties to even.
 
@@ -97,49 +103,69 @@ def _rounded(size: Column, scale: Column) -> Column:
     looks like a tie.
     """
     big = size * 134217729.0
-    high = big - (big - size)
-    p = size * scale
-    error = (high * scale - p) + (size - high) * scale
-    whole = F.floor(p).cast("double")
-    part = p - whole
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    return F.when(up, whole + 1).otherwise(whole)
+    split = F.struct((big - (big - size)).alias("high"), size.alias("v"), scale.alias("c"), (size * scale).alias("p"))
+
+    def nearest(s: Column) -> Column:
+        whole = F.floor(s["p"]).cast("double")
+        error = (s["high"] * s["c"] - s["p"]) + (s["v"] - s["high"]) * s["c"]
+        part = s["p"] - whole
+        up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+        return F.when(up, whole + 1).otherwise(whole)
+
+    return _let(split, nearest)
 
 
 def fixed(value: Column, digits: int) -> Column:
     """Text with so many decimals, rounded by the exact binary value; null stays null."""
-    n = _rounded(F.abs(value), F.lit(10.0**digits)).cast("decimal(28,0)")
-    text = (n * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(38,{digits})").cast("string")
-    return F.concat(F.when(value < 0, "-").otherwise(""), text)
+
+    def text(v: Column) -> Column:
+        n = _rounded(F.abs(v), F.lit(10.0**digits)).cast("decimal(28,0)")
+        return F.concat(F.when(v < 0, "-").otherwise(""), (n * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(38,{digits})").cast("string"))
+
+    return _let(value, text)
 
 
 def general(value: Column) -> Column:
     """Text with six significant digits: no trailing zeros, an exponent under 1e-4 and from 1e6 on."""
-    size = F.abs(value)
-    exponent = F.regexp_extract(F.format_string("%.16e", size), r"e([+-]\d+)$", 1).cast("int")
-    place = F.when(exponent.between(-4, 5), 5 - exponent).otherwise(0)
     powers = F.array(*[F.lit(10.0**k) for k in range(10)])
     units = F.array(*[F.lit(Decimal(1).scaleb(-k)).cast("decimal(10,9)") for k in range(10)])
-    n = _rounded(size, F.get(powers, place)).cast("decimal(20,0)")
-    plain = F.regexp_replace((n * F.get(units, place)).cast("decimal(38,9)").cast("string"), r"\.?0+$", "")
-    long, short = F.format_string("%.16e", size), F.format_string("%.5e", size)
-    even = long.rlike(r"^\d\.\d{4}[02468]50+e")  # a tie, which goes to the even digit
-    short = F.when(even, F.concat(F.regexp_extract(long, r"^(\d\.\d{5})", 1), F.regexp_extract(long, "(e.*)$", 1))).otherwise(short)
-    short = F.when((exponent == 5) & (n >= 1000000), "1e+06").otherwise(F.regexp_replace(short, r"\.?0*e", "e"))
-    short = F.when(short == "1e-04", "0.0001").otherwise(short)  # rounded up from below
-    text = F.when(value == 0, "0").when(exponent.between(-4, 5) & ~((exponent == 5) & (n >= 1000000)), plain).otherwise(short)
-    return F.when(F.isnan(value), "nan").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), text))
+
+    def parts(v: Column) -> Column:
+        return F.struct(v.alias("v"), F.abs(v).alias("size"), F.format_string("%.16e", F.abs(v)).alias("long"), F.format_string("%.5e", F.abs(v)).alias("short"))
+
+    def placed(s: Column) -> Column:
+        exponent = F.regexp_extract(s["long"], r"e([+-]\d+)$", 1).try_cast("int")
+        place = F.when(exponent.between(-4, 5), 5 - exponent).otherwise(0)
+        n = _rounded(s["size"], F.get(powers, place)).cast("decimal(20,0)")
+        return F.struct(s["v"].alias("v"), s["long"].alias("long"), s["short"].alias("short"), exponent.alias("e"), place.alias("place"), n.alias("n"))
+
+    def text(s: Column) -> Column:
+        over = (s["e"] == 5) & (s["n"] >= 1000000)
+        plain = F.regexp_replace((s["n"] * F.get(units, s["place"])).cast("decimal(38,9)").cast("string"), r"\.?0+$", "")
+        even = s["long"].rlike(r"^\d\.\d{4}[02468]50+e")  # a tie, which goes to the even digit
+        cut = F.concat(F.regexp_extract(s["long"], r"^(\d\.\d{5})", 1), F.regexp_extract(s["long"], "(e.*)$", 1))
+        far = F.regexp_replace(F.when(even, cut).otherwise(s["short"]), r"\.?0*e", "e")
+        far = F.when(over, "1e+06").when(far == "1e-04", "0.0001").otherwise(far)  # rounded up from below
+        body = F.when(s["v"] == 0, "0").when(s["e"].between(-4, 5) & ~over, plain).otherwise(far)
+        body = F.when(F.abs(s["v"]) == float("inf"), "inf").otherwise(body)
+        return F.when(F.isnan(s["v"]), "nan").otherwise(F.concat(F.when(s["v"] < 0, "-").otherwise(""), body))
+
+    return F.when(value.isNotNull(), _let(_let(_let(value, parts), placed), text))
 
 
 def plain(value: Column) -> Column:
     """Text of a double with all its digits, or of any other value; a missing one is None."""
-    text = value.cast("string")
-    mantissa, exponent = F.regexp_extract(text, r"^(-?[\d.]+)E", 1), F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
-    small = F.regexp_replace(value.try_cast("decimal(38,20)").cast("string"), r"(\.\d*?)0+$", "$1")
-    small = F.when(small.endswith("."), F.concat(small, F.lit("0"))).otherwise(small)
-    sign = F.when(exponent < 0, "-").otherwise("+")
-    far = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    return F.coalesce(F.when(~text.contains("E"), text).when(exponent.between(-4, 15), small).otherwise(far), F.lit("None"))
+
+    def text(v: Column) -> Column:
+        said = v.cast("string")
+        mantissa, exponent = F.regexp_extract(said, r"^(-?[\d.]+)E", 1), F.regexp_extract(said, r"E(-?\d+)$", 1).try_cast("int")
+        small = F.regexp_replace(v.try_cast("decimal(38,20)").cast("string"), r"(\.\d*?)0+$", "$1")
+        small = F.when(small.endswith("."), F.concat(small, F.lit("0"))).otherwise(small)
+        sign = F.when(exponent < 0, "-").otherwise("+")
+        far = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+        return F.when(~said.contains("E"), said).when(exponent.between(-4, 15), small).otherwise(F.when(mantissa == "", said).otherwise(far))
+
+    return F.coalesce(_let(value, text), F.lit("None"))
 
 
 def signed_pct(value: Column, digits: int = 2) -> Column:

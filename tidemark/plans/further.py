@@ -365,3 +365,69 @@ def maintenance_report(spark, sf_dir):
     one = evaluation.evaluation_report(s, done, evaluation.evaluate_signals(s, done, bars, now), "signal_id")
     two = evaluation.evaluation_report(b, none, evaluation.evaluate_buys(b, none, bars, now), "buy_id")
     return reports.maintenance_report(one, two, C.retention_report(bars, RETENTION))
+
+
+# --- rows behind the counts --------------------------------------------------
+
+
+@query(
+    X.with_sql("e1h")
+    + " SELECT symbol, open_time, close FROM e1h WHERE close_time <= TIMESTAMP '2024-01-20 00:00:00' AND open_time > (SELECT max(open_time) FROM e1h x WHERE x.symbol = e1h.symbol AND x.open_time < TIMESTAMP '2024-01-10')"
+)
+def first_rows_of_new_bars(spark, sf_dir):
+    """Every new bar arrives twice with different closes; the first arrival stays."""
+    all_bars = _bars(spark, sf_dir, "1h", X.ticks_events)
+    old = all_bars.filter(F.col("open_time") < X.ts("2024-01-10 00:00:00"))
+    twice = all_bars.filter(F.col("close_time") <= X.ts("2024-01-20 00:00:00")).withColumn("arrival", F.explode(F.array(F.lit(2), F.lit(1))))
+    twice = twice.withColumn("close", F.col("close") + F.col("arrival") - 1)
+    state = C.advance_state(schemas.empty(spark, "processing_state"), old)
+    return C.new_bars(C.incremental(twice, state, X.ts("2024-01-20 00:00:00")), old, "arrival").select("symbol", "open_time", "close")
+
+
+@query(
+    X.with_sql("e1h")
+    + """ SELECT symbol, open_time, close FROM e1h WHERE symbol = 'click' AND open_time > TIMESTAMP '2024-01-10'
+UNION ALL SELECT symbol, open_time, close FROM (SELECT * FROM e1h WHERE symbol NOT IN ('click', 'view') QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 250)"""
+)
+def incremental_and_cold_start(spark, sf_dir):
+    """One symbol has a mark, one has a mark in the future, the others take their newest bars."""
+    state = spark.createDataFrame([("click", "1h", "2024-01-10 00:00:00"), ("view", "1h", "2025-01-01 00:00:00")], "symbol string, interval string, at string")
+    state = state.select("symbol", "interval", F.col("at").cast("timestamp_ntz").alias("last_open_time"))
+    return C.incremental(_bars(spark, sf_dir, "1h", X.ticks_events), state, X.ts("2024-03-01 00:00:00")).select("symbol", "open_time", "close")
+
+
+_SPLIT = "CASE " + " ".join(f"WHEN ends_with(s, '{q}') AND length(s) > {len(q)} THEN '{q}'" for q in S.QUOTES) + " END"
+
+
+@query(
+    f"""WITH t AS (SELECT event_id AS id, upper(left(event_type, CAST(1 + event_id % 4 AS INTEGER))) || [{', '.join(f"'{q}'" for q in (*S.QUOTES, 'XYZ', ''))}][event_id % 13 + 1] AS s FROM events),
+k AS (SELECT id, s, {_SPLIT} AS q FROM t)
+SELECT id, CASE WHEN q IS NOT NULL THEN left(s, length(s) - length(q)) ELSE left(s, 3) END AS base, coalesce(q, substr(s, 4)) AS quote FROM k"""
+)
+def split_symbols(spark, sf_dir):
+    tails = F.array(*map(F.lit, (*S.QUOTES, "XYZ", "")))
+    head = F.upper(F.substring("event_type", F.lit(1), (1 + F.col("event_id") % 4).cast("int")))
+    e = X.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(head, F.get(tails, (F.col("event_id") % 13).cast("int"))).alias("s"))
+    return e.select("id", S.split_symbol(F.col("s")).alias("p")).select("id", "p.base", "p.quote")
+
+
+@query(
+    K._SELL
+    + """ SELECT id AS buy_id, symbol, TIMESTAMP '2024-03-01' AS detected_at, round(close, 6) AS price_at_signal, rule AS rule_triggered, 'risk_off' AS regime_at_signal, false AS alerted
+FROM r WHERE rule IS NOT NULL AND NOT (rule = 'stop_loss' AND id % 5 = 0)"""
+)
+def sell_signal_rows(spark, sf_dir):
+    rows = K._sell_parts(spark, sf_dir)[1]
+    return _round(rows.select("buy_id", "symbol", "detected_at", "price_at_signal", "rule_triggered", "regime_at_signal", "alerted"))
+
+
+@query(
+    X.with_sql("buys")
+    + """, s AS (SELECT id AS buy_id, bought_at + to_days(CAST(id % 5 - 1 AS INTEGER)) AS t, price * (id % 4) AS p FROM buys)
+SELECT b.id, CASE WHEN b.sold_at IS NULL AND p > 0 AND t >= b.bought_at THEN t ELSE b.sold_at END AS sold_at, CASE WHEN b.sold_at IS NULL AND p > 0 AND t >= b.bought_at THEN round(p, 6) END AS sold_price FROM buys b LEFT JOIN s ON s.buy_id = b.id"""
+)
+def stamped_sales(spark, sf_dir):
+    b = X.buys(spark, sf_dir).withColumns({"sold_price": F.lit(None).cast("double"), "sold_note": F.lit(None).cast("string")})
+    days = (F.col("id") % 5 - 1).cast("int")
+    sales = b.select(F.col("id").alias("buy_id"), F.timestamp_add("DAY", days, "bought_at").alias("sold_at"), (F.col("price") * (F.col("id") % 4)).alias("sold_price"), F.lit(None).cast("string").alias("sold_note"))
+    return _round(transitions.record_sales(b, sales)[0].select("id", "sold_at", "sold_price"))
