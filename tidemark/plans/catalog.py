@@ -654,6 +654,7 @@ def weekly_summary(spark, sf_dir):
     bars = _bars(spark, sf_dir, "1h", X.ticks_events)
     e = evaluation.evaluate_signals(s, _no_evaluations(spark, "signal_id"), bars, X.ts(NOW)).withColumn("evaluated_at", X.ts("2024-01-20 00:00:00"))
     be = evaluation.evaluate_buys(b, _no_evaluations(spark, "buy_id"), bars, X.ts(NOW)).withColumn("evaluated_at", X.ts("2024-01-20 00:00:00"))
+    e, be = C.stored(e, "signal_evaluations"), C.stored(be, "buy_evaluations")
     rows = expectancy.evaluation_rows(s, e, now, 90)
     return _round(reports.weekly_summary(s, b, e, be, expectancy.report(rows), now))
 

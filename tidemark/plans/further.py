@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -279,7 +276,7 @@ def ema_of_newest_bars(spark, sf_dir):
 def regime_snapshot(spark, sf_dir):
     regime = scoring.classify_regime(C.bar_arrays(_bars(spark, sf_dir, "1d")), "1-URGENT", X.ts(NOW))
     new = scoring.regime_snapshot(regime, _regimes(spark, sf_dir))
-    path = _scratch(spark)
+    path = C.scratch(spark)
     C.write_table(new, path, "regime_snapshots")
     return _round(spark.read.schema(schemas.TABLES["regime_snapshots"]).parquet(path))
 
@@ -287,20 +284,10 @@ def regime_snapshot(spark, sf_dir):
 # --- tables and reports ------------------------------------------------------
 
 
-def _scratch(spark) -> str:
-    """A new folder in the shared one; a local master without the setting uses /tmp."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-
-
 @query(X.with_sql("e1h", "e1d") + " SELECT symbol, interval, open_time, close FROM e1h UNION ALL SELECT symbol, interval, open_time, close FROM e1d")
 def candles_table_round_trip(spark, sf_dir):
     bars = _bars(spark, sf_dir, "1h", X.ticks_events).unionByName(_bars(spark, sf_dir, "1d", X.ticks_events))
-    path = _scratch(spark)
+    path = C.scratch(spark)
     C.write_table(bars, path, "candles")
     return spark.read.parquet(path).select("symbol", "interval", "open_time", "close")
 

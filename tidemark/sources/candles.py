@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -193,3 +195,20 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "append") -> No
         df.repartition("interval", "symbol").sortWithinPartitions("symbol", "open_time").write.partitionBy("interval").mode(mode).parquet(path)
     else:
         df.write.mode(mode).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one; a local master without the setting uses /tmp."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A domain table written and read again, for tables that several reports read."""
+    path = scratch(df.sparkSession)
+    write_table(df, path, name)
+    return df.sparkSession.read.schema(TABLES[name]).parquet(path)
