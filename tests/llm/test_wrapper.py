@@ -146,3 +146,9 @@ def test_given_pages_against_brute_force(spark):
         lines = [" ".join(unescape(re.sub("<br>", " ", re.sub("</?b>", "", b))).split()) for b in blocks]
         assert got[r.page_id] == "\n\n".join(x for x in lines if x), r.page_id
     assert len(got) == pages.count()
+
+
+def test_subjects_are_no_asides():
+    aside = lambda attrs: wrapper.is_aside(wrapper.signature("div", attrs))
+    assert not any(map(aside, ('class="social-studies lesson"', 'class="legal-history"', 'id="menuPlanning"', 'class="notice-of-hearing article"')))
+    assert all(map(aside, ('class="social-links"', 'class="related-posts"', 'class="share"', 'id="siteNotice"', 'class="search-form"', 'class="weather-widget"', 'class="main-menu"', 'class="post social"')))

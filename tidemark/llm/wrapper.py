@@ -34,6 +34,7 @@ import sys
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -82,6 +83,12 @@ ASIDE_WORDS = set(
     "reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchform widget "
     "pagination pager toolbar skip copyright legal disclaimer alert complementary contentinfo".split()
 )
+#: Words of ``ASIDE_WORDS`` that also name subjects, and words beside which they don't.
+SUBJECT_WORDS = set("social legal share sharing notice notices alert related search reply replies respond skip menu promotion advert".split())
+PLAIN_WORDS = set(
+    "a all area articles bar block bottom box button buttons col column container content entries entry footer form group header heading icon icons inner item items left "
+    "link links list main media more network networks nav news outer page pages panel post posts right row section site small stories story title top wrap wrapper you".split()
+)
 HEAD_WORDS = {"header", "masthead", "topbar"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -100,15 +107,24 @@ def _joined(m: re.Match) -> str:
     return re.sub("[^a-z]", "", m[0]) or "x"
 
 
+def _words(name: str) -> list[str]:
+    """The words of one class, id or role; a subject such as ``social-studies`` is one word."""
+    words = _WORD.findall(name)
+    subject = not SUBJECT_WORDS.isdisjoint(words) and any(w not in ASIDE_WORDS and w not in PLAIN_WORDS for w in words)
+    return ["".join(words)] if subject else words
+
+
+@lru_cache(maxsize=4096)
 def signature(tag: str, attrs: str) -> str:
     """The tag and the words of its class, id and role."""
     if not attrs or "=" not in attrs:
         return tag
     values = (_LAYOUT.sub(_joined, _CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(attrs))
-    words = dict.fromkeys(w for v in values for w in _WORD.findall(v))
+    words = dict.fromkeys(w for v in values for name in v.split() for w in _words(name))
     return ".".join([tag, *words]) if words else tag
 
 
+@lru_cache(maxsize=4096)
 def is_aside(sig: str) -> bool:
     """Whether tag or words set an element aside; `x` overrules words by what it holds."""
     tag, *words = sig.split(".")
@@ -119,6 +135,7 @@ def is_aside(sig: str) -> bool:
     return not ASIDE_WORDS.isdisjoint(words)
 
 
+@lru_cache(maxsize=4096)
 def is_head(sig: str) -> bool:
     tag, *words = sig.split(".")
     return tag == "header" or (tag[0] != "h" and not HEAD_WORDS.isdisjoint(words))
