@@ -56,6 +56,16 @@ def features_of(word: str) -> list[str]:
     return [word, *[f"{word[:n]}*" for n in STEMS if len(word) > n]]
 
 
+def counted(found: list[str], known: dict | None = None) -> Counter[str]:
+    """How often each feature (of ``known``, if given) occurs."""
+    counts: Counter[str] = Counter()
+    for w, n in Counter(found).items():
+        for f in features_of(w):
+            if known is None or f in known:
+                counts[f] += n
+    return counts
+
+
 def strength(count: int) -> float:
     """Value of a feature that occurs."""
     return math.log2(1 + count)
@@ -122,7 +132,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float, steps:
 
 
 def sample(docs: DataFrame, labels: DataFrame, settings: Settings, label: str = "toxic") -> DataFrame:
-    """(grade, half, words) of the labelled documents that the model is fitted on."""
+    """(grade, half, words, counts) of the labelled documents that the model is fitted on."""
     total = labels.count()
     share = min(1.0, settings.max_labelled / max(total, 1))
     chosen = labels.filter(F.col(label).isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
@@ -133,14 +143,15 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings, label: str =
         def work(texts):
             for t in texts:
                 found = words(t)
-                grams = {hash_of(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else {0}
-                yield [f for w in found for f in features_of(w)], min(grams)
+                least = min((hash_of(found[i : i + 5]) for i in range(max(1, len(found) - 4))), default=0) if found else 0
+                counts = counted(found)
+                yield list(counts), list(counts.values()), least
 
         return work
 
-    rows = map_rows(picked, ["text"], "words array<string>, least long", make, keep=["_grade"])
+    rows = map_rows(picked, ["text"], "words array<string>, counts array<int>, least long", make, keep=["_grade"])
     # near copies share the least hash of their five-word shingles more often than not
-    return rows.groupBy("least", "_grade").agg(F.min("words").alias("words")).select(F.col("_grade").alias("grade"), F.pmod("least", F.lit(2)).cast("int").alias("half"), "words")
+    return rows.groupBy("least", "_grade").agg(F.min(F.struct("words", "counts")).alias("w")).select(F.col("_grade").alias("grade"), F.pmod("least", F.lit(2)).cast("int").alias("half"), "w.words", "w.counts")
 
 
 def hash_of(gram: list[str]) -> int:
@@ -166,25 +177,26 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
     is_toxic = F.col("grade") > 0
     n = {(r.half, r.t): r["count"] for r in rows.groupBy("half", is_toxic.alias("t")).count().collect()}
     total = lambda t, halves=(0, 1): sum(n.get((h, t), 0) for h in halves)
-    seen = rows.select("grade", "half", F.explode(F.array_distinct("words")).alias("word"))
+    seen = rows.select("grade", "half", F.explode("words").alias("word"))
     stats = seen.groupBy("word").agg(*[F.count_if((is_toxic if k == "a" else ~is_toxic) & (F.col("half") == h)).alias(f"{k}{h}") for k in "ab" for h in (0, 1)])
     stats = written(stats, "word_counts")
     features = telling(stats, "a0 + a1", "b0 + b1", total(True), total(False), settings)
     others = [set(telling(stats, f"a{1 - h}", f"b{1 - h}", total(True, (1 - h,)), total(False, (1 - h,)), settings)) for h in (0, 1)]
     known = sorted({*features, *others[0], *others[1]})
-    kept = F.filter("words", lambda w: w.isin(known)) if known else F.array().cast("array<string>")
+    pairs = F.arrays_zip("words", "counts")
+    kept = F.filter(pairs, lambda p: p["words"].isin(known)) if known else F.slice(pairs, 1, 0)
     local = rows.select("grade", "half", kept.alias("found")).collect()  # bounded by the sample
     if not local:
         return Model({}, (2.0,))
     place = {w: i for i, w in enumerate(features)}
     x = np.zeros((len(local), len(features)))
     for i, r in enumerate(local):
-        for w, c in Counter(r.found).items():
+        for w, c in r.found:
             if w in place:
                 x[i, place[w]] = strength(c)
     y = np.array([max(r.grade, 0) for r in local], int)
     if y.max() == 1 and settings.grades > 1:
-        amount = np.array([sum(1 / len(STEMS) if w.endswith("*") else 1 for w in r.found if w in others[r.half]) for r in local])
+        amount = np.array([sum(c / len(STEMS) if w.endswith("*") else c for w, c in r.found if w in others[r.half]) for r in local])
         toxic = y == 1
         marked = amount[toxic & (amount > 0)]
         if len(marked):
@@ -202,12 +214,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", se
 
         def work(texts):
             for t in texts:
-                counts: Counter[str] = Counter()
-                for w, n in Counter(words(t)).items():
-                    for f in features_of(w):
-                        if f in known:
-                            counts[f] += n
-                p = model.at_least(counts)
+                p = model.at_least(counted(words(t), known))
                 yield math.fsum(p), p[0], p[0] >= settings.cut
 
         return work
