@@ -88,6 +88,29 @@ def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], size: str, tot
     return rows.join(few, keys, "inner" if how == "left" else how).unionByName(rest.join(values.filter(~hot).drop(size), keys, how))
 
 
+def find_spread(rows: DataFrame, values: DataFrame, keys: list[str], size: str, most: int, hottest: int = 10_000) -> DataFrame:
+    """``rows`` whose ``keys`` (longs, the first two at least) are in ``values``, in one pass over ``rows``.
+
+    ``size`` names the column of ``values`` (a row per key, written) with the
+    number of rows that may have the key.  Up to ``most`` keys are broadcast.  Of
+    more, those with over a ``hottest``-th of all sizes are, ``hottest`` at most
+    whatever the data: rows that they settle go on under a key of their own,
+    which no value has, and so are dealt evenly; the others are shuffled.
+    """
+    n, total = values.agg(F.count(F.lit(1)), F.sum(size)).first()
+    if n <= most:
+        return rows.join(F.broadcast(values.select(*keys)), keys, "left_semi")
+    hot = F.col(size) > total // hottest
+    flag = free_name(rows, "_hot")
+    marked = rows.join(F.broadcast(values.filter(hot).select(*keys, F.lit(True).alias(flag))), keys, "left")
+    lone = [F.when(F.col(flag), F.xxhash64(*[F.col(c) for c in rows.columns])).otherwise(F.col(keys[0])), *[F.when(F.col(flag).isNull(), F.col(k)) for k in keys[1:]]]
+    own = [free_name(rows, f"_key{i}") for i in range(len(keys))]
+    rest = values.filter(~hot).select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.lit(True).alias(f"{flag}_rest"))
+    dealt = marked.withColumns({f"{o}_": c for o, c in zip(own, lone)})
+    same = [F.col(f"{o}_") == F.col(o) for o in own]
+    return dealt.join(rest, same, "left").filter(F.col(flag) | F.col(f"{flag}_rest")).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def words_of(text: Column) -> Column:
     """Array of the space-separated words of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
