@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,11 +43,21 @@ SELL_MEANING = {
 SELL_MEANING_DEFAULT = "Decisão sugerida: reavaliar a posição."
 
 
+def is_cooling(minutes, p: Alerts):
+    """Whether a send so many minutes away (a column or a number) still holds alerts back."""
+    return minutes < p.cooldown_minutes
+
+
+def is_jump(gain, p: Alerts):
+    """Whether a score's gain (a column or a number) over the last send's overrides the cooldown."""
+    return gain >= p.escalation_jump
+
+
 def decide(score: Column, severity: Column, now: Column, prior_at: Column, prior_score: Column, p: Alerts = Alerts()) -> Column:
     """(action, reason, override_cooldown, bypass_quiet) of one signal."""
     elapsed = S.minutes_between(now, prior_at)
-    cooling = F.coalesce(elapsed < p.cooldown_minutes, F.lit(False))
-    jump = F.coalesce(score - prior_score >= p.escalation_jump, F.lit(False))
+    cooling = F.coalesce(is_cooling(elapsed, p), F.lit(False))
+    jump = F.coalesce(is_jump(score - prior_score, p), F.lit(False))
     override = cooling & jump
     skip = cooling & ~jump
     quiet = S.quiet_hours(now, p.timezone, p.quiet_start, p.quiet_end)
@@ -66,48 +80,173 @@ def prior_alerts(notifications: DataFrame, signals: DataFrame) -> DataFrame:
     return j.groupBy("symbol").agg(F.max_by(F.struct("sent_at", "score"), F.struct("sent_at", "nid")).alias("p")).select("symbol", "p.sent_at", "p.score")
 
 
-def _priors_in_order(batches: Iterator[pa.RecordBatch], p: Alerts) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by symbol and order, each with the last send before it; only that send is held."""
-    symbol, at, score = object(), None, None
+#: Columns by which the signals of a symbol pass, and what the pass needs of each.
+ORDER = ["detected_at", "id", "severity", "score", "now", "ok"]
+
+
+def _zero() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def micros(c: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", _zero(), c)
+
+
+def judged(pending: DataFrame, clock: str, p: Alerts, delivered: Column | None = None) -> DataFrame:
+    """symbol and ``ORDER`` of pending signals, ``_us`` (``now`` in microseconds) and ``_can``: a send would count as prior."""
+    ok = F.lit(True) if delivered is None else F.coalesce(delivered, F.lit(False))
+    rows = pending.select("symbol", "detected_at", "id", "severity", F.col("score").cast("bigint").alias("score"), F.col(clock).alias("now"), ok.alias("ok"))
+    loud = F.coalesce(F.col("severity") == "very_strong", F.lit(False))
+    held_back = F.coalesce(S.quiet_hours(F.col("now"), p.timezone, p.quiet_start, p.quiet_end) & ~loud, F.lit(False))
+    return rows.withColumns({"_us": micros(F.col("now")), "_can": F.col("ok") & ~held_back})
+
+
+def decided(rows: DataFrame, p: Alerts) -> DataFrame:
+    """Decisions on ``judged`` rows with the last send before each in ``_prior_us`` and ``_prior_score``."""
+    d = decide(F.col("score"), F.col("severity"), F.col("now"), F.timestamp_add("MICROSECOND", F.col("_prior_us"), _zero()), F.col("_prior_score"), p)
+    return rows.withColumn("_d", d).select("symbol", "id", "now", "_d.action", "_d.reason", "_d.override_cooldown", "_d.bypass_quiet", "ok")
+
+
+def priors_in_order(rows: Iterable[tuple], at: int | None, score: int | None, p: Alerts) -> Iterator[tuple]:
+    """The last send (microseconds, score) before each row (now, score, can), and after the last one."""
+    for now, mark, can in rows:
+        yield at, score
+        cooling = now is not None and at is not None and is_cooling(abs(now - at) / 60e6, p)
+        jump = mark is not None and score is not None and is_jump(mark - score, p)
+        if can and (jump or not cooling):
+            at, score = now, mark
+    yield at, score
+
+
+def _with_priors(batches: Iterator[pa.RecordBatch], group: list[str], p: Alerts) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group and order, each with the last send before it; only that send is held."""
+    last, at, score = object(), None, None
     for batch in batches:
-        out_at, out_score = [], []
-        names = ("symbol", "_us", "score", "_can", "_sent_us", "_sent_score")
-        for s, now, mark, can, sent_us, sent_score in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-            if s != symbol:
-                symbol, at, score = s, sent_us, sent_score
-            out_at.append(at)
-            out_score.append(score)
-            cooling = now is not None and at is not None and abs(now - at) / 60e6 < p.cooldown_minutes
-            jump = mark is not None and score is not None and mark - score >= p.escalation_jump
-            if can and (jump or not cooling):
-                at, score = now, mark
-        arrays = [pa.array(out_at, pa.int64()), pa.array(out_score, pa.int64())]
+        columns = {n: batch.column(n).to_pylist() for n in (*group, "_us", "score", "_can", "_sent_us", "_sent_score")}
+        keys, n, found = list(zip(*[columns[g] for g in group], strict=True)), 0, []
+        for key, own in groupby(keys):
+            size = sum(1 for _ in own)
+            if key != last:
+                last, at, score = key, columns["_sent_us"][n], columns["_sent_score"][n]
+            rows = zip(*[columns[c][n : n + size] for c in ("_us", "score", "_can")], strict=True)
+            *before, (at, score) = priors_in_order(rows, at, score, p)
+            found += before
+            n += size
+        arrays = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
         yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "_prior_us", "_prior_score"])
 
 
-def alert_pass(pending: DataFrame, priors: DataFrame, clock: str, p: Alerts = Alerts(), delivered: Column | None = None) -> DataFrame:
+#: Places in time of rows without a time, and scores of rows without a score.
+_NO_TIME, _NO_SCORE = -(1 << 61), -(1 << 40)
+
+
+def send_map(now: np.ndarray, score: np.ndarray, p: Alerts) -> dict[str, list[int]]:
+    """What a block of rows that can send, in order of time, makes of the send before it.
+
+    The first row that is sent is the first one beyond the cooldown of that send
+    or, before it, the first with a jump over its score.  From there on the sends
+    follow from the block alone; ``exit`` has the last of them for each first
+    row.  Neighbours with one exit are one entry; each record of the scores
+    starts an entry, so which of two entries comes first is known.
+    """
+    n, wait = len(now), int(p.cooldown_minutes * 60_000_000)
+    levels = np.unique(score)
+    first = np.full(len(levels) + 1, n)  # first later row with at least the score of a level
+    by_time = np.where(now == _NO_TIME, np.arange(n) + 1, np.searchsorted(now, now + wait, "left"))
+    over = np.where(score == _NO_SCORE, len(levels), np.searchsorted(levels, score + p.escalation_jump, "left"))
+    at = np.searchsorted(levels, score)
+    last = np.arange(n)
+    for i in range(n - 1, -1, -1):
+        follow = min(max(int(by_time[i]), i + 1), int(first[over[i]]))
+        if follow < n:
+            last[i] = last[follow]
+        first[: at[i] + 1] = i
+    tops = np.maximum.accumulate(score) if n else score
+    record = np.concatenate(([True], tops[1:] > tops[:-1])) if n else np.zeros(0, bool)
+    begins = np.flatnonzero(record | np.concatenate(([True], last[1:] != last[:-1]))) if n else np.zeros(0, int)
+    ends = np.append(begins[1:], n)[: len(begins)] - 1
+    records = np.flatnonzero(record)
+    return {
+        "start": now[:1].tolist(),
+        "until": now[ends].tolist(),
+        "exit_us": now[last[begins]].tolist(),
+        "exit_score": score[last[begins]].tolist(),
+        "record": score[records].tolist(),
+        "entry": np.searchsorted(begins, records).tolist(),
+    }
+
+
+def after_block(m: dict[str, list[int]], at: int | None, score: int | None, p: Alerts) -> tuple[int | None, int | None]:
+    """The last send after a block, given the one before it."""
+    wait, entries = int(p.cooldown_minutes * 60_000_000), len(m["until"])
+    if not entries:
+        return at, score
+    if at is None or m["start"][0] <= at - wait:
+        entry = 0
+    else:
+        entry = bisect_left(m["until"], at + wait)
+    if score is not None:
+        k = bisect_left(m["record"], score + p.escalation_jump)
+        if k < len(m["record"]):
+            entry = min(entry, m["entry"][k])
+    if entry == entries:
+        return at, score
+    us, mark = m["exit_us"][entry], m["exit_score"][entry]
+    return None if us == _NO_TIME else us, None if mark == _NO_SCORE else mark
+
+
+def _block_priors(rows: DataFrame, priors: DataFrame, p: Alerts) -> DataFrame:
+    """symbol, _block and the last send before each block of a symbol.
+
+    Each block becomes a small map from send to send in a task of its own; the
+    maps of a symbol, a row for each block, are then applied one after another.
+    """
+    lists = ["start", "until", "exit_us", "exit_score", "record", "entry"]
+
+    def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part[part["_can"]].sort_values(ORDER, kind="stable", na_position="first")
+        numbers = lambda c, none: np.array([none if pd.isna(v) else v for v in part[c]], np.int64)
+        made = send_map(numbers("_us", _NO_TIME), numbers("score", _NO_SCORE), p)
+        return pd.DataFrame({"symbol": [key[0]], "_block": [key[1]], **{k: [made[k]] for k in lists}})
+
+    def walk(maps: pd.DataFrame) -> pd.DataFrame:
+        maps, out = maps.sort_values("_block"), []
+        at, score = (None if pd.isna(v) else int(v) for v in maps[["_sent_us", "_sent_score"]].iloc[0])
+        for row in maps.itertuples(index=False):
+            out.append((row[0], row[1], at, score))
+            at, score = after_block({k: list(v) for k, v in zip(lists, row[2:8])}, at, score, p)
+        out = pd.DataFrame(out, columns=["symbol", "_block", "_sent_us", "_sent_score"])
+        return out.astype({"_sent_us": "Int64", "_sent_score": "Int64"})
+
+    schema = "symbol string, _block long, " + ", ".join(f"{k} array<long>" for k in lists)
+    maps = rows.groupBy("symbol", "_block").applyInPandas(build, schema)
+    maps = maps.join(priors, "symbol", "left")
+    return maps.groupBy("symbol").applyInPandas(walk, "symbol string, _block long, _sent_us long, _sent_score long")
+
+
+def alert_pass(pending: DataFrame, priors: DataFrame, clock: str, p: Alerts = Alerts(), delivered: Column | None = None, block_hours: int = 24) -> DataFrame:
     """Decisions on pending signals in order; a send is the prior of later rows.
 
     ``pending`` has id, symbol, severity, score, detected_at and ``clock``, the
     time at which a row is decided.  ``delivered`` tells whether a send
     succeeds (all do if not given); a failed one is no prior.  The rows of a
-    symbol are sorted by detected_at and id and pass one by one through one
-    task that holds the last send and its score, so memory is bounded for any
-    number of rows.
+    symbol pass by detected_at and id.  With ``detected_at`` as the clock, each
+    ``block_hours`` of a symbol go to a task of their own: the send before a
+    block is known from the small maps of the blocks before it.  With another
+    clock, whose times need not rise, the rows of a symbol pass through one task
+    that holds the last send.
     """
-    ok = F.lit(True) if delivered is None else F.coalesce(delivered, F.lit(False))
-    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    us = lambda c: F.timestamp_diff("MICROSECOND", zero, c)
-    rows = pending.select("symbol", "detected_at", "id", "severity", F.col("score").cast("bigint").alias("score"), F.col(clock).alias("now"), ok.alias("ok"))
-    loud = F.coalesce(F.col("severity") == "very_strong", F.lit(False))
-    held_back = F.coalesce(S.quiet_hours(F.col("now"), p.timezone, p.quiet_start, p.quiet_end) & ~loud, F.lit(False))
-    rows = rows.withColumns({"_us": us(F.col("now")), "_can": F.col("ok") & ~held_back})
-    rows = rows.join(priors.select("symbol", us(F.col("sent_at")).alias("_sent_us"), F.col("score").cast("bigint").alias("_sent_score")), "symbol", "left")
-    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", "detected_at", "id", "severity", "score", "now", "ok")
+    rows = judged(pending, clock, p, delivered)
+    sent = priors.select("symbol", micros(F.col("sent_at")).alias("_sent_us"), F.col("score").cast("bigint").alias("_sent_score"))
+    if clock == "detected_at":
+        group = ["symbol", "_block"]
+        rows = rows.withColumn("_block", F.coalesce(F.floor(F.col("_us") / (block_hours * 3_600_000_000)), F.lit(_NO_TIME)).cast("long"))
+        sent = _block_priors(rows, sent, p)
+    else:
+        group = ["symbol"]
+    ordered = rows.repartition(*group).join(sent, group, "left").sortWithinPartitions(*group, *ORDER)
     schema = StructType([*ordered.schema.fields, StructField("_prior_us", LongType()), StructField("_prior_score", LongType())])
-    folded = ordered.mapInArrow(lambda batches: _priors_in_order(batches, p), schema)
-    d = decide(F.col("score"), F.col("severity"), F.col("now"), F.timestamp_add("MICROSECOND", F.col("_prior_us"), zero), F.col("_prior_score"), p)
-    return folded.withColumn("_d", d).select("symbol", "id", "now", "_d.action", "_d.reason", "_d.override_cooldown", "_d.bypass_quiet", "ok")
+    return decided(ordered.mapInArrow(lambda batches: _with_priors(batches, group, p), schema), p)
 
 
 def _with_results(decisions: DataFrame, results: DataFrame | None) -> DataFrame:
