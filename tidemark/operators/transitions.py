@@ -29,6 +29,11 @@ def insert_outcomes(candidates: DataFrame, existing: DataFrame | None = None) ->
     else:
         c = c.withColumn("max_rank", F.lit(None).cast("int"))
     c = c.withColumn("_max", F.greatest("max_rank", F.max("_rank").over(before)))
+    return with_outcome(c).drop("max_rank")
+
+
+def with_outcome(c: DataFrame) -> DataFrame:
+    """``reason`` and ``inserted`` from the rank of a candidate (``_rank``) and the highest before it (``_max``), which go."""
     reason = (
         F.when(F.col("_rank").isNull(), "below_threshold")
         .when(F.col("_max").isNull(), "inserted")
@@ -36,7 +41,7 @@ def insert_outcomes(candidates: DataFrame, existing: DataFrame | None = None) ->
         .when(F.col("_max") > F.col("_rank"), "superseded")
         .otherwise("escalated")
     )
-    return c.withColumn("reason", reason).withColumn("inserted", F.col("reason").isin("inserted", "escalated")).drop("_rank", "_max", "max_rank")
+    return c.withColumn("reason", reason).withColumn("inserted", F.col("reason").isin("inserted", "escalated")).drop("_rank", "_max")
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
@@ -155,6 +160,23 @@ def sell_severity(rule: Column) -> Column:
     return F.when(rule == "stop_loss", "high").when(rule.isNotNull(), "medium")
 
 
+def sell_rows(judged: DataFrame, now: Column, regime: Column) -> DataFrame:
+    """Sell signals of positions (id, symbol, price) whose ``rule`` has fired at ``now_price``; they have no id yet."""
+    return judged.select(
+        F.lit(None).cast("bigint").alias("id"),
+        "symbol",
+        F.col("id").alias("buy_id"),
+        now.alias("detected_at"),
+        F.col("now_price").alias("price_at_signal"),
+        F.col("rule").alias("rule_triggered"),
+        sell_severity(F.col("rule")).alias("severity"),
+        F.col("rule").alias("reason"),
+        S.pct_change(F.col("price"), F.col("now_price")).alias("pnl_pct"),
+        regime.alias("regime_at_signal"),
+        F.lit(False).alias("alerted"),
+    )
+
+
 def sell_pass(
     positions: DataFrame, closes: DataFrame, tracking: DataFrame, fired: DataFrame, now: Column, regime: Column | None = None, p: Sell = Sell()
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -174,19 +196,7 @@ def sell_pass(
     j = j.join(last, ["id", "rule"], "left")
     cooling = F.lit(p.cooldown_hours > 0) & (F.timestamp_diff("SECOND", "_last", now) < p.cooldown_hours * 3600)
     j = j.withColumn("suppressed", F.col("rule").isNotNull() & F.coalesce(cooling, F.lit(False))).drop("_last")
-    sells = j.filter("rule is not null and not suppressed").select(
-        F.lit(None).cast("bigint").alias("id"),
-        "symbol",
-        F.col("id").alias("buy_id"),
-        now.alias("detected_at"),
-        F.col("now_price").alias("price_at_signal"),
-        F.col("rule").alias("rule_triggered"),
-        sell_severity(F.col("rule")).alias("severity"),
-        F.col("rule").alias("reason"),
-        S.pct_change(F.col("price"), F.col("now_price")).alias("pnl_pct"),
-        regime.alias("regime_at_signal"),
-        F.lit(False).alias("alerted"),
-    )
+    sells = sell_rows(j.filter("rule is not null and not suppressed"), now, regime)
     top = F.greatest("watermark", "price", F.when(priced, F.col("now_price")))
     rises = ~F.col("no_price") & (F.col("watermark").isNull() | (top > F.col("watermark")))
     moved = j.filter(~F.col("no_price") | F.col("watermark").isNotNull()).select(

@@ -1,96 +1,129 @@
 """Structured Streaming jobs that carry the batch operators.
 
-Tables that a batch merges into are kept as versions, one for each batch id: a
-batch reads the newest version below its own and writes its own, so a batch
-that is run again after a failure gives the same table.  Such tables have a row
-per symbol or position; of their versions the last two stay.  Tables that only
-grow are written as additions by batch and day, and a batch reads the days it
-needs.  A bar at or before its key's mark is late and is dropped, as in the
-batch ingest.
+Each job is a streaming DataFrame whose state Spark keeps: ``transformWithState``
+on RocksDB, so a restart goes on from the checkpoint and a batch that is run
+again gives the same rows.  No job lists or rewrites a table.  The rules are the
+column rules of the batch operators; the state only adds what came before a row.
+
+``start`` runs such a job with any sink.  Rows of a key within a micro-batch are
+sorted, so their order in the files doesn't matter; ``maxFilesPerTrigger`` or
+the like bounds what a batch brings.
+
+Columns that only a state step sees end in an underscore: names that begin with
+one are not kept on the way into it.
+
+State goes when it is no longer needed: highest severities and
+watches by event-time timers, positions at their sale or after a long silence,
+held alerts when the watermark releases them.  The watermark's column is the
+event time plus the allowed delay, so timers fire at the event time of the
+newest row while rows up to the delay behind it still count.  Alerts alone are
+held for the delay, as their order matters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
 
-from ..operators import alerts, readers, transitions
+from ..operators import alerts, transitions
 from ..params import Alerts, Scoring, Sell, Watch
 from ..schemas import TABLES
 from ..sources import candles as C
 
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 
-class Versions:
-    """A table as Parquet folders ``v=<batch id>`` under a path."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+def start(writer: DataStreamWriter, spark: SparkSession, partitions: int | None = None) -> StreamingQuery:
+    """Start a query whose state is in RocksDB; the session's own settings stay as they are.
 
-    def before(self, batch: int) -> DataFrame:
-        """The newest version below a batch; the empty table if there is none."""
-        for n in range(batch - 1, -1, -1):
-            try:
-                return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={n}")
-            except AnalysisException as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        return self.spark.createDataFrame([], self.schema)
+    ``partitions`` is the number of state partitions, which a checkpoint keeps
+    for good (the session's shuffle partitions if not given).
+    """
+    wish = {"spark.sql.streaming.stateStore.providerClass": PROVIDER}
+    if partitions:
+        wish["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in wish}
+    try:
+        for k, v in wish.items():
+            spark.conf.set(k, v)
+        return writer.start()  # takes a copy of the settings
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    def write(self, batch: int, df: DataFrame, prune: bool = False) -> None:
-        """Write a version; ``prune`` removes what is older than the one before it."""
-        names = [f.strip().split(" ")[0] for f in self.schema.split(",")]
-        df.select(*names).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        if prune and batch >= 2:
-            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={batch - 2}")
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
-    def add(self, batch: int, df: DataFrame, time: str) -> None:
-        """Write additions of a batch, laid out by the day of ``time``."""
-        names = [f.strip().split(" ")[0] for f in self.schema.split(",")]
-        df.select(*names, F.to_date(time).alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/v={batch}")
+def to_files(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Append to Parquet files, each row exactly once over restarts."""
+    return df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
 
-    def added(self, batch: int, days: list) -> DataFrame:
-        """Additions of the batches below one on some days; other folders are not read."""
-        try:
-            rows = self.spark.read.schema(f"{self.schema}, v int, day date").parquet(self.path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self.schema)
-        return rows.filter((F.col("v") < batch) & F.col("day").isin(days)).drop("v", "day")
 
-    def parts(self) -> DataFrame:
-        """All versions together, for tables whose versions are additions."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v=*")
+def state_of(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """A named value or map state of a checkpoint as a table (key, value or user_map_key and user_map_value)."""
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
 
 
-def _each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"{c} {t}" for c, t in df.dtypes)
 
 
-def ingest(bars: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """First-wins append of closed bars; late and repeated ones are dropped.
+def _ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(by, kind="stable", na_position="first", ignore_index=True)
 
-    The marks, one row per symbol and interval, are the only state that a
-    batch reads; bars of the table are not read again.
-    """
-    spark = bars.sparkSession
-    added = Versions(spark, f"{path}/bars", _schema(bars))
-    marks = Versions(spark, f"{path}/marks", "symbol string, interval string, last_open_time timestamp_ntz")
 
-    def work(batch: DataFrame, n: int) -> None:
-        old = marks.before(n)
-        fresh = batch.join(old, C.KEY, "left").filter(F.col("last_open_time").isNull() | (F.col("open_time") > F.col("last_open_time"))).drop("last_open_time")
-        added.write(n, C.new_bars(fresh, fresh.limit(0)))
-        marks.write(n, C.advance_state(old, batch), prune=True)
+def _value(state):
+    """The fields of a value state; None if there is none."""
+    return state.get() if state.exists() else None
+
+
+def _none(v):
+    return None if pd.isna(v) else v
+
+
+def _with_event_time(df: DataFrame, time: str, delay: str, hold: bool = False) -> DataFrame:
+    """Rows with a time, with its microseconds in ``us_`` and a watermark at the newest of them (``hold``: the delay behind it)."""
+    us = alerts.micros(F.col(time))
+    at = F.timestamp_micros(us)
+    if not hold:
+        at = at + F.expr(f"interval {delay}")
+    return df.filter(F.col(time).isNotNull()).withColumns({"us_": us, "at_": at}).withWatermark("at_", delay)
+
+
+# --- bars --------------------------------------------------------------------
+
+
+class _Bars(StatefulProcessor):
+    """The newest open time of a symbol and interval."""
+
+    def init(self, handle) -> None:
+        self.mark = handle.getValueState("mark", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = _ordered(rows, ["us_", "close_time", "open", "high", "low", "close", "volume"]).drop_duplicates("us_")
+        mark = _value(self.mark)
+        fresh = rows if mark is None else rows[rows["us_"] > mark[0]]
+        if len(fresh):
+            self.mark.update((int(fresh["us_"].max()),))
+        yield fresh.drop(columns="us_")
+
+    def close(self) -> None:
+        pass
 
-    return _each_batch(bars, work, checkpoint)
+
+def ingest(bars: DataFrame) -> DataFrame:
+    """First-wins bars as they come; late and repeated ones are dropped.
+
+    A bar at or before its key's mark is late, as in the batch ingest; of several
+    rows of a bar in a batch the least by value stays.  Bars without a time are
+    left out.  State: a mark for each symbol and interval.
+    """
+    rows = bars.filter(F.col("open_time").isNotNull()).withColumn("us_", alerts.micros(F.col("open_time")))
+    return rows.groupBy(*C.KEY).transformWithStateInPandas(_Bars(), _schema(bars), "append", "None")
 
 
 def deduplicated(bars: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -98,96 +131,315 @@ def deduplicated(bars: DataFrame, delay: str = "2 days") -> DataFrame:
     return bars.withColumn("at", F.col("open_time").cast("timestamp")).withWatermark("at", delay).dropDuplicatesWithinWatermark(C.BAR).drop("at")
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"{c} {t}" for c, t in df.dtypes)
+# --- signals -------------------------------------------------------------------
 
 
-def insert_signals(candidates: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Outcomes of candidates against what earlier batches have inserted."""
-    spark = candidates.sparkSession
-    outcomes = Versions(spark, f"{path}/outcomes", _schema(candidates) + ", reason string, inserted boolean")
-    ranks = Versions(spark, f"{path}/ranks", "symbol string, candle_hour timestamp_ntz, severity string")
+class _Highest(StatefulProcessor):
+    """The highest severity of a symbol and candle hour."""
 
-    def work(batch: DataFrame, n: int) -> None:
-        days = [r[0] for r in batch.select(F.to_date("candle_hour")).distinct().collect()]  # the days of one batch
-        done = transitions.insert_outcomes(batch, ranks.added(n, days)).persist()
-        outcomes.write(n, done)
-        ranks.add(n, done.filter("inserted"), "candle_hour")
-        done.unpersist()
+    def __init__(self, days: float):
+        self.keep = int(days * DAY_MS)
 
-    return _each_batch(candidates, work, checkpoint)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.top = handle.getValueState("top", "rank int")
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = _ordered(rows, ["us_", "id"])
+        old = _value(self.top)
+        ranks = rows["rank_"].fillna(0).astype(int).to_numpy()
+        tops = np.maximum.accumulate(np.concatenate([[old[0] if old else 0], ranks]))
+        if tops[-1] > 0:
+            self.top.update((int(tops[-1]),))
+            if not old:
+                self.handle.registerTimer(int(rows["us_"].iloc[-1]) // 1000 + self.keep)
+        yield rows.drop(columns=["us_", "at_"]).assign(max_=pd.Series([int(t) or None for t in tops[:-1]], dtype="object"))
 
-def alert(signals: DataFrame, path: str, checkpoint: str, p: Alerts = Alerts()) -> DataStreamWriter:
-    """Decisions on signals as they come; the last send of a symbol is the state."""
-    spark = signals.sparkSession
-    decisions = Versions(
-        spark, f"{path}/decisions", "symbol string, id bigint, now timestamp_ntz, action string, reason string, override_cooldown boolean, bypass_quiet boolean, ok boolean"
-    )
-    priors = Versions(spark, f"{path}/priors", "symbol string, sent_at timestamp_ntz, score int")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.top.clear()
+        return iter(())
 
-    def work(batch: DataFrame, n: int) -> None:
-        old = priors.before(n)
-        done = alerts.alert_pass(batch, old, "detected_at", p).persist()
-        decisions.write(n, done)
-        sent = done.filter("action = 'send_now' and ok").join(batch.select("id", "score"), "id").select("symbol", F.col("now").alias("sent_at"), "score")
-        newest = old.unionByName(sent).groupBy("symbol").agg(F.max_by(F.struct("sent_at", "score"), "sent_at").alias("s")).select("symbol", "s.sent_at", "s.score")
-        priors.write(n, newest, prune=True)
-        done.unpersist()
+    def close(self) -> None:
+        pass
 
-    return _each_batch(signals, work, checkpoint)
 
+def insert_signals(candidates: DataFrame, days: float = 7, delay: str = "1 hour") -> DataFrame:
+    """Outcomes of candidates against what was inserted before them.
 
-WATCHLIST = (
-    "id bigint, symbol string, status string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, last_score int, expires_at timestamp_ntz, "
-    "promoted_signal_id bigint, resolved_at timestamp_ntz, resolution_reason string"
+    State: the highest severity of each symbol and candle hour; it goes when the
+    newest candidate is ``days`` beyond its first ones.  Candidates without a
+    time, or over ``delay`` behind the newest one of earlier batches, are left out.
+    """
+    ranked = candidates.withColumn("rank_", transitions.severity_rank(F.col("severity")))
+    rows = _with_event_time(ranked, "detected_at", delay)
+    kept = rows.groupBy("symbol", "candle_hour").transformWithStateInPandas(_Highest(days), _schema(ranked) + ", max_ int", "append", "EventTime")
+    return transitions.with_outcome(kept.withColumnsRenamed({"rank_": "_rank", "max_": "_max"}))
+
+
+class _Sends(StatefulProcessor):
+    """The last send of a symbol, and its rows that the watermark has not reached."""
+
+    def __init__(self, p: Alerts, names: list[str]):
+        self.p, self.names = p, names
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "detected_us long, id long, severity string, score long, now_us long, ok boolean, can boolean")
+        self.sent = handle.getValueState("sent", "us long, score long")
+        self.due = handle.getValueState("due", "ms long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for us, score in initialState[["sent_us", "sent_score"]].itertuples(index=False):
+            self.sent.update(tuple(None if pd.isna(v) else int(v) for v in (us, score)))
+
+    def _wait(self, us: int) -> None:
+        """A timer at the first held row."""
+        ms, due = -(-us // 1000), _value(self.due)
+        if due is None or ms < due[0]:
+            if due is not None:
+                self.handle.deleteTimer(due[0])
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["us_", "id", "severity", "score", "now_us_", "ok", "can_"]
+        kinds = [int, int, str, int, int, bool, bool]
+        new = [tuple(None if pd.isna(v) else k(v) for k, v in zip(kinds, r)) for part in rows for r in part[columns].itertuples(index=False)]
+        self.held.appendList(new)
+        self._wait(min(r[0] for r in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        held = pd.DataFrame(list(self.held.get()), columns=["us_", "id", "severity", "score", "now_us_", "ok", "can_"], dtype="object")
+        ready = held["us_"] <= reached
+        due, rest = held[ready].sort_values(["us_", "id", "severity", "score", "now_us_", "ok"], kind="stable", na_position="first"), held[~ready]
+        self.held.clear()
+        self.due.clear()
+        if len(rest):
+            self.held.put([tuple(r) for r in rest.itertuples(index=False)])
+            self._wait(int(rest["us_"].min()))
+        passing = zip(due["now_us_"], due["score"], due["can_"])
+        *before, last = alerts.priors_in_order(passing, *(_value(self.sent) or (None, None)), self.p)
+        if last[0] is not None or last[1] is not None:
+            self.sent.update(last)
+        out = due.assign(symbol=key[0], _prior_us=pd.Series([b[0] for b in before], due.index, "object"), _prior_score=pd.Series([b[1] for b in before], due.index, "object"))
+        yield out[self.names]
+
+    def close(self) -> None:
+        pass
+
+
+def alert(signals: DataFrame, p: Alerts = Alerts(), delivered=None, delay: str = "1 hour", priors: DataFrame | None = None, clock: str = "detected_at") -> DataFrame:
+    """Decisions on signals that may come in any order.
+
+    Rows are held until the watermark reaches them and then pass in order of
+    time, so shuffled batches give the rows of ``alerts.alert_pass``.  A row that
+    is more than ``delay`` behind the newest one is late and dropped; rows at the
+    end of the input are held until something newer comes.  ``priors`` are sends
+    from before the stream.  State: the last send and the held rows of a symbol.
+    """
+    rows = alerts.judged(signals, clock, p, delivered).withColumnsRenamed({"_us": "now_us_", "_can": "can_"})
+    rows = _with_event_time(rows, "detected_at", delay, hold=True)
+    out = "symbol string, us_ long, id long, severity string, score long, now_us_ long, ok boolean, _prior_us long, _prior_score long"
+    first = None
+    if priors is not None:
+        first = priors.select("symbol", alerts.micros(F.col("sent_at")).alias("sent_us"), F.col("score").cast("bigint").alias("sent_score")).groupBy("symbol")
+    processor = _Sends(p, [c.split(" ")[0] for c in out.split(", ")])
+    kept = rows.groupBy("symbol").transformWithStateInPandas(processor, out, "append", "EventTime", initialState=first)
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return alerts.decided(kept.withColumn("now", F.timestamp_add("MICROSECOND", F.col("now_us_"), zero)), p)
+
+
+# --- watchlist -----------------------------------------------------------------
+
+#: A version of a watch; the newest of each symbol and first_seen_at is its row of the watchlist.
+WATCHES = (
+    "symbol string, status string, first_us long, last_us long, last_score int, expires_us long, promoted_signal_id bigint, resolved_us long, "
+    "resolution_reason string, version int"
 )
 
 
-def watch(candidates: DataFrame, path: str, checkpoint: str, p: Watch = Watch(), s: Scoring = Scoring()) -> DataStreamWriter:
-    """The watchlist over scans; a batch is one scan.
+class _Watch(StatefulProcessor):
+    """The open watch of a symbol."""
+
+    def __init__(self, p: Watch):
+        self.keep = int(p.hours * HOUR_MS * 1000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "first_us long, last_us long, score int, expires_us long, version int")
+
+    def _row(self, symbol: str, status: str, watch: tuple, signal=None, at=None, why=None) -> tuple:
+        first, last, score, until, version = watch
+        return symbol, status, first, last, score, until, signal, at, why, version
+
+    def _ended(self, symbol: str, status: str, watch: tuple, at: int, why: str, signal=None) -> tuple:
+        self.open.clear()
+        self.handle.deleteTimer(-(-watch[3] // 1000))
+        return self._row(symbol, status, (*watch[:4], watch[4] + 1), signal, at, why)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out, watch = [], _value(self.open)
+        for r in _ordered(rows, ["us_", "score", "signal_id"]).itertuples(index=False, name="Scan"):
+            now, score, signal, inserted, with_watch, without = r[:6]
+            now = int(now)
+            if watch and watch[3] <= now:
+                out.append(self._ended(key[0], "expired", watch, now, "expired_stale"))
+                watch = None
+            action = with_watch if watch else without
+            if watch and action == "EXPIRE":
+                out.append(self._ended(key[0], "expired", watch, now, "below_floor"))
+                watch = None
+            elif watch and action == "PROMOTE" and _none(inserted):
+                out.append(self._ended(key[0], "promoted", watch, now, "promoted", _none(signal)))
+                watch = None
+            elif action == "WATCH":
+                if watch:
+                    self.handle.deleteTimer(-(-watch[3] // 1000))
+                watch = (watch[0] if watch else now, now, _none(score), now + self.keep, watch[4] + 1 if watch else 0)
+                self.open.update(watch)
+                self.handle.registerTimer(-(-watch[3] // 1000))
+                out.append(self._row(key[0], "watching", watch))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watch, now = _value(self.open), timerValues.getCurrentWatermarkInMs() * 1000
+        out = [self._ended(key[0], "expired", watch, now, "expired_stale")] if watch and watch[3] <= now else []
+        yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[f.split(" ")[0] for f in WATCHES.split(", ")], dtype="object")
+
+    def close(self) -> None:
+        pass
+
+
+def watch(candidates: DataFrame, p: Watch = Watch(), s: Scoring = Scoring(), delay: str = "1 hour") -> DataFrame:
+    """Versions of watches over scans, as they open, are refreshed and end.
 
     ``candidates`` has symbol, score, severity, signal_id, inserted and
-    scanned_at.  Stale watches end before the scan's scores are looked at.
+    scanned_at; a candidate with a severity takes no part.  Each symbol's scans
+    pass in order of time.  A watch that no scan of its symbol ends in time is
+    ended by a timer, without a row for it; it is stamped with the newest scan by
+    then, as a scan of the batch form stamps what it finds stale.  State: the open
+    watch of a symbol.  ``watch_table`` makes the watchlist of the versions.
     """
-    table = Versions(candidates.sparkSession, path, WATCHLIST)
-
-    def work(batch: DataFrame, n: int) -> None:
-        at = batch.agg(F.max("scanned_at")).first()[0]
-        now = F.lit(at).cast("timestamp_ntz")
-        old = table.before(n)
-        table.write(n, old if at is None else transitions.watch_pass(transitions.expire_stale(old, now), batch.drop("scanned_at"), now, p, s)[1], prune=True)
-
-    return _each_batch(candidates, work, checkpoint)
-
-
-def sells(closes: DataFrame, positions: DataFrame, path: str, checkpoint: str, regime: DataFrame | None = None, p: Sell = Sell()) -> DataStreamWriter:
-    """Sell rows, with every rule and its cooldown, as closes come; a batch is one scan.
-
-    ``closes`` has symbol, close and close_time; ``regime`` (one row, label) is
-    read anew by each scan.  State are the watermarks, a row per position, and
-    the last time of each position and rule.
+    action = lambda has: transitions.watch_action(F.col("score"), F.lit(has), s.min_score, p.floor)
+    rows = _with_event_time(candidates.filter("severity is null"), "scanned_at", delay)
+    rows = rows.select("us_", "score", "signal_id", "inserted", action(True).alias("with_"), action(False).alias("without_"), "symbol", "at_")
+    return rows.groupBy("symbol").transformWithStateInPandas(_Watch(p), WATCHES, "append", "EventTime")
+
+
+def watch_table(versions: DataFrame) -> DataFrame:
+    """The watchlist after all versions so far; ids by first_seen_at and symbol."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    time = lambda c: F.timestamp_add("MICROSECOND", c, zero)
+    fields = [c for c in versions.columns if c not in ("symbol", "first_us", "version")]
+    newest = versions.groupBy("symbol", "first_us").agg(F.max_by(F.struct(*fields), "version").alias("w"))
+    rows = newest.select(
+        "symbol",
+        "w.status",
+        time(F.col("first_us")).alias("first_seen_at"),
+        time(F.col("w.last_us")).alias("last_seen_at"),
+        "w.last_score",
+        time(F.col("w.expires_us")).alias("expires_at"),
+        "w.promoted_signal_id",
+        time(F.col("w.resolved_us")).alias("resolved_at"),
+        "w.resolution_reason",
+    )
+    names = [f.split(" ")[0] for f in TABLES["watchlist"].split(", ")]
+    return C.numbered(rows, [], ["first_seen_at", "symbol"]).withColumn("id", F.col("n") + 1).select(*names)
+
+
+# --- positions -----------------------------------------------------------------
+
+
+class _Position(StatefulProcessor):
+    """The watermark of a position and when each rule last gave a sell signal."""
+
+    def __init__(self, p: Sell, days: float, names: list[str]):
+        self.p, self.keep, self.names = p, int(days * DAY_MS), names
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.top = handle.getValueState("tracking", "high_watermark double, updated_us long")
+        self.fired = handle.getMapState("fired", "rule string", "us long")
+        self.until = handle.getValueState("until", "ms long")
+
+    def _forget(self) -> None:
+        self.top.clear()
+        self.fired.clear()
+        if until := _value(self.until):
+            self.handle.deleteTimer(until[0])
+            self.until.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = _ordered(rows, ["us_", "now_price"])
+        out, mark, wait = [], (_value(self.top) or (None, None)), self.p.cooldown_hours * 3600
+        rules = rows[["us_", "price", "now_price", "sold_us_", "rule", "trailed"]]
+        for i, (now, entry, close, sold, rule, trailed) in enumerate(rules.itertuples(index=False)):
+            if not pd.isna(sold) and sold <= now:
+                self._forget()
+                yield rows.iloc[out][self.names]
+                return
+            now, (top, updated) = int(now), mark
+            if not pd.isna(close) and close > 0:
+                if top is not None and top > 0 and close <= top * (1 - self.p.trailing / 100):
+                    rule = trailed
+                if _none(rule) is not None:
+                    last = self.fired.getValue((rule,)) if self.fired.containsKey((rule,)) else None
+                    if last is None or wait <= 0 or (now - last[0]) // 1_000_000 >= wait:
+                        self.fired.updateValue((rule,), (now,))
+                        rows.loc[i, "rule"] = rule
+                        out.append(i)
+                high = max(v for v in (top, entry, close) if v is not None and not pd.isna(v))
+                if top is None or high > top:
+                    mark = (float(high), now)
+        if mark[0] is not None:
+            self.top.update(mark)
+        until, ms = _value(self.until), int(rows["us_"].max()) // 1000 + self.keep
+        if until is None or until[0] < ms:
+            if until is not None:
+                self.handle.deleteTimer(until[0])
+            self.handle.registerTimer(ms)
+            self.until.update((ms,))
+        yield rows.iloc[out][self.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.until.clear()
+        self._forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def sells(closes: DataFrame, positions: DataFrame, p: Sell = Sell(), regime: DataFrame | None = None, days: float = 90, delay: str = "1 hour") -> DataFrame:
+    """Sell rows, with every rule and its cooldown, as closes come; each close time is a scan.
+
+    ``closes`` has symbol, close and close_time; ``positions`` is a table with id,
+    symbol, price and sold_at (null: open), ``regime`` one with a row (label).
+    Positions meet closes in a join of the stream with the table, so a symbol with
+    many positions is spread by position.  State of each position: its watermark
+    and the last time of each rule; it goes at the sale, or if no close has come
+    for ``days``.
     """
-    spark = closes.sparkSession
-    out = Versions(spark, f"{path}/sells", TABLES["sell_signals"])
-    tracking = Versions(spark, f"{path}/tracking", TABLES["sell_tracking"])
-    fired = Versions(spark, f"{path}/fired", "buy_id bigint, rule_triggered string, detected_at timestamp_ntz")
-
-    def work(batch: DataFrame, n: int) -> None:
-        at = batch.agg(F.max("close_time")).first()[0]
-        label = None if regime is None else regime.select("label").first()
-        now, context = F.lit(at).cast("timestamp_ntz"), F.lit(label[0] if label else None).cast("string")
-        newest = batch.groupBy("symbol").agg(F.max_by("close", "close_time").alias("close"))
-        before, last = tracking.before(n), fired.before(n)
-        _, found, moved = transitions.sell_pass(readers.open_positions(positions), newest, before, last, now, context, p)
-        found = found.persist()
-        out.write(n, found)
-        tracking.write(n, moved, prune=True)
-        both = last.unionByName(found.select("buy_id", "rule_triggered", "detected_at"))
-        fired.write(n, both.groupBy("buy_id", "rule_triggered").agg(F.max("detected_at").alias("detected_at")), prune=True)
-        found.unpersist()
-
-    return _each_batch(closes, work, checkpoint)
+    label = F.lit(None).cast("string")
+    rows = closes.withColumnRenamed("close", "now_price")
+    if regime is not None:
+        rows, label = rows.crossJoin(F.broadcast(regime.select(F.col("label").alias("regime_")).limit(1))), F.col("regime_")
+    rows = _with_event_time(rows.withColumn("context_", label), "close_time", delay)
+    held = positions.select("id", "symbol", F.col("price").cast("double").alias("price"), alerts.micros(F.col("sold_at")).alias("sold_us_"))
+    rows = rows.join(held, "symbol")
+    priced = F.when(F.col("now_price") > 0, F.col("now_price"))
+    rule = lambda top: transitions.sell_rule(F.col("price"), priced, top, F.col("context_"), p)
+    names = "symbol string, id bigint, price double, now_price double, rule string, context_ string, us_ long"
+    rows = rows.select("us_", "symbol", "id", "price", F.col("now_price").cast("double").alias("now_price"), "sold_us_", "context_", rule(F.lit(None).cast("double")).alias("rule"), rule(F.lit(float("inf"))).alias("trailed"), "at_")
+    kept = rows.groupBy("id").transformWithStateInPandas(_Position(p, days, [c.split(" ")[0] for c in names.split(", ")]), names, "append", "EventTime")
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return transitions.sell_rows(kept, F.timestamp_add("MICROSECOND", F.col("us_"), zero), F.col("context_"))
 
 
 def sell_watermarks(ticks: DataFrame, p: Sell = Sell()) -> DataFrame:
