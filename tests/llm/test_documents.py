@@ -65,6 +65,16 @@ def test_host_verdict_reaches_clean_documents(spark):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in good}
 
 
+def test_many_rejected_hosts_meet_rows_without_a_broadcast_of_all(spark):
+    bad = [(i, "too short", f"bad{i % 4}" if i % 2 else None) for i in range(400)] + [(1000 + i, sentence(50), "bad1") for i in range(3)]
+    good = [(2000 + i, " ".join(f"w{i}x{k}" for k in range(50)), "good") for i in range(300)]
+    counted = quality.with_counts(spark.createDataFrame(bad + good, "doc_id long, text string, source string"))
+    hosts = quality.host_rates(counted)
+    few, many = (quality.judge(counted, hosts, broadcast_hosts=n).select("doc_id", "verdict.*").collect() for n in (10, 0))
+    assert sorted(few) == sorted(many)
+    assert {r.doc_id for r in few if r.kept} == {r[0] for r in good} and sum(r.host_rejected for r in few) == 403
+
+
 def slow_print(t):
     w = (t or "").encode().lower().split()
     if not w:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -150,3 +151,25 @@ def test_chat_round_trip(spark):
         for s in chat.CONTROL[2:]:
             assert s not in r.formatted
         assert r.formatted.count("<|im_start|>") == len(mine)
+
+
+def test_many_rules_of_one_host(spark):
+    """Rules with paths in each other, over several partitions; the longest fits."""
+    rules = [("example.com", "/" + "/".join(str(k % m) for m in range(2, 2 + k % 6)) + f"/{k}/", "block" if k % 3 else "allow") for k in range(3000)]
+    rules += [("example.com", "/", "block"), ("a.example.com", "/1/", "allow")]
+    urls = [(k, f"http://{'a.' if k % 5 == 0 else ''}example.com{rules[k * 7 % 3000][1]}x{k}") for k in range(400)] + [(900, "http://a.example.com/1/2"), (901, "http://example.com"), (902, "http://example.com/z")]
+    got = urlrules.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string").repartition(5), "page_id", "url")
+    for r in got.collect():
+        own = [(h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        best = max(own, key=lambda x: len(x[0]), default=(None, "allow"))
+        assert (r.rule, r.verdict) == best
+
+
+def test_rules_cost_by_their_path_lengths():
+    sweep = urlrules.Sweep()
+    for k in range(20_000):
+        sweep.open("com.example.", f"/{k:06d}/", f"example.com/{k:06d}/", "block")
+    start = time.perf_counter()
+    for k in range(20_000):
+        assert sweep.find("com.example.", f"/{k:06d}/page")[0] == f"example.com/{k:06d}/"
+    assert time.perf_counter() - start < 1

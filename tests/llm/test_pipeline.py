@@ -1,5 +1,9 @@
+import re
+import statistics
+
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, queries
+from tests.llm.test_documents import classes, doc_words, slow_base, slow_print
+from tidemark.llm import bpe, decontaminate, quality, queries, secrets
 from tidemark.llm.common import written
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +26,83 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 def test_every_operator_has_a_query():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
+
+
+def slow_kept(rows, rules=quality.Rules()):
+    """Rows that the quality rules keep, by the definitions."""
+    fails, own = [], []
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        at = {}
+        for k in range(len(w) - 4):
+            at.setdefault(tuple(w[k : k + 5]), []).append(k)
+        repeated = len({k + d for ks in at.values() if len(ks) > 1 for k in ks for d in range(5)})
+        lines = [x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        chars, n = sum(map(len, w)), len(w)
+        base = n < 10 or 100 * repeated > 20 * n
+        symbols = len(re.findall(r"[#*$%&|<>]", r.text or "")) > 0.5 * n
+        own.append(base or symbols)
+        fails.append(base or symbols or 100 * (len(lines) - len(set(lines))) > 30 * n or not 1.5 * n <= chars <= 40 * n)
+    hosts = {}
+    for r, f in zip(rows, fails, strict=True):
+        hosts.setdefault(r.source, []).append(f)
+    shares = [sum(f) / len(f) for f in hosts.values()]
+    m, v = min(max(statistics.fmean(shares), 1e-3), 1 - 1e-3), statistics.variance(shares) if len(shares) > 1 else 0
+    s = min(max(m * (1 - m) / v - 1, 1.0), 1e4) if v else 10.0
+    rejected = set()
+    for h, f in hosts.items():
+        a, b = sum(f) + m * s, len(f) - sum(f) + (1 - m) * s
+        if a / (a + b) - 2 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5 > 0.5:
+            rejected.add(h)
+    return [r for r, bad in zip(rows, own, strict=True) if not bad and r.source not in rejected]
+
+
+def test_run_against_brute_force(spark):
+    """run() over whole tables: every stage by its definition, one after another."""
+    from tokenizers import Tokenizer
+
+    docs = slow_kept(spark.read.parquet(f"{SF}/documents.parquet").collect())
+    root = classes({r.doc_id: slow_print(r.text) for r in docs})
+    docs = {r.doc_id: r.text for r in docs if root[r.doc_id] == r.doc_id}
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = doc_words(r.text)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9) if w else 0)}
+    sizes = {len(x) for x in windows}
+    encoding, library = secrets.vocabulary(None), Tokenizer.from_file(bpe.default_vocabulary())
+    want = {}
+    for i, t in docs.items():
+        w, hit = doc_words(t), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+        if hit:
+            if len(hit) == len(w):
+                continue
+            places = [m.span() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.encode())]
+            raw, at, parts = t.encode(), 0, []
+            for k in range(len(w)):
+                if k in hit and k - 1 not in hit:
+                    parts.append(raw[at : places[k][0]])
+                if k in hit and k + 1 not in hit:
+                    at = places[k][1]
+            t = b"\n".join([*parts, raw[at:]]).decode()
+        base = slow_base(t)
+        runs = [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t)]
+        more = [(a, 3, b) for a, b in runs if not any(s <= a and b <= e for s, _, e in base) and secrets.is_random(t[a:b], encoding, 2.0, 1.6)]
+        assert not more  # none in these documents
+        out, at = [], 0
+        for a, k, b in sorted(base, key=lambda x: (x[0], -x[2])):
+            if a >= at:
+                out += [t[at:a], f"[{secrets.KINDS[k]}]"]
+            at = max(at, b)
+        t = "".join([*out, t[at:]])
+        want[i] = library.encode(t, add_special_tokens=False).ids
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(got) == set(want)
+    assert got == want
 
 
 def sentence(k, n=40):

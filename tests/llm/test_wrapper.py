@@ -1,7 +1,8 @@
-"""Wrappers: layouts, long lists, order, constants, and alignment against a matcher."""
+"""Wrappers: layouts, long lists, order, markup, and alignment against a matcher."""
 
 import random
 import re
+import time
 from html import unescape
 
 import pytest
@@ -101,23 +102,65 @@ def test_wrappers_do_not_depend_on_partitions(spark):
         got.add((tuple(sorted(map(str, wrappers))), tuple(sorted(map(tuple, texts)))))
     assert len(got) == 1
     texts = dict(next(iter(got))[1])
-    assert not any("Read our terms" in t or "Home" in t for t in texts.values()) and all(texts.values())
+    assert not any("Home" in t for t in texts.values()) and all(texts.values())
 
 
-def test_constants_need_pages_and_a_small_share(spark):
-    page = "<article><h1>Same title</h1><p>Read our terms before use</p><p>%s</p></article>"
-    texts = ["the page's own words number " + "abcdefgh"[i] * 40 + " and so on, for quite some time" for i in range(8)]
+def test_shared_texts_are_the_articles_at_any_number_of_pages(spark):
+    page = "<article><h1>Title</h1><h2>Summary</h2><p>%s</p><h2>Details</h2><p>more of it</p></article>"
+    for n in (1, 4, 5, 30):
+        rows = [(i, "http://a.com", page % f"own words of page {i}") for i in range(n)]
+        got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r.main_text for r in got} == {f"Title\n\nSummary\n\nown words of page {i}\n\nDetails\n\nmore of it" for i in range(n)}
 
-    def got(n, copies=1):
-        rows = [(i, "http://a.com", page % texts[i % n]) for i in range(n * copies)]
-        return {r.page_id: r.main_text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
-    assert got(8) == {i: f"Same title\n\n{texts[i]}" for i in range(8)}
-    assert got(2, 4) == {i: f"Same title\n\nRead our terms before use\n\n{texts[i % 2]}" for i in range(8)}
-    # near copies: what all pages share is most of the text, so it is the page's
-    rows = [(i, "http://a.com", f"<article><p>{texts[0]}</p><p>{texts[1]}</p><p>{i}</p></article>") for i in range(9)]
-    near = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert all(r.main_text == f"{texts[0]}\n\n{texts[1]}\n\n{r.page_id}" for r in near)
+def alone(html):
+    stream = wrapper.events(html)
+    return wrapper.extract(stream, wrapper.main_region(wrapper.skeleton(stream)))
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        'one <svg class="i"/>two',
+        "one <svg><path d='x'/><svg><g/></svg><title>no</title><text>no</text></svg>two",
+        "one <!-->two",
+        "one <!--->two",
+        "one <!-- no --!>two",
+        "one <b title=don't>two</b>",
+        'one <b class="x"">two</b>',
+        "one <script>no</script><style>no</style>two",
+        "one <noscript>two",
+    ],
+)
+def test_markup_as_html_says(inner):
+    assert alone(f"<article><h1>T</h1><p>{inner}</p><p>it's three</p></article>") == "T\n\none two\n\nit's three"
+
+
+def test_unclosed_svg_ends_at_a_block():
+    assert alone("<article><h1>T</h1><p>one <svg><path d='x'><text>no</text><p>two</article>") == "T\n\none\n\ntwo"
+
+
+def test_a_form_around_the_page_is_no_aside():
+    article = "<article><h1>T</h1><p>one two three four five</p></article>"
+    page = '<body><form id="all"><nav><a href="x">menu</a> and more</nav>%s<div class="footer">foot</div></form></body>'
+    assert alone(page % article) == "T\n\none two three four five"
+    assert alone(page % "<div><p>no title but one two three four five six</p></div>") == "no title but one two three four five six"
+    small = "<form><label>name</label> <input> send this form</form>"
+    assert alone(f"<body>{small}{article}</body>") == alone(f"<body>{article}{small}</body>") == "T\n\none two three four five"
+
+
+def test_scope_of_p_and_lists():
+    assert alone("<article><p>a" + "<label>" * 30 + "<div>b</div></article>") == "a\n\nb"
+    assert alone("<article><p>a<table><tr><td>b<p>c<td>d</table>e</article>") == "a\n\nb\n\nc\n\nd\n\ne"
+
+
+def test_broken_markup_takes_linear_time():
+    start = time.perf_counter()
+    for unit in ("<a", "<a ", "<a b='", '<a b="x', "<!--", "<svg>", "<svg/>"):
+        wrapper.events(unit * (64_000 // len(unit)))
+    wrapper.events("<div>" * 8_000 + "<dd>x" * 8_000)
+    wrapper.events("<p><button>" + "<div>" * 8_000)
+    assert time.perf_counter() - start < 5
 
 
 def test_deep_and_broken_pages(spark):

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, words_of, written
+from .common import free_name, join_hot, words_of, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RULES = ["base", "symbols", "dup_lines", "word_length"]
@@ -143,18 +143,36 @@ def host_rates(counted: DataFrame, host: str | Column = "source", rules: Rules =
     return hosts.select("*", (a / (a + b)).alias("rate"), (low > rules.host_rate).alias("host_rejected"))
 
 
-def judge(counted: DataFrame, hosts: DataFrame, host: str | Column = "source", rules: Rules = Rules(), counts: str = "counts", out: str = "verdict") -> DataFrame:
+#: Rejected hosts (a name each) that are broadcast; more go through ``join_hot``.
+BROADCAST_HOSTS = 100_000
+
+
+def judge(
+    counted: DataFrame,
+    hosts: DataFrame,
+    host: str | Column = "source",
+    rules: Rules = Rules(),
+    counts: str = "counts",
+    out: str = "verdict",
+    broadcast_hosts: int = BROADCAST_HOSTS,
+) -> DataFrame:
     """Add the struct ``out`` of ``base_failed``, ``host_rejected`` and ``kept`` to counted rows.
 
     A document goes if it fails the base rule or the symbol rule itself, or if
-    its host is rejected.  The host table is joined as Spark sees fit: it is
-    broadcast only below the session's size limit.
+    its host is rejected.  Rows meet rejected hosts only.  Up to
+    ``broadcast_hosts`` of them are broadcast, and no row moves; of more, the
+    frequent ones are, and the rows of no other host are many.
     """
     flags = failures(rules, counts)
-    own, flag = free_name(counted, "_host"), free_name(counted, "_rejected")
-    verdicts = hosts.select(F.col("host").alias(own), F.col("host_rejected").alias(flag))
+    own, flag, size = (free_name(counted, c) for c in ("_host", "_rejected", "_docs"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")).alias(own)  # noqa: E731 (a null host is one)
+    verdicts = hosts.filter("host_rejected").select(named(F.col("host")), F.lit(True).alias(flag), F.col("n_docs").alias(size))
     host = F.col(f"`{host}`") if isinstance(host, str) else host
-    joined = counted.join(verdicts, host.eqNullSafe(F.col(own)), "left")
+    rows = counted.select("*", named(host))
+    if verdicts.count() <= broadcast_hosts:
+        joined = rows.join(F.broadcast(verdicts.drop(size)), own, "left")
+    else:
+        joined = join_hot(rows, verdicts, [own], size, hosts.agg(F.sum("n_docs")).first()[0], "left")
     rejected = F.coalesce(F.col(flag), F.lit(False))
     verdict = F.struct(
         flags["base"].alias("base_failed"),

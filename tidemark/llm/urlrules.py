@@ -19,7 +19,8 @@ the same text are joined into one (block wins); no rules: all default.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark import TaskContext
@@ -44,12 +45,38 @@ def reverse_key(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "."), F.lit(".")))
 
 
+class HostRules:
+    """The rules of a host by path; a URL's path meets them by its prefixes of the lengths that occur."""
+
+    def __init__(self, rules: Iterable[tuple[str, str, str]] = ()):
+        self.by_path: dict[str, tuple[str, str]] = {}
+        self.lengths: list[int] = []
+        for r in rules:
+            self.add(*r)
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        if path not in self.by_path:
+            at = bisect_left(self.lengths, len(path))
+            if self.lengths[at : at + 1] != [len(path)]:
+                self.lengths.insert(at, len(path))
+        self.by_path[path] = rule, verdict
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        for k in range(bisect_right(self.lengths, len(path)) - 1, -1, -1):
+            if found := self.by_path.get(path[: self.lengths[k]]):
+                return found
+        return None
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        return ((p, *r) for p, r in self.by_path.items())
+
+
 class Sweep:
     """The stack of open rules along ascending keys."""
 
-    def __init__(self, stack: list[tuple[str, list[tuple[str, str, str]]]] = ()):
-        #: (host key, its rules as (path, rule text, verdict)), outermost first
-        self.stack = [(k, list(r)) for k, r in stack]
+    def __init__(self, stack: Iterable[tuple[str, Iterable[tuple[str, str, str]]]] = ()):
+        #: (host key, its rules), outermost first
+        self.stack = [(k, HostRules(r)) for k, r in stack]
 
     def move(self, key: str) -> None:
         while self.stack and not key.startswith(self.stack[-1][0]):
@@ -58,13 +85,13 @@ class Sweep:
     def open(self, key: str, path: str, rule: str, verdict: str) -> None:
         self.move(key)
         if not self.stack or self.stack[-1][0] != key:
-            self.stack.append((key, []))
-        self.stack[-1][1].append((path, rule, verdict))
+            self.stack.append((key, HostRules()))
+        self.stack[-1][1].add(path, rule, verdict)
 
     def find(self, key: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule that fits."""
         self.move(key)
-        fits = [(-len(r), r, v != "block", v) for _, rules in self.stack for p, r, v in rules if path.startswith(p)]
+        fits = [(-len(r[0]), r[0], r[1] != "block", r[1]) for _, rules in self.stack if (r := rules.longest(path))]
         if not fits:
             return None
         _, rule, _, verdict = min(fits)

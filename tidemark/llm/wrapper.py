@@ -4,12 +4,15 @@ A page's block-level tags form a nested token stream.  Streams of one host are
 aligned one after another: texts that all pages share stay constants, differing
 ones become slots, tags that some pages lack become optional, and adjacent
 repeats become repeated groups.  The wrapper also sums how much text its slots
-hold and how much of that is links.  It decides two things for every page of
-the host: the main region (article or main elements, else the deepest element
-that holds most of the unlinked text), and which texts inside the region are
-the template's and not the page's: constants that every page of a host with at
-least ``MIN_PAGES`` different pages has, as long as they are at most
-``MAX_CONSTANT`` of the region's text.
+hold and how much of that is links.  It decides the main region for every page
+of the host: article or main elements, else the deepest element that holds most
+of the unlinked text.  All texts of the region stay, also those that all pages
+share, since a heading such as "Summary" is the article's on every page.
+
+Markup is read as HTML says: ``<!-->`` is an empty comment, quotes count in
+attribute values only, svg may close itself and ends at a tag that can't be in
+it, ``p`` is closed by blocks within its scope.  An aside tag or word doesn't count
+on an element that holds the main part of the page, such as a form around all.
 
 Pages of one shape (the expression of a single page) are summed up in each
 task, which is exact in any order.  The distinct shapes of a host are aligned in
@@ -31,8 +34,8 @@ from __future__ import annotations
 import json
 import re
 import sys
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
@@ -52,12 +55,17 @@ MAX_PAIRS = 400 * 400
 BUCKETS = 64
 #: Nodes that a task holds before it hands its sums on.
 HELD_NODES = 400_000
-#: Different pages that a host must have for its constants to count, and the largest share of the region's text that they may be.
-MIN_PAGES = 5
-MAX_CONSTANT = 0.2
 #: HTML's elements without content, raw text elements and block elements.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg".split())
+RAW = set("script style noscript template textarea title iframe".split())
+#: Raw elements whose content is markup, which counts where their end is missing.
+MARKUP = {"noscript", "template"}
+#: Start tags that end svg, elements of svg that may hold them, and the bounds of the scope in which blocks close `p`.
+BREAKOUT = (
+    "b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var"
+)
+INTEGRATION = {"foreignobject", "desc", "title"}
+SCOPE = set("html table caption td th button".split())
 BLOCK = set(
     "html head body article aside address blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul "
@@ -83,6 +91,9 @@ ASIDE_WORDS = set(
     "reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchform widget "
     "pagination pager toolbar skip copyright legal disclaimer alert complementary contentinfo".split()
 )
+#: Aside tags that never hold the main text, and blocks that don't close `p`.
+NEVER_MAIN = set("head select button option".split())
+INLINE = set("option button label output select".split())
 #: Words of ``ASIDE_WORDS`` that also name subjects, and words beside which they don't.
 SUBJECT_WORDS = set("social legal share sharing notice notices alert related search reply replies respond skip menu promotion advert".split())
 PLAIN_WORDS = set(
@@ -90,7 +101,9 @@ PLAIN_WORDS = set(
     "link links list main media more network networks nav news outer page pages panel post posts right row section site small stories story title top wrap wrapper you".split()
 )
 HEAD_WORDS = {"header", "masthead", "topbar"}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+_SVG = re.compile(rf"""<(/?)(svg|foreignobject|desc|title|{BREAKOUT})(?=[\s/>])((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?+)*+)>""", re.I)
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -141,6 +154,23 @@ def is_head(sig: str) -> bool:
     return tag == "header" or (tag[0] != "h" and not HEAD_WORDS.isdisjoint(words))
 
 
+def after_svg(html: str, at: int) -> int:
+    """The end of an svg element whose start tag ends at ``at``: its end tag, or a tag that can't be inside."""
+    depth, inner = 1, 0
+    for m in _SVG.finditer(html, at):
+        name, end = m[2].lower(), m[1] == "/"
+        step = -1 if end else 0 if _SELF_CLOSED.search(m[3]) else 1
+        if name == "svg":
+            depth += step
+            if not depth:
+                return m.end()
+        elif name in INTEGRATION:
+            inner = max(0, inner + step)
+        elif not end and not inner:
+            return m.start()
+    return len(html)
+
+
 def events(html: str) -> list[tuple[str, str, bool]]:
     """Balanced stream of (kind, value, linked): ``+`` and ``-`` of block elements, and ``t`` for text.
 
@@ -149,13 +179,16 @@ def events(html: str) -> list[tuple[str, str, bool]]:
     out: list[tuple[str, str, bool]] = []
     stack: list[str] = []
     names: list[str] = []
-    opened: Counter[str] = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
     links, at, n = 0, 0, len(html)
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
             out.append(("-", stack.pop(), False))
-            opened[names.pop()] -= 1
+            places[names.pop()].pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
 
     def text(s: str) -> None:
         if s:
@@ -168,13 +201,19 @@ def events(html: str) -> list[tuple[str, str, bool]]:
             break
         text(html[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        end, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        end, attrs = m[1] == "/", m[3] or ""
         if tag in RAW and not end:
             closing = re.compile(f"</{re.escape(tag)}\\b[^>]*(?:>|\\Z)", re.I).search(html, at)
-            at = n if closing is None else closing.end()
+            if closing is not None:
+                at = closing.end()
+            elif tag not in MARKUP:
+                at = n
+        elif tag == "svg" and not end:
+            if not _SELF_CLOSED.search(attrs):
+                at = after_svg(html, at)
         elif tag == "a":
             links = 0 if end else 1
         elif tag == "br":
@@ -184,49 +223,36 @@ def events(html: str) -> list[tuple[str, str, bool]]:
         elif tag in BLOCK:
             links = 0
             if end:
-                if opened[tag] > 0:
-                    k = len(names) - 1
-                    while names[k] != tag:
-                        k -= 1
-                    close_to(k)
+                if places[tag]:
+                    close_to(places[tag][-1])
                 continue
-            near = names[-12:]
-            if "p" in near and tag not in ("option", "button", "label", "output", "select"):
-                close_to(len(stack) - len(near) + near.index("p"))
+            if places["p"] and tag not in INLINE and places["p"][-1] > last(SCOPE):
+                close_to(places["p"][-1])
             shut, stop = CLOSES.get(tag, (None, None))
             if shut:
-                cut = None
-                for k in range(len(stack) - 1, -1, -1):
-                    if names[k] in stop:
-                        break
-                    if names[k] in shut:
-                        cut = k
-                if cut is not None:
-                    close_to(cut)
+                low = last(stop)
+                cuts = [own[k] for t in shut if (k := bisect_right(own := places[t], low)) < len(own)]
+                if cuts:
+                    close_to(min(cuts))
             sig = signature(tag, attrs)
             out.append(("+", sig, False))
             if tag == "hr":
                 out.append(("-", sig, False))
             else:
+                places[tag].append(len(stack))
                 stack.append(sig)
                 names.append(tag)
-                opened[tag] += 1
     close_to(0)
     return cleared(out)
 
 
-def cleared(stream: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
-    """The stream without the aside words of elements that hold the main part of the page.
+def holders(stream: list[tuple[str, str, bool]], wanted: Callable[[str], bool], skipped: set[str]) -> list[tuple[int, int]]:
+    """Start and end of the wanted elements that hold the main part of the page.
 
-    That is over half of the unlinked text, with an h1 or an article (or on a
-    page that has neither), as in ``<div class="content social">`` around all.
+    That is over half of the unlinked text outside of ``skipped`` elements, with
+    an h1 or an article (or on a page that has neither).
     """
-    named = [i for i, (kind, sig, _) in enumerate(stream) if kind == "+" and "." in sig and is_aside(sig)]
-    named = [i for i in named if stream[i][1].split(".", 1)[0] not in ASIDE_TAGS]
-    if not named:
-        return stream
-    path, held = [[-1, 0, False, False]], {}  # place, characters, h1 or article, inside of an aside tag
-    ends = {}
+    path, found = [[-1, 0, False, False]], []  # place, characters, h1 or article, inside of a skipped element
     for i, (kind, value, linked) in enumerate(stream):
         top = path[-1]
         if kind == "t":
@@ -235,21 +261,34 @@ def cleared(stream: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
         elif kind == "+":
             tag = value.split(".", 1)[0]
             titled = not top[3] and (tag == "h1" or tag == "article" and not is_aside(value))
-            path.append([i, 0, titled, top[3] or tag in ASIDE_TAGS])
+            path.append([i, 0, titled, top[3] or tag in skipped])
         else:
             at, size, titled, _ = path.pop()
-            held[at], ends[at] = (size, titled or stream[at][1].startswith("article.")), i
+            if wanted(stream[at][1]):
+                found.append((at, i, size, titled or stream[at][1].startswith("article.")))
             path[-1][1] += size
             path[-1][2] |= titled
     _, total, any_titled, _ = path[0]
-    free = [i for i in named if held[i][0] * 2 > total and (held[i][1] or not any_titled)]
-    if not free:
+    return [(at, i) for at, i, size, titled in found if size * 2 > total and (titled or not any_titled)]
+
+
+def cleared(stream: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
+    """The stream without the aside tags and words of elements that hold the main part of the page.
+
+    Such as a form around all, or ``<div class="content social">``.
+    """
+    if not any(kind == "+" and is_aside(sig) for kind, sig, _ in stream):
         return stream
     out = list(stream)
-    for i in free:
-        tag, *words = stream[i][1].split(".")
+    tagged = lambda sig: sig.split(".", 1)[0] in ASIDE_TAGS - NEVER_MAIN
+    for at, end in holders(out, tagged, NEVER_MAIN):
+        sig = ".".join(["div", *out[at][1].split(".")[1:]])
+        out[at], out[end] = ("+", sig, False), ("-", sig, False)
+    named = lambda sig: "." in sig and sig.split(".", 1)[0] not in ASIDE_TAGS and is_aside(sig)
+    for at, end in holders(out, named, ASIDE_TAGS):
+        tag, *words = out[at][1].split(".")
         sig = ".".join([tag, *(w for w in words if w not in ASIDE_WORDS)])
-        out[i], out[ends[i]] = ("+", sig, False), ("-", sig, False)
+        out[at], out[end] = ("+", sig, False), ("-", sig, False)
     return out
 
 
@@ -581,35 +620,9 @@ def main_region(root: list) -> list[int]:
         kids = [k for n in by[top] for k in n[KIDS]]
 
 
-def constants(root: list, region: list[int], pages: int) -> list[tuple[int, int]]:
-    """(path, mark) of the template's own texts in the region: those that every page has.
-
-    Headings of the first level are the page's.
-    """
-    keep, found = set(region), []
-    total = 0
-    path: list[tuple[int, bool, bool, str]] = [(0, 0 in keep, True, "")]
-    for node, _ in preorder(root):
-        if node is END:
-            path.pop()
-            continue
-        at, inside, always, tag = path[-1]
-        if node[SIG] == TEXT:
-            if inside:
-                total += node[CHARS]
-                if always and node[OCC] in "1+" and tag != "h1":
-                    found += [(at, m) for m in node[SEEN]]
-        elif node[SIG] not in ("", GROUP):
-            at, tag = child(at, node[SIG]), node[SIG].split(".", 1)[0]
-            inside = inside or at in keep
-        path.append((at, inside and not is_aside(node[SIG]), always and node[OCC] in "1+", tag))
-    size = sum([m & (1 << 20) - 1 for _, m in found]) * pages
-    return sorted(found) if 0 < size <= MAX_CONSTANT * total else []
-
-
-def extract(stream: list[tuple[str, str, bool]], region: list[int], drop: list[tuple[int, int]] = ()) -> str:
-    """The blocks of text inside the region but the template's own, joined by blank lines."""
-    keep, own = set(region), {tuple(d) for d in drop}
+def extract(stream: list[tuple[str, str, bool]], region: list[int]) -> str:
+    """The blocks of text inside the region, joined by blank lines."""
+    keep = set(region)
     titled, open_at = set(), []
     for i, (kind, value, _) in enumerate(stream):
         if kind == "+":
@@ -622,7 +635,7 @@ def extract(stream: list[tuple[str, str, bool]], region: list[int], drop: list[t
     path = [(0, 0 in keep, False)]
 
     def flush() -> None:
-        if block and (line := line_of(block)) and not (own and (path[-1][0], mark(line)) in own):
+        if block and (line := line_of(block)):
             blocks.append(line)
         block.clear()
 
@@ -647,27 +660,26 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-_WRAPPER = "host string, bucket int, shape string, chars array<long>, linked array<long>, seen array<array<long>>, pages long, sample array<long>"
+_WRAPPER = "host string, bucket int, shape string, chars array<long>, linked array<long>, seen array<array<long>>, pages long"
 _NAMES = [f.split(" ")[0] for f in _WRAPPER.split(", ")]
 
 
 class Sum:
     """What pages of one shape, or wrappers of one shape, add up to."""
 
-    def __init__(self, chars, linked, seen, pages: int, sample):
+    def __init__(self, chars, linked, seen, pages: int):
         self.chars, self.linked = list(chars), list(linked)
         self.seen = [frozenset(s) for s in seen]
-        self.pages, self.sample = pages, set(sample)
+        self.pages = pages
 
-    def add(self, chars, linked, seen, pages: int, sample) -> None:
+    def add(self, chars, linked, seen, pages: int) -> None:
         self.chars = [a + b for a, b in zip(self.chars, chars, strict=True)]
         self.linked = [a + b for a, b in zip(self.linked, linked, strict=True)]
         self.seen = [a.intersection(b) if a else a for a, b in zip(self.seen, seen, strict=True)]
         self.pages += pages
-        self.sample = set(sorted(self.sample.union(sample))[:MIN_PAGES])
 
     def row(self, host: str, bucket: int, shape: str) -> tuple:
-        return host, bucket, shape, self.chars, self.linked, [sorted(s) for s in self.seen], self.pages, sorted(self.sample)
+        return host, bucket, shape, self.chars, self.linked, [sorted(s) for s in self.seen], self.pages
 
 
 def _shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -684,11 +696,10 @@ def _shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for h, t in zip(f["host"], f["html"], strict=True):
             shape, chars, linked, seen = flat(skeleton(events(t or "")))
-            sample = [xxhash.xxh64_intdigest(json.dumps(seen)) >> 1]
             if (h, shape) in held:
-                held[h, shape].add(chars, linked, seen, 1, sample)
+                held[h, shape].add(chars, linked, seen, 1)
             else:
-                held[h, shape] = Sum(chars, linked, seen, 1, sample)
+                held[h, shape] = Sum(chars, linked, seen, 1)
                 size += len(chars)
             if size > HELD_NODES:
                 yield rows()
@@ -701,24 +712,24 @@ def _aligned(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sys.setrecursionlimit(10 * DEPTH)
-        now, shape, same, root, pages, sample, done = None, None, None, None, 0, set(), []
+        now, shape, same, root, pages, done = None, None, None, None, 0, []
 
         def close_shape() -> None:
-            nonlocal root, pages, sample
+            nonlocal root, pages
             node = tree(shape, same.chars, same.linked, same.seen)
             root = node if root is None else merge(root, node)
-            pages, sample = pages + same.pages, set(sorted(sample | same.sample)[:MIN_PAGES])
+            pages += same.pages
 
         def close_key() -> None:
-            nonlocal root, pages, sample
+            nonlocal root, pages
             close_shape()
             text, chars, linked, seen = flat(root)
-            done.append(Sum(chars, linked, seen, pages, sample).row(now[0], now[1] if len(now) > 1 else 0, text))
-            root, pages, sample = None, 0, set()
+            done.append(Sum(chars, linked, seen, pages).row(now[0], now[1] if len(now) > 1 else 0, text))
+            root, pages = None, 0
 
         for f in frames:
             for row in f.itertuples(index=False):
-                k, values = tuple(getattr(row, c) for c in keys), (row.chars, row.linked, row.seen, row.pages, row.sample)
+                k, values = tuple(getattr(row, c) for c in keys), (row.chars, row.linked, row.seen, row.pages)
                 if now == k and shape == row.shape:
                     same.add(*values)
                     continue
@@ -738,7 +749,7 @@ def _aligned(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
 
 def infer(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """One row per host: host, pages, expression, region (JSON list of paths), constants (JSON list of path and mark)."""
+    """One row per host: host, pages, expression, region (JSON list of paths)."""
     shapes = small_batches(pages).select(F.col(f"`{host}`").alias("host"), F.col(f"`{html}`").alias("html")).mapInPandas(_shapes, _WRAPPER)
     for keys in (["host", "bucket"], ["host"]):
         shapes = shapes.repartition(*keys).sortWithinPartitions(*keys, "shape", "bucket").mapInPandas(_aligned(keys), _WRAPPER)
@@ -746,32 +757,30 @@ def infer(pages: DataFrame, host: str, html: str) -> DataFrame:
     def make():
         sys.setrecursionlimit(10 * DEPTH)
 
-        def work(shape, chars, linked, seen, n, sample):
-            for s, c, k, t, pages, some in zip(shape, chars, linked, seen, n, sample, strict=True):
+        def work(shape, chars, linked, seen):
+            for s, c, k, t in zip(shape, chars, linked, seen, strict=True):
                 root = tree(s.decode(), c, k, t)
-                region = main_region(root)
-                yield expression(root), json.dumps(region), json.dumps(constants(root, region, pages) if len(some) >= MIN_PAGES else [])
+                yield expression(root), json.dumps(main_region(root))
 
         return work
 
-    inputs = ["shape", "chars", "linked", "seen", "pages", "sample"]
-    return map_rows(shapes, inputs, "expression string, region string, constants string", make, keep=["host", "pages"])
+    return map_rows(shapes, ["shape", "chars", "linked", "seen"], "expression string, region string", make, keep=["host", "pages"])
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "main_text", keep: list[str] | None = None) -> DataFrame:
     """``pages`` (or its columns ``keep``) with the main text of every page in ``out``."""
-    host, region, drop, size = (free_name(pages, c) for c in ("_host", "_region", "_constants", "_pages"))
+    host, region, size = (free_name(pages, c) for c in ("_host", "_region", "_pages"))
     tagged = pages.withColumn(host, host_of(F.col(f"`{url}`")))
     wrappers = written(infer(tagged, host, html), "wrappers")
     total = wrappers.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    wrappers = wrappers.select(F.col("host").alias(host), F.col("region").alias(region), F.col("constants").alias(drop), F.col("pages").alias(size))
+    wrappers = wrappers.select(F.col("host").alias(host), F.col("region").alias(region), F.col("pages").alias(size))
     joined = join_hot(tagged, wrappers, [host], size, total)
 
     def make():
-        def work(texts, regions, drops):
-            for t, r, d in zip(texts, regions, drops, strict=True):
+        def work(texts, regions):
+            for t, r in zip(texts, regions, strict=True):
                 stream = events((t or b"").decode())
-                text = extract(stream, json.loads(r), json.loads(d)) if stream else ""
+                text = extract(stream, json.loads(r)) if stream else ""
                 yield (text or (extract(stream, main_region(skeleton(stream))) if stream else ""),)
 
         def deep(*lists):
@@ -780,4 +789,4 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str =
 
         return deep
 
-    return map_rows(joined, [html, region, drop], f"`{out}` string", make, keep=pages.columns if keep is None else keep)
+    return map_rows(joined, [html, region], f"`{out}` string", make, keep=pages.columns if keep is None else keep)
