@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import SF, compare
-from tidemark.plans import catalog, further  # noqa: F401
+from tidemark.plans import catalog, further, streams  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

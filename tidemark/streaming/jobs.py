@@ -420,7 +420,7 @@ def sells(closes: DataFrame, positions: DataFrame, p: Sell = Sell(), regime: Dat
     """Sell rows, with every rule and its cooldown, as closes come; each close time is a scan.
 
     ``closes`` has symbol, close and close_time; ``positions`` is a table with id,
-    symbol, price and sold_at (null: open), ``regime`` one with a row (label).
+    symbol, price, sold_at (null: open) and perhaps bought_at, ``regime`` one with a row (label).
     Positions meet closes in a join of the stream with the table, so a symbol with
     many positions is spread by position.  State of each position: its watermark
     and the last time of each rule; it goes at the sale, or if no close has come
@@ -431,8 +431,9 @@ def sells(closes: DataFrame, positions: DataFrame, p: Sell = Sell(), regime: Dat
     if regime is not None:
         rows, label = rows.crossJoin(F.broadcast(regime.select(F.col("label").alias("regime_")).limit(1))), F.col("regime_")
     rows = _with_event_time(rows.withColumn("context_", label), "close_time", delay)
-    held = positions.select("id", "symbol", F.col("price").cast("double").alias("price"), alerts.micros(F.col("sold_at")).alias("sold_us_"))
-    rows = rows.join(held, "symbol")
+    since = alerts.micros(F.col("bought_at")) if "bought_at" in positions.columns else F.lit(None).cast("bigint")
+    held = positions.select("id", "symbol", F.col("price").cast("double").alias("price"), alerts.micros(F.col("sold_at")).alias("sold_us_"), since.alias("since_"))
+    rows = rows.join(held, "symbol").filter(F.col("since_").isNull() | (F.col("us_") >= F.col("since_")))
     priced = F.when(F.col("now_price") > 0, F.col("now_price"))
     rule = lambda top: transitions.sell_rule(F.col("price"), priced, top, F.col("context_"), p)
     names = "symbol string, id bigint, price double, now_price double, rule string, context_ string, us_ long"
