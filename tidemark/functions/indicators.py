@@ -40,7 +40,8 @@ def _wilder(values: Column, period: int) -> Column:
     return F.aggregate(values, start, step)
 
 
-def _rsi(gain: Column, loss: Column) -> Column:
+def rsi_of(gain: Column, loss: Column) -> Column:
+    """RSI of the averages of gains and losses."""
     return (
         F.when((gain == 0) & (loss == 0), 50.0)
         .when(loss == 0, 100.0)
@@ -59,7 +60,7 @@ def rsi(closes: Column, period: int = 14) -> Column:
     steps = _steps(closes)
     gain = _wilder(F.transform(steps, lambda d: F.greatest(d, F.lit(0.0))), period)["a"]
     loss = _wilder(F.transform(steps, lambda d: F.greatest(-d, F.lit(0.0))), period)["a"]
-    return F.when(F.size(closes) > period, _rsi(gain, loss))
+    return F.when(F.size(closes) > period, rsi_of(gain, loss))
 
 
 def rsi_series(closes: Column, period: int = 14) -> Column:
@@ -75,7 +76,7 @@ def rsi_series(closes: Column, period: int = 14) -> Column:
         roll = lambda a, x: F.when(s["n"] < period, a + x).when(s["n"] == period, (a + x) / period).otherwise((a * (period - 1) + x) / period)
         g = F.when(s["n"] == 0, 0.0).otherwise(roll(s["g"], up))
         l = F.when(s["n"] == 0, 0.0).otherwise(roll(s["l"], down))  # noqa: E741
-        value = F.when(s["n"] >= period, _rsi(g, l))
+        value = F.when(s["n"] >= period, rsi_of(g, l))
         return F.struct((s["n"] + 1).alias("n"), g.alias("g"), l.alias("l"), c.alias("c"), F.concat(s["out"], F.array(value)).alias("out"))
 
     return F.aggregate(closes, start, step, lambda s: s["out"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import indicators as I
+from ..functions import recurrences
 from ..functions import scalars as S
 from ..operators import alerts, evaluation, readers, reports, scoring, transitions
 from ..params import RETENTION
@@ -418,3 +419,27 @@ def stamped_sales(spark, sf_dir):
     days = (F.col("id") % 5 - 1).cast("int")
     sales = b.select(F.col("id").alias("buy_id"), F.timestamp_add("DAY", days, "bought_at").alias("sold_at"), (F.col("price") * (F.col("id") % 4)).alias("sold_price"), F.lit(None).cast("string").alias("sold_note"))
     return _round(transitions.record_sales(b, sales)[0].select("id", "sold_at", "sold_price"))
+
+
+# --- folds over whole histories ---------------------------------------------------
+
+_FOLD = "CASE WHEN q.n < {m} THEN w.{v} + {x} WHEN q.n = {m} THEN (w.{v} + {x}) / {p} ELSE (w.{v} * ({p} - 1) + {x}) / {p} END"
+_EMA = "CASE WHEN q.n < {m} THEN w.{v} + q.close WHEN q.n = {m} THEN (w.{v} + q.close) / {p} ELSE (q.close - w.{v}) * 2.0 / ({p} + 1) + w.{v} END"
+
+
+@query(
+    X.with_sql("o1h").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", q AS (SELECT symbol, open_time, close, row_number() OVER o - 1 AS n, greatest(close - lag(close) OVER o, 0) AS up, greatest(lag(close) OVER o - close, 0) AS down,
+  greatest(high - low, coalesce(abs(high - lag(close) OVER o), 0), coalesce(abs(low - lag(close) OVER o), 0)) AS tr FROM o1h WINDOW o AS (PARTITION BY symbol ORDER BY open_time)),
+walk AS (
+  SELECT symbol, n, open_time, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l, tr AS a, close AS e20, close AS e50 FROM q WHERE n = 0
+  UNION ALL
+  SELECT q.symbol, q.n, q.open_time, {_FOLD.format(v="g", x="q.up", m=14, p=14)}, {_FOLD.format(v="l", x="q.down", m=14, p=14)}, {_FOLD.format(v="a", x="q.tr", m=13, p=14)},
+    {_EMA.format(v="e20", m=19, p=20)}, {_EMA.format(v="e50", m=49, p=50)}
+  FROM walk w JOIN q ON q.symbol = w.symbol AND q.n = w.n + 1
+)
+SELECT symbol, open_time, round(CASE WHEN n < 14 THEN NULL WHEN g = 0 AND l = 0 THEN 50 WHEN l = 0 THEN 100 WHEN g = 0 THEN 0 ELSE 100 - 100 / (1 + g / l) END, 6) AS rsi,
+  round(CASE WHEN n >= 13 THEN a END, 6) AS atr, round(CASE WHEN n >= 19 THEN e20 END, 6) AS ema_20, round(CASE WHEN n >= 49 THEN e50 END, 6) AS ema_50 FROM walk"""
+)
+def indicator_history(spark, sf_dir):
+    return _round(recurrences.indicator_history(_bars(spark, sf_dir)).drop("interval"))
