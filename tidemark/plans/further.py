@@ -10,6 +10,7 @@ from ..functions import recurrences
 from ..functions import scalars as S
 from ..operators import alerts, evaluation, readers, reports, scoring, transitions
 from ..params import RETENTION
+from ..sources import bar_table
 from ..sources import candles as C
 from . import catalog as K
 from . import fixtures as X
@@ -443,3 +444,36 @@ SELECT symbol, open_time, round(CASE WHEN n < 14 THEN NULL WHEN g = 0 AND l = 0
 )
 def indicator_history(spark, sf_dir):
     return _round(recurrences.indicator_history(_bars(spark, sf_dir)).drop("interval"))
+
+
+# --- the stored table of candles ----------------------------------------------------
+
+
+def _bar_table(spark, rows):
+    """A table of its own in the shared folder with all ``rows``."""
+    folder = C.scratch(spark)
+    base = "tidemark_" + folder.rsplit("-", 1)[-1]
+    spark.sql(f"CREATE DATABASE {base} LOCATION '{folder}'")
+    bar_table.create(spark, f"{base}.bars")
+    bar_table.insert(spark, f"{base}.bars", rows)
+    return f"{base}.bars"
+
+
+@query(X.with_sql("e1h") + " SELECT symbol, interval, open_time, close FROM e1h WHERE open_time >= TIMESTAMP '2024-01-16' AND symbol < 'p' OR open_time >= TIMESTAMP '2024-01-20'")
+def new_bars_of_stored_table(spark, sf_dir):
+    """Bars of a batch that a table, which ends earlier for some symbols, does not have."""
+    bars = _bars(spark, sf_dir, "1h", X.ticks_events)
+    have = bars.filter((F.col("open_time") < X.ts("2024-01-16 00:00:00")) | (F.col("symbol") >= "p") & (F.col("open_time") < X.ts("2024-01-20 00:00:00")))
+    table = _bar_table(spark, have)
+    return bar_table.fresh(spark, table, bars).select("symbol", "interval", "open_time", "close")
+
+
+@query(
+    X.with_sql("o1h", "o4h", "o1d")
+    + """, a AS (SELECT * FROM o1h UNION ALL SELECT * FROM o4h UNION ALL SELECT * FROM o1d)
+SELECT symbol, interval, open_time, close FROM a QUALIFY row_number() OVER (PARTITION BY symbol, interval ORDER BY open_time DESC) <= CASE interval WHEN '1h' THEN 100 WHEN '4h' THEN 60 ELSE 1000000000 END"""
+)
+def stored_table_after_retention(spark, sf_dir):
+    table = _bar_table(spark, X.all_candles(X.ticks_orders(spark, sf_dir)))
+    bar_table.retain(spark, table, {"1h": 100, "4h": 60, "1d": 0})
+    return spark.table(table).select("symbol", "interval", "open_time", "close")
