@@ -290,25 +290,39 @@ def marked(decisions: DataFrame, results: DataFrame | None = None) -> DataFrame:
     return _with_results(decisions, results).select("id", F.lit(True).alias("alerted"), reason.alias("alert_skipped_reason"))
 
 
-def flush_queue(notifications: DataFrame, results: DataFrame, now: Column, p: Alerts = Alerts()) -> DataFrame:
+def flush_queue(notifications: DataFrame, results: DataFrame, now: Column, p: Alerts = Alerts(), with_tried: bool = False) -> DataFrame:
     """Queued rows with their delivery results; nothing moves in quiet hours.
 
-    ``results`` has id, ok and error.
+    ``results`` has id, ok and error.  ``with_tried`` adds ``tried``: whether a
+    row was sent in this flush.
     """
     quiet = S.quiet_hours(now, p.timezone, p.quiet_start, p.quiet_end)
     r = results.select(F.col("id").alias("_id"), F.col("ok").alias("_ok"), F.col("error").alias("_error"))
     j = notifications.join(r, F.col("id") == F.col("_id"), "left")
     tried = F.col("queued") & ~F.col("delivered") & F.col("_id").isNotNull() & ~quiet
     good, bad = tried & F.col("_ok"), tried & ~F.col("_ok")
+    moved = {"tried": F.coalesce(tried, F.lit(False))} if with_tried else {}
     return j.withColumns(
-        {
+        moved
+        | {
             "delivered": F.col("delivered") | F.coalesce(good, F.lit(False)),
             "queued": F.col("queued") & ~F.coalesce(good, F.lit(False)),
             "sent_at": F.when(good, now).otherwise(F.col("sent_at")),
             "delivery_attempts": F.col("delivery_attempts") + F.when(tried, 1).otherwise(0),
             "last_error": F.when(bad, F.col("_error")).when(good, F.lit(None).cast("string")).otherwise(F.col("last_error")),
         }
-    ).select(notifications.columns)
+    ).select(*notifications.columns, *moved)
+
+
+def sent_sells(sells: DataFrame, results: DataFrame) -> DataFrame:
+    """Sell signals with ``alerted``: true once a send has succeeded.
+
+    ``results`` has id (of the sell signal) and ok; a signal without a result, or
+    whose send failed, keeps its flag and can be sent again.
+    """
+    good = results.filter("ok").select(F.col("id").alias("_id")).distinct()
+    j = sells.join(good, F.col("id") == F.col("_id"), "left")
+    return j.withColumn("alerted", F.coalesce("alerted", F.lit(False)) | F.col("_id").isNotNull()).select(sells.columns)
 
 
 def merge_tags(defaults: Column, more: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -165,35 +165,89 @@ def scan_counters(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("considered"), F.count_if(F.col("severity").isNull()).alias("below_threshold"), F.countDistinct("symbol").alias("symbols"))
 
 
-def scan_report(ingested: DataFrame, outcomes: DataFrame, decisions: DataFrame, judged: DataFrame, sells: DataFrame, watches: DataFrame) -> DataFrame:
-    """One row of counters of a scan.
+def _act(name: str) -> Column:
+    return F.coalesce(F.col("action") == name, F.lit(False))
 
-    New bars; outcomes of candidates (``inserted``); alert decisions (``action``,
-    ``ok``); judged positions (``rule``, ``suppressed``, ``no_price``) with the
-    sell signals; watch actions (``action``, ``inserted``).
+
+def _yes(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(False))
+
+
+def _reason(*names: str) -> Column:
+    return F.count_if(F.coalesce(F.col("reason").isin(*names), F.lit(False)))
+
+
+def counters() -> dict[str, dict[str, Column]]:
+    """Counters of a scan by the result that they are counted in.
+
+    Seeded symbols; the flushed queue (with ``tried``); new bars; outcomes of
+    candidates; alert decisions; judged positions; sell signals with their sends
+    (``alerted``); watch actions; the watchlist as ``stale`` or not.
     """
-    act = lambda a: F.col("action") == a
-    ok = F.coalesce(F.col("ok"), F.lit(False))
-    return _cross(
-        [
-            ingested.agg(F.count(F.lit(1)).alias("ingested")),
-            outcomes.agg(F.count(F.lit(1)).alias("scored"), F.count_if("inserted").alias("inserted")),
-            decisions.agg(
-                F.count_if(act("send_now") & ok).alias("sent"),
-                F.count_if(act("queue")).alias("queued"),
-                F.count_if(act("skip_cooldown")).alias("cooldown"),
-                F.count_if(act("send_now") & ~ok).alias("failed"),
-            ),
-            judged.agg(F.count(F.lit(1)).alias("positions"), F.count_if("suppressed").alias("sell_cooldown"), F.count_if("no_price").alias("no_price")),
-            sells.agg(F.count(F.lit(1)).alias("sell_emitted")),
-            watches.agg(
-                F.count_if(act("WATCH")).alias("watched"),
-                F.count_if(act("PROMOTE") & F.coalesce(F.col("inserted"), F.lit(False))).alias("promoted"),
-                F.count_if(act("EXPIRE")).alias("expired"),
-                F.count_if(act("IGNORE")).alias("ignored"),
-            ),
-        ]
-    )
+    return {
+        "seeding": {"symbols_seeded": F.count(F.lit(1))},
+        "flush": {
+            "flush_sent": F.count_if(_yes("tried") & _yes("delivered")),
+            "flush_failed": F.count_if(_yes("tried") & ~_yes("delivered")),
+            "flush_waiting": F.count_if(_yes("queued")),
+        },
+        "ingest": {"ingested": F.count(F.lit(1))},
+        "outcomes": {
+            "scored": F.count(F.lit(1)),
+            "inserted": F.count_if(_yes("inserted")),
+            "escalated": _reason("escalated"),
+            "duplicates": _reason("duplicate"),
+            "superseded": _reason("superseded"),
+            "below_threshold": _reason("below_threshold"),
+        },
+        "alerts": {
+            "sent": F.count_if(_act("send_now") & _yes("ok")),
+            "queued": F.count_if(_act("queue")),
+            "cooldown": F.count_if(_act("skip_cooldown")),
+            "failed": F.count_if(_act("send_now") & ~_yes("ok")),
+        },
+        "positions": {
+            "positions": F.count(F.lit(1)),
+            "sell_evaluated": F.count_if(~_yes("no_price")),
+            "sell_cooldown": F.count_if(_yes("suppressed")),
+            "no_price": F.count_if(_yes("no_price")),
+        },
+        "sells": {"sell_emitted": F.count(F.lit(1)), "sell_sent": F.count_if(_yes("alerted")), "sell_failed": F.count_if(~_yes("alerted"))},
+        "watches": {
+            "watched": F.count_if(_act("WATCH")),
+            "promoted": F.count_if(_act("PROMOTE") & _yes("inserted")),
+            "expired": F.count_if(_act("EXPIRE")),
+            "ignored": F.count_if(_act("IGNORE")),
+        },
+        "stale": {"expired_stale": F.count_if(_yes("stale"))},
+    }
+
+
+class ScanCounters:
+    """Counters of a scan, observed while its results are written.
+
+    ``of`` wraps a result before it is written or otherwise used; the counts come
+    with that job, so nothing is read or computed for them again.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def of(self, part: str, df: DataFrame) -> DataFrame:
+        """``df``, counted as ``part`` (see ``counters``) when it is first used."""
+        self.seen[part] = Observation(part)
+        return df.observe(self.seen[part], *[c.alias(n) for n, c in counters()[part].items()])
+
+    def row(self) -> dict[str, int]:
+        """All counters; those of parts that took no part in the scan are 0.  Waits for results that aren't used yet."""
+        out = {}
+        for part, names in counters().items():
+            got = self.seen[part].get if part in self.seen else {}
+            out |= {n: int(got.get(n, 0)) for n in names}
+        return out
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([tuple(self.row().values())], ", ".join(f"{n} bigint" for n in self.row()))
 
 
 def maintenance_report(signal_report: DataFrame, buy_report: DataFrame, retention: DataFrame) -> DataFrame:

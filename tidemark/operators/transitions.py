@@ -11,6 +11,25 @@ from . import scoring
 from .readers import latest_close, max_severity
 
 
+def with_next_ids(rows: DataFrame, earlier: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
+    """``rows`` with ``id`` going on from the highest of ``earlier`` (1, if it has none or no such column).
+
+    ``order`` tells rows apart.  Rows are numbered in buckets by its hash, each in
+    a task of its own, and each bucket goes on where the one before it ends, so
+    ids are dense and a rerun gives the same ones.
+    """
+    columns = rows.columns
+    bare = rows.drop("id").withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    sizes = bare.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))  # a row for each bucket
+    before = F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    top = F.coalesce(F.max("id"), F.lit(0)) if "id" in earlier.columns else F.lit(0)
+    start = earlier.agg(top.cast("bigint").alias("_start"))
+    numbered = bare.withColumn("_n", inside).join(F.broadcast(sizes), "_b").crossJoin(F.broadcast(start))
+    return numbered.withColumn("id", F.col("_start") + F.col("_before") + F.col("_n")).select(columns)
+
+
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == "very_strong", 3).when(severity == "strong", 2).when(severity == "normal", 1)
 
@@ -105,7 +124,7 @@ def watch_pass(watchlist: DataFrame, candidates: DataFrame, now: Column, p: Watc
         F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
         F.lit(None).cast("string").alias("resolution_reason"),
     )
-    return c, kept.unionByName(fresh)
+    return c, kept.unionByName(with_next_ids(fresh, watchlist, ["symbol"]))
 
 
 def validate_buys(rows: DataFrame, signals: DataFrame) -> DataFrame:
@@ -161,7 +180,7 @@ def sell_severity(rule: Column) -> Column:
 
 
 def sell_rows(judged: DataFrame, now: Column, regime: Column) -> DataFrame:
-    """Sell signals of positions (id, symbol, price) whose ``rule`` has fired at ``now_price``; they have no id yet."""
+    """Sell signals of positions (id, symbol, price) whose ``rule`` has fired at ``now_price``; they have no id yet (``with_next_ids``)."""
     return judged.select(
         F.lit(None).cast("bigint").alias("id"),
         "symbol",
@@ -182,7 +201,8 @@ def sell_pass(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(positions judged, sell signals, tracking) of one scan.
 
-    ``closes`` has symbol and close; ``fired`` earlier sell signals.  A rule in
+    ``closes`` has symbol and close; ``fired`` earlier sell signals (new ones go on
+    from its highest id).  A rule in
     its cooldown is suppressed and no lower rule takes its place.  Watermarks
     rise after the rules have been read, and only then is updated_at set.
     """
@@ -196,7 +216,7 @@ def sell_pass(
     j = j.join(last, ["id", "rule"], "left")
     cooling = F.lit(p.cooldown_hours > 0) & (F.timestamp_diff("SECOND", "_last", now) < p.cooldown_hours * 3600)
     j = j.withColumn("suppressed", F.col("rule").isNotNull() & F.coalesce(cooling, F.lit(False))).drop("_last")
-    sells = sell_rows(j.filter("rule is not null and not suppressed"), now, regime)
+    sells = with_next_ids(sell_rows(j.filter("rule is not null and not suppressed"), now, regime), fired, ["buy_id", "rule_triggered"])
     top = F.greatest("watermark", "price", F.when(priced, F.col("now_price")))
     rises = ~F.col("no_price") & (F.col("watermark").isNull() | (top > F.col("watermark")))
     moved = j.filter(~F.col("no_price") | F.col("watermark").isNotNull()).select(

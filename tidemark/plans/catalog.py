@@ -342,12 +342,12 @@ def latest_closes(spark, sf_dir):
     return readers.latest_close(_bars(spark, sf_dir, "1h", X.ticks_events))
 
 
-def _sell_parts(spark, sf_dir):
+def _sell_parts(spark, sf_dir, first_id=0):
     buys = X.buys(spark, sf_dir)
     closes = _bars(spark, sf_dir, "1h", X.ticks_events).groupBy("symbol").agg(F.max_by("close", "open_time").alias("close"))
     # earlier scans: watermarks 10 % over the entry for every second buy, and stop losses an hour ago for every fifth
     tracking = buys.filter("id % 2 = 0").select("symbol", F.col("id").alias("buy_id"), (F.col("price") * 1.1).alias("high_watermark"), X.ts("2024-02-01 00:00:00").alias("updated_at"))
-    fired = buys.filter("id % 5 = 0").select(F.col("id").alias("buy_id"), F.lit("stop_loss").alias("rule_triggered"), X.ts("2024-02-29 23:00:00").alias("detected_at"))
+    fired = buys.filter("id % 5 = 0").select(F.col("id").alias("buy_id"), F.lit("stop_loss").alias("rule_triggered"), X.ts("2024-02-29 23:00:00").alias("detected_at"), F.lit(first_id).cast("bigint").alias("id"))
     return transitions.sell_pass(readers.open_positions(buys), closes, tracking, fired, X.ts(NOW), F.lit("risk_off"), Sell())
 
 

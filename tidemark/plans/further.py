@@ -109,6 +109,13 @@ def _notifications(spark, sf_dir):
     )
 
 
+def _flushed(spark, sf_dir, now, with_tried=False):
+    n = _notifications(spark, sf_dir)
+    tried = n.filter("queued and (id - 1000) % 5 < 4")
+    r = tried.select("id", ((F.col("id") - 1000) % 5 < 3).alias("ok"), F.when((F.col("id") - 1000) % 5 == 3, "timeout").alias("error"))
+    return alerts.flush_queue(n, r, now, with_tried=with_tried)
+
+
 @query(X.with_sql("signals") + " SELECT symbol, max(detected_at) + INTERVAL 1 MINUTE AS sent_at, arg_max(score, (detected_at, id)) AS score FROM signals WHERE id % 3 > 0 GROUP BY symbol")
 def prior_alerts(spark, sf_dir):
     return alerts.prior_alerts(_notifications(spark, sf_dir), X.signals(spark, sf_dir))
@@ -126,10 +133,7 @@ def last_sends(spark, sf_dir):
 )
 def queue_flush(spark, sf_dir):
     """Of five queued rows three are delivered, one fails and one has no result."""
-    n = _notifications(spark, sf_dir)
-    tried = n.filter("queued and (id - 1000) % 5 < 4")
-    r = tried.select("id", ((F.col("id") - 1000) % 5 < 3).alias("ok"), F.when((F.col("id") - 1000) % 5 == 3, "timeout").alias("error"))
-    return alerts.flush_queue(n, r, X.ts("2024-03-01 15:00:00")).select("id", "delivered", "queued", "sent_at", "delivery_attempts", "last_error")
+    return _flushed(spark, sf_dir, X.ts("2024-03-01 15:00:00")).select("id", "delivered", "queued", "sent_at", "delivery_attempts", "last_error")
 
 
 @query("SELECT event_id + 1000 AS id, event_id % 3 > 0 AS delivered, event_id % 3 = 0 AS queued FROM events")
@@ -329,16 +333,51 @@ def evaluate_one_buy(spark, sf_dir):
 cl AS (SELECT symbol, arg_max(close, open_time) AS close FROM e1h GROUP BY symbol),
 jj AS (SELECT b.*, cl.close, CASE WHEN b.id % 2 = 0 THEN b.price * 1.1 END AS wm, (cl.close - b.price) / b.price * 100 AS pnl FROM buys b LEFT JOIN cl USING (symbol) WHERE sold_at IS NULL),
 rr AS (SELECT *, CASE WHEN price > 0 THEN CASE WHEN close <= price * 0.92 THEN 'stop_loss' WHEN wm > 0 AND close <= wm * 0.9 THEN 'trailing_stop' WHEN close >= price * 1.2 THEN 'take_profit' WHEN pnl < 0 THEN 'context_deterioration' END END AS rule FROM jj)
-SELECT (SELECT count(*) FROM e1h) AS ingested, (SELECT count(*) FROM signals) AS scored, (SELECT count(*) FROM o WHERE k IS NOT NULL AND (m IS NULL OR m < k)) AS inserted,
+, oo AS (SELECT CASE WHEN k IS NULL THEN 'below_threshold' WHEN m IS NULL THEN 'inserted' WHEN m = k THEN 'duplicate' WHEN m > k THEN 'superseded' ELSE 'escalated' END AS reason FROM o),
+em AS (SELECT * FROM rr WHERE rule IS NOT NULL AND NOT (rule = 'stop_loss' AND id % 5 = 0))
+SELECT (SELECT count(DISTINCT event_type) FROM events WHERE event_type <> 'click') AS symbols_seeded,
+  (SELECT count(*) FROM events WHERE event_id % 3 = 0 AND event_id % 5 < 3) AS flush_sent, (SELECT count(*) FROM events WHERE event_id % 3 = 0 AND event_id % 5 = 3) AS flush_failed, (SELECT count(*) FROM events WHERE event_id % 3 = 0 AND event_id % 5 >= 3) AS flush_waiting,
+  (SELECT count(*) FROM e1h) AS ingested, (SELECT count(*) FROM signals) AS scored, (SELECT count(*) FROM o WHERE k IS NOT NULL AND (m IS NULL OR m < k)) AS inserted,
+  (SELECT count(*) FROM oo WHERE reason = 'escalated') AS escalated, (SELECT count(*) FROM oo WHERE reason = 'duplicate') AS duplicates, (SELECT count(*) FROM oo WHERE reason = 'superseded') AS superseded, (SELECT count(*) FROM oo WHERE reason = 'below_threshold') AS below_threshold,
   (SELECT count(*) FROM passed WHERE action = 'send_now' AND ok) AS sent, (SELECT count(*) FROM passed WHERE action = 'queue') AS queued, (SELECT count(*) FROM passed WHERE action = 'skip_cooldown') AS cooldown, (SELECT count(*) FROM passed WHERE action = 'send_now' AND NOT ok) AS failed,
-  (SELECT count(*) FROM rr) AS positions, (SELECT count(*) FROM rr WHERE rule = 'stop_loss' AND id % 5 = 0) AS sell_cooldown, (SELECT count(*) FROM rr WHERE close IS NULL) AS no_price,
-  (SELECT count(*) FROM rr WHERE rule IS NOT NULL AND NOT (rule = 'stop_loss' AND id % 5 = 0)) AS sell_emitted,
-  (SELECT count(*) FROM act WHERE action = 'WATCH') AS watched, (SELECT count(*) FROM act WHERE action = 'PROMOTE' AND inserted) AS promoted, (SELECT count(*) FROM act WHERE action = 'EXPIRE') AS expired, (SELECT count(*) FROM act WHERE action = 'IGNORE') AS ignored"""
+  (SELECT count(*) FROM rr) AS positions, (SELECT count(*) FROM rr WHERE close > 0) AS sell_evaluated, (SELECT count(*) FROM rr WHERE rule = 'stop_loss' AND id % 5 = 0) AS sell_cooldown, (SELECT count(*) FROM rr WHERE close IS NULL) AS no_price,
+  (SELECT count(*) FROM em) AS sell_emitted, (SELECT count(*) FROM em WHERE id % 7 <> 0) AS sell_sent, (SELECT count(*) FROM em WHERE id % 7 = 0) AS sell_failed,
+  (SELECT count(*) FROM act WHERE action = 'WATCH') AS watched, (SELECT count(*) FROM act WHERE action = 'PROMOTE' AND inserted) AS promoted, (SELECT count(*) FROM act WHERE action = 'EXPIRE') AS expired, (SELECT count(*) FROM act WHERE action = 'IGNORE') AS ignored,
+  (SELECT count(*) FROM list1 WHERE stale) AS expired_stale"""
 )
 def scan_report(spark, sf_dir):
+    """Counters observed while a scan writes its results, here to the noop sink."""
+    seen, now, e = reports.ScanCounters(), X.ts(NOW), X.table(spark, sf_dir, "events")
+    known = spark.createDataFrame([("click",)], "symbol string")
+    stale = transitions.expire_stale(_watchlist(spark, sf_dir), now)
     judged, sells, _ = K._sell_parts(spark, sf_dir)
-    return reports.scan_report(
-        _bars(spark, sf_dir, "1h", X.ticks_events), transitions.insert_outcomes(X.signals(spark, sf_dir)), K._pass(spark, sf_dir)[1], judged, sells, _watch_pass(spark, sf_dir)[0]
+    results = {
+        "seeding": C.seed_symbols(known, e.select(F.col("event_type").alias("symbol")), now),
+        "flush": _flushed(spark, sf_dir, X.ts("2024-03-01 15:00:00"), True),
+        "ingest": _bars(spark, sf_dir, "1h", X.ticks_events),
+        "outcomes": transitions.insert_outcomes(X.signals(spark, sf_dir)),
+        "alerts": K._pass(spark, sf_dir)[1],
+        "positions": judged,
+        "sells": alerts.sent_sells(sells, sells.select("id", (F.col("buy_id") % 7 != 0).alias("ok"))),
+        "watches": _watch_pass(spark, sf_dir)[0],
+        "stale": stale.withColumn("stale", (F.col("resolution_reason") == "expired_stale") & (F.col("resolved_at") == now)),
+    }
+    for part, result in results.items():
+        seen.of(part, result).write.format("noop").mode("overwrite").save()
+    return seen.report(spark)
+
+
+@query(
+    K._SELL
+    + """, em AS (SELECT id AS b FROM r WHERE rule IS NOT NULL AND NOT (rule = 'stop_loss' AND id % 5 = 0))"""
+    + " SELECT count(*) AS n, min(id) AS first_id, max(id) AS last_id, count(DISTINCT id) AS ids, count(*) FILTER (alerted) AS alerted FROM (SELECT 700 + row_number() OVER (ORDER BY b) AS id, b % 7 <> 0 AS alerted FROM em)"
+)
+def sell_signal_ids(spark, sf_dir):
+    """Ids of new sell signals go on from the earlier ones, and sends are marked by them."""
+    _, sells, _ = K._sell_parts(spark, sf_dir, first_id=700)
+    sent = alerts.sent_sells(sells, sells.select("id", (F.col("buy_id") % 7 != 0).alias("ok")))
+    return sent.agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.countDistinct("id").alias("ids"), F.count_if("alerted").alias("alerted")
     )
 
 
