@@ -1,8 +1,8 @@
 """Outcomes of matured signals and buys: as-of prices, excursions, verdicts.
 
-The as-of lookup is a union of targets and bars with one window per symbol, and
-the excursion window is an equi join on day buckets, in which whole days are
-one row, so that neither visits all later bars of a symbol for each event.
+The as-of lookup is a union of targets and bars with windows of a symbol and
+month, and the extremes of a span are two running extremes of a symbol's blocks,
+so that neither visits all later bars of a symbol for each event.
 """
 
 from __future__ import annotations
@@ -41,23 +41,28 @@ def price_at_or_after(targets: DataFrame, bars: DataFrame, by_month: bool = True
 def extremes(points: DataFrame, bars: DataFrame, days: int = 7) -> DataFrame:
     """(symbol, t0) with the highest high and lowest low of the bars that open in [t0, t0 + days], and their earliest times.
 
-    Points meet bars by (symbol, day), so no point visits all later bars.
+    Time is cut into blocks of ``days``.  Such a span is the rest of one block
+    and the beginning of the next, so a point needs two lookups: the extremes from
+    t0 to its block's end, and those from the next block's start to t0 + days.
+    Both are running extremes over a symbol's block, where points stand among the
+    bars; a symbol's blocks go to separate tasks.  Points without bars have no row.
     """
-    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    bucket = lambda c: F.timestamp_diff("DAY", zero, S.floor_day(c))
-    first = bucket(F.col("t0"))
-    e = points.select("symbol", "t0", F.explode(F.sequence(first, first + days)).alias("bucket"))
-    b = bars.select("symbol", "open_time", "high", "low", bucket(F.col("open_time")).alias("bucket"))
-    high = F.struct(F.col("high").alias("v"), (-_us(F.col("open_time"))).alias("t"))
-    low = F.struct(F.col("low").alias("v"), _us(F.col("open_time")).alias("t"))
-    # a day that a point holds whole is one row
-    days_of = b.groupBy("symbol", "bucket").agg(F.max(high).alias("h"), F.min(low).alias("l"))
-    end = F.timestamp_add("DAY", F.lit(days), "t0")
-    at_edge = F.col("bucket").isin(bucket(F.col("t0")), bucket(end))
-    inner = e.filter(~at_edge).join(days_of, ["symbol", "bucket"]).select("symbol", "t0", "h", "l")
-    edge = e.filter(at_edge).join(b, ["symbol", "bucket"]).filter((F.col("open_time") >= F.col("t0")) & (F.col("open_time") <= end))
-    both = inner.unionByName(edge.select("symbol", "t0", high.alias("h"), low.alias("l")))
-    out = both.groupBy("symbol", "t0").agg(F.max("h").alias("h"), F.min("l").alias("l"))
+    size = days * 86_400_000_000
+    bar, begin, end = 0, 1, 2
+    rows = bars.select("symbol", _us(F.col("open_time")).alias("at"), F.lit(bar).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("t0"), "high", "low")
+    none = F.lit(None).cast("double")
+    ends = F.explode(F.array(F.struct(_us(F.col("t0")).alias("at"), F.lit(begin).alias("kind")), F.struct((_us(F.col("t0")) + size).alias("at"), F.lit(end).alias("kind"))))
+    wanted = points.select("symbol", "t0", ends.alias("e")).select("symbol", "e.at", "e.kind", "t0", none.alias("high"), none.alias("low"))
+    rows = rows.unionByName(wanted).withColumn("block", F.floor(F.col("at") / size))
+    is_bar = F.col("kind") == bar
+    high = F.when(is_bar, F.struct(F.col("high").alias("v"), (-F.col("at")).alias("t")))
+    low = F.when(is_bar, F.struct(F.col("low").alias("v"), F.col("at").alias("t")))
+    block = Window.partitionBy("symbol", "block")
+    grown = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest, start = grown(block.orderBy(F.desc("at"), "kind")), grown(block.orderBy("at", "kind"))  # a bar at the time of a point counts
+    side = lambda f, c: F.when(F.col("kind") == begin, f(c).over(rest)).otherwise(f(c).over(start))
+    found = rows.select("symbol", "t0", "kind", side(F.max, high).alias("h"), side(F.min, low).alias("l")).filter(F.col("kind") != bar)
+    out = found.groupBy("symbol", "t0").agg(F.max("h").alias("h"), F.min("l").alias("l")).filter(F.col("h").isNotNull())
     return out.select("symbol", "t0", F.col("h.v").alias("top"), (-F.col("h.t")).alias("top_us"), F.col("l.v").alias("bottom"), F.col("l.t").alias("bottom_us"))
 
 

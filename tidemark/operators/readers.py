@@ -51,13 +51,16 @@ def sell_filter(symbol=None, rule=None, since: Column | None = None, until: Colu
 
 
 def buys(rows: DataFrame, status: str = "all", symbol: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Buys in order of time and id; ``status`` is all, open or sold."""
+    """Buys in order of time and id; ``status`` is all, open or sold.
+
+    Only a positive ``limit`` makes a page; an offset under 0 is 0.
+    """
     if status not in ("all", "open", "sold"):
         raise ValueError(f"unknown status: {status}")
     out = rows if status == "all" else rows.filter(F.col("sold_at").isNull() if status == "open" else F.col("sold_at").isNotNull())
     out = out if symbol is None else out.filter(F.col("symbol") == symbol)
-    out = out.orderBy("bought_at", "id").offset(offset)
-    return out if limit is None else out.limit(limit)
+    out = out.orderBy("bought_at", "id")
+    return out.offset(max(0, offset)).limit(limit) if limit is not None and limit > 0 else out
 
 
 def count_buys(rows: DataFrame, status: str = "all", symbol: str | None = None) -> DataFrame:

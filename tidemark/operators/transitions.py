@@ -73,9 +73,9 @@ def watch_action(score: Column, has_watch: Column, min_score: int = 50, floor: i
     return F.when(score >= min_score, "PROMOTE").when(score < floor, F.when(has_watch, "EXPIRE").otherwise("IGNORE")).otherwise("WATCH")
 
 
-def expire_stale(watchlist: DataFrame, now: Column) -> DataFrame:
-    """Active watches whose time is up by ``now`` are closed."""
-    stale = (F.col("status") == "watching") & (F.col("expires_at") <= now)
+def expire_stale(watchlist: DataFrame, now: Column, p: Watch = Watch()) -> DataFrame:
+    """Active watches whose time is up by ``now`` are closed (none, if ``p`` is not enabled)."""
+    stale = F.lit(p.enabled) & (F.col("status") == "watching") & (F.col("expires_at") <= now)
     return watchlist.withColumns(
         {
             "status": F.when(stale, "expired").otherwise(F.col("status")),
@@ -86,11 +86,12 @@ def expire_stale(watchlist: DataFrame, now: Column) -> DataFrame:
 
 
 def watch_pass(watchlist: DataFrame, candidates: DataFrame, now: Column, p: Watch = Watch(), s: Scoring = Scoring()) -> tuple[DataFrame, DataFrame]:
-    """(actions, watchlist) of a scan; only candidates without a severity take part.
+    """(actions, watchlist) of a scan; only candidates without a severity take part (none, if ``p`` is not enabled).
 
     ``candidates`` has symbol, score, severity, and ``signal_id`` with
     ``inserted`` for those that a promotion has inserted.
     """
+    candidates = candidates if p.enabled else candidates.limit(0)
     active = watchlist.filter("status = 'watching'").select("symbol", F.col("id").alias("watch_id"), F.lit(True).alias("has_watch"))
     c = candidates.filter("severity is null").join(active, "symbol", "left")
     c = c.withColumn("action", watch_action(F.col("score"), F.col("has_watch").isNotNull(), s.min_score, p.floor))
@@ -204,8 +205,10 @@ def sell_pass(
     ``closes`` has symbol and close; ``fired`` earlier sell signals (new ones go on
     from its highest id).  A rule in
     its cooldown is suppressed and no lower rule takes its place.  Watermarks
-    rise after the rules have been read, and only then is updated_at set.
+    rise after the rules have been read, and only then is updated_at set.  If ``p``
+    is not enabled no position is judged and nothing moves.
     """
+    positions = positions if p.enabled else positions.limit(0)
     regime = F.lit(None).cast("string") if regime is None else regime
     j = positions.join(closes.select("symbol", F.col("close").alias("now_price")), "symbol", "left")
     j = j.join(tracking.select(F.col("buy_id").alias("id"), F.col("high_watermark").alias("watermark"), F.col("updated_at").alias("_updated")), "id", "left")

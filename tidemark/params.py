@@ -84,6 +84,7 @@ class Regime:
 class Watch:
     floor: int = 35
     hours: int = 48
+    enabled: bool = True
 
 
 @dataclass(frozen=True)
@@ -93,6 +94,7 @@ class Sell:
     trailing: float = 10
     context: bool = True
     cooldown_hours: float = 6
+    enabled: bool = True
 
 
 #: Bars kept of each interval.

@@ -327,7 +327,7 @@ def watch(candidates: DataFrame, p: Watch = Watch(), s: Scoring = Scoring(), del
     watch of a symbol.  ``watch_table`` makes the watchlist of the versions.
     """
     action = lambda has: transitions.watch_action(F.col("score"), F.lit(has), s.min_score, p.floor)
-    rows = _with_event_time(candidates.filter("severity is null"), "scanned_at", delay)
+    rows = _with_event_time(candidates.filter(F.col("severity").isNull() & p.enabled), "scanned_at", delay)
     rows = rows.select("us_", "score", "signal_id", "inserted", action(True).alias("with_"), action(False).alias("without_"), "symbol", "at_")
     return rows.groupBy("symbol").transformWithStateInPandas(_Watch(p), WATCHES, "append", "EventTime")
 
@@ -427,7 +427,7 @@ def sells(closes: DataFrame, positions: DataFrame, p: Sell = Sell(), regime: Dat
     for ``days``.
     """
     label = F.lit(None).cast("string")
-    rows = closes.withColumnRenamed("close", "now_price")
+    rows = closes.filter(F.lit(p.enabled)).withColumnRenamed("close", "now_price")
     if regime is not None:
         rows, label = rows.crossJoin(F.broadcast(regime.select(F.col("label").alias("regime_")).limit(1))), F.col("regime_")
     rows = _with_event_time(rows.withColumn("context_", label), "close_time", delay)
