@@ -7,9 +7,10 @@ severity is the sum of these probabilities.
 Labels are whole numbers from 0 (not toxic) up, with a threshold for each grade.
 Labels that say only toxic or not carry no severity; their toxic documents are
 graded 1 to ``grades`` by how much telling language they have (quantiles of the
-toxic sample).  Which words tell is then decided on the other half of the
-sample, so no document's grade rests on its own label or on the features that
-the model is given for it.
+toxic sample).  Which words tell is decided on the other half of the sample, so
+no document's grade rests on its own label.  The words found there are mostly
+those that the model has as features too, so such grades are a stand-in for
+severity, made of counts of the same language; they test nothing.
 
 The model is fitted on at most about ``max_labelled`` labelled documents,
 chosen by a hash of their id; near copies among them count once.  Features are
