@@ -1,6 +1,7 @@
 """Operators on documents against brute-force versions, with edge cases."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -9,6 +10,7 @@ import pytest
 import xxhash
 
 from tidemark.llm import bpe, decontaminate, quality, secrets, simhash, toxicity
+from tidemark.llm.common import shared_dir
 
 R = random.Random(11)
 VOCAB = ["alpha", "Beta", "gamma", "é", "ñandú", "delta.", "x", "the", "of", "--", "42", "ÀB"]
@@ -215,6 +217,20 @@ def test_decontamination(spark, shard, block):
     assert decontaminate.clean(rows, table.limit(0)).count() == len(docs)
 
 
+def test_decontamination_by_many_blocks_copies_nothing(spark):
+    """One pass, no table of its own and the same result, however many blocks the test set has."""
+    items = spark.createDataFrame([(i, sentence(30)) for i in range(40)], "item_id long, text string")
+    texts = [sentence(25) + " " + r.text + " " + sentence(25) for r in items.collect()] + [sentence(200) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    before = set(os.listdir(shared_dir(spark)))
+    few, many = (decontaminate.find(docs, items, block_words=n) for n in (10**6, 30))
+    got = [sorted((r.row.doc_id, r.found.n_words, [tuple(s) for s in r.found.spans], sorted(r.found["items"])) for r in f.collect()) for f in (few, many)]
+    assert got[0] == got[1] and all(str(i) in r[3] for i, r in enumerate(got[0][:40]))
+    assert set(os.listdir(shared_dir(spark))) == before
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and decontaminate.clean(docs, items, block_words=30).count() == 60
+
+
 def test_fm_index_counts_and_locates():
     for _ in range(20):
         s = np.array([R.randint(0, 3) for _ in range(R.randint(1, 200))] + [0])

@@ -8,16 +8,17 @@ phrases run the backward search at once, word by word through its ranks, and
 the occurrences are located by walking to the next sampled suffix position.
 Occurrences are merged into removal spans of whole words.
 
-The test set is the stated query set: it is read in blocks of bounded size.
-Each block is one pass over the documents without a shuffle; passes run one
-after another and hand the documents on as a written table, so that the driver
-and a task hold one block at a time however many there are.  Everything a shard
-needs is rebuilt from its documents if an executor is lost.
+The test set is the stated query set: it is read in blocks of bounded size, each
+broadcast by itself, so that the driver and a task hold one block in memory at a
+time however many there are; the others lie on the executors' disks.  The
+documents are read once, without a shuffle or a copy: a shard meets all blocks
+before the next shard is read.  Everything a shard needs is rebuilt from its
+documents if an executor is lost.
 
 Edge cases: null and empty texts have no words and no hits; an item without
 words never occurs; items of fewer words than the window are one phrase;
 every row of the test set is an item of its own, also if its item_id is repeated
-or null; repeated documents are searched one by one; an empty test set leaves
+or null (it counts among the items found, as a null id); repeated documents are searched one by one; an empty test set leaves
 every document clean; further columns pass through.  Results do not depend on
 the sizes of shards and blocks.
 """
@@ -29,11 +30,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import small_batches, written
+from .common import small_batches
 
 #: Bytes to the lower-cased word character, or to a space: 0-9, a-z and all above 0x7F are words.
 _FOLD = bytes(
@@ -307,49 +309,46 @@ def _cut(batch: pa.RecordBatch, found: list[dict], at: int) -> pa.RecordBatch:
     return out.filter(pa.array([n == 0 or n < f["n_words"] for n, f in zip(hit, found, strict=True)], pa.bool_()))
 
 
-def _search(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, shard_words: int, block_words: int, last: Callable, schema: StructType) -> DataFrame:
-    """Search ``docs`` for all blocks of items; ``last`` makes the result of the last pass."""
+def _opened(blocks: list[Broadcast]) -> Iterator[Phrases]:
+    """The phrases of one block after another; of several, each is forgotten before the next is read from disk."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1 and vars(block).get("_path"):
+            vars(block).pop("_value", None)
+
+
+def _search(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, shard_words: int, block_words: int, give: Callable, schema: StructType) -> DataFrame:
+    """Search each shard of ``docs`` for all blocks of items; ``give`` makes the result."""
     spark = docs.sparkSession
-    rows = small_batches(docs).select(F.struct("*").alias("row"), F.lit(None).cast(_FOUND).alias("found"))
-    between = rows.schema
     at = docs.columns.index(text)
-
-    def scanner(phrases, give):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def finish(held: list[tuple[pa.RecordBatch, list[list[bytes]]]]) -> Iterator[pa.RecordBatch]:
-                results = iter(scan_shard([t for _, texts in held for t in texts], phrases.value))
-                for batch, texts in held:
-                    now = []
-                    for t, old in zip(texts, batch.column(1).to_pylist(), strict=True):
-                        spans, ids = next(results)
-                        if old:
-                            spans, ids = merge_spans([*map(tuple, old["spans"]), *spans]), [*old["items"], *ids]
-                        now.append({"n_words": len(t), "spans": spans, "items": ids})
-                    yield give(batch, now, at)
-
-            held, size = [], 0
-            for batch in batches:
-                start, texts = 0, []
-                for i, t in enumerate(batch.column(0).field(at).cast(pa.binary())):
-                    t = words(t.as_py())
-                    if size and size + len(t) > shard_words:
-                        yield from finish([*held, (batch.slice(start, i - start), texts)])
-                        held, size, start, texts = [], 0, i, []
-                    texts.append(t)
-                    size += len(t)
-                held.append((batch.slice(start), texts))
-            yield from finish(held)
-
-        return run
-
-    blocks = item_blocks(items, item_id, item_text, block_words)
-    block = next(blocks, [])  # one pass at least, so that words are counted
-    while True:
-        phrases = spark.sparkContext.broadcast(Phrases(block, window))
-        block = next(blocks, None)
-        if block is None:
-            return rows.mapInArrow(scanner(phrases, last), schema)
-        rows = written(rows.mapInArrow(scanner(phrases, _keep), between), "scanned")
+    blocks = [spark.sparkContext.broadcast(Phrases(b, window)) for b in item_blocks(items, item_id, item_text, block_words)]
+
+    def finish(held: list[tuple[pa.RecordBatch, list[list[bytes]]]]) -> Iterator[pa.RecordBatch]:
+        texts = [t for _, of in held for t in of]
+        found: list[dict] = [{"n_words": len(t), "spans": [], "items": []} for t in texts]
+        for phrases in _opened(blocks):
+            for f, (spans, ids) in zip(found, scan_shard(texts, phrases), strict=True):
+                f["spans"] = merge_spans([*f["spans"], *spans]) if f["spans"] else spans
+                f["items"] += ids
+        results = iter(found)
+        for batch, of in held:
+            yield give(batch, [next(results) for _ in of], at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            start, texts = 0, []
+            for i, t in enumerate(batch.column(0).field(at).cast(pa.binary())):
+                t = words(t.as_py())
+                if size and size + len(t) > shard_words:
+                    yield from finish([*held, (batch.slice(start, i - start), texts)])
+                    held, size, start, texts = [], 0, i, []
+                texts.append(t)
+                size += len(t)
+            held.append((batch.slice(start), texts))
+        yield from finish(held)
+
+    return small_batches(docs).select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
 def find(
