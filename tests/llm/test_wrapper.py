@@ -61,7 +61,7 @@ def pattern(node):
     kids = "".join(map(pattern, node[wrapper.KIDS]))
     if node[wrapper.SIG] == wrapper.TEXT:
         inner = "t;"
-    elif node[wrapper.SIG] in ("", wrapper.GROUP):
+    elif node[wrapper.SIG] in ("", *wrapper.GROUPS):
         inner = kids
     else:
         inner = re.escape(f"<{node[wrapper.SIG]}>") + kids + re.escape(f"</{node[wrapper.SIG]}>")
@@ -90,6 +90,51 @@ def test_every_page_matches_the_merged_wrapper():
         assert wrapper.flat(wrapper.tree(*wrapper.flat(root))) == wrapper.flat(root)
 
 
+def varied_page(r, n=30):
+    """A page with a shape of its own: random blocks in random order, some inside each other."""
+    kinds = ("<p>%s</p>", "<h2>%s</h2>", "<ul><li>%s</ul>", "<blockquote>%s</blockquote>", "<pre>%s</pre>", "<figure><figcaption>%s</figcaption></figure>", "<div class='box'><p>%s</p></div>", "<table><tr><td>%s</table>")
+    blocks = "".join(r.choice(kinds) % f"text{r.randrange(99)}" for _ in range(n))
+    return f"<html><body><div class='menu'><a>Home</a></div><div class='content'><h1>Title</h1>{blocks}</div><div class='extra'><p>short</p></div></body></html>"
+
+
+def test_gathered_children_take_every_page_and_leave_the_region(monkeypatch):
+    r = random.Random(21)
+    for make in (random_page, varied_page):
+        pages = [make(r) for _ in range(12)]
+        skeletons = [wrapper.skeleton(wrapper.events(p)) for p in pages]
+        regions = set()
+        for wide in (0, 3, 64, 10**9):
+            monkeypatch.setattr(wrapper, "WIDE", wide)
+            for order in (skeletons, skeletons[::-1]):
+                root = order[0]
+                for s in order[1:]:
+                    root = wrapper.merge(root, s)
+                regions.add(tuple(wrapper.main_region(root)))
+                total = lambda n, k: n[k] + sum(total(x, k) for x in n[wrapper.KIDS])
+                assert total(root, wrapper.CHARS) == sum(total(s, wrapper.CHARS) for s in skeletons)
+                assert wrapper.flat(wrapper.tree(*wrapper.flat(root))) == wrapper.flat(root)
+                if wide == 3:
+                    assert ")*" in wrapper.expression(root)
+                    assert all(re.fullmatch(pattern(root), tags(p)) for p in pages)
+        assert len(regions) == 1
+
+
+def test_a_shape_per_page_takes_linear_time(spark):
+    r = random.Random(22)
+    skeletons = [wrapper.skeleton(wrapper.events(varied_page(r))) for _ in range(1600)]
+    took = {}
+    for n in (400, 1600):
+        start, root = time.perf_counter(), skeletons[0]
+        for s in skeletons[1:n]:
+            root = wrapper.merge(root, s)
+        took[n] = time.perf_counter() - start
+    assert took[1600] < 8 * took[400] and len(wrapper.flat(root)[1]) < 200, took
+    pages = [(i, "http://hot.com/", varied_page(r)) for i in range(300)]
+    got = wrapper.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = {i: ["Title", *re.findall(r"text[0-9]+", h)] for i, _, h in pages}
+    assert {x.page_id: x.main_text.split("\n\n") for x in got} == want
+
+
 def test_wrappers_do_not_depend_on_partitions(spark):
     rows = [(i, f"http://h{i % 3}.com/{i}", random_page(R)) for i in range(120)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -16,10 +16,14 @@ on an element that holds the main part of the page, such as a form around all.
 
 Pages of one shape (the expression of a single page) are summed up in each
 task, which is exact in any order.  The distinct shapes of a host are aligned in
-their sorted order, first in buckets by a hash of the shape, then bucket by
-bucket, so the wrapper does not depend on how the pages are partitioned, a host
-with a third of all pages is spread over buckets, and a task holds one wrapper
-at a time.  The joined wrapper table has a row per host; frequent hosts are
+their sorted order as a tree: in buckets by a hash of the shape, then those in
+fewer buckets, then in one, so the wrapper does not depend on how the pages are
+partitioned, a host with a third of all pages is spread over buckets, and a task
+holds one wrapper at a time.  Where an element's children become many, the
+wrapper keeps one optional node of each kind in a repeated group, so aligning a
+page takes time by the page and the kinds of its elements, also on a host with a
+shape per page.  The main region is decided by sums over paths, which neither
+order nor grouping changes.  The joined wrapper table has a row per host; frequent hosts are
 joined by broadcast (``join_hot``), so their pages are not shuffled.
 
 Edge cases: null and empty pages have the empty text; a page without a host is
@@ -34,8 +38,8 @@ from __future__ import annotations
 import json
 import re
 import sys
-from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
@@ -49,10 +53,10 @@ from .common import free_name, join_hot, map_rows, small_batches, written
 
 #: Elements inside each other that are told apart; far beyond what browsers take.
 DEPTH = 10_000
-#: Pairs of children up to which the longest common subsequence is exact.
-MAX_PAIRS = 400 * 400
-#: Buckets of a host's shapes.
-BUCKETS = 64
+#: Children of an element that a merged wrapper tells apart by place; of more, only their kinds.
+WIDE = 64
+#: Buckets of a host's shapes, and of their wrappers.
+BUCKETS = (4096, 64)
 #: Nodes that a task holds before it hands its sums on.
 HELD_NODES = 400_000
 #: HTML's elements without content, raw text elements and block elements.
@@ -296,7 +300,8 @@ def cleared(stream: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
 # characters, the texts that every page with the node has (of a text node; none:
 # a slot), child nodes.
 SIG, OCC, CHARS, LINKED, SEEN, KIDS = range(6)
-GROUP, TEXT = "()", "#text"
+GROUP, ANY, TEXT = "()", "()any", "#text"
+GROUPS = (GROUP, ANY)
 NONE: frozenset[int] = frozenset()
 
 
@@ -408,7 +413,7 @@ def repeats(nodes: list[list]) -> list[list]:
     return nodes
 
 
-def _exact(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     """Pairs of places of the longest common subsequence."""
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
@@ -427,60 +432,32 @@ def _exact(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _anchored(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """Pairs of places of a common subsequence of long lists: what occurs once on both sides anchors the rest (patience)."""
-    n_x, n_y = Counter(x), Counter(y)
-    at = {k: j for j, k in enumerate(y) if n_y[k] == 1}
-    tails, tops, links = [], [], {}  # longest increasing run of places in y
-    for i, k in enumerate(x):
-        if n_x[k] == 1 and k in at:
-            j = at[k]
-            place = bisect_left(tails, j)
-            links[i, j] = tops[place - 1] if place else None
-            tails[place : place + 1], tops[place : place + 1] = [j], [(i, j)]
-    pair, anchors = tops[-1] if tops else None, []
-    while pair:
-        anchors.append(pair)
-        pair = links[pair]
-    if not anchors:
-        places, last, out = {}, -1, []
-        for i, k in enumerate(x):
-            places.setdefault(k, []).append(i)
-        for j, k in enumerate(y):
-            here = places.get(k, [])
-            if (n := bisect_left(here, last + 1)) < len(here):
-                last = here[n]
-                out.append((last, j))
-        return out
-    out, i, j = [], 0, 0
-    for p, q in [*reversed(anchors), (len(x), len(y))]:
-        out += [(i + s, j + t) for s, t in matches(x[i:p], y[j:q])]
-        if p < len(x):
-            out.append((p, q))
-        i, j = p + 1, q + 1
-    return out
-
-
-def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """Pairs of places of equal keys, rising on both sides."""
-    if len(x) * len(y) <= MAX_PAIRS:
-        return _exact(x, y) if x and y else []
-    head, most = 0, min(len(x), len(y))
-    while head < most and x[head] == y[head]:
-        head += 1
-    tail = 0
-    while tail < most - head and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    p, q = x[head : len(x) - tail], y[head : len(y) - tail]
-    inner = _exact(p, q) if len(p) * len(q) <= MAX_PAIRS else _anchored(p, q)
-    return [*((i, i) for i in range(head)), *((head + i, head + j) for i, j in inner), *((len(x) - k, len(y) - k) for k in range(tail, 0, -1))]
+def gather(nodes: list[list]) -> list:
+    """A list of any length as one group of its kinds, each once: (a? b? c?)*, which takes them in every order."""
+    held: dict[str, list] = {}
+    todo = [(node, False) for node in reversed(nodes)]
+    while todo:
+        node, gathered = todo.pop()
+        if node[SIG] in GROUPS:
+            todo += [(kid, node[SIG] == ANY) for kid in reversed(node[KIDS])]
+            continue
+        node = node if gathered else optional(unsure(node))
+        held[node[SIG]] = merge(held[node[SIG]], node) if node[SIG] in held else node
+    return [ANY, "*", 0, 0, NONE, list(held.values())]
 
 
 def align(a: list[list], b: list[list], across: bool = True) -> list[list]:
-    """A common subsequence (the longest, if the lists are not long) is merged, the rest becomes optional; nothing is left out."""
+    """The longest common subsequence is merged, the rest becomes optional; nothing is left out.
+
+    Lists that are longer than ``WIDE``, or would be, become one group of their kinds.
+    """
     x, y = [key(n) for n in a], [key(n) for n in b]
+    if ANY in x or ANY in y:
+        return [gather([*a, *b])]
     if x == y:
         return [merge(p, q, across) for p, q in zip(a, b, strict=True)]
+    if max(len(x), len(y)) > WIDE:
+        return [gather([*a, *b])]
     i = j = 0
     out = []
     for p, q in [*matches(x, y), (len(a), len(b))]:
@@ -488,7 +465,8 @@ def align(a: list[list], b: list[list], across: bool = True) -> list[list]:
         if p < len(a):
             out.append(merge(a[p], b[q], across))
         i, j = p + 1, q + 1
-    return repeats(out)
+    out = repeats(out)
+    return out if len(out) <= WIDE else [gather(out)]
 
 
 def preorder(root: list) -> Iterator[tuple[list, int]]:
@@ -543,29 +521,41 @@ def expression(root: list) -> str:
     for node, _ in preorder(root):
         if node is END:
             node = path.pop()
-            if node[SIG] == GROUP:
+            if node[SIG] in GROUPS:
                 out[-1] = out[-1].rstrip(" ")
                 out.append(")")
             elif node[SIG] != TEXT:
                 out.append(f"</{node[SIG].split('.')[0]}>")
-            out.append((node[OCC] if node[OCC] != "1" else "") + (" " if path and path[-1][SIG] == GROUP else ""))
+            out.append((node[OCC] if node[OCC] != "1" else "") + (" " if path and path[-1][SIG] in GROUPS else ""))
         else:
             path.append(node)
-            out.append({TEXT: "#const" if node[SEEN] else "#slot", GROUP: "("}.get(node[SIG], f"<{node[SIG]}>"))
+            out.append({TEXT: "#const" if node[SEEN] else "#slot", GROUP: "(", ANY: "("}.get(node[SIG], f"<{node[SIG]}>"))
     return "".join(out)
 
 
-def weights(root: list) -> dict[int, int]:
-    """Of every node, by id(): unlinked characters that are not set aside, less the linked ones."""
-    nodes = [(n, p) for n, p in preorder(root) if n is not END]
-    sums = [n[CHARS] - n[LINKED] for n, _ in nodes]
-    for i in range(len(nodes) - 1, -1, -1):
-        node, parent = nodes[i]
-        if node[SIG] not in ("", TEXT, GROUP) and is_aside(node[SIG]):
-            sums[i] = 0
-        if parent >= 0:
-            sums[parent] += sums[i]
-    return {id(n): s for (n, _), s in zip(nodes, sums, strict=True)}
+def by_path(root: list) -> list:
+    """The elements of a wrapper by path alone: [signature, size, elements inside].
+
+    Size is the unlinked characters that are not set aside, less the linked
+    ones.  Elements of one path are one here, so it doesn't matter in which order
+    pages were aligned nor what was gathered.
+    """
+    top = ["", 0, {}]
+    order, todo = [top], [(root, top)]
+    while todo:
+        node, to = todo.pop()
+        to[1] += node[CHARS] - node[LINKED]
+        for kid in node[KIDS]:
+            at = to
+            if kid[SIG] != TEXT and kid[SIG] not in GROUPS:
+                at = to[2].get(kid[SIG])
+                if at is None:
+                    at = to[2][kid[SIG]] = [kid[SIG], 0, {}]
+                    order.append(at)
+            todo.append((kid, at))
+    for at in reversed(order):
+        at[1] = 0 if at[0] and is_aside(at[0]) else at[1] + sum([k[1] for k in at[2].values()])
+    return top
 
 
 #: Elements that may wrap the main text without being it.
@@ -574,50 +564,36 @@ _AROUND = set("html body div section table tbody tr td center dl dd".split())
 
 def main_region(root: list) -> list[int]:
     """Paths of the elements that hold the main text."""
-    weight = weights(root)
-    articles, mains, sizes = set(), set(), {"article": 0, "main": 0}
-    todo = [(root, 0, False)]
+    top = by_path(root)
+    articles, mains, sizes = [], [], {"article": 0, "main": 0}
+    todo = [(top, 0, False)]
     while todo:
-        node, path, in_main = todo.pop()
-        for kid in node[KIDS]:
-            if kid[SIG] == TEXT:
-                continue
-            if kid[SIG] == GROUP:
-                todo.append((kid, path, in_main))
-                continue
-            if is_aside(kid[SIG]):
+        (_, _, kids), path, in_main = todo.pop()
+        for sig, size, _ in kids.values():
+            if is_aside(sig):
                 continue
-            at, size = child(path, kid[SIG]), weight[id(kid)]
-            tag = kid[SIG].split(".", 1)[0]
+            at = child(path, sig)
+            tag = sig.split(".", 1)[0]
             if tag == "article" and size > 0:
-                articles.add(at)
+                articles.append(at)
                 sizes["article"] += size
                 continue
-            main = tag == "main" or (".main" in kid[SIG] and tag in ("div", "section"))
-            if main and not in_main and size > 0:
-                mains.add(at)
+            main = size > 0 and (tag == "main" or (".main" in sig and tag in ("div", "section")))
+            if main and not in_main:
+                mains.append(at)
                 sizes["main"] += size
-            todo.append((kid, at, in_main or (main and size > 0)))
+            todo.append((kids[sig], at, in_main or main))
     if articles and sizes["article"] >= 0.5 * sizes["main"]:
         return sorted(articles)
     if mains:
         return sorted(mains)
-    kids, path, size = root[KIDS], 0, weight[id(root)]
+    (_, size, kids), path = top, 0
     while True:
-        by: dict[str, list[list]] = {}
-        todo = list(kids)
-        while todo:
-            kid = todo.pop()
-            if kid[SIG] == GROUP:
-                todo += kid[KIDS]
-            elif kid[SIG] != TEXT and not is_aside(kid[SIG]):
-                by.setdefault(kid[SIG], []).append(kid)
-        sums = {s: sum([weight[id(k)] for k in ks]) for s, ks in by.items()}
-        top = max(sums, key=lambda s: (sums[s], s), default=None)
-        if top is None or top.split(".", 1)[0] not in _AROUND or sums[top] < 0.7 * size:
+        inner = max((k for k in kids.values() if not is_aside(k[0])), key=lambda k: (k[1], k[0]), default=None)
+        if inner is None or inner[0].split(".", 1)[0] not in _AROUND or inner[1] < 0.7 * size:
             return [path]
-        path, size = child(path, top), sums[top]
-        kids = [k for n in by[top] for k in n[KIDS]]
+        path = child(path, inner[0])
+        _, size, kids = inner
 
 
 def extract(stream: list[tuple[str, str, bool]], region: list[int]) -> str:
@@ -689,7 +665,7 @@ def _shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     size = 0
 
     def rows() -> pd.DataFrame:
-        out = [s.row(h, xxhash.xxh32_intdigest(shape) % BUCKETS, shape) for (h, shape), s in held.items()]
+        out = [s.row(h, xxhash.xxh32_intdigest(shape) % BUCKETS[0], shape) for (h, shape), s in held.items()]
         held.clear()
         return pd.DataFrame(out, columns=_NAMES)
 
@@ -751,8 +727,9 @@ def _aligned(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 def infer(pages: DataFrame, host: str, html: str) -> DataFrame:
     """One row per host: host, pages, expression, region (JSON list of paths)."""
     shapes = small_batches(pages).select(F.col(f"`{host}`").alias("host"), F.col(f"`{html}`").alias("html")).mapInPandas(_shapes, _WRAPPER)
-    for keys in (["host", "bucket"], ["host"]):
-        shapes = shapes.repartition(*keys).sortWithinPartitions(*keys, "shape", "bucket").mapInPandas(_aligned(keys), _WRAPPER)
+    for buckets, keys in ((BUCKETS[0], ["host", "bucket"]), (BUCKETS[1], ["host", "bucket"]), (1, ["host"])):
+        shapes = shapes.withColumn("bucket", (F.col("bucket") % buckets).cast("int"))
+        shapes = shapes.repartition(*keys).sortWithinPartitions(*keys, "shape").mapInPandas(_aligned(keys), _WRAPPER)
 
     def make():
         sys.setrecursionlimit(10 * DEPTH)
