@@ -179,3 +179,21 @@ def test_sell_stream_with_missing_prices(spark, tmp_path):
     q.trigger(availableNow=True).start().awaitTermination()
     key = lambda df: sorted((r.open_time, r.watermark, r.rule) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "o"))) == key(transitions.replay_sells(pos, bars))
+
+
+def test_positions_share_rows_of_state(spark, tmp_path):
+    pos = frame(spark, [(i if i else None, "A", 100.0 + i, "2024-01-01 03:00:00" if i % 5 == 1 else None) for i in range(40)], "id bigint, symbol string, price double, sold_at timestamp_ntz")
+    scans = [("A", c, f"2024-01-0{1 + h // 12} {h % 12:02d}:59:59") for h, c in enumerate((130.0, None, 91.0, 150.0, 120.0, 99.0))]
+    frames = [frame(spark, s, "symbol string, close double, close_time timestamp_ntz") for s in (scans[:2], scans[2:])]
+    got = run(spark, jobs.sells(feed(spark, str(tmp_path / "in"), frames), pos, buckets=3), str(tmp_path / "s"))
+    tracking, fired, want = schemas.empty(spark, "sell_tracking"), spark.createDataFrame([], "buy_id bigint, rule_triggered string, detected_at timestamp_ntz"), []
+    for scan in scans:
+        now, known = ts(scan[2]), pos.filter("id is not null")
+        _, found, tracking = transitions.sell_pass(known.filter(F.col("sold_at").isNull() | (F.col("sold_at") > now)), frame(spark, [scan], "symbol string, close double, close_time timestamp_ntz"), tracking, fired, now)
+        want += (rows := found.drop("id").collect())
+        fired = spark.createDataFrame([*fired.collect(), *[(r.buy_id, r.rule_triggered, r.detected_at) for r in rows]], fired.schema)
+        tracking = spark.createDataFrame(tracking.collect(), tracking.schema)
+    assert want and sorted(map(str, got.filter("buy_id is not null").select(found.drop("id").columns).collect())) == sorted(map(str, want))
+    assert {r.rule_triggered for r in got.filter("buy_id is null").collect()} == {"take_profit", "stop_loss", "trailing_stop"}
+    stored = spark.read.format("statestore").option("stateVarName", "tracking").load(str(tmp_path / "s" / "c"))
+    assert stored.count() <= 3 and jobs.state_of(spark, str(tmp_path / "s" / "c"), "tracking").count() == 32

@@ -165,6 +165,10 @@ def record_sales(buys: DataFrame, sales: DataFrame) -> tuple[DataFrame, DataFram
     return stamped.select(buys.columns), j.drop("bought_at", "_sold")
 
 
+#: Rules in the order in which they are tried.
+SELL_RULES = ("stop_loss", "trailing_stop", "take_profit", "context_deterioration")
+
+
 def sell_rule(entry: Column, price: Column, watermark: Column, regime: Column, p: Sell = Sell()) -> Column:
     """The first rule that fires; a watermark is one from earlier scans."""
     pnl = S.pct_change(entry, price)

@@ -37,6 +37,8 @@ from ..sources import candles as C
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
+#: Parts of a symbol's positions in the join with its closes.
+SPREAD = 32
 
 
 def start(writer: DataStreamWriter, spark: SparkSession, partitions: int | None = None) -> StreamingQuery:
@@ -64,8 +66,16 @@ def to_files(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
 
 
 def state_of(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
-    """A named value or map state of a checkpoint as a table (key, value or user_map_key and user_map_value)."""
-    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    """A named value or map state of a checkpoint as a table (key, value or user_map_key and user_map_value).
+
+    Positions, which are kept in buckets, come out as a row each.
+    """
+    table = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    if "value" not in table.columns or "id array<bigint>" not in _schema(table.select("value.*")):
+        return table
+    fields = [c for c, t in table.select("value.*").dtypes if t.startswith("array")]
+    rows = table.select("value.*").select(F.inline(F.arrays_zip(*fields))).filter(~F.isnan("high_watermark"))
+    return rows.select(F.struct("id").alias("key"), F.struct(*[F.nullif(F.col(c), F.lit(NONE)).alias(c) if c.endswith("_us") else F.col(c) for c in fields[1:]]).alias("value"))
 
 
 def _schema(df: DataFrame) -> str:
@@ -356,75 +366,103 @@ def watch_table(versions: DataFrame) -> DataFrame:
 # --- positions -----------------------------------------------------------------
 
 
-class _Position(StatefulProcessor):
-    """The watermark of a position and when each rule last gave a sell signal."""
+#: No time or number, in arrays of the state.
+NONE = -(2**63)
+
+
+class _Positions(StatefulProcessor):
+    """The positions of a bucket: watermark, when each rule last gave a sell signal, and until when to keep it.
+
+    They are one value of arrays, so a bucket is read and written once in a batch;
+    each step of the rules takes the next row of all its positions.
+    """
+
+    STATE = "id array<long>, high_watermark array<double>, updated_us array<long>, until_ms array<long>, " + ", ".join(f"{r}_us array<long>" for r in transitions.SELL_RULES) + ", due_ms long"
 
     def __init__(self, p: Sell, days: float, names: list[str]):
         self.p, self.keep, self.names = p, int(days * DAY_MS), names
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.top = handle.getValueState("tracking", "high_watermark double, updated_us long")
-        self.fired = handle.getMapState("fired", "rule string", "us long")
-        self.until = handle.getValueState("until", "ms long")
-
-    def _forget(self) -> None:
-        self.top.clear()
-        self.fired.clear()
-        if until := _value(self.until):
-            self.handle.deleteTimer(until[0])
-            self.until.clear()
+        self.state = handle.getValueState("tracking", self.STATE)
+
+    def _read(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int | None]:
+        """Ids in order (those of the state and ``ids``), tops, their times, until, times of rules and the timer."""
+        old = self.state.get()
+        known = np.array(old[0] if old else [], np.int64)
+        every = np.union1d(known, ids)
+        top, times = np.full(len(every), np.nan), np.full((2 + len(transitions.SELL_RULES), len(every)), NONE, np.int64)
+        if old:
+            at = np.searchsorted(every, known)
+            top[at] = np.array(old[1], float)
+            times[:, at] = np.array(old[2:-1], np.int64)
+        return every, top, times[0], times[1], times[2:], old[-1] if old else None
+
+    def _write(self, ids, top, updated, until, fired, due: int | None) -> None:
+        """The state, with a timer no later than the first position that may go."""
+        first = int(until.min()) if len(ids) else None
+        if due is not None and (first is None or first < due):
+            self.handle.deleteTimer(due)
+            due = None
+        if first is None:
+            self.state.clear()
+            return
+        if due is None:
+            self.handle.registerTimer(first)
+            due = first
+        self.state.update((*[x.tolist() for x in (ids, top, updated, until, *fired)], due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rows = _ordered(rows, ["us_", "now_price"])
-        out, mark, wait = [], (_value(self.top) or (None, None)), self.p.cooldown_hours * 3600
-        rules = rows[["us_", "price", "now_price", "sold_us_", "rule", "trailed"]]
-        for i, (now, entry, close, sold, rule, trailed) in enumerate(rules.itertuples(index=False)):
-            if not pd.isna(sold) and sold <= now:
-                self._forget()
-                yield rows.iloc[out][self.names]
-                return
-            now, (top, updated) = int(now), mark
-            if not pd.isna(close) and close > 0:
-                if top is not None and top > 0 and close <= top * (1 - self.p.trailing / 100):
-                    rule = trailed
-                if _none(rule) is not None:
-                    last = self.fired.getValue((rule,)) if self.fired.containsKey((rule,)) else None
-                    if last is None or wait <= 0 or (now - last[0]) // 1_000_000 >= wait:
-                        self.fired.updateValue((rule,), (now,))
-                        rows.loc[i, "rule"] = rule
-                        out.append(i)
-                high = max(v for v in (top, entry, close) if v is not None and not pd.isna(v))
-                if top is None or high > top:
-                    mark = (float(high), now)
-        if mark[0] is not None:
-            self.top.update(mark)
-        until, ms = _value(self.until), int(rows["us_"].max()) // 1000 + self.keep
-        if until is None or until[0] < ms:
-            if until is not None:
-                self.handle.deleteTimer(until[0])
-            self.handle.registerTimer(ms)
-            self.until.update((ms,))
-        yield rows.iloc[out][self.names]
+        rows = _ordered(rows, ["id", "us_", "now_price"])
+        own, begin, count = np.unique(rows["id"].to_numpy(np.int64), return_index=True, return_counts=True)
+        us, sold, rule, trailed = (rows[c].to_numpy(np.int64) for c in ("us_", "sold_us_", "rule", "trailed"))
+        entry, close = rows["price"].to_numpy(float), rows["now_price"].to_numpy(float)
+        ids, top, updated, until, fired, due = self._read(own)
+        places = np.searchsorted(ids, own)
+        place, live = np.repeat(places, count), np.ones(len(ids), bool)
+        given, wait, fall = np.zeros(len(rows), np.int64), self.p.cooldown_hours * 3600, 1 - self.p.trailing / 100
+        more = np.argsort(-count, kind="stable")
+        for k in range(int(count.max())):
+            more = more[: np.searchsorted(-count[more], -k, "left")]  # positions with a row of this number
+            i = begin[more] + k
+            live[place[i[sold[i] <= us[i]]]] = False
+            i = i[live[place[i]] & (close[i] > 0)]
+            j = place[i]
+            found = np.where((top[j] > 0) & (close[i] <= top[j] * fall), trailed[i], rule[i])
+            i_, j_, r_ = i[found > 0], j[found > 0], found[found > 0] - 1
+            last = fired[r_, j_]
+            fires = (last == NONE) | (wait <= 0) | ((us[i_] - np.where(last == NONE, us[i_], last)) // 1_000_000 >= wait)
+            fired[r_[fires], j_[fires]] = us[i_[fires]]
+            given[i_[fires]] = r_[fires] + 1
+            high = np.fmax(np.fmax(top[j], entry[i]), close[i])
+            rises = np.isnan(top[j]) | (high > top[j])
+            top[j[rises]], updated[j[rises]] = high[rises], us[i[rises]]
+        until[places] = np.maximum(until[places], us[begin + count - 1] // 1000 + self.keep)
+        self._write(ids[live], top[live], updated[live], until[live], fired[:, live], due)
+        out = rows[given > 0]
+        yield out.assign(rule=np.array(transitions.SELL_RULES, object)[given[given > 0] - 1])[self.names]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.until.clear()
-        self._forget()
+        ids, top, updated, until, fired, _ = self._read(np.zeros(0, np.int64))
+        stay = until > timerValues.getCurrentWatermarkInMs()
+        self._write(ids[stay], top[stay], updated[stay], until[stay], fired[:, stay], None)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def sells(closes: DataFrame, positions: DataFrame, p: Sell = Sell(), regime: DataFrame | None = None, days: float = 90, delay: str = "1 hour") -> DataFrame:
+def sells(closes: DataFrame, positions: DataFrame, p: Sell = Sell(), regime: DataFrame | None = None, days: float = 90, delay: str = "1 hour", buckets: int = 4096) -> DataFrame:
     """Sell rows, with every rule and its cooldown, as closes come; each close time is a scan.
 
     ``closes`` has symbol, close and close_time; ``positions`` is a table with id,
     symbol, price, sold_at (null: open) and perhaps bought_at, ``regime`` one with a row (label).
-    Positions meet closes in a join of the stream with the table, so a symbol with
-    many positions is spread by position.  State of each position: its watermark
-    and the last time of each rule; it goes at the sale, or if no close has come
-    for ``days``.
+    Positions meet closes in a join of the stream with the table by symbol and one
+    of ``SPREAD`` parts, so a symbol with many positions is many tasks.  State of
+    each position: its watermark and the last time of each rule; it goes at the
+    sale, or if no close has come for ``days``.  The positions of a bucket (a hash
+    of the id, of ``buckets``, which a checkpoint keeps for good) share a row of
+    state, so a batch costs a call to Python for each bucket and not for each position.
     """
     label = F.lit(None).cast("string")
     rows = closes.filter(F.lit(p.enabled)).withColumnRenamed("close", "now_price")
@@ -432,13 +470,18 @@ def sells(closes: DataFrame, positions: DataFrame, p: Sell = Sell(), regime: Dat
         rows, label = rows.crossJoin(F.broadcast(regime.select(F.col("label").alias("regime_")).limit(1))), F.col("regime_")
     rows = _with_event_time(rows.withColumn("context_", label), "close_time", delay)
     since = alerts.micros(F.col("bought_at")) if "bought_at" in positions.columns else F.lit(None).cast("bigint")
-    held = positions.select("id", "symbol", F.col("price").cast("double").alias("price"), alerts.micros(F.col("sold_at")).alias("sold_us_"), since.alias("since_"))
-    rows = rows.join(held, "symbol").filter(F.col("since_").isNull() | (F.col("us_") >= F.col("since_")))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket_")
+    sold = F.coalesce(alerts.micros(F.col("sold_at")), F.lit(2**63 - 1)).alias("sold_us_")
+    held = positions.select(F.coalesce("id", F.lit(NONE)).alias("id"), "symbol", F.col("price").cast("double").alias("price"), sold, since.alias("since_"), bucket)
+    held = held.withColumn("part_", F.col("bucket_") % SPREAD)
+    rows = rows.withColumn("part_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+    rows = rows.join(held, ["symbol", "part_"]).filter(F.col("since_").isNull() | (F.col("us_") >= F.col("since_")))
     priced = F.when(F.col("now_price") > 0, F.col("now_price"))
-    rule = lambda top: transitions.sell_rule(F.col("price"), priced, top, F.col("context_"), p)
+    number = lambda top: F.coalesce(F.array_position(F.array(*map(F.lit, transitions.SELL_RULES)), transitions.sell_rule(F.col("price"), priced, top, F.col("context_"), p)), F.lit(0))
     names = "symbol string, id bigint, price double, now_price double, rule string, context_ string, us_ long"
-    rows = rows.select("us_", "symbol", "id", "price", F.col("now_price").cast("double").alias("now_price"), "sold_us_", "context_", rule(F.lit(None).cast("double")).alias("rule"), rule(F.lit(float("inf"))).alias("trailed"), "at_")
-    kept = rows.groupBy("id").transformWithStateInPandas(_Position(p, days, [c.split(" ")[0] for c in names.split(", ")]), names, "append", "EventTime")
+    rows = rows.select("us_", "symbol", "id", "price", F.col("now_price").cast("double").alias("now_price"), "sold_us_", "context_", number(F.lit(None).cast("double")).alias("rule"), number(F.lit(float("inf"))).alias("trailed"), "at_", "bucket_")
+    kept = rows.groupBy("bucket_").transformWithStateInPandas(_Positions(p, days, [c.split(" ")[0] for c in names.split(", ")]), names, "append", "EventTime")
+    kept = kept.withColumn("id", F.when(F.col("id") != NONE, F.col("id")))
     zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return transitions.sell_rows(kept, F.timestamp_add("MICROSECOND", F.col("us_"), zero), F.col("context_"))
 
