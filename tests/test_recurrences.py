@@ -58,3 +58,13 @@ def test_history_equals_a_sequential_fold(spark):
         for a, b in zip(got[s], values):
             assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(a, b)), s
     assert Rc.indicator_history(table.limit(0)).count() == 0
+
+
+def test_history_beyond_the_times_of_pandas(spark):
+    r = random.Random(6)
+    bars = [(c + r.random(), c - r.random(), c) for c in (r.uniform(10, 90) for _ in range(90))]
+    rows = [("A", "1d", f"{2255 + i // 6}-{1 + 2 * (i % 6):02d}-01 00:00:00", *b) for i, b in enumerate(bars)]
+    table = frame(spark, rows, "symbol string, interval string, open_time timestamp_ntz, high double, low double, close double")
+    got = Rc.indicator_history(table).orderBy("open_time").selectExpr("rsi", "atr", "ema_20", "ema_50").collect()
+    for a, b in zip(got, slow(bars), strict=True):
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(a, b))

@@ -4,7 +4,7 @@ Each step of such a fold is an affine map of the value before it: a sum while
 the seed is gathered (1, x / n), and (1 - k, k x) after it.  Maps compose, so a
 key's history is cut into months: every month is scanned in a task of its own,
 which gives each bar the map from the month's start to it; the months' maps are
-joined by a prefix over a row a month; and a bar's value is its map applied to
+joined by a prefix over a row a month, one after another; and a bar's value is its map applied to
 what its month starts with.  No task holds more than a month of a key.
 """
 
@@ -14,7 +14,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import indicators as I
@@ -58,30 +59,39 @@ def indicator_history(candles: DataFrame, period: int = 14, emas: Sequence[int]
     before = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = months.select(*keys, "month", before.alias("first"), F.lag("last").over(order).alias("previous"))
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("open_time", kind="stable", ignore_index=True)
-        first, close = int(rows["first"].iloc[0]), rows["close"].to_numpy()
-        earlier = np.concatenate(([rows["previous"].astype(float).iloc[0]], close[:-1]))
+    def scan(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("open_time")  # Arrow's times; those of pandas end in 2262
+        first, close = rows["first"][0].as_py(), rows["close"].to_numpy()
+        previous = rows["previous"][0].as_py()
+        earlier = np.concatenate(([np.nan if previous is None else previous], close[:-1]))
         step = np.where(np.isnan(earlier), 0.0, close - earlier)
         high, low = rows["high"].to_numpy(), rows["low"].to_numpy()
         spans = np.fmax(np.fmax(high - low, np.abs(high - earlier)), np.abs(low - earlier))
         values = {GAIN: np.maximum(step, 0.0), LOSS: np.maximum(-step, 0.0), RANGE: spans}
-        out = rows[[*keys, "month", "open_time"]].assign(n=first + np.arange(len(rows)))
+        out = rows.select([*keys, "month", "open_time"]).append_column("n", pa.array(first + np.arange(len(rows))))
         for name, (n, k, late) in series.items():
             a, b = affine_scan(values.get(name, close), first - late, n, k)
-            out = out.assign(**{f"a_{name}": a, f"b_{name}": b})
+            out = out.append_column(f"a_{name}", pa.array(a)).append_column(f"b_{name}", pa.array(b))
+        return out
+
+    def carry(months: pa.Table) -> pa.Table:
+        """What each month of a key starts with, from a row a month."""
+        months = months.sort_by("month")
+        a, b = (np.column_stack([months[f"{x}_{s}"].to_numpy() for s in series]) for x in "ab")
+        starts = np.zeros_like(a)
+        for i in range(1, len(starts)):
+            starts[i] = a[i - 1] * starts[i - 1] + b[i - 1]
+        out = months.select([*keys, "month"])
+        for s, c in zip(series, starts.T):
+            out = out.append_column(f"c_{s}", pa.array(np.ascontiguousarray(c)))
         return out
 
     schema = ", ".join(f"{c} {t}" for c, t in bars.select(*keys, "month", "open_time").dtypes)
     schema += ", n long, " + ", ".join(f"a_{s} double, b_{s} double" for s in series)
-    maps = bars.join(starts, [*keys, "month"]).groupBy(*keys, "month").applyInPandas(scan, schema)
-    ends = maps.groupBy(*keys, "month").agg(F.max_by(F.struct(*[c for c in maps.columns if c[:2] in ("a_", "b_")]), "open_time").alias("m"))
-    earlier = F.sort_array(F.collect_list(F.struct("month", "m")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-
-    def carried(name: str) -> Column:
-        return F.aggregate("earlier", F.lit(0.0), lambda s, x: s * x["m"][f"a_{name}"] + x["m"][f"b_{name}"]).alias(f"c_{name}")
-
-    carries = ends.select(*keys, "month", earlier.alias("earlier")).select(*keys, "month", *map(carried, series))
+    maps = bars.join(starts, [*keys, "month"]).groupBy(*keys, "month").applyInArrow(scan, schema)
+    ends = maps.groupBy(*keys, "month").agg(F.max_by(F.struct(*[c for c in maps.columns if c[:2] in ("a_", "b_")]), "open_time").alias("m")).select(*keys, "month", "m.*")
+    schema = ", ".join(f"{c} {t}" for c, t in bars.select(*keys, "month").dtypes) + ", " + ", ".join(f"c_{s} double" for s in series)
+    carries = ends.groupBy(*keys).applyInArrow(carry, schema)
     whole = maps.join(carries, [*keys, "month"])
     value = {s: F.col(f"a_{s}") * F.col(f"c_{s}") + F.col(f"b_{s}") for s in series}
     return whole.select(
