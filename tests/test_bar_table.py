@@ -65,3 +65,13 @@ def test_retention_rewrites_what_loses_rows(spark, table):
     quiet = {f for f in before if f[0] == "1d" or f[1] == "2024-03"}
     assert quiet <= after and not {f for f in after if f[:2] == ("1h", "2024-01")} and not (before - quiet) & after
     assert B.retain(spark, table, {"1h": 80, "1d": 0}).count() == 0 and files(spark, table) == after
+
+
+def test_many_partitions_go_in_few_statements(spark, table, monkeypatch):
+    B.insert(spark, table, bars(spark, range(140), "ABCDE"))
+    assert len(files(spark, table)) == 5  # a file for each month
+    said, sql = [], type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **k: said.append(text) or sql(self, text, *a, **k))
+    B.retain(spark, table, {"1h": 10})
+    assert len([x for x in said if "DROP" in x]) == 1
+    assert {f[1] for f in files(spark, table)} == {"2024-05"} and spark.table(table).count() == 50

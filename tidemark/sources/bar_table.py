@@ -18,6 +18,8 @@ from . import candles as C
 
 COLUMNS = [f.split(" ")[0] for f in TABLES["candles"].split(", ") if not f.startswith("interval ")]
 LAYOUT = ["interval", "month"]
+#: Partitions that a statement drops; each statement lists the table's partitions anew.
+DROPPED = 1000
 
 
 @contextmanager
@@ -38,9 +40,9 @@ def create(spark: SparkSession, table: str) -> None:
 
 
 def _laid_out(bars: DataFrame) -> DataFrame:
-    """Columns in the table's order, a partition in few files, sorted by symbol and time."""
+    """Columns in the table's order, a partition in one file unless it is large, sorted by symbol and time."""
     rows = bars.withColumn("month", F.date_format("open_time", "yyyy-MM")).select(*COLUMNS, *LAYOUT)
-    return rows.repartition(*LAYOUT, "symbol").sortWithinPartitions(*LAYOUT, "symbol", "open_time")
+    return rows.hint("rebalance", *LAYOUT).sortWithinPartitions(*LAYOUT, "symbol", "open_time")
 
 
 def months_of(bars: DataFrame) -> list[tuple[str, str]]:
@@ -85,7 +87,7 @@ def retain(spark: SparkSession, table: str, caps: dict[str, int]) -> DataFrame:
         partitions(split, some).filter("keep").select(*COLUMNS, "interval").write.parquet(path)
         with _setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
             _laid_out(spark.read.schema(TABLES["candles"]).parquet(path)).write.insertInto(table, overwrite=True)
-    for r in touched:
-        if not r.n_kept:
-            spark.sql(f"ALTER TABLE {table} DROP PARTITION (interval = '{r.interval}', month = '{r.month}')")
+    gone = [f"PARTITION (interval = '{r.interval}', month = '{r.month}')" for r in touched if not r.n_kept]
+    for at in range(0, len(gone), DROPPED):
+        spark.sql(f"ALTER TABLE {table} DROP {', '.join(gone[at : at + DROPPED])}")
     return spark.createDataFrame(touched, counted.schema)
