@@ -154,13 +154,17 @@ def rsi_of_bars(candles: DataFrame, n: int = 250, period: int = 14) -> DataFrame
     blocks = blocks.select(*KEY, F.filter("bars", lambda b: b["own"]).alias("own"), I.field(F.col("bars"), "close").alias("closes")).filter(F.size("own") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column("own").to_pylist()
-            values = []
-            for mine, closes in zip(own, batch.column("closes").to_pylist(), strict=True):
-                found = I.rsi_windows(np.array(closes, float), len(closes) - len(mine), n, period)
-                values.append([None if v != v else v for v in found.tolist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], names=[*batch.schema.names, "rsi"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # values stay in flat arrays, a few blocks at a time
+                batch = whole.slice(at, 256)
+                sizes = np.diff(batch.column("own").offsets.to_numpy())
+                closes, ends = batch.column("closes").flatten().to_numpy(zero_copy_only=False), batch.column("closes").offsets.to_numpy()
+                ends = ends - ends[0]
+                found = [I.rsi_windows(closes[a:b].astype(float), b - a - own, n, period) for a, b, own in zip(ends[:-1], ends[1:], sizes)]
+                values = np.concatenate(found)
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                rsi = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, mask=np.isnan(values)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, rsi], names=[*batch.schema.names, "rsi"])
 
     done = blocks.mapInArrow(run, StructType([*blocks.schema.fields, StructField("rsi", ArrayType(DoubleType()))]))
     return done.select(*KEY, F.inline(F.arrays_zip(I.field(F.col("own"), "open_time").alias("open_time"), F.col("rsi"))))
