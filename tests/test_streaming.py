@@ -197,3 +197,18 @@ def test_positions_share_rows_of_state(spark, tmp_path):
     assert {r.rule_triggered for r in got.filter("buy_id is null").collect()} == {"take_profit", "stop_loss", "trailing_stop"}
     stored = spark.read.format("statestore").option("stateVarName", "tracking").load(str(tmp_path / "s" / "c"))
     assert stored.count() <= 3 and jobs.state_of(spark, str(tmp_path / "s" / "c"), "tracking").count() == 32
+
+
+def test_held_alerts_are_packed(spark, tmp_path):
+    r, big = random.Random(3), 2**60
+    rows = [(big + i if i else None, "A", f"2024-01-0{1 + r.randrange(4)} {r.randrange(24):02d}:{r.randrange(60):02d}:00", None, r.choice(("normal", "very_strong", None)), r.choice((None, *range(50, 90)))) for i in range(600)]
+    frames = [frame(spark, rows[k::3], SIGNAL) for k in range(3)] + [frame(spark, [(1, "END", "2024-01-06 12:30:00", None, "normal", 1)], SIGNAL)]
+    out = str(tmp_path / "a")
+    df = jobs.alert(feed(spark, str(tmp_path / "in"), frames), delivered=F.col("id") % 5 != 0, delay="4 days")
+    some = run(spark, df, out).count()  # up to the middle of the second day
+    held = spark.read.format("statestore").option("stateVarName", "held").load(f"{out}/c").filter("key.symbol = 'A'").count()
+    assert 0 < some < 600 and 0 < held < 20
+    frame(spark, [(2, "END", "2024-03-01 00:00:00", None, "normal", 1)], SIGNAL).coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    got = run(spark, df, out).filter("symbol = 'A'")
+    want = alerts.alert_pass(frame(spark, rows, SIGNAL), frame(spark, [], "symbol string, sent_at timestamp_ntz, score int"), "detected_at", delivered=F.col("id") % 5 != 0)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))

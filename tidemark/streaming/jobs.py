@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
@@ -39,6 +40,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 #: Parts of a symbol's positions in the join with its closes.
 SPREAD = 32
+#: No time or number, in arrays and packed rows of the state.
+NONE = -(2**63)
 
 
 def start(writer: DataStreamWriter, spark: SparkSession, partitions: int | None = None) -> StreamingQuery:
@@ -187,54 +190,99 @@ def insert_signals(candidates: DataFrame, days: float = 7, delay: str = "1 hour"
 
 
 class _Sends(StatefulProcessor):
-    """The last send of a symbol, and its rows that the watermark has not reached."""
+    """The last send of a symbol, and its rows that the watermark has not reached.
+
+    Rows are held as Arrow pieces by blocks of time, so a piece and not each row
+    is an entry of the state; a release reads a block at a time.
+    """
+
+    #: Rows of a symbol that come together before they are cut into pieces, and microseconds of a block.
+    ROWS, BLOCK = 1 << 18, DAY_MS * 1000
+    HELD = ["us_", "id", "severity", "score", "now_us_", "ok", "can_"]
 
     def __init__(self, p: Alerts, names: list[str]):
         self.p, self.names = p, names
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "detected_us long, id long, severity string, score long, now_us long, ok boolean, can boolean")
+        self.held = handle.getMapState("held", "block long, piece long", "rows binary")
         self.sent = handle.getValueState("sent", "us long, score long")
-        self.due = handle.getValueState("due", "ms long")
+        self.due = handle.getValueState("due", "ms long, pieces long")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for us, score in initialState[["sent_us", "sent_score"]].itertuples(index=False):
             self.sent.update(tuple(None if pd.isna(v) else int(v) for v in (us, score)))
 
-    def _wait(self, us: int) -> None:
+    def _hold(self, rows: pd.DataFrame, pieces: int) -> int:
+        """Rows written as a piece for each block; the number of the next piece."""
+        for block, own in rows.groupby(rows["us_"] // self.BLOCK):
+            batch, sink = pa.RecordBatch.from_pandas(own, preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            self.held.updateValue((int(block), pieces), (sink.getvalue().to_pybytes(),))
+            pieces += 1
+        return pieces
+
+    def _block(self, block: int, pieces: list[int]) -> pd.DataFrame:
+        read = lambda n: pa.ipc.open_stream(bytes(self.held.getValue((block, n))[0])).read_pandas()
+        return pd.concat([read(n) for n in pieces], ignore_index=True)
+
+    def _wait(self, us: int, pieces: int) -> None:
         """A timer at the first held row."""
         ms, due = -(-us // 1000), _value(self.due)
-        if due is None or ms < due[0]:
+        if due is not None and due[0] <= ms:
+            ms = due[0]
+        else:
             if due is not None:
                 self.handle.deleteTimer(due[0])
             self.handle.registerTimer(ms)
-            self.due.update((ms,))
+        self.due.update((ms, pieces))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["us_", "id", "severity", "score", "now_us_", "ok", "can_"]
-        kinds = [int, int, str, int, int, bool, bool]
-        new = [tuple(None if pd.isna(v) else k(v) for k, v in zip(kinds, r)) for part in rows for r in part[columns].itertuples(index=False)]
-        self.held.appendList(new)
-        self._wait(min(r[0] for r in new))
+        pieces = (_value(self.due) or (None, 0))[1]
+        first, parts = [], []
+        for part in rows:
+            first.append(int(part["us_"].min()))
+            parts.append(part[self.HELD])
+            if sum(map(len, parts)) >= self.ROWS:
+                pieces, parts = self._hold(pd.concat(parts), pieces), []
+        if parts:
+            pieces = self._hold(pd.concat(parts), pieces)
+        self._wait(min(first), pieces)
         return iter(())
 
+    def _passed(self, rows: pd.DataFrame, last: tuple) -> tuple[pd.DataFrame, tuple]:
+        """Rows in order with the send before each, and the last send after them."""
+        severity = pd.factorize(rows["severity"], sort=True)[0]
+        rows = rows.iloc[np.lexsort([rows["ok"], rows["now_us_"], rows["score"], severity, rows["id"], rows["us_"]])]
+        can = rows["can_"].to_numpy(bool)
+        none = lambda c: [None if v == NONE else v for v in rows[c].to_numpy()[can].tolist()]
+        sends = list(alerts.priors_in_order(zip(none("now_us_"), none("score"), can[can]), *last, self.p))
+        before = np.array([[NONE if v is None else v for v in s] for s in sends], np.int64)[np.cumsum(can) - can]
+        return rows.assign(_prior_us=before[:, 0], _prior_score=before[:, 1]), sends[-1]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         reached = timerValues.getCurrentWatermarkInMs() * 1000
-        held = pd.DataFrame(list(self.held.get()), columns=["us_", "id", "severity", "score", "now_us_", "ok", "can_"], dtype="object")
-        ready = held["us_"] <= reached
-        due, rest = held[ready].sort_values(["us_", "id", "severity", "score", "now_us_", "ok"], kind="stable", na_position="first"), held[~ready]
-        self.held.clear()
+        blocks: dict[int, list[int]] = {}
+        for block, piece in self.held.keys():
+            blocks.setdefault(block, []).append(piece)
+        pieces, last = _value(self.due)[1], _value(self.sent) or (None, None)
         self.due.clear()
-        if len(rest):
-            self.held.put([tuple(r) for r in rest.itertuples(index=False)])
-            self._wait(int(rest["us_"].min()))
-        passing = zip(due["now_us_"], due["score"], due["can_"])
-        *before, last = alerts.priors_in_order(passing, *(_value(self.sent) or (None, None)), self.p)
+        for block in sorted(blocks):
+            held = self._block(block, sorted(blocks[block]))
+            ready = held["us_"] <= reached
+            if ready.any():
+                for piece in blocks[block]:
+                    self.held.removeKey((block, piece))
+                out, last = self._passed(held[ready], last)
+                if not ready.all():
+                    pieces = self._hold(held[~ready], pieces)
+                yield out.assign(symbol=key[0])[self.names]
+            if not ready.all():
+                self._wait(int(held["us_"][~ready].min()), pieces)
+                break
         if last[0] is not None or last[1] is not None:
             self.sent.update(last)
-        out = due.assign(symbol=key[0], _prior_us=pd.Series([b[0] for b in before], due.index, "object"), _prior_score=pd.Series([b[1] for b in before], due.index, "object"))
-        yield out[self.names]
 
     def close(self) -> None:
         pass
@@ -247,16 +295,19 @@ def alert(signals: DataFrame, p: Alerts = Alerts(), delivered=None, delay: str =
     time, so shuffled batches give the rows of ``alerts.alert_pass``.  A row that
     is more than ``delay`` behind the newest one is late and dropped; rows at the
     end of the input are held until something newer comes.  ``priors`` are sends
-    from before the stream.  State: the last send and the held rows of a symbol.
+    from before the stream.  State: the last send and the held rows of a symbol,
+    which are packed by days, so a release needs the memory of a day.
     """
     rows = alerts.judged(signals, clock, p, delivered).withColumnsRenamed({"_us": "now_us_", "_can": "can_"})
     rows = _with_event_time(rows, "detected_at", delay, hold=True)
-    out = "symbol string, us_ long, id long, severity string, score long, now_us_ long, ok boolean, _prior_us long, _prior_score long"
+    rows = rows.select("symbol", "us_", "severity", "ok", "can_", "at_", *[F.coalesce(c, F.lit(NONE)).alias(c) for c in ("id", "score", "now_us_")])
+    out = "symbol string, id long, severity string, score long, now_us_ long, ok boolean, _prior_us long, _prior_score long"
     first = None
     if priors is not None:
         first = priors.select("symbol", alerts.micros(F.col("sent_at")).alias("sent_us"), F.col("score").cast("bigint").alias("sent_score")).groupBy("symbol")
     processor = _Sends(p, [c.split(" ")[0] for c in out.split(", ")])
     kept = rows.groupBy("symbol").transformWithStateInPandas(processor, out, "append", "EventTime", initialState=first)
+    kept = kept.withColumns({c: F.nullif(F.col(c), F.lit(NONE)) for c in ("id", "score", "now_us_", "_prior_us", "_prior_score")})
     zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return alerts.decided(kept.withColumn("now", F.timestamp_add("MICROSECOND", F.col("now_us_"), zero)), p)
 
@@ -366,10 +417,6 @@ def watch_table(versions: DataFrame) -> DataFrame:
 # --- positions -----------------------------------------------------------------
 
 
-#: No time or number, in arrays of the state.
-NONE = -(2**63)
-
-
 class _Positions(StatefulProcessor):
     """The positions of a bucket: watermark, when each rule last gave a sell signal, and until when to keep it.
 
