@@ -1,5 +1,9 @@
 """Queries and operators decide all rows of their tables."""
 
+import datetime
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from tests.oracle import SF
@@ -74,3 +78,23 @@ def test_rsi_on_every_bar_of_long_histories(spark):
 def test_rsi_query_has_all_bars(spark):
     assert catalog.rsi_on_every_bar(spark, SF).count() == X.candles(X.ticks_orders(spark, SF), "1h").count()
     assert all(r.n > 0 for r in catalog.rsi_on_every_bar(spark, SF).groupBy("symbol").agg(F.count("rsi").alias("n")).collect())
+
+
+def test_replay_in_days_equals_a_walk(spark):
+    r, nan, at = random.Random(5), float("nan"), lambda d, h, m=0: f"2024-01-{d:02d} {h:02d}:{m:02d}:00"
+    closes = [("AB"[i % 2], at(d, h), r.choice((None, nan, *[r.uniform(-5, 200) for _ in range(12)]))) for d in range(1, 11) if d not in (4, 5) for h in range(24) for i in range(2) if r.random() < 0.5]
+    buys = [(i, r.choice("ABZ"), at(r.randrange(1, 13), r.randrange(24), r.choice((0, 30))), r.choice((None, nan, 0.0, r.uniform(1, 150))), r.choice((None, at(r.randrange(1, 12), r.randrange(24))))) for i in range(60)]
+    bars = frame(spark, closes, "symbol string, open_time timestamp_ntz, close double")
+    held = frame(spark, buys, "id bigint, symbol string, bought_at timestamp_ntz, price double, sold_at timestamp_ntz")
+    for days in (None, 3, 1):
+        got = transitions.replay_sells(held, bars, days=days)
+        assert "Window" not in got.select("id", "watermark")._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]  # positions aren't sorted
+        want = []
+        for i, symbol, bought, price, sold in buys:
+            end = sold if days is None else (datetime.datetime.fromisoformat(bought) + datetime.timedelta(days)).isoformat(" ")
+            seen, rank = [], lambda v: (math.isnan(v), v)
+            for t, close in sorted((t, c) for s, t, c in closes if s == symbol and bought <= t and (end is None or t < end)):
+                top = max((v for v in (price, *seen) if v is not None), key=rank, default=None) if seen else None
+                want.append((i, t, str(top)))
+                seen.append(close)
+        assert sorted((x.id, str(x.open_time), str(x.watermark)) for x in got.collect()) == sorted(want) and want

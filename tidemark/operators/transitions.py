@@ -240,9 +240,11 @@ def replay_sells(positions: DataFrame, bars: DataFrame, p: Sell = Sell(), days:
     """Rules at every bar from a buy on, with the watermark of the bars before.
 
     A position is followed up to its sale (``sold_at``, if ``positions`` has it)
-    or the last bar; ``days`` gives all the same horizon instead.  Positions meet
-    bars by (symbol, day), and the watermark window is partitioned by buy, so a
-    symbol with many buys is spread over tasks.
+    or the last bar; ``days`` gives all the same horizon instead.  Each row of
+    ``positions`` is followed by itself.  What is highest from the day after a buy
+    to a later day depends on the symbol and the two days only and is found once
+    for them, so a position meets its days in a join and its bars are neither
+    shuffled nor sorted.
     """
     zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     bucket = lambda c: F.timestamp_diff("DAY", zero, S.floor_day(c))
@@ -251,16 +253,59 @@ def replay_sells(positions: DataFrame, bars: DataFrame, p: Sell = Sell(), days:
     else:
         end = F.col("sold_at") if "sold_at" in positions.columns else F.lit(None).cast("timestamp_ntz")
     held = positions.select("id", "symbol", "bought_at", "price", end.alias("_end"))
-    held = held.join(bars.groupBy("symbol").agg(F.max("open_time").alias("_last")), "symbol")
-    first, last = bucket(F.col("bought_at")), bucket(F.least("_end", "_last"))
-    held = held.filter(first <= last).withColumn("_day", F.explode(F.sequence(first, last)))
-    j = held.join(bars.select("symbol", "open_time", "close", bucket(F.col("open_time")).alias("_day")), ["symbol", "_day"])
-    j = j.filter((F.col("open_time") >= F.col("bought_at")) & (F.col("_end").isNull() | (F.col("open_time") < F.col("_end")))).drop("_day", "_end", "_last")
-    before = Window.partitionBy("id").orderBy("open_time").rowsBetween(Window.unboundedPreceding, -1)
-    j = j.withColumn("watermark", F.max(F.greatest("price", "close")).over(before))
+    first, last = bucket(F.col("bought_at")), bucket(F.col("_end"))
+    if days is None:  # the last bar of all symbols: one row, where a join by symbol would be one task for a hot one
+        held = held.crossJoin(F.broadcast(bars.agg(F.max("open_time").alias("_last"))))
+        last = bucket(F.least("_end", "_last"))
+    held = held.filter(first <= last).withColumn("_from", first)
+    paths = _day_paths(bars.select("symbol", "open_time", "close", bucket(F.col("open_time")).alias("_day")), held, days)
+    # The hash table is that of the days, whichever side the planner takes for the smaller one.
+    j = held.withColumn("_day", F.explode(F.sequence("_from", last))).join(paths.hint("shuffle_hash"), ["symbol", "_from", "_day"])
+    # Of the first day only the bars from the buy on count, also before a bar.
+    later, since = F.col("_day") > F.col("_from"), lambda b: b.open_time >= F.col("bought_at")
+    closes = lambda found: F.array_max(F.transform(found, lambda b: b.close))
+    earlier = lambda b: F.filter("_begin", lambda x: since(x) & (x.open_time < b.open_time))
+    begun = F.transform(F.filter("_begin", since), lambda b, i: F.struct(b.open_time.alias("open_time"), b.close.alias("close"), closes(earlier(b)).alias("_before"), (i > 0).alias("_more")))
+    j = j.select(
+        "symbol",
+        "id",
+        "bought_at",
+        "price",
+        "_end",
+        F.when(later, F.greatest(closes(F.filter("_begin", since)), "_top")).alias("_prior"),
+        (later & (F.coalesce(F.exists("_begin", since), F.lit(False)) | (F.coalesce("_n", F.lit(0)) > 0))).alias("_any"),
+        F.when(later, F.col("_bars")).otherwise(begun).alias("_bars"),
+    )
+    j = j.select("symbol", "id", "bought_at", "price", "_end", "_prior", "_any", F.inline("_bars"))
+    j = j.filter(F.col("_end").isNull() | (F.col("open_time") < F.col("_end")))
+    top = F.when(F.col("_any") | F.col("_more"), F.greatest("price", "_prior", "_before"))
+    j = j.select("symbol", "id", "bought_at", "price", "open_time", "close", top.alias("watermark"))
     return j.withColumn("rule", sell_rule(F.col("price"), F.col("close"), F.col("watermark"), F.lit(None).cast("string"), p))
 
 
+def _day_paths(bars: DataFrame, held: DataFrame, days: int | None) -> DataFrame:
+    """A row for each symbol, day with bars (``_day``) and day of a buy up to ``days`` before it (``_from``).
+
+    It has the bars of both days (``_bars``, ``_begin``), each with the highest
+    close before it in its day, and of the days between the highest close
+    (``_top``) and the number of bars (``_n``).
+    """
+    so_far = Window.partitionBy("symbol", "_day").orderBy("open_time", "close").rowsBetween(Window.unboundedPreceding, -1)
+    bar = F.struct("open_time", "close", F.col("_b").alias("_before"), F.col("_m").alias("_more"))
+    bars = bars.withColumns({"_b": F.max("close").over(so_far), "_m": F.count(F.lit(1)).over(so_far) > 0})
+    table = bars.groupBy("symbol", "_day").agg(F.sort_array(F.collect_list(bar)).alias("_bars"), F.max("close").alias("_high"), F.count(F.lit(1)).alias("_count"))
+    if days is not None:
+        start = F.col("_day") - days
+    else:
+        table, start = table.join(held.groupBy("symbol").agg(F.min("_from").alias("_start")), "symbol"), F.col("_start")
+    table = table.filter(start <= F.col("_day")).withColumn("_from", F.explode(F.sequence(start, F.col("_day"))))
+    same, pair = F.col("_day") == F.col("_from"), Window.partitionBy("symbol", "_from").orderBy("_day")
+    between = pair.rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.first(F.when(same, F.col("_bars")), ignorenulls=True).over(pair.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    top, n = F.max(F.when(~same, F.col("_high"))).over(between), F.sum(F.when(~same, F.col("_count"))).over(between)
+    return table.select("symbol", "_from", "_day", "_bars", begin.alias("_begin"), top.alias("_top"), n.alias("_n"))
+
+
 def monitor(positions: DataFrame, candles: DataFrame, tracking: DataFrame) -> DataFrame:
     """Open positions with close, pnl and drawdown from the watermark, in percent."""
     j = positions.join(latest_close(candles), "symbol", "left").join(tracking.select(F.col("buy_id").alias("id"), "high_watermark"), "id", "left")
